@@ -119,14 +119,15 @@ def best_per_group(rows: DataFrame, keys=("symbol", "period"), baseline: str = "
     """Best row by Sharpe per group, and whether a trained model beat the baseline.
 
     Groups without any Sharpe give no row. Ties go to the first config and
-    model by name.
+    model by name; Sharpe values are compared at ten decimals, because the same
+    returns summed in another order differ in the last digits.
     """
     trained = F.col("model") != baseline
     beat = rows.groupBy(*keys).agg(
         F.max(F.when(trained, F.col("sharpe"))).alias("_trained"),
         F.max(F.when(~trained, F.col("sharpe"))).alias("_base"),
     )
-    best = Window.partitionBy(*keys).orderBy(F.col("sharpe").desc(), "config", "model")
+    best = Window.partitionBy(*keys).orderBy(F.round("sharpe", 10).desc(), "config", "model")
     top = (
         rows.filter("sharpe is not null").withColumn("_rn", F.row_number().over(best)).filter("_rn = 1").drop("_rn")
     )
@@ -134,10 +135,14 @@ def best_per_group(rows: DataFrame, keys=("symbol", "period"), baseline: str = "
     return top.join(beat, list(keys)).withColumn("trained_beat", won).drop("_trained", "_base")
 
 
-def beat_count(best: DataFrame) -> DataFrame:
+def beat_count(rows: DataFrame, keys=("symbol", "period"), baseline: str = "AlwaysLong") -> DataFrame:
     """How many groups there are and in how many a trained model won."""
-    return best.agg(
-        F.count(F.lit(1)).alias("n_groups"), F.count_if("trained_beat").alias("n_trained_beat")
+    best = best_per_group(rows, keys, baseline).select(*keys, "trained_beat")
+    return (
+        rows.select(*keys)
+        .distinct()
+        .join(best, list(keys), "left")
+        .agg(F.count(F.lit(1)).alias("n_groups"), F.count_if("trained_beat").alias("n_trained_beat"))
     )
 
 

@@ -1,0 +1,409 @@
+"""Models, walk-forward runs, backtests, metrics and the experiment grid."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from barloom.operators import experiments as ex
+from barloom.operators import metrics as me
+from barloom.operators import models as mo
+from barloom.operators import walkforward as wf
+from barloom.operators.backtest import run_backtest
+from barloom.operators.features import FEATURE_COLUMNS, build_features
+from barloom.operators.replay import strategy_curves
+from barloom.operators.targets import make_dataset
+from barloom.plans import inputs
+from barloom.plans.report import rule_report
+from catalog import panel  # noqa: F401  (defines the feature and dataset tables)
+from catalog.base import SYM, backtest_sql, complete, features_sql, query, sql_table, summary_sql
+
+# --- rule models -----------------------------------------------------------
+
+MODEL = "symbol:t date:d prediction:i proba_up:8"
+
+
+def _rule(model):
+    def run(spark, sf):
+        return build_features(inputs.bars(spark, sf)).filter("return_1d is not null").select(
+            "symbol", "date", model.label().alias("prediction"), model.probability().alias("proba_up")
+        )
+
+    return run
+
+
+query(
+    "f1_always_long",
+    MODEL,
+    _rule(mo.AlwaysLong()),
+    "SELECT symbol, date, 1 AS prediction, 1.0 AS proba_up FROM feats WHERE return_1d IS NOT NULL",
+)
+query(
+    "f2_previous_direction",
+    MODEL,
+    _rule(mo.PreviousDirection()),
+    """SELECT symbol, date, CAST(return_1d > 0 AS INTEGER) AS prediction, CAST(return_1d > 0 AS DOUBLE) AS proba_up
+       FROM feats WHERE return_1d IS NOT NULL""",
+)
+
+# --- walk-forward ----------------------------------------------------------
+
+
+def _folded(ds: str, extra: str = "") -> str:
+    """SQL of the test rows of 5 folds (252 first, 63 each, gap 1) over a dataset."""
+    return f"""SELECT symbol, date, (pos - 253) // 63 AS fold, return_1d, y{extra} FROM (
+        SELECT *, row_number() OVER ({SYM}) - 1 AS pos, count(*) OVER (PARTITION BY symbol) AS n FROM {ds})
+        WHERE n >= 252 + 5 * 63 + 1 AND pos >= 253 AND pos < 253 + 5 * 63"""
+
+
+for _t in ("direction", "threshold"):
+    sql_table(
+        f"wf_{_t}",
+        f"SELECT *, CAST(return_1d > 0 AS INTEGER) AS prediction, CAST(return_1d > 0 AS DOUBLE) AS proba_up "
+        f"FROM ({_folded(f'ds_{_t}')})",
+    )
+    query(
+        f"g1_walk_forward_rule_{_t}",
+        "symbol:t date:d fold:i prediction:i",
+        lambda spark, sf, t=_t: wf.run_walk_forward(
+            inputs.bars(spark, sf), mo.PreviousDirection(), inputs.SPLITTER, t
+        ),
+        f"SELECT * FROM wf_{_t}",
+    )
+
+# all rows with features; a row takes the position of the next labelled row
+sql_table(
+    "neutral_rows",
+    f"""SELECT symbol, date, fold, prediction FROM (
+      SELECT *, (pos - 253) // 63 AS fold, CAST(return_1d > 0 AS INTEGER) AS prediction FROM (
+        SELECT *, sum(lab) OVER ({SYM} ROWS UNBOUNDED PRECEDING) - lab AS pos, sum(lab) OVER (PARTITION BY symbol) AS n
+        FROM (SELECT f.*, CASE WHEN t.y IS NULL THEN 0 ELSE 1 END AS lab
+              FROM feats f LEFT JOIN ds_threshold t USING (symbol, date) WHERE {complete(['f.' + c for c in FEATURE_COLUMNS])})))
+      WHERE n >= 568 AND pos >= 253 AND fold < 5""",
+)
+query(
+    "g1_walk_forward_score_neutral",
+    "symbol:t date:d fold:i prediction:i",
+    lambda spark, sf: wf.run_walk_forward(
+        inputs.bars(spark, sf), mo.PreviousDirection(), inputs.SPLITTER, "threshold", score_neutral=True
+    ),
+    "SELECT * FROM neutral_rows",
+)
+query(
+    "g2_walk_forward_proba_rule",
+    "symbol:t date:d fold:i proba_up:8",
+    lambda spark, sf: wf.run_walk_forward_proba(
+        inputs.bars(spark, sf), mo.PreviousDirection(), inputs.SPLITTER
+    ),
+    "SELECT * FROM wf_direction",
+)
+
+# a smoother rule probability, for thresholds: how RSI stands within 0..100
+sql_table("wf_rsi", _folded("ds_direction", ", rsi_14 / 100 AS proba_up"))
+
+
+def _rsi_scores(spark, sf):
+    data = make_dataset(inputs.bars(spark, sf)).withColumn("rsi_score", F.col("rsi_14") / 100)
+    return wf.walk_forward_scores(data, mo.ColumnScore("rsi_score"), inputs.SPLITTER)
+
+
+query(
+    "g3_probability_threshold",
+    "symbol:t date:d proba_up:8 prediction:i",
+    lambda spark, sf: wf.threshold_signal(_rsi_scores(spark, sf), 0.55),
+    "SELECT *, CAST(proba_up > 0.55 AS INTEGER) AS prediction FROM wf_rsi",
+)
+query(
+    "g3_long_share",
+    "symbol:t long_pct:8",
+    lambda spark, sf: wf.long_share(_rsi_scores(spark, sf), 0.55),
+    "SELECT symbol, 100 * avg(CASE WHEN proba_up > 0.55 THEN 1.0 ELSE 0.0 END) AS long_pct FROM wf_rsi GROUP BY symbol",
+)
+
+_CUTS = [0.50, 0.55, 0.60, 0.65]
+sql_table(
+    "swept",
+    f"SELECT symbol, cut, date, CAST(proba_up > cut AS INTEGER) AS prediction "
+    f"FROM wf_rsi, (SELECT unnest([{', '.join(f'{c}::DOUBLE' for c in _CUTS)}]) AS cut)",
+)
+sql_table("swept_bt", backtest_sql("swept", "symbol, cut", 5.0))
+SUMMARY = "total_return:6 cagr:6 volatility:8 sharpe:6 max_drawdown:6 hit_rate:8 turnover:8"
+query(
+    "g4_threshold_sweep",
+    f"symbol:t cut:2 {SUMMARY}",
+    lambda spark, sf: ex.threshold_sweep(_rsi_scores(spark, sf), inputs.bars(spark, sf), _CUTS),
+    summary_sql("swept_bt", "strategy_return", "symbol, cut", "position"),
+)
+
+# --- learned models (rows only) --------------------------------------------
+
+LEARNED = "symbol:t date:d fold:i proba_up:8 prediction:i y:1"
+
+
+def _learned(model, target="direction"):
+    return lambda spark, sf: wf.walk_forward_scores(
+        make_dataset(inputs.bars(spark, sf), target), model, inputs.SPLITTER
+    )
+
+
+query("f3_logistic_regression", LEARNED, _learned(mo.LogisticRegression()))
+query("f4_calibrated_sigmoid", LEARNED, _learned(mo.CalibratedLogisticRegression()))
+query("f4_calibrated_isotonic", LEARNED, _learned(mo.CalibratedLogisticRegression(method="isotonic")))
+query("f5_random_forest", LEARNED, _learned(mo.RandomForest(), "threshold"))
+
+# --- backtests -------------------------------------------------------------
+
+BT = "symbol:t date:d close:8 asset_return:8 prediction:1 position:1 strategy_return:8 cumulative:6 buy_and_hold:6"
+
+
+def _bt(target, costs, hold):
+    def run(spark, sf):
+        panel = inputs.bars(spark, sf)
+        preds = wf.run_walk_forward(panel, mo.PreviousDirection(), inputs.SPLITTER, target)
+        return run_backtest(preds, panel, costs, hold)
+
+    return run
+
+
+for _name, _t, _costs, _hold in (
+    ("h1_backtest_hp1", "direction", 0.0, 1),
+    ("h1_backtest_hp1_costs", "direction", 5.0, 1),
+    ("h1_backtest_hp5_costs", "direction", 5.0, 5),
+    ("h1_backtest_threshold_gaps", "threshold", 5.0, 1),
+):
+    sql_table(_name[3:] + "_t", backtest_sql(f"wf_{_t}", costs=_costs, hold=str(_hold), choices=(_hold,)))
+    query(_name, BT, _bt(_t, _costs, _hold), f"SELECT * FROM {_name[3:]}_t")
+
+# --- return metrics --------------------------------------------------------
+
+_COSTS = _bt("direction", 5.0, 1)
+_SRC = "backtest_hp1_costs_t"
+
+
+def _metric(name: str, col: str, run, digits: int = 6) -> None:
+    query(
+        name,
+        f"symbol:t {col}:{digits}",
+        lambda spark, sf: run(_COSTS(spark, sf)),
+        f"SELECT symbol, {col} FROM ({summary_sql(_SRC, 'strategy_return', pos='position', rf=0.02)})",
+    )
+
+
+def _agg(expr, col):
+    return lambda bt: bt.groupBy("symbol").agg(expr(F.col("strategy_return")).alias(col))
+
+
+_metric("i1_total_return", "total_return", _agg(me.total_return, "total_return"))
+_metric("i2_cagr", "cagr", _agg(me.cagr, "cagr"))
+_metric("i3_volatility", "volatility", _agg(me.volatility, "volatility"), 8)
+_metric("i4_sharpe", "sharpe", _agg(lambda r: me.sharpe(r, 0.02), "sharpe"))
+_metric("i5_max_drawdown", "max_drawdown", lambda bt: me.max_drawdown(bt, "strategy_return"))
+_metric("i6_hit_rate", "hit_rate", _agg(me.hit_rate, "hit_rate"), 8)
+_metric("i7_turnover", "turnover", lambda bt: me.turnover(bt, "position"), 8)
+query(
+    "i8_return_summary",
+    f"symbol:t {SUMMARY}",
+    lambda spark, sf: me.return_summary(
+        _COSTS(spark, sf), {"": ("strategy_return", "position")}, risk_free=0.02
+    ),
+    summary_sql(_SRC, "strategy_return", pos="position", rf=0.02),
+)
+query(
+    "i8_rule_report",
+    f"symbol:t {SUMMARY}",
+    lambda spark, sf: rule_report(spark, sf, inputs.SPLITTER),
+    summary_sql(_SRC, "strategy_return", pos="position"),
+)
+
+# --- classification metrics ------------------------------------------------
+
+
+def _labelled(spark, sf):
+    data = make_dataset(inputs.bars(spark, sf))
+    return wf.walk_forward_scores(data, mo.PreviousDirection(), inputs.SPLITTER)
+
+
+_CELLS = """SELECT symbol, count(*) AS n, count(*) FILTER (WHERE y = 0 AND prediction = 0) AS tn,
+    count(*) FILTER (WHERE y = 0 AND prediction = 1) AS fp, count(*) FILTER (WHERE y = 1 AND prediction = 0) AS fn,
+    count(*) FILTER (WHERE y = 1 AND prediction = 1) AS tp FROM wf_direction GROUP BY symbol"""
+sql_table("cells", _CELLS)
+sql_table(
+    "class_scores",
+    """SELECT symbol, (tn + tp) / n AS accuracy, coalesce(tp / nullif(tp + fp, 0), 0) AS precision,
+       coalesce(tp / nullif(tp + fn, 0), 0) AS recall FROM cells""",
+)
+query(
+    "i9_accuracy_precision_recall",
+    "symbol:t accuracy:8 precision:8 recall:8",
+    lambda spark, sf: me.class_summary(_labelled(spark, sf)),
+    "SELECT * FROM class_scores",
+)
+query(
+    "i10_confusion_matrix",
+    "symbol:t tn:l fp:l fn:l tp:l",
+    lambda spark, sf: me.confusion_matrix(_labelled(spark, sf)),
+    "SELECT * FROM cells",
+)
+query(
+    "i11_classification_report",
+    "symbol:t label:t precision:8 recall:8 f1_score:8 support:l",
+    lambda spark, sf: me.classification_report(_labelled(spark, sf)),
+    """WITH c AS (SELECT symbol, n, (tn + tp) / n AS acc, tn / (tn + fn) AS p0, tn / (tn + fp) AS r0, tn + fp AS s0,
+           2 * tn / (2 * tn + fn + fp) AS f0, tp / (tp + fp) AS p1, tp / (tp + fn) AS r1, tp + fn AS s1,
+           2 * tp / (2 * tp + fn + fp) AS f1 FROM cells)
+       SELECT symbol, '0' AS label, p0 AS precision, r0 AS recall, f0 AS f1_score, s0 AS support FROM c
+       UNION ALL SELECT symbol, '1', p1, r1, f1, s1 FROM c
+       UNION ALL SELECT symbol, 'accuracy', NULL, NULL, acc, n FROM c
+       UNION ALL SELECT symbol, 'macro avg', (p0 + p1) / 2, (r0 + r1) / 2, (f0 + f1) / 2, n FROM c
+       UNION ALL SELECT symbol, 'weighted avg', (p0 * s0 + p1 * s1) / n, (r0 * s0 + r1 * s1) / n,
+         (f0 * s0 + f1 * s1) / n, n FROM c""",
+)
+query(
+    "i12_class_summary_pooled",
+    "fold:i accuracy:8 precision:8 recall:8",
+    lambda spark, sf: me.class_summary(_labelled(spark, sf), keys=["fold"]),
+    """SELECT fold, avg(CASE WHEN y = prediction THEN 1.0 ELSE 0.0 END) AS accuracy,
+         coalesce(sum(y * prediction) / nullif(sum(prediction), 0), 0) AS precision,
+         coalesce(sum(y * prediction) / nullif(sum(y), 0), 0) AS recall FROM wf_direction GROUP BY fold""",
+)
+
+
+def _evaluate(spark, sf):
+    rows, panel = _labelled(spark, sf), inputs.bars(spark, sf)
+    return me.evaluate(rows, rows, run_backtest(rows, panel, 5.0))
+
+
+_BOTH = " ".join(f"strategy_{w}" for w in SUMMARY.split()) + " " + " ".join(
+    f"buy_and_hold_{w}" for w in SUMMARY.split()[:-1]
+)
+query(
+    "i13_evaluate",
+    f"symbol:t accuracy:8 precision:8 recall:8 n_unmatched:l {_BOTH}",
+    _evaluate,
+    f"""SELECT *, 0 AS n_unmatched FROM class_scores
+        JOIN ({summary_sql(_SRC, 'strategy_return', pos='position', prefix='strategy_')}) USING (symbol)
+        JOIN ({summary_sql(_SRC, 'asset_return', prefix='buy_and_hold_')}) USING (symbol)""",
+)
+
+# --- experiment grid -------------------------------------------------------
+
+PERIODS = [
+    {"period": "1995-1997", "start": "1995-01-01", "end": "1997-12-31"},
+    {"period": "1998-2001", "start": "1998-01-01", "end": "2001-12-31"},
+    {"period": "1995-2001", "start": "1995-01-01", "end": "2001-12-31"},
+]
+RULES = {"AlwaysLong": mo.AlwaysLong(), "PreviousDirection": mo.PreviousDirection()}
+_P = "symbol, period"
+_PW = f"PARTITION BY {_P} ORDER BY date"
+_UP = f"lead(close) OVER ({_PW}) / close - 1"
+sql_table(
+    "grid_bars",
+    "SELECT b.*, period FROM bars b JOIN (VALUES "
+    + ", ".join(f"('{p['period']}', DATE '{p['start']}', DATE '{p['end']}')" for p in PERIODS)
+    + ") v(period, lo, hi) ON date BETWEEN lo AND hi",
+)
+sql_table("grid_feats", features_sql("grid_bars", _P))
+sql_table(
+    "grid_y",
+    f"""SELECT *, CAST(lead(close) OVER ({_PW}) > close AS DOUBLE) AS y1,
+        CAST(lead(close, 5) OVER ({_PW}) > close AS DOUBLE) AS y5,
+        CASE WHEN {_UP} > 0.005 THEN 1.0 WHEN {_UP} < -0.005 THEN 0.0 END AS yt FROM grid_feats""",
+)
+sql_table(
+    "grid_ds",
+    f"""SELECT * FROM (
+      SELECT symbol, period, 'dir/hp1' AS config, 1 AS hold, date, close, return_1d, y1 AS y FROM grid_y WHERE {complete(FEATURE_COLUMNS)}
+      UNION ALL SELECT symbol, period, '5d/hp5', 5, date, close, return_1d, y5 FROM grid_y WHERE {complete(FEATURE_COLUMNS)}
+      UNION ALL SELECT symbol, period, 'thr/hp1', 1, date, close, return_1d, yt FROM grid_y WHERE {complete(FEATURE_COLUMNS)})
+      WHERE y IS NOT NULL""",
+)
+sql_table(
+    "grid_test",
+    """SELECT * FROM (
+      SELECT *, (pos - first - 1) // 63 AS fold, least(8, (n - first - 1) // 63) AS folds FROM (
+        SELECT *, CASE WHEN n < 800 THEN 252 ELSE 504 END AS first FROM (
+          SELECT *, row_number() OVER (PARTITION BY symbol, period, config ORDER BY date) - 1 AS pos,
+            count(*) OVER (PARTITION BY symbol, period, config) AS n FROM grid_ds))
+      WHERE n >= first + 63 + 1 AND pos >= first + 1) WHERE fold < folds""",
+)
+sql_table(
+    "grid_pred",
+    """SELECT symbol, period, config, 'AlwaysLong' AS model, hold, date, y, 1 AS prediction FROM grid_test UNION ALL
+       SELECT symbol, period, config, 'PreviousDirection', hold, date, y, CAST(return_1d > 0 AS INTEGER) FROM grid_test""",
+)
+_G = "symbol, period, config, model"
+sql_table("grid_bt", backtest_sql("grid_pred", _G, 5.0, "hold", (1, 5)))
+sql_table(
+    "grid_rows",
+    f"""SELECT * FROM (SELECT {_G}, avg(CASE WHEN y = prediction THEN 1.0 ELSE 0.0 END) AS accuracy,
+          100 * avg(prediction) AS long_pct FROM grid_pred GROUP BY ALL)
+        JOIN ({summary_sql('grid_bt', 'strategy_return', _G, 'position')}) USING ({_G})""",
+)
+sql_table(
+    "grid_best",
+    """SELECT * EXCLUDE (rn) FROM (
+         SELECT *, row_number() OVER (PARTITION BY symbol, period ORDER BY round(sharpe, 10) DESC, config, model) AS rn
+         FROM grid_rows WHERE sharpe IS NOT NULL) JOIN (
+         SELECT symbol, period, coalesce(max(sharpe) FILTER (WHERE model <> 'AlwaysLong')
+             > coalesce(max(sharpe) FILTER (WHERE model = 'AlwaysLong'), '-inf'::DOUBLE), false) AS trained_beat
+         FROM grid_rows GROUP BY ALL) USING (symbol, period) WHERE rn = 1""",
+)
+GRID = "symbol:t period:t config:t model:t accuracy:8 total_return:6 sharpe:6 max_drawdown:6 turnover:8 long_pct:8"
+
+
+def _grid(spark, sf):
+    return ex.run_grid(inputs.bars(spark, sf), PERIODS, RULES)
+
+
+query("p1_experiment_grid_rules", GRID, _grid, "SELECT * FROM grid_rows")
+query(
+    "p1_experiment_grid_learned",
+    GRID,
+    lambda spark, sf: ex.run_grid(
+        inputs.bars(spark, sf),
+        PERIODS,
+        {
+            "AlwaysLong": mo.AlwaysLong(),
+            "CalibratedLR": mo.CalibratedLogisticRegression(),
+            "RandomForest": mo.RandomForest(n_estimators=25),
+        },
+    ),
+)
+query(
+    "p2_best_per_group",
+    GRID + " trained_beat:b",
+    lambda spark, sf: ex.best_per_group(_grid(spark, sf)),
+    "SELECT * FROM grid_best",
+)
+query(
+    "p3_trained_beats_baseline",
+    "n_groups:l n_trained_beat:l",
+    lambda spark, sf: ex.beat_count(_grid(spark, sf)),
+    """SELECT (SELECT count(*) FROM (SELECT DISTINCT symbol, period FROM grid_rows)) AS n_groups,
+         (SELECT count(*) FROM grid_best WHERE trained_beat) AS n_trained_beat""",
+)
+
+
+def _curves(spark, sf):
+    panel = inputs.bars(spark, sf)
+    data = make_dataset(panel)
+    both = None
+    for name, model in RULES.items():
+        rows = wf.walk_forward_scores(data, model, inputs.SPLITTER).withColumn("strategy", F.lit(name))
+        both = rows if both is None else both.unionByName(rows)
+    return strategy_curves(run_backtest(both, panel, 5.0, keys=["symbol", "strategy"]))
+
+
+sql_table(
+    "two_rules",
+    """SELECT symbol, 'AlwaysLong' AS strategy, date, 1 AS prediction FROM wf_direction UNION ALL
+       SELECT symbol, 'PreviousDirection', date, prediction FROM wf_direction""",
+)
+sql_table("two_bt", backtest_sql("two_rules", "symbol, strategy", 5.0))
+query(
+    "p4_strategy_curves",
+    "symbol:t curve:t date:d value:6 final_return:6",
+    _curves,
+    """SELECT *, arg_max(value, date) OVER (PARTITION BY symbol, curve) - 1 AS final_return FROM (
+         SELECT symbol, 'buy_and_hold' AS curve, date, buy_and_hold AS value FROM two_bt WHERE strategy = 'AlwaysLong'
+         UNION ALL SELECT symbol, strategy, date, cumulative FROM two_bt)""",
+)
