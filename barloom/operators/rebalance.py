@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from barloom.functions.exprs import change
 from barloom.functions.history import over_history, running
 from barloom.operators.signals import top_rows
+from barloom.session import kept
 
 KEYS = ["scenario"]
 
@@ -132,8 +133,12 @@ def rebalance_ranking(scores: DataFrame, bars: DataFrame, top: int) -> DataFrame
 
 
 def _sets(scores: DataFrame, axis: DataFrame, top_n: int, min_score: float):
-    """Effective rebalances (numbered ``step``), their target sets, and the changes between them."""
-    known = rebalance_scores(scores, axis)
+    """Effective rebalances (numbered ``step``), their target sets, and the changes between them.
+
+    The scores at the rebalances are written once: they may come from fitted
+    models and are needed for the sets, the steps and the log.
+    """
+    known = kept(rebalance_scores(scores, axis), "rebalance-scores")
     dates = axis.filter("is_rebalance").select(*KEYS, "rebalance", "date")
     # a day without any score keeps the old set: it is not a step
     effective = (
@@ -184,7 +189,7 @@ def simulate(
     """
     if rebalance_frequency != "weekly":
         raise ValueError(f"rebalance_frequency must be 'weekly', got {rebalance_frequency!r}")
-    axis = day_axis(scores, bars)
+    axis = kept(day_axis(scores, bars), "day-axis")
     known, effective, targets, changes = _sets(scores, axis, top_n, min_score)
 
     costs = turnover_costs(changes)
@@ -242,7 +247,7 @@ def rebalance_costs(
     scores: DataFrame, bars: DataFrame, *, top_n: int = 5, min_score: float = 0.55, costs_bps: float = 5.0
 ) -> DataFrame:
     """Set sizes, one-way turnover and cost fraction of every step that trades."""
-    axis = day_axis(scores, bars)
+    axis = kept(day_axis(scores, bars), "day-axis")
     _, effective, _, changes = _sets(scores, axis, top_n, min_score)
     return (
         effective.join(turnover_costs(changes), [*KEYS, "step"])

@@ -13,6 +13,7 @@ from barloom.functions.exprs import change, ratio
 from barloom.functions.fold import ordered_fold
 from barloom.functions.history import over_history, running
 from barloom.operators.metrics import TRADING_DAYS, return_summary
+from barloom.session import kept
 from barloom.sources.bars import trading_days
 
 
@@ -73,6 +74,7 @@ def _all_filled(priced: DataFrame) -> DataFrame:
         "side",
         "amount",
         "close",
+        "capital",
         cash.alias("cash_after"),
         F.when(sell, F.lit(0.0)).otherwise(F.col("_shares")).alias("shares_after"),
         F.when(sell, F.col("_shares") > 0).otherwise(F.lit(True)).alias("executed"),
@@ -122,10 +124,11 @@ def executed_orders(orders: DataFrame, bars: DataFrame, accounts: DataFrame) ->
     with a refused BUY needs its orders one by one.
     """
     priced = _priced(orders, bars).join(accounts.select("account", "capital"), "account")
-    filled = _all_filled(priced)
+    filled = kept(_all_filled(priced), "filled-orders")
     short = filled.filter("short").select("account").distinct()
-    clean = filled.join(short, "account", "left_anti").drop("short")
-    return clean.unionByName(_one_by_one(priced.join(short, "account", "left_semi")))
+    clean = filled.join(short, "account", "left_anti").drop("short", "capital")
+    rest = filled.join(short, "account", "left_semi").drop("cash_after", "shares_after", "executed", "short")
+    return clean.unionByName(_one_by_one(rest))
 
 
 def build_equity_curve(orders: DataFrame, bars: DataFrame, accounts: DataFrame) -> PortfolioHistory:
@@ -137,9 +140,9 @@ def build_equity_curve(orders: DataFrame, bars: DataFrame, accounts: DataFrame)
     position. State between orders is a run of trading days, exploded by day
     number: no range join. A position without a valid close on a day counts 0.
     """
-    days = trading_days(bars)
+    days = kept(trading_days(bars), "trading-days")
     last_day = days.select(F.max("day")).scalar()
-    done = executed_orders(orders, bars, accounts).filter("executed").join(days, "date")
+    done = kept(executed_orders(orders, bars, accounts).filter("executed"), "executed-orders").join(days, "date")
 
     def runs(states: DataFrame, keys: list[str], value: str) -> DataFrame:
         nxt = F.lead("day").over(Window.partitionBy(*keys).orderBy("day"))

@@ -7,13 +7,18 @@ Accounts are nations, subscribed to the symbols their customers order.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.operators.orders import RiskConfig, signals_to_proposed_orders
+from barloom.functions.history import over_history
+from barloom.operators.orders import RiskConfig, build_execution_plan, signals_to_proposed_orders
 from barloom.operators.ranking import enrich_with_context, rule_score
+from barloom.operators.replay import PortfolioHistory, build_equity_curve
 from barloom.operators.signals import generate_signals, signal_sequence, top_rows
 from barloom.operators.splits import WalkForwardSplit
+from barloom.session import kept
 from barloom.sources.bars import bars_from_ticks
 
 # Parameters of the registered queries.
@@ -69,15 +74,8 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_score(bars(spark, sf_dir)).withColumnRenamed("score", "proba_up")
 
 
-def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(date, close)``: mean close of all symbols per day."""
-    return bars(spark, sf_dir).groupBy("date").agg(F.avg("close").alias("close"))
-
-
 def as_of_dates(panel: DataFrame) -> DataFrame:
     """Last trading day of each month with the one after it: calendar-sized."""
-    from barloom.functions.history import over_history
-
     months = panel.groupBy(F.trunc("date", "month").alias("month")).agg(F.max("date").alias("as_of"))
     return over_history(
         months.withColumn("_axis", F.lit("all")),
@@ -88,91 +86,107 @@ def as_of_dates(panel: DataFrame) -> DataFrame:
     ).select("as_of", "next_as_of")
 
 
-def monthly_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(as_of, symbol, score, context...)`` at each month end."""
-    panel = bars(spark, sf_dir)
-    ranking = (
-        rule_score(panel)
-        .withColumnRenamed("date", "as_of")
-        .join(as_of_dates(panel).select("as_of"), "as_of")
-    )
-    return enrich_with_context(ranking, panel)
-
-
-def monthly_held(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(as_of, symbol)``: the best symbols of the month before."""
-    panel = bars(spark, sf_dir)
-    ranking = rule_score(panel).withColumnRenamed("date", "as_of").join(as_of_dates(panel), "as_of")
-    return (
-        top_rows(ranking, TOP_N, ["as_of"])
-        .filter("next_as_of is not null")
-        .select(F.col("next_as_of").alias("as_of"), "symbol")
-    )
-
-
-def monthly_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generate_signals(
-        monthly_ranking(spark, sf_dir),
-        monthly_held(spark, sf_dir),
-        top_n=TOP_N,
-        min_score=MIN_SCORE,
-        min_score_downtrend=MIN_SCORE_DOWN,
-    )
-
-
-def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(account, balance, cash)``: one per nation, sized by its customers."""
-    people = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(
-        F.count("*").alias("n")
-    )
-    return table(spark, sf_dir, "nation").join(people, "n_nationkey").select(
-        F.col("n_name").alias("account"),
-        (5000.0 + 10.0 * F.col("n")).alias("balance"),
-        (5000.0 + 10.0 * F.col("n")).alias("cash"),
-    )
-
-
-def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(account, symbol)``: symbols ordered by the nation's customers."""
-    who = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
-    pairs = (
-        table(spark, sf_dir, "orders")
-        .select("o_custkey", F.col("o_orderpriority").alias("symbol"))
-        .join(who, "o_custkey")
-        .select(F.col("c_nationkey").alias("n_nationkey"), "symbol")
-        .distinct()
-    )
-    names = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("account"))
-    return pairs.join(names, "n_nationkey").select("account", "symbol")
-
-
 PLAN_KEYS = ["account", "signal_date"]
 
 
-def account_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signals of each account's symbols, numbered in output order per account and date."""
-    mine = monthly_signals(spark, sf_dir).join(subscriptions(spark, sf_dir), "symbol")
-    return signal_sequence(mine.withColumnRenamed("as_of", "signal_date"), PLAN_KEYS)
-
-
-def proposed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signals_to_proposed_orders(account_signals(spark, sf_dir), accounts(spark, sf_dir), RISK)
-
-
-def plan_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Proposed orders, account snapshot per plan, and open positions per plan."""
-    proposed = proposed_orders(spark, sf_dir)
-    snapshot = proposed.select(*PLAN_KEYS).distinct().join(accounts(spark, sf_dir), "account")
-    held = (
-        monthly_held(spark, sf_dir)
-        .withColumnRenamed("as_of", "signal_date")
-        .join(subscriptions(spark, sf_dir), "symbol")
-        .select(*PLAN_KEYS, "symbol")
-    )
-    return proposed, snapshot, held
-
-
-def execution_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from barloom.operators.orders import build_execution_plan
-
-    return build_execution_plan(*plan_inputs(spark, sf_dir), RISK, keys=PLAN_KEYS)
+class Desk:
+    """The monthly signal desk over one set of test tables.
+
+    Every table is built when first asked for. Tables that several others read
+    (bars, signals, plan) are written once to the shared folder.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    @cached_property
+    def bars(self) -> DataFrame:
+        return kept(bars(self.spark, self.sf_dir), "bars")
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        """``(as_of, next_as_of, symbol, score)`` at each month end."""
+        by_day = rule_score(self.bars).withColumnRenamed("date", "as_of")
+        return by_day.join(as_of_dates(self.bars), "as_of")
+
+    @cached_property
+    def ranking(self) -> DataFrame:
+        """``(as_of, symbol, score, context...)``."""
+        return kept(enrich_with_context(self.scored.drop("next_as_of"), self.bars), "ranking")
+
+    @cached_property
+    def held(self) -> DataFrame:
+        """``(as_of, symbol)``: the best symbols of the month before."""
+        best = top_rows(self.scored, TOP_N, ["as_of"]).filter("next_as_of is not null")
+        return best.select(F.col("next_as_of").alias("as_of"), "symbol")
+
+    @cached_property
+    def signals(self) -> DataFrame:
+        return kept(
+            generate_signals(
+                self.ranking, self.held, top_n=TOP_N, min_score=MIN_SCORE, min_score_downtrend=MIN_SCORE_DOWN
+            ),
+            "signals",
+        )
+
+    @cached_property
+    def accounts(self) -> DataFrame:
+        """``(account, balance, cash)``: one per nation, sized by its customers."""
+        people = (
+            table(self.spark, self.sf_dir, "customer")
+            .groupBy(F.col("c_nationkey").alias("n_nationkey"))
+            .agg(F.count("*").alias("n"))
+        )
+        money = 5000.0 + 10.0 * F.col("n")
+        return (
+            table(self.spark, self.sf_dir, "nation")
+            .join(people, "n_nationkey")
+            .select(F.col("n_name").alias("account"), money.alias("balance"), money.alias("cash"))
+        )
+
+    @cached_property
+    def subscriptions(self) -> DataFrame:
+        """``(account, symbol)``: symbols ordered by the nation's customers."""
+        who = table(self.spark, self.sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+        pairs = (
+            table(self.spark, self.sf_dir, "orders")
+            .select("o_custkey", F.col("o_orderpriority").alias("symbol"))
+            .join(who, "o_custkey")
+            .select(F.col("c_nationkey").alias("n_nationkey"), "symbol")
+            .distinct()
+        )
+        names = table(self.spark, self.sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("account"))
+        return kept(pairs.join(names, "n_nationkey").select("account", "symbol"), "subscriptions")
+
+    @cached_property
+    def proposed(self) -> DataFrame:
+        """Orders for each account's symbols, numbered in output order per account and date."""
+        mine = self.signals.join(self.subscriptions, "symbol").withColumnRenamed("as_of", "signal_date")
+        return signals_to_proposed_orders(signal_sequence(mine, PLAN_KEYS), self.accounts, RISK)
+
+    @cached_property
+    def plan(self) -> DataFrame:
+        proposed = kept(self.proposed, "proposed")
+        snapshot = proposed.select(*PLAN_KEYS).distinct().join(self.accounts, "account")
+        held = (
+            self.held.withColumnRenamed("as_of", "signal_date")
+            .join(self.subscriptions, "symbol")
+            .select(*PLAN_KEYS, "symbol")
+        )
+        return kept(build_execution_plan(proposed, snapshot, held, RISK, keys=PLAN_KEYS), "plan")
+
+    @cached_property
+    def history(self) -> PortfolioHistory:
+        """Replay of the approved orders from half the balance, so that some BUYs are refused."""
+        return build_equity_curve(*self.replay_inputs)
+
+    @property
+    def replay_inputs(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        orders = self.plan.filter("risk_approved").withColumnRenamed("signal_date", "date")
+        capital = self.accounts.select("account", (F.col("balance") / 2).alias("capital"))
+        return orders, self.bars, capital
+
+    @property
+    def benchmark(self) -> DataFrame:
+        """``(date, close)``: mean close of all symbols per day."""
+        return self.bars.groupBy("date").agg(F.avg("close").alias("close"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", app: str = "barloom", memory: str = "8g") -> SparkSession:
@@ -37,3 +37,15 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         root = tempfile.mkdtemp(prefix="barloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str = "kept") -> DataFrame:
+    """Write ``df`` to the shared folder now and read it back.
+
+    For a table that several branches of a plan use: it is computed once, the
+    plan stays short, and a lost executor re-reads files instead of redoing the
+    work before them. The folder is the session's to clean up.
+    """
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -89,7 +89,12 @@ def with_tables(body: str) -> str:
                 queue.append(TABLES[name])
     if not needed:
         return body
-    parts = ", ".join(f"{n} AS ({TABLES[n]})" for n in TABLES if n in needed)
+    def part(n: str) -> str:
+        # a table used inside a recursion is computed once, not once per round
+        kept = "" if re.search(rf"\b{n}\b", TABLES[n]) else "MATERIALIZED "
+        return f"{n} AS {kept}({TABLES[n]})"
+
+    parts = ", ".join(part(n) for n in TABLES if n in needed)
     return f"WITH RECURSIVE {parts} {body}"
 
 
