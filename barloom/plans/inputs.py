@@ -25,7 +25,7 @@ from barloom.sources.bars import bars_from_ticks
 SPLITTER = WalkForwardSplit(n_splits=5, min_train_size=252, test_size=63, gap=1)
 TOP_N, MIN_SCORE, MIN_SCORE_DOWN = 2, 0.50, 0.60
 RISK = RiskConfig(
-    max_positions=2,
+    max_positions=3,
     cash_buffer_pct=0.65,
     approved_universe=("1-URGENT", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"),
 )
@@ -131,17 +131,19 @@ class Desk:
 
     @cached_property
     def accounts(self) -> DataFrame:
-        """``(account, balance, cash)``: one per nation, sized by its customers."""
+        """``(account, balance, cash)``: one per nation, sized by its customers; the
+        share of the balance held as cash differs by region."""
         people = (
             table(self.spark, self.sf_dir, "customer")
             .groupBy(F.col("c_nationkey").alias("n_nationkey"))
             .agg(F.count("*").alias("n"))
         )
         money = 5000.0 + 10.0 * F.col("n")
+        share = F.lit(0.7) + F.lit(0.1) * F.col("n_regionkey")
         return (
             table(self.spark, self.sf_dir, "nation")
             .join(people, "n_nationkey")
-            .select(F.col("n_name").alias("account"), money.alias("balance"), money.alias("cash"))
+            .select(F.col("n_name").alias("account"), money.alias("balance"), (money * share).alias("cash"))
         )
 
     @cached_property

@@ -489,8 +489,9 @@ query(
 
 sql_table(
     "accounts_t",
-    """SELECT n_name AS account, 5000.0::DOUBLE + 10 * count(*) AS balance
-       FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1""",
+    """SELECT n_name AS account, balance, balance * (0.7::DOUBLE + 0.1::DOUBLE * n_regionkey) AS cash FROM (
+         SELECT n_name, n_regionkey, 5000.0::DOUBLE + 10 * count(*) AS balance
+         FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2)""",
 )
 sql_table(
     "subscribed",
@@ -505,7 +506,7 @@ sql_table(
 sql_table(
     "proposed_t",
     """SELECT account, signal_date, seq, symbol, CASE action WHEN 'buy' THEN 'BUY' ELSE 'SELL' END AS side,
-         CASE action WHEN 'buy' THEN round(0.20::DOUBLE * balance, 2) ELSE 0 END AS amount, score, reason AS signal_reason, balance
+         CASE action WHEN 'buy' THEN round(0.20::DOUBLE * balance, 2) ELSE 0 END AS amount, score, reason AS signal_reason, balance, cash
        FROM account_signals_t JOIN accounts_t USING (account) WHERE action IN ('buy', 'sell')""",
 )
 ORDER = "account:t signal_date:d seq:l symbol:t side:t amount:2 score:8 signal_reason:t"
@@ -513,13 +514,13 @@ query("l1_proposed_orders", ORDER, lambda spark, sf: inputs.Desk(spark, sf).prop
 
 _RULES = """CASE
     WHEN side = 'SELL' AND NOT is_open THEN 'short_sell'
-    WHEN side = 'BUY' AND n_open >= 2 THEN 'max_positions'
+    WHEN side = 'BUY' AND n_open >= 3 THEN 'max_positions'
     WHEN balance > 0 AND amount > 0.20::DOUBLE * balance THEN 'max_trade_size'
     WHEN side = 'BUY' AND cash - amount < 0.65::DOUBLE * balance THEN 'cash_buffer'
     WHEN symbol = '2-HIGH' THEN 'universe' ELSE '' END"""
 _REASONS = """CASE rule WHEN 'leverage' THEN printf('Leverage %dx is not allowed.  Only leverage=1 (no leverage) is permitted.', leverage)
     WHEN 'short_sell' THEN printf('Cannot SELL %s: symbol is not in current positions.  Short selling is not permitted.', symbol)
-    WHEN 'max_positions' THEN printf('Cannot open new position in %s: already holding %d / 2 maximum positions.', symbol, n_open)
+    WHEN 'max_positions' THEN printf('Cannot open new position in %s: already holding %d / 3 maximum positions.', symbol, n_open)
     WHEN 'max_trade_size' THEN printf('Order amount %.2f exceeds 20%% of account balance (%.2f).', amount, 0.20::DOUBLE * balance)
     WHEN 'cash_buffer' THEN printf('Insufficient cash: buying %.2f would leave %.2f which is below the required 65%% buffer (%.2f).',
       amount, cash - amount, 0.65::DOUBLE * balance)
@@ -557,17 +558,17 @@ query(
             FROM orders JOIN customer ON c_custkey = o_custkey))""",
 )
 
-sql_table("plan_rows", "SELECT *, row_number() OVER (PARTITION BY account, signal_date ORDER BY seq) AS turn FROM proposed_t")
+sql_table("plan_rows", "SELECT * EXCLUDE (cash), row_number() OVER (PARTITION BY account, signal_date ORDER BY seq) AS turn FROM proposed_t")
 sql_table(
     "plan_open",
-    """SELECT p.account, p.signal_date, balance, coalesce(list(h.symbol) FILTER (WHERE h.symbol IS NOT NULL), []::VARCHAR[]) AS held
-       FROM (SELECT DISTINCT account, signal_date, balance FROM proposed_t) p
+    """SELECT p.account, p.signal_date, balance, cash, coalesce(list(h.symbol) FILTER (WHERE h.symbol IS NOT NULL), []::VARCHAR[]) AS held
+       FROM (SELECT DISTINCT account, signal_date, balance, cash FROM proposed_t) p
        LEFT JOIN (SELECT as_of, symbol, account FROM held_m JOIN subscribed USING (symbol)) h
          ON h.as_of = p.signal_date AND h.account = p.account GROUP BY ALL""",
 )
 sql_table(
     "plan_steps",
-    f"""SELECT account, signal_date, 0::BIGINT AS turn, balance AS cash_after, held, NULL::BIGINT AS seq, NULL::VARCHAR AS symbol,
+    f"""SELECT account, signal_date, 0::BIGINT AS turn, cash AS cash_after, held, NULL::BIGINT AS seq, NULL::VARCHAR AS symbol,
           NULL::VARCHAR AS side, NULL::DOUBLE AS amount, NULL::DOUBLE AS score, NULL::VARCHAR AS signal_reason, balance,
           NULL::DOUBLE AS cash, NULL::BIGINT AS n_open, NULL::VARCHAR AS rule FROM plan_open
         UNION ALL
