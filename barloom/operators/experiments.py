@@ -16,6 +16,7 @@ from barloom.operators.models import Model
 from barloom.operators.splits import AdaptiveSplit, Splitter
 from barloom.operators.targets import target_column
 from barloom.operators.walkforward import threshold_signal, walk_forward_scores
+from barloom.session import kept
 
 KEYS = ["symbol", "period", "config"]
 
@@ -85,8 +86,13 @@ def run_grid(
     costs_bps: float = COSTS_BPS,
     cut: float = CUT,
 ) -> DataFrame:
-    """One metric row per symbol, period, config and model; short histories drop out."""
-    dataset = grid_dataset(bars, periods, configs)
+    """One metric row per symbol, period, config and model; short histories drop out.
+
+    The labelled rows and the predictions are written once: every model reads
+    the former, accuracy and backtest read the latter, and no model is fitted
+    twice.
+    """
+    dataset = kept(grid_dataset(bars, periods, configs), "grid-dataset")
     holding = F.lit(None).cast("int")
     for c in configs:
         holding = F.when(F.col("config") == c.label, F.lit(c.holding_period)).otherwise(holding)
@@ -96,6 +102,7 @@ def run_grid(
             *KEYS, F.lit(name).alias("model"), "date", "y", "prediction"
         )
         scored = part if scored is None else scored.unionByName(part)
+    scored = kept(scored, "grid-predictions")
     keys = [*KEYS, "model"]
     tests = run_backtest(
         scored.withColumn("holding_period", holding),
@@ -122,27 +129,41 @@ def best_per_group(rows: DataFrame, keys=("symbol", "period"), baseline: str = "
     model by name; Sharpe values are compared at ten decimals, because the same
     returns summed in another order differ in the last digits.
     """
-    trained = F.col("model") != baseline
-    beat = rows.groupBy(*keys).agg(
-        F.max(F.when(trained, F.col("sharpe"))).alias("_trained"),
-        F.max(F.when(~trained, F.col("sharpe"))).alias("_base"),
-    )
-    best = Window.partitionBy(*keys).orderBy(F.round("sharpe", 10).desc(), "config", "model")
-    top = (
-        rows.filter("sharpe is not null").withColumn("_rn", F.row_number().over(best)).filter("_rn = 1").drop("_rn")
+    group = Window.partitionBy(*keys)
+    best = group.orderBy(F.round("sharpe", 10).desc(), "config", "model")
+    trained, base = _best_sharpes(baseline)
+    return (
+        rows.filter("sharpe is not null")
+        .withColumns(
+            {
+                "_rn": F.row_number().over(best),
+                "_trained": trained.over(group),
+                "_base": base.over(group),
+            }
+        )
+        .filter("_rn = 1")
+        .withColumn("trained_beat", _won("_trained", "_base"))
+        .drop("_rn", "_trained", "_base")
     )
-    won = F.col("_trained").isNotNull() & (F.col("_base").isNull() | (F.col("_trained") > F.col("_base")))
-    return top.join(beat, list(keys)).withColumn("trained_beat", won).drop("_trained", "_base")
+
+
+def _best_sharpes(baseline: str):
+    """Best Sharpe of the trained models and of the baseline, as aggregates."""
+    trained = F.col("model") != baseline
+    return F.max(F.when(trained, F.col("sharpe"))), F.max(F.when(~trained, F.col("sharpe")))
+
+
+def _won(trained: str, base: str):
+    ahead = F.col(base).isNull() | (F.col(trained) > F.col(base))
+    return F.col(trained).isNotNull() & ahead
 
 
 def beat_count(rows: DataFrame, keys=("symbol", "period"), baseline: str = "AlwaysLong") -> DataFrame:
     """How many groups there are and in how many a trained model won."""
-    best = best_per_group(rows, keys, baseline).select(*keys, "trained_beat")
-    return (
-        rows.select(*keys)
-        .distinct()
-        .join(best, list(keys), "left")
-        .agg(F.count(F.lit(1)).alias("n_groups"), F.count_if("trained_beat").alias("n_trained_beat"))
+    trained, base = _best_sharpes(baseline)
+    groups = rows.groupBy(*keys).agg(trained.alias("_trained"), base.alias("_base"))
+    return groups.agg(
+        F.count(F.lit(1)).alias("n_groups"), F.count_if(_won("_trained", "_base")).alias("n_trained_beat")
     )
 
 

@@ -138,13 +138,17 @@ def class_summary(
     positive: int = 1,
 ) -> DataFrame:
     """Accuracy, precision and recall; a missing denominator counts as 0."""
+    return rows.groupBy(*keys).agg(*_class_scores(truth, guess, positive))
+
+
+def _class_scores(truth: str, guess: str, positive: int = 1) -> list[Column]:
     c = _cells(truth, guess, positive)
     zero = F.lit(0.0)
-    return rows.groupBy(*keys).agg(
+    return [
         F.avg((F.col(truth) == F.col(guess)).cast("double")).alias("accuracy"),
         F.coalesce(ratio(c["tp"], c["tp"] + c["fp"]), zero).alias("precision"),
         F.coalesce(ratio(c["tp"], c["tp"] + c["fn"]), zero).alias("recall"),
-    )
+    ]
 
 
 def classification_report(
@@ -237,9 +241,9 @@ def evaluate(
         raise KeyError(f"backtest is missing columns {sorted(missing)}")
     on = [*keys, "date"]
     both = predictions.select(*on, "prediction").join(truth.select(*on, "y"), on, "full_outer")
-    matched = F.col("prediction").isNotNull() & F.col("y").isNotNull()
-    unmatched = both.groupBy(*keys).agg(F.count_if(~matched).alias("n_unmatched"))
-    ml = class_summary(both.filter(matched), keys=keys)
+    # a date missing on one side compares to NULL and enters no count but the last
+    unmatched = F.count_if(F.col("prediction").isNull() | F.col("y").isNull())
+    ml = both.groupBy(*keys).agg(*_class_scores("y", "prediction"), unmatched.alias("n_unmatched"))
     returns = return_summary(
         backtest,
         {"strategy_": ("strategy_return", "position"), "buy_and_hold_": ("asset_return", None)},
@@ -247,7 +251,7 @@ def evaluate(
         risk_free,
         periods,
     )
-    return ml.join(unmatched, list(keys)).join(returns, list(keys))
+    return ml.join(returns, list(keys))
 
 
 def require_aligned(report: DataFrame) -> None:

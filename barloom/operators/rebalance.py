@@ -39,7 +39,7 @@ def day_axis(scores: DataFrame, bars: DataFrame) -> DataFrame:
 
     ``rebalance`` counts the rebalance days up to and including the day; a
     rebalance day is the first trading day of its ISO week. One row per
-    scenario and calendar day.
+    scenario and calendar day, written once because every step joins it.
     """
     members = with_scenario(scores).select(*KEYS, "symbol").distinct()
     days = bars.select("symbol", "date").join(members, "symbol").select(*KEYS, "date").distinct()
@@ -52,11 +52,21 @@ def day_axis(scores: DataFrame, bars: DataFrame) -> DataFrame:
         back=1,
     )
     counted = running(
-        flagged.withColumn("_flag", F.col("is_rebalance").cast("int")),
-        {"rebalance": ("sum", "_flag")},
+        flagged.withColumns({"_flag": F.col("is_rebalance").cast("int"), "_one": F.lit(1)}),
+        {"rebalance": ("sum", "_flag"), "day": ("sum", "_one")},
         keys=KEYS,
     )
-    return counted.select(*KEYS, "date", "is_rebalance", F.col("rebalance").cast("int").alias("rebalance"))
+    whole = Window.partitionBy(*KEYS)
+    axis = counted.select(
+        *KEYS,
+        "date",
+        "is_rebalance",
+        F.col("rebalance").cast("int").alias("rebalance"),
+        F.col("day").cast("int").alias("day"),
+        F.max("rebalance").over(whole).cast("int").alias("n_rebalances"),
+        F.max("day").over(whole).cast("int").alias("n_days"),
+    )
+    return kept(axis, "day-axis")
 
 
 def weekly_rebalance_dates(scores: DataFrame, bars: DataFrame) -> DataFrame:
@@ -72,22 +82,17 @@ def daily_score_matrix(scores: DataFrame, bars: DataFrame) -> DataFrame:
     next one, so the rows produced are exactly the rows of the result.
     """
     axis = day_axis(scores, bars)
-    numbered = axis.withColumn(
-        "day", F.row_number().over(Window.partitionBy(*KEYS).orderBy("date"))
-    )
-    total = numbered.groupBy(*KEYS).agg(F.max("day").alias("n_days"))
     known = (
         with_scenario(scores)
         .filter("proba_up is not null")
         .select(*KEYS, "symbol", "date", "proba_up")
-        .join(numbered.select(*KEYS, "date", "day"), [*KEYS, "date"])
-        .join(total, KEYS)
+        .join(axis.select(*KEYS, "date", "day", "n_days"), [*KEYS, "date"])
     )
     mine = Window.partitionBy(*KEYS, "symbol").orderBy("date")
     spread = known.withColumn("_until", F.coalesce(F.lead("day").over(mine) - 1, F.col("n_days"))).withColumn(
         "day", F.explode(F.sequence("day", "_until"))
     )
-    dated = spread.join(numbered.select(*KEYS, "day", F.col("date").alias("on_date")), [*KEYS, "day"])
+    dated = spread.join(axis.select(*KEYS, "day", F.col("date").alias("on_date")), [*KEYS, "day"])
     by_day = Window.partitionBy(*KEYS, "symbol").orderBy("on_date")
     return dated.select(
         *KEYS,
@@ -105,16 +110,14 @@ def rebalance_scores(scores: DataFrame, axis: DataFrame) -> DataFrame:
     rebalances in that span are consecutive numbers, so they are exploded
     instead of joining days by range, and non-rebalance days never appear.
     """
-    count = axis.groupBy(*KEYS).agg(F.max("rebalance").alias("_all"))
     known = (
         with_scenario(scores)
         .filter("proba_up is not null")
         .select(*KEYS, "symbol", "date", "proba_up")
-        .join(axis.select(*KEYS, "date", "rebalance"), [*KEYS, "date"])
-        .join(count, KEYS)
+        .join(axis.select(*KEYS, "date", "rebalance", "n_rebalances"), [*KEYS, "date"])
     )
     mine = Window.partitionBy(*KEYS, "symbol").orderBy("date")
-    until = F.coalesce(F.lead("rebalance").over(mine), F.col("_all"))
+    until = F.coalesce(F.lead("rebalance").over(mine), F.col("n_rebalances"))
     return (
         known.withColumn("_until", until)
         .filter(F.col("_until") > F.col("rebalance"))
@@ -189,7 +192,7 @@ def simulate(
     """
     if rebalance_frequency != "weekly":
         raise ValueError(f"rebalance_frequency must be 'weekly', got {rebalance_frequency!r}")
-    axis = kept(day_axis(scores, bars), "day-axis")
+    axis = day_axis(scores, bars)
     known, effective, targets, changes = _sets(scores, axis, top_n, min_score)
 
     costs = turnover_costs(changes)
@@ -247,7 +250,7 @@ def rebalance_costs(
     scores: DataFrame, bars: DataFrame, *, top_n: int = 5, min_score: float = 0.55, costs_bps: float = 5.0
 ) -> DataFrame:
     """Set sizes, one-way turnover and cost fraction of every step that trades."""
-    axis = kept(day_axis(scores, bars), "day-axis")
+    axis = day_axis(scores, bars)
     _, effective, _, changes = _sets(scores, axis, top_n, min_score)
     return (
         effective.join(turnover_costs(changes), [*KEYS, "step"])

@@ -296,12 +296,11 @@ def strategy_curves(backtests: DataFrame, keys: Sequence[str] = ("symbol",), str
     ``backtests`` holds several strategies told apart by the ``strategy``
     column; "first" is the alphabetically first. ``final_return`` labels a curve.
     """
-    first = backtests.groupBy(*keys).agg(F.min(strategy).alias(strategy))
-    market = backtests.join(first, [*keys, strategy]).select(
-        *keys, F.lit("buy_and_hold").alias("curve"), "date", F.col("buy_and_hold").alias("value")
+    own = F.struct(F.col(strategy).alias("curve"), F.col("cumulative").alias("value"))
+    market = F.struct(F.lit("buy_and_hold").alias("curve"), F.col("buy_and_hold").alias("value"))
+    is_first = F.col(strategy) == F.min(strategy).over(Window.partitionBy(*keys))
+    curves = backtests.withColumn("_first", is_first).select(
+        *keys, "date", F.inline(F.array_compact(F.array(own, F.when(F.col("_first"), market))))
     )
-    curves = market.unionByName(
-        backtests.select(*keys, F.col(strategy).alias("curve"), "date", F.col("cumulative").alias("value"))
-    )
-    final = curves.groupBy(*keys, "curve").agg((F.max_by("value", "date") - 1).alias("final_return"))
-    return curves.join(final, [*keys, "curve"])
+    end = F.max_by("value", "date").over(Window.partitionBy(*keys, "curve"))
+    return curves.withColumn("final_return", end - 1)

@@ -69,9 +69,9 @@ def hourly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scores(panel: DataFrame) -> DataFrame:
     """``(symbol, date, proba_up)``: the rule score as a stand-in for a model."""
-    return rule_score(bars(spark, sf_dir)).withColumnRenamed("score", "proba_up")
+    return rule_score(panel).withColumnRenamed("score", "proba_up")
 
 
 def as_of_dates(panel: DataFrame) -> DataFrame:

@@ -14,9 +14,15 @@ from barloom.operators.replay import strategy_curves
 from barloom.operators.targets import make_dataset
 from barloom.plans import inputs
 from barloom.plans.report import rule_report
-from catalog import panel  # noqa: F401  (defines the feature and dataset tables)
+from barloom.session import kept
+import catalog.panel  # noqa: F401  (defines the feature and dataset tables)
 from catalog.base import SYM, backtest_sql, complete, features_sql, query, sql_table, summary_sql
 
+def _panel(spark, sf):
+    """Bars written once, for queries that read them more than once."""
+    return kept(inputs.bars(spark, sf), "bars")
+
+
 # --- rule models -----------------------------------------------------------
 
 MODEL = "symbol:t date:d prediction:i proba_up:8"
@@ -101,21 +107,21 @@ query(
 sql_table("wf_rsi", _folded("ds_direction", ", rsi_14 / 100 AS proba_up"))
 
 
-def _rsi_scores(spark, sf):
-    data = make_dataset(inputs.bars(spark, sf)).withColumn("rsi_score", F.col("rsi_14") / 100)
+def _rsi_scores(panel):
+    data = make_dataset(panel).withColumn("rsi_score", F.col("rsi_14") / 100)
     return wf.walk_forward_scores(data, mo.ColumnScore("rsi_score"), inputs.SPLITTER)
 
 
 query(
     "g3_probability_threshold",
     "symbol:t date:d proba_up:8 prediction:i",
-    lambda spark, sf: wf.threshold_signal(_rsi_scores(spark, sf), 0.55),
+    lambda spark, sf: wf.threshold_signal(_rsi_scores(inputs.bars(spark, sf)), 0.55),
     "SELECT *, CAST(proba_up > 0.55 AS INTEGER) AS prediction FROM wf_rsi",
 )
 query(
     "g3_long_share",
     "symbol:t long_pct:8",
-    lambda spark, sf: wf.long_share(_rsi_scores(spark, sf), 0.55),
+    lambda spark, sf: wf.long_share(_rsi_scores(inputs.bars(spark, sf)), 0.55),
     "SELECT symbol, 100 * avg(CASE WHEN proba_up > 0.55 THEN 1.0 ELSE 0.0 END) AS long_pct FROM wf_rsi GROUP BY symbol",
 )
 
@@ -127,10 +133,16 @@ sql_table(
 )
 sql_table("swept_bt", backtest_sql("swept", "symbol, cut", 5.0))
 SUMMARY = "total_return:6 cagr:6 volatility:8 sharpe:6 max_drawdown:6 hit_rate:8 turnover:8"
+
+
+def _sweep(bars):
+    return ex.threshold_sweep(_rsi_scores(bars), bars, _CUTS)
+
+
 query(
     "g4_threshold_sweep",
     f"symbol:t cut:2 {SUMMARY}",
-    lambda spark, sf: ex.threshold_sweep(_rsi_scores(spark, sf), inputs.bars(spark, sf), _CUTS),
+    lambda spark, sf: _sweep(_panel(spark, sf)),
     summary_sql("swept_bt", "strategy_return", "symbol, cut", "position"),
 )
 
@@ -157,7 +169,7 @@ BT = "symbol:t date:d close:8 asset_return:8 prediction:1 position:1 strategy_re
 
 def _bt(target, costs, hold):
     def run(spark, sf):
-        panel = inputs.bars(spark, sf)
+        panel = _panel(spark, sf)
         preds = wf.run_walk_forward(panel, mo.PreviousDirection(), inputs.SPLITTER, target)
         return run_backtest(preds, panel, costs, hold)
 
@@ -268,7 +280,9 @@ query(
 
 
 def _evaluate(spark, sf):
-    rows, panel = _labelled(spark, sf), inputs.bars(spark, sf)
+    panel = _panel(spark, sf)
+    data = make_dataset(panel)
+    rows = kept(wf.walk_forward_scores(data, mo.PreviousDirection(), inputs.SPLITTER), "predictions")
     return me.evaluate(rows, rows, run_backtest(rows, panel, 5.0))
 
 
@@ -351,7 +365,7 @@ GRID = "symbol:t period:t config:t model:t accuracy:8 total_return:6 sharpe:6 ma
 
 
 def _grid(spark, sf):
-    return ex.run_grid(inputs.bars(spark, sf), PERIODS, RULES)
+    return ex.run_grid(_panel(spark, sf), PERIODS, RULES)
 
 
 query("p1_experiment_grid_rules", GRID, _grid, "SELECT * FROM grid_rows")
@@ -359,7 +373,7 @@ query(
     "p1_experiment_grid_learned",
     GRID,
     lambda spark, sf: ex.run_grid(
-        inputs.bars(spark, sf),
+        _panel(spark, sf),
         PERIODS,
         {
             "AlwaysLong": mo.AlwaysLong(),
@@ -384,7 +398,7 @@ query(
 
 
 def _curves(spark, sf):
-    panel = inputs.bars(spark, sf)
+    panel = _panel(spark, sf)
     data = make_dataset(panel)
     both = None
     for name, model in RULES.items():

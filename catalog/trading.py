@@ -12,7 +12,7 @@ from barloom.operators.splits import WalkForwardSplit
 from barloom.plans import inputs
 from barloom.session import shared_dir
 from barloom.sources import account_state, order_log, signal_log
-from catalog import panel  # noqa: F401  (defines the feature and dataset tables)
+import catalog.panel  # noqa: F401  (defines the feature and dataset tables)
 from catalog.base import SYM, full, query, sql_table, summary_sql
 
 CONTEXT = "return_20d:8 return_60d:8 volatility_20d:8 price_vs_sma_200:8 above_sma_200:b"
@@ -86,7 +86,7 @@ query(
     "j2_enriched_latest_unknown_symbol",
     f"symbol:t score:8 {CONTEXT}",
     lambda spark, sf: ranking.enrich_with_context(
-        ranking.latest_scores(inputs.scores(spark, sf)).withColumn(
+        ranking.latest_scores(inputs.scores(inputs.bars(spark, sf))).withColumn(
             "symbol", F.when(F.col("symbol") == "5-LOW", "unknown").otherwise(F.col("symbol"))
         ),
         inputs.bars(spark, sf),
@@ -423,7 +423,11 @@ sql_table(
 
 
 def _with_sim(fn):
-    return lambda spark, sf: fn(inputs.scores(spark, sf), inputs.bars(spark, sf))
+    def run(spark, sf):
+        bars = inputs.Desk(spark, sf).bars
+        return fn(inputs.scores(bars), bars)
+
+    return run
 
 
 query(
@@ -467,9 +471,8 @@ query(
 
 
 def _simulated(spark, sf):
-    return rebalance.simulate(
-        inputs.scores(spark, sf), inputs.bars(spark, sf), costs_bps=5.0, initial_capital=1000.0, **_SIM
-    )
+    bars = inputs.Desk(spark, sf).bars
+    return rebalance.simulate(inputs.scores(bars), bars, costs_bps=5.0, initial_capital=1000.0, **_SIM)
 
 
 query(
