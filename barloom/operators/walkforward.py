@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barloom.functions.history import calendar_bounded
 from barloom.operators.features import FEATURE_COLUMNS
 from barloom.operators.models import RULE_MODELS, Model
 from barloom.operators.splits import PLAN_COLUMNS, Splitter, out_of_sample, with_plan
@@ -34,6 +35,8 @@ def walk_forward_scores(
             model.label().alias("prediction"),
             "y",
         )
+    if not calendar_bounded(planned):
+        raise ValueError("learned models need daily bars: an intraday history is not bounded by the calendar")
     rows = planned.select(*keys, "date", "pos", *PLAN_COLUMNS, *FEATURE_COLUMNS, "y")
     schema = T.StructType(
         [rows.schema[k] for k in keys]
