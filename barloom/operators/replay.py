@@ -46,21 +46,21 @@ def _all_filled(priced: DataFrame) -> DataFrame:
     """The replay when every BUY is filled, by running sums only.
 
     Per symbol, a SELL closes what was bought since the SELL before; per
-    account, the cash is the start plus all flows. Both scans are cut by day,
-    so one big account is spread over its days. ``short`` marks a BUY that the
-    cash would not cover: up to the first one the values are exact.
+    account, the cash is the start plus all flows. A log holds one order per
+    account, day, symbol and side, so one account's orders in one symbol are
+    few; the scan over a whole account is cut by day, so a big account is
+    spread over its days. ``short`` marks a BUY that the cash would not cover:
+    up to the first one the values are exact.
     """
     sell = F.col("side") == "SELL"
     lots = priced.withColumns(
         {"_sold": sell.cast("long"), "_bought": F.when(sell, F.lit(0.0)).otherwise(F.col("amount") / F.col("close"))}
     )
     mine = ["account", "symbol"]
-    marked = running(lots, {"_round": ("sum", "_sold")}, keys=mine, order=["date", "seq"], block="date")
+    marked = running(lots, {"_round": ("sum", "_sold")}, keys=mine, order=["date", "seq"])
     # the SELL itself ends its round: it belongs to the shares before it
     marked = marked.withColumn("_round", F.col("_round") - F.col("_sold"))
-    summed = running(
-        marked, {"_shares": ("sum", "_bought")}, keys=[*mine, "_round"], order=["date", "seq"], block="date"
-    )
+    summed = running(marked, {"_shares": ("sum", "_bought")}, keys=[*mine, "_round"], order=["date", "seq"])
     flows = summed.withColumn(
         "_flow", F.when(sell, F.col("_shares") * F.col("close")).otherwise(-F.col("amount"))
     )

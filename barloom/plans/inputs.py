@@ -65,7 +65,7 @@ def hourly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         symbol=F.col("event_type"),
         time=F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz"),
         price=100 + F.col("value") / 250,
-        sequence=F.struct("ts", "event_id"),
+        sequence=F.col("ts"),
     )
 
 

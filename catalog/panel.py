@@ -21,8 +21,8 @@ query("x1_bars_from_orders", BAR, inputs.bars, "SELECT * FROM bars")
 
 sql_table(
     "hourly",
-    """SELECT event_type AS symbol, date_trunc('hour', ts) AS date, arg_min(px, (ts, event_id)) AS open, max(px) AS high,
-       min(px) AS low, arg_max(px, (ts, event_id)) AS close, CAST(count(*) AS DOUBLE) AS volume
+    """SELECT event_type AS symbol, date_trunc('hour', ts) AS date, arg_min(px, ts) AS open, max(px) AS high,
+       min(px) AS low, arg_max(px, ts) AS close, CAST(count(*) AS DOUBLE) AS volume
        FROM (SELECT *, 100 + value / 250 AS px FROM events) GROUP BY 1, 2""",
 )
 query("x1_hourly_bars_from_events", HOURLY, inputs.hourly_bars, "SELECT * FROM hourly")
