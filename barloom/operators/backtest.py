@@ -13,7 +13,7 @@ from barloom.functions.history import over_history, running
 
 def run_backtest(
     predictions: DataFrame,
-    close: DataFrame,
+    close: DataFrame | None = None,
     costs_bps: float = 0.0,
     holding_period: int = 1,
     keys: Sequence[str] = ("symbol",),
@@ -28,14 +28,18 @@ def run_backtest(
     rows, so a missing prediction date makes the next return span several bars.
     Costs are charged on position changes; the first entry is free.
 
-    ``close`` is joined on the keys it shares with ``predictions``. A table
-    mixing holding periods names them in ``holding_column`` and lists the
+    ``close`` is joined on the keys it shares with ``predictions``. Without it
+    the predictions' own ``close`` column is used, and features, folds and
+    backtest then share one shuffle by symbol. A table mixing holding periods names them in ``holding_column`` and lists the
     possible values in ``holding_choices``.
     """
     if holding_period < 1 or any(h < 1 for h in holding_choices):
         raise ValueError("holding_period must be at least 1")
-    on = [k for k in keys if k in close.columns]
-    matched = predictions.join(close.select(*on, "date", "close"), [*on, "date"])
+    if close is None:
+        matched = predictions.filter("close is not null")
+    else:
+        on = [k for k in keys if k in close.columns]
+        matched = predictions.drop("close").join(close.select(*on, "date", "close"), [*on, "date"])
     periods = list(holding_choices) if holding_column else [holding_period]
 
     def lagged(w: WindowSpec) -> dict[str, Column]:

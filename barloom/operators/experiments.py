@@ -99,15 +99,14 @@ def run_grid(
     scored = None
     for name, model in models.items():
         part = threshold_signal(walk_forward_scores(dataset, model, splitter, KEYS), cut).select(
-            *KEYS, F.lit(name).alias("model"), "date", "y", "prediction"
+            *KEYS, F.lit(name).alias("model"), "date", CLOSE, "y", "prediction"
         )
         scored = part if scored is None else scored.unionByName(part)
     scored = kept(scored, "grid-predictions")
     keys = [*KEYS, "model"]
     tests = run_backtest(
         scored.withColumn("holding_period", holding),
-        bars,
-        costs_bps,
+        costs_bps=costs_bps,
         keys=keys,
         holding_column="holding_period",
         holding_choices=sorted({c.holding_period for c in configs}),
@@ -169,14 +168,16 @@ def beat_count(rows: DataFrame, keys=("symbol", "period"), baseline: str = "Alwa
 
 def threshold_sweep(
     scores: DataFrame,
-    bars: DataFrame,
     cuts: list[float],
     costs_bps: float = COSTS_BPS,
     holding_period: int = 1,
 ) -> DataFrame:
-    """Backtest quality for several probability cuts at once, per symbol and cut."""
-    rows = fan_out(scores.select("symbol", "date", "proba_up"), [{"cut": c} for c in cuts], {"cut": "double"})
+    """Backtest quality for several probability cuts at once, per symbol and cut.
+
+    ``scores`` carry ``proba_up`` and ``close``.
+    """
+    rows = fan_out(scores.select("symbol", "date", CLOSE, "proba_up"), [{"cut": c} for c in cuts], {"cut": "double"})
     signals = rows.withColumn("prediction", (F.col("proba_up") > F.col("cut")).cast("int"))
     keys = ["symbol", "cut"]
-    tests = run_backtest(signals, bars, costs_bps, holding_period, keys)
+    tests = run_backtest(signals, None, costs_bps, holding_period, keys)
     return return_summary(tests, {"": ("strategy_return", "position")}, keys)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.functions.history import calendar_bounded
-from barloom.operators.features import FEATURE_COLUMNS
+from barloom.operators.features import CLOSE, FEATURE_COLUMNS
 from barloom.operators.models import RULE_MODELS, Model
 from barloom.operators.splits import PLAN_COLUMNS, Splitter, out_of_sample, with_plan
 from barloom.operators.targets import make_dataset
@@ -20,9 +20,9 @@ from barloom.operators.targets import make_dataset
 def walk_forward_scores(
     dataset: DataFrame, model: Model, splitter: Splitter, keys: Sequence[str] = ("symbol",)
 ) -> DataFrame:
-    """One row per test date: ``fold``, ``proba_up``, ``prediction`` and the label ``y``.
+    """One row per test date: ``fold``, ``proba_up``, ``prediction``, ``close`` and the label ``y``.
 
-    Learned models get each history once and walk its folds inside the task, so
+    The close rides along so that a backtest needs no join with the bars. Learned models get each history once and walk its folds inside the task, so
     training rows are shuffled once, not once per fold.
     """
     planned = with_plan(dataset, splitter, keys)
@@ -30,6 +30,7 @@ def walk_forward_scores(
         return out_of_sample(planned).select(
             *keys,
             "date",
+            CLOSE,
             "fold",
             model.probability().alias("proba_up"),
             model.label().alias("prediction"),
@@ -37,11 +38,12 @@ def walk_forward_scores(
         )
     if not calendar_bounded(planned):
         raise ValueError("learned models need daily bars: an intraday history is not bounded by the calendar")
-    rows = planned.select(*keys, "date", "pos", *PLAN_COLUMNS, *FEATURE_COLUMNS, "y")
+    rows = planned.select(*keys, "date", CLOSE, "pos", *PLAN_COLUMNS, *FEATURE_COLUMNS, "y")
     schema = T.StructType(
         [rows.schema[k] for k in keys]
         + [
             T.StructField("date", rows.schema["date"].dataType),
+            T.StructField(CLOSE, T.DoubleType()),
             T.StructField("fold", T.IntegerType()),
             T.StructField("proba_up", T.DoubleType()),
             T.StructField("y", T.DoubleType()),
@@ -62,7 +64,7 @@ def walk_forward_scores(
             if len(np.unique(y[train])) < 2:
                 return pd.DataFrame(columns=names)
             if test.any():
-                part = history.loc[test, [*keys, "date", "y"]].copy()
+                part = history.loc[test, [*keys, "date", CLOSE, "y"]].copy()
                 part["fold"] = fold
                 part["proba_up"] = model.fit_score(x[train], y[train], x[test])
                 parts.append(part)
@@ -70,7 +72,7 @@ def walk_forward_scores(
 
     scored = rows.groupBy(*keys).applyInPandas(score_history, schema)
     return scored.withColumn("prediction", (F.col("proba_up") > 0.5).cast("int")).select(
-        *keys, "date", "fold", "proba_up", "prediction", "y"
+        *keys, "date", CLOSE, "fold", "proba_up", "prediction", "y"
     )
 
 
@@ -82,14 +84,14 @@ def run_walk_forward(
     keys: Sequence[str] = ("symbol",),
     score_neutral: bool = False,
 ) -> DataFrame:
-    """Class predictions ``(keys, date, fold, prediction)`` for every test date.
+    """Class predictions ``(keys, date, close, fold, prediction)`` for every test date.
 
     ``score_neutral`` also predicts the rows whose target is NULL (with the
     ``threshold`` target: days whose future move turns out small). By default
     they are left out of the test rows as well.
     """
     dataset = make_dataset(bars, target, keys, keep_unlabelled=score_neutral)
-    return walk_forward_scores(dataset, model, splitter, keys).select(*keys, "date", "fold", "prediction")
+    return walk_forward_scores(dataset, model, splitter, keys).select(*keys, "date", CLOSE, "fold", "prediction")
 
 
 def run_walk_forward_proba(
@@ -100,9 +102,9 @@ def run_walk_forward_proba(
     keys: Sequence[str] = ("symbol",),
     score_neutral: bool = False,
 ) -> DataFrame:
-    """P(up) as ``(keys, date, fold, proba_up)`` for every test date."""
+    """P(up) as ``(keys, date, close, fold, proba_up)`` for every test date."""
     dataset = make_dataset(bars, target, keys, keep_unlabelled=score_neutral)
-    return walk_forward_scores(dataset, model, splitter, keys).select(*keys, "date", "fold", "proba_up")
+    return walk_forward_scores(dataset, model, splitter, keys).select(*keys, "date", CLOSE, "fold", "proba_up")
 
 
 def threshold_signal(scores: DataFrame, cut: float = 0.50) -> DataFrame:

@@ -10,7 +10,6 @@ from barloom.operators.models import Model, PreviousDirection
 from barloom.operators.splits import Splitter
 from barloom.operators.walkforward import run_walk_forward
 from barloom.plans import inputs
-from barloom.session import kept
 
 
 def rule_report(
@@ -21,7 +20,6 @@ def rule_report(
     costs_bps: float = 5.0,
 ) -> DataFrame:
     """Bars, features, folds, predictions, backtest and metrics, one row per symbol."""
-    panel = kept(inputs.bars(spark, sf_dir), "bars")
-    predictions = run_walk_forward(panel, model, splitter)
-    daily = run_backtest(predictions, panel, costs_bps)
+    predictions = run_walk_forward(inputs.bars(spark, sf_dir), model, splitter)
+    daily = run_backtest(predictions, costs_bps=costs_bps)
     return return_summary(daily, {"": ("strategy_return", "position")}).orderBy("symbol")

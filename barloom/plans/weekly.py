@@ -122,7 +122,7 @@ def simulated_report(
 ) -> tuple[SimulationResult, DataFrame]:
     """Weekly rebalancing on model scores, with its stats against the benchmark."""
     scores = kept(
-        run_walk_forward_proba(bars, settings.model, settings.splitter, settings.target).drop("fold"), "scores"
+        run_walk_forward_proba(bars, settings.model, settings.splitter, settings.target).drop("fold", "close"), "scores"
     )
     result = simulate(
         scores, bars, top_n=settings.top_n, min_score=settings.min_score, costs_bps=costs_bps

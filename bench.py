@@ -38,9 +38,8 @@ def features_targets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rule_backtest(spark: SparkSession, sf: str) -> DataFrame:
-    panel = kept(inputs.wide_bars(spark, sf), "bars")
-    predictions = run_walk_forward(panel, models.PreviousDirection(), inputs.SPLITTER)
-    return return_summary(run_backtest(predictions, panel, 5.0), {"": ("strategy_return", "position")})
+    predictions = run_walk_forward(inputs.wide_bars(spark, sf), models.PreviousDirection(), inputs.SPLITTER)
+    return return_summary(run_backtest(predictions, costs_bps=5.0), {"": ("strategy_return", "position")})
 
 
 def calibrated_walk_forward(spark: SparkSession, sf: str) -> DataFrame:

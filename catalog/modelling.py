@@ -133,16 +133,10 @@ sql_table(
 )
 sql_table("swept_bt", backtest_sql("swept", "symbol, cut", 5.0))
 SUMMARY = "total_return:6 cagr:6 volatility:8 sharpe:6 max_drawdown:6 hit_rate:8 turnover:8"
-
-
-def _sweep(bars):
-    return ex.threshold_sweep(_rsi_scores(bars), bars, _CUTS)
-
-
 query(
     "g4_threshold_sweep",
     f"symbol:t cut:2 {SUMMARY}",
-    lambda spark, sf: _sweep(_panel(spark, sf)),
+    lambda spark, sf: ex.threshold_sweep(_rsi_scores(inputs.bars(spark, sf)), _CUTS),
     summary_sql("swept_bt", "strategy_return", "symbol, cut", "position"),
 )
 
@@ -167,11 +161,13 @@ query("f5_random_forest", LEARNED, _learned(mo.RandomForest(), "threshold"))
 BT = "symbol:t date:d close:8 asset_return:8 prediction:1 position:1 strategy_return:8 cumulative:6 buy_and_hold:6"
 
 
-def _bt(target, costs, hold):
+def _bt(target, costs, hold, joined=False):
+    """Backtest of the rule; ``joined`` takes the closes from the bars again."""
+
     def run(spark, sf):
-        panel = _panel(spark, sf)
+        panel = _panel(spark, sf) if joined else inputs.bars(spark, sf)
         preds = wf.run_walk_forward(panel, mo.PreviousDirection(), inputs.SPLITTER, target)
-        return run_backtest(preds, panel, costs, hold)
+        return run_backtest(preds, panel if joined else None, costs, hold)
 
     return run
 
@@ -183,7 +179,7 @@ for _name, _t, _costs, _hold in (
     ("h1_backtest_threshold_gaps", "threshold", 5.0, 1),
 ):
     sql_table(_name[3:] + "_t", backtest_sql(f"wf_{_t}", costs=_costs, hold=str(_hold), choices=(_hold,)))
-    query(_name, BT, _bt(_t, _costs, _hold), f"SELECT * FROM {_name[3:]}_t")
+    query(_name, BT, _bt(_t, _costs, _hold, joined=_costs == 0.0), f"SELECT * FROM {_name[3:]}_t")
 
 # --- return metrics --------------------------------------------------------
 
@@ -280,10 +276,9 @@ query(
 
 
 def _evaluate(spark, sf):
-    panel = _panel(spark, sf)
-    data = make_dataset(panel)
+    data = make_dataset(inputs.bars(spark, sf))
     rows = kept(wf.walk_forward_scores(data, mo.PreviousDirection(), inputs.SPLITTER), "predictions")
-    return me.evaluate(rows, rows, run_backtest(rows, panel, 5.0))
+    return me.evaluate(rows, rows, run_backtest(rows, None, 5.0))
 
 
 _BOTH = " ".join(f"strategy_{w}" for w in SUMMARY.split()) + " " + " ".join(
@@ -365,7 +360,7 @@ GRID = "symbol:t period:t config:t model:t accuracy:8 total_return:6 sharpe:6 ma
 
 
 def _grid(spark, sf):
-    return ex.run_grid(_panel(spark, sf), PERIODS, RULES)
+    return ex.run_grid(inputs.bars(spark, sf), PERIODS, RULES)
 
 
 query("p1_experiment_grid_rules", GRID, _grid, "SELECT * FROM grid_rows")
@@ -373,7 +368,7 @@ query(
     "p1_experiment_grid_learned",
     GRID,
     lambda spark, sf: ex.run_grid(
-        _panel(spark, sf),
+        inputs.bars(spark, sf),
         PERIODS,
         {
             "AlwaysLong": mo.AlwaysLong(),
@@ -398,13 +393,12 @@ query(
 
 
 def _curves(spark, sf):
-    panel = _panel(spark, sf)
-    data = make_dataset(panel)
+    data = kept(make_dataset(inputs.bars(spark, sf)), "dataset")
     both = None
     for name, model in RULES.items():
         rows = wf.walk_forward_scores(data, model, inputs.SPLITTER).withColumn("strategy", F.lit(name))
         both = rows if both is None else both.unionByName(rows)
-    return strategy_curves(run_backtest(both, panel, 5.0, keys=["symbol", "strategy"]))
+    return strategy_curves(run_backtest(both, None, 5.0, keys=["symbol", "strategy"]))
 
 
 sql_table(

@@ -164,6 +164,16 @@ def test_missing_prediction_dates_span_bars(spark, make_bars):
     assert column(bt, "asset_return") == pytest.approx([0.1, 0.2])
 
 
+def test_whole_backtest_needs_one_shuffle_by_symbol(make_bars):
+    bars = make_bars({"A": walk(240, 9)})
+    preds = walkforward.run_walk_forward(bars, models.PreviousDirection(), SPLIT)
+    report = metrics.return_summary(run_backtest(preds, costs_bps=5.0), {"": ("strategy_return", "position")})
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    joined = metrics.return_summary(run_backtest(preds, bars, 5.0), {"": ("strategy_return", "position")})
+    assert tuple(report.first())[1:] == pytest.approx(tuple(joined.first())[1:])
+
+
 def test_always_long_is_buy_and_hold(spark, make_bars):
     closes = walk(60, 11)
     bars = make_bars({"A": closes})
