@@ -52,6 +52,17 @@ def validate_bars(bars: DataFrame) -> DataFrame:
     return bars
 
 
+def require_rows(df: DataFrame, what: str) -> DataFrame:
+    """Return ``df``, or raise when it is empty (looks at one row only).
+
+    For results that must not be empty, such as a backtest whose predictions
+    and closes share no date.
+    """
+    if df.isEmpty():
+        raise ValueError(f"{what}: no rows")
+    return df
+
+
 def signal_file_check(signals: DataFrame, file_col: str = "file") -> DataFrame:
     """Per file: number of distinct dates and whether the file may be executed."""
     if "date" not in signals.columns:

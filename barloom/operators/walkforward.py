@@ -17,6 +17,17 @@ from barloom.operators.splits import PLAN_COLUMNS, Splitter, out_of_sample, with
 from barloom.operators.targets import make_dataset
 
 
+def by_history(rows: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Spread histories over ``spark.sql.shuffle.partitions`` tasks, for learned models.
+
+    Windows and fits by ``keys`` reuse this partitioning, so it replaces their
+    shuffle. A fixed number of partitions is not merged at run time: merging
+    looks at bytes, and a fit takes long for few bytes.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *keys)
+
+
 def walk_forward_scores(
     dataset: DataFrame, model: Model, splitter: Splitter, keys: Sequence[str] = ("symbol",)
 ) -> DataFrame:
@@ -76,6 +87,14 @@ def walk_forward_scores(
     )
 
 
+def _dataset(bars: DataFrame, model: Model, target: str, keys: Sequence[str], score_neutral: bool) -> DataFrame:
+    if not isinstance(model, RULE_MODELS):
+        if target == "return":
+            raise ValueError("learned models classify: use a direction or threshold target")
+        bars = by_history(bars.select(*keys, "date", CLOSE), keys)
+    return make_dataset(bars, target, keys, keep_unlabelled=score_neutral)
+
+
 def run_walk_forward(
     bars: DataFrame,
     model: Model,
@@ -90,7 +109,7 @@ def run_walk_forward(
     ``threshold`` target: days whose future move turns out small). By default
     they are left out of the test rows as well.
     """
-    dataset = make_dataset(bars, target, keys, keep_unlabelled=score_neutral)
+    dataset = _dataset(bars, model, target, keys, score_neutral)
     return walk_forward_scores(dataset, model, splitter, keys).select(*keys, "date", CLOSE, "fold", "prediction")
 
 
@@ -103,7 +122,7 @@ def run_walk_forward_proba(
     score_neutral: bool = False,
 ) -> DataFrame:
     """P(up) as ``(keys, date, close, fold, proba_up)`` for every test date."""
-    dataset = make_dataset(bars, target, keys, keep_unlabelled=score_neutral)
+    dataset = _dataset(bars, model, target, keys, score_neutral)
     return walk_forward_scores(dataset, model, splitter, keys).select(*keys, "date", CLOSE, "fold", "proba_up")
 
 

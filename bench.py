@@ -23,7 +23,7 @@ from barloom.operators.ranking import enrich_with_context, rank_universe, rule_s
 from barloom.operators.rebalance import simulate  # noqa: E402
 from barloom.operators.signals import generate_signals  # noqa: E402
 from barloom.operators.targets import make_dataset  # noqa: E402
-from barloom.operators.walkforward import run_walk_forward, walk_forward_scores  # noqa: E402
+from barloom.operators.walkforward import run_walk_forward, run_walk_forward_proba  # noqa: E402
 from barloom.plans import inputs  # noqa: E402
 from barloom.session import kept, local_session  # noqa: E402
 from barloom.sources.signal_log import signal_log_rows  # noqa: E402
@@ -43,8 +43,8 @@ def rule_backtest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def calibrated_walk_forward(spark: SparkSession, sf: str) -> DataFrame:
-    data = make_dataset(inputs.wide_bars(spark, sf))
-    return walk_forward_scores(data, models.CalibratedLogisticRegression(), inputs.SPLITTER)
+    panel = inputs.wide_bars(spark, sf)
+    return run_walk_forward_proba(panel, models.CalibratedLogisticRegression(), inputs.SPLITTER)
 
 
 def weekly_signal(spark: SparkSession, sf: str) -> DataFrame:

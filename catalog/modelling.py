@@ -147,7 +147,7 @@ LEARNED = "symbol:t date:d fold:i proba_up:8 prediction:i y:1"
 
 def _learned(model, target="direction"):
     return lambda spark, sf: wf.walk_forward_scores(
-        make_dataset(inputs.bars(spark, sf), target), model, inputs.SPLITTER
+        make_dataset(wf.by_history(inputs.bars(spark, sf)), target), model, inputs.SPLITTER
     )
 
 

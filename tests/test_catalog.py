@@ -31,3 +31,10 @@ def test_learned_query_is_well_formed(spark, name):
 
 def test_entry_runs(spark):
     assert entry.entry(spark).count() == 5
+
+
+@pytest.mark.parametrize("name", ["c2_walk_forward_folds", "g4_threshold_sweep", "k1_probability_matrix", "k4_rebalance_ranking", "k7_equity_curve", "m1_equity_curve", "n2_forward_returns", "p2_best_per_group"])
+def test_no_cross_or_range_join(spark, name):
+    df = entry.queries()[name](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan

@@ -123,6 +123,17 @@ def test_learned_models_refuse_intraday(make_bars):
         walkforward.run_walk_forward(timed, models.LogisticRegression(), SPLIT)
 
 
+def test_learned_models_refuse_a_continuous_target(make_bars):
+    with pytest.raises(ValueError):
+        walkforward.run_walk_forward(make_bars({"A": walk(240, 9)}), models.LogisticRegression(), SPLIT, "return")
+
+
+def test_fits_share_the_shuffle_of_the_features(make_bars):
+    scores = walkforward.run_walk_forward_proba(make_bars({"A": walk(240, 9)}), models.LogisticRegression(), SPLIT)
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_one_class_history_gives_no_rows(make_bars):
     rising = [100.0 * 1.001**i + (0.01 if i % 3 else 0.0) for i in range(240)]
     data = make_dataset(make_bars({"A": rising})).withColumn("y", F.lit(1.0))

@@ -169,3 +169,24 @@ def test_one_sort_serves_features_and_target(make_bars):
     plan = targets.make_dataset(make_bars({"A": walk(40, 7)}))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert plan.count("Sort [") == 1
+
+
+def test_ticks_are_reduced_before_the_shuffle(spark, tmp_path):
+    path = str(tmp_path / "ticks")
+    rows = [("A", dt.date(2024, 1, 1 + i % 3), float(i), i, "unused") for i in range(300)]
+    spark.createDataFrame(rows, "s string, d date, p double, n int, x string").write.parquet(path)
+    bars = src.bars_from_ticks(
+        spark.read.parquet(path), symbol=F.col("s"), time=F.col("d"), price=F.col("p"), sequence=F.col("n")
+    )
+    plan = bars._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange") < plan.index("partial_min_by") < plan.index("FileScan")
+    assert "ReadSchema: struct<s:string,d:date,p:double,n:int>" in plan
+    first = bars.orderBy("date").first()
+    assert (first["open"], first["high"], first["low"], first["close"], first["volume"]) == (0.0, 297.0, 0.0, 297.0, 100.0)
+
+
+def test_empty_results_can_be_refused(make_bars):
+    b = make_bars({"A": [1.0]})
+    assert quality.require_rows(b, "bars") is b
+    with pytest.raises(ValueError):
+        quality.require_rows(b.filter("close > 5"), "bars")
