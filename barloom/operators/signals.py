@@ -55,21 +55,24 @@ def generate_signals(
     has_trend = "above_sma_200" in ranking.columns
     down = F.coalesce(~F.col("above_sma_200"), F.lit(False)) if has_trend else F.lit(False)
     passing = F.col("score") >= min_score
-    graded = (
-        ranking.filter("score is not null")
-        .select(
-            *on,
-            "score",
-            (passing & down & (F.col("score") < min_score_downtrend)).alias("is_blocked"),
-            (passing & ~(down & (F.col("score") < min_score_downtrend))).alias("is_eligible"),
+    held_back = passing & down & (F.col("score") < min_score_downtrend)
+    yes, no = F.lit(True), F.lit(False)
+    graded = ranking.filter("score is not null").select(*on, "score", held_back.alias("is_blocked"))
+    eligible = graded.filter((F.col("score") >= min_score) & ~F.col("is_blocked"))
+    # ranking, holdings and targets are stacked and folded per symbol: one
+    # partial aggregate instead of an outer and a left join
+    stacked = (
+        graded.unionByName(held.select(*on, yes.alias("is_held")), allowMissingColumns=True)
+        .unionByName(
+            top_rows(eligible, top_n, keys).select(*on, yes.alias("in_target")), allowMissingColumns=True
+        )
+        .groupBy(*on)
+        .agg(
+            F.max("score").alias("score"),
+            *[F.coalesce(F.bool_or(c), no).alias(c) for c in ("is_blocked", "is_held", "in_target")],
         )
     )
-    target = top_rows(graded.filter("is_eligible"), top_n, keys).select(*on, F.lit(True).alias("in_target"))
-    owned = held.select(*on).distinct().withColumn("is_held", F.lit(True))
-    known = graded.join(owned, on, "full_outer").join(target, on, "left")
-    no = F.lit(False)
-    is_held, in_target = F.coalesce("is_held", no), F.coalesce("in_target", no)
-    blocked = F.coalesce("is_blocked", no)
+    is_held, in_target, blocked = F.col("is_held"), F.col("in_target"), F.col("is_blocked")
     action = (
         F.when(in_target & is_held, "hold")
         .when(in_target, "buy")
@@ -84,7 +87,7 @@ def generate_signals(
         ),
     ).otherwise(F.lit(""))
     return (
-        known.select(*on, action.alias("action"), "score", reason.alias("reason"))
+        stacked.select(*on, action.alias("action"), "score", reason.alias("reason"))
         .filter("action is not null")
     )
 

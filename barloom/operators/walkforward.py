@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,7 @@ from barloom.functions.history import calendar_bounded
 from barloom.operators.features import CLOSE, FEATURE_COLUMNS
 from barloom.operators.models import RULE_MODELS, Model
 from barloom.operators.splits import PLAN_COLUMNS, Splitter, out_of_sample, with_plan
-from barloom.operators.targets import make_dataset
+from barloom.operators.targets import TARGET_HORIZON, make_dataset
 
 
 def by_history(rows: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
@@ -87,6 +88,10 @@ def walk_forward_scores(
     )
 
 
+def _embargoed(splitter: Splitter, target: str) -> Splitter:
+    return replace(splitter, gap=max(splitter.gap, TARGET_HORIZON[target]))
+
+
 def _dataset(bars: DataFrame, model: Model, target: str, keys: Sequence[str], score_neutral: bool) -> DataFrame:
     if not isinstance(model, RULE_MODELS):
         if target == "return":
@@ -102,6 +107,7 @@ def run_walk_forward(
     target: str = "direction",
     keys: Sequence[str] = ("symbol",),
     score_neutral: bool = False,
+    embargo: bool = False,
 ) -> DataFrame:
     """Class predictions ``(keys, date, close, fold, prediction)`` for every test date.
 
@@ -120,8 +126,10 @@ def run_walk_forward_proba(
     target: str = "direction",
     keys: Sequence[str] = ("symbol",),
     score_neutral: bool = False,
+    embargo: bool = False,
 ) -> DataFrame:
     """P(up) as ``(keys, date, close, fold, proba_up)`` for every test date."""
+    splitter = _embargoed(splitter, target) if embargo else splitter
     dataset = _dataset(bars, model, target, keys, score_neutral)
     return walk_forward_scores(dataset, model, splitter, keys).select(*keys, "date", CLOSE, "fold", "proba_up")
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import subprocess
+import sys
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -111,6 +115,27 @@ def test_walk_forward_trains_on_the_past_only(make_bars):
     assert early[0] and early[0] == early[1]
 
 
+def test_embargo_covers_the_horizon(make_bars):
+    bars = make_bars({"A": walk(260, 9)})
+    args = (bars, models.AlwaysLong(), SPLIT, "direction_5d")
+    near, far = (
+        sorted(r["date"] for r in walkforward.run_walk_forward(*args, embargo=e).collect()) for e in (False, True)
+    )
+    days = business_days(260)
+    assert days.index(far[0]) - days.index(near[0]) == 4
+
+
+def test_task_code_needs_no_package(tmp_path):
+    from pyspark import cloudpickle
+
+    x, y = _xy(80)
+    (tmp_path / "model").write_bytes(cloudpickle.dumps((models.CalibratedLogisticRegression(), x, y)))
+    code = "import pickle; m, x, y = pickle.load(open('model', 'rb')); print(len(m.fit_score(x, y, x)))"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert out.stdout.strip() == "80", out.stderr
+
+
 def test_each_test_date_once_and_short_symbols_dropped(make_bars):
     bars = make_bars({"A": walk(240, 9), "B": walk(100, 10)})
     rows = walkforward.run_walk_forward(bars, models.PreviousDirection(), SPLIT).collect()
