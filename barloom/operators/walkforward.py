@@ -113,8 +113,10 @@ def run_walk_forward(
 
     ``score_neutral`` also predicts the rows whose target is NULL (with the
     ``threshold`` target: days whose future move turns out small). By default
-    they are left out of the test rows as well.
+    they are left out of the test rows as well. ``embargo`` widens the gap to
+    the rows the target looks ahead, so no training label reaches the test block.
     """
+    splitter = _embargoed(splitter, target) if embargo else splitter
     dataset = _dataset(bars, model, target, keys, score_neutral)
     return walk_forward_scores(dataset, model, splitter, keys).select(*keys, "date", CLOSE, "fold", "prediction")
 
