@@ -35,6 +35,7 @@ ORDER_LOG_SCHEMA = T.StructType(
     ]
 )
 DEFAULT_ACCOUNT = "default"
+DATED_FILE = r"(?:^|/)(?:file_date=)?(\d{4}-\d{2}-\d{2})(?:\.jsonl)?(?:/part-[^/]*)?$"
 
 
 def order_records(plan: DataFrame, dry_run: bool = True, generated_at: str | None = None) -> DataFrame:
@@ -104,9 +105,14 @@ def read_order_records(spark: SparkSession, path: str) -> DataFrame | None:
 def log_orders(records: DataFrame, path: str) -> None:
     """Append the records not logged yet, one folder per signal date.
 
-    Logging the same plan again adds nothing.
+    Logging the same plan again adds nothing. Only the files of the batch's own
+    dates are searched for known ids; the filter on the file name skips all
+    others, so the cost of a run does not grow with the log.
     """
     logged = read_order_records(records.sparkSession, path)
+    if logged is not None:
+        dates = [r["signal_date"] for r in records.select("signal_date").distinct().collect()]
+        logged = logged.filter(F.regexp_extract("_metadata.file_path", DATED_FILE, 1).isin(dates))
     (
         new_records(records, logged)
         .withColumn("file_date", F.col("signal_date"))

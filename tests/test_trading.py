@@ -216,6 +216,18 @@ def test_order_log_is_idempotent(spark, tmp_path):
     ]
 
 
+def test_order_log_knows_plain_dated_files(spark, tmp_path):
+    (tmp_path / "2024-05-10.jsonl").write_text(json.dumps({"order_id": "2024-05-10:A:BUY", "account": "x"}) + "\n")
+    plan = spark.createDataFrame(
+        [("x", i, DAY, s, "BUY", 5.0, 0.6, "", True, "", "") for i, s in enumerate("AB")],
+        "account string, seq long, signal_date date, symbol string, side string, amount double, score double, "
+        "signal_reason string, risk_approved boolean, risk_rule string, risk_reason string",
+    )
+    order_log.log_orders(order_log.order_records(plan), str(tmp_path))
+    got = [r["order_id"] for r in order_log.read_order_records(spark, str(tmp_path)).collect()]
+    assert sorted(got) == ["2024-05-10:A:BUY", "2024-05-10:B:BUY"]
+
+
 def test_order_log_skips_bad_lines(spark, tmp_path):
     lines = [
         json.dumps({"timestamp": "2024-05-10T23:30:00-05:00", "symbol": "A", "side": "BUY", "risk_approved": True}),
