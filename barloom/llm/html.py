@@ -1,0 +1,165 @@
+"""Main text of web pages: parser events, text-to-tag ratios, smoothing, clustering."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from barloom.llm.batches import input_columns
+
+#: Spread of the smoothing, in lines.
+SIGMA = 1.5
+#: A line's smoothed ratio counts as content from this share of the page's deviation.
+THRESHOLD = 0.5
+
+# Names of elements as the HTML standard has them.
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+BOILERPLATE = frozenset(
+    "aside audio button canvas datalist dialog footer form head header iframe input label math menu nav noembed noframes noscript object option script select style svg template textarea title video".split()
+)
+ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar".split())
+# Words in a class or id that say what a container is for.
+PURPOSE = frozenset(
+    """ad ads adbox adsense adslot advert adverts advertisement advertising banner billboard sponsor sponsored sponsors promo promos promoted
+    promotion cookie cookies consent gdpr notice notices notification notifications alert alerts popup modal overlay toast paywall subscribe
+    subscription newsletter signup signin login register nav navbar navigation menu menus submenu breadcrumb breadcrumbs crumbs pager pagination
+    sidebar sidebars aside rail footer footnav header masthead topbar toolbar social share sharing sharebar follow comment comments commentlist
+    reply replies respond disqus discussion responses related recommended recommendations widget widgets search searchbox skip""".split()
+)
+READERS = frozenset("comment comments commentlist reply replies respond disqus discussion responses".split())
+_TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+
+
+class Lines(HTMLParser):
+    """Turns parser events into lines, one per block: text, tags seen, open containers."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.stack: list[tuple[str, int, bool]] = []  # name, number, inside boilerplate
+        self.names: list[str] = []
+        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
+        self.text: list[str] = []
+        self.tags = 0
+
+    def flush(self) -> None:
+        text = " ".join("".join(self.text).split())
+        self.text = []
+        if text:
+            self.lines.append((text, self.tags, tuple(n for _, n, _ in self.stack), bool(self.stack) and self.stack[-1][2]))
+            self.tags = 0
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in INLINE:
+            self.flush()
+        self.tags += 1
+        if tag in VOID:
+            return
+        outer = bool(self.stack) and self.stack[-1][2]
+        own = tag in BOILERPLATE or bool(attrs) and marked(tag, attrs)
+        if own and not outer:
+            self.flush()  # an inline element may be boilerplate too
+        if tag == "main" or tag == "article" and not own and not self._among_readers():
+            outer = False  # whatever was left open before does not hold the article
+        self.stack.append((tag, len(self.names), outer or own))
+        self.names.append(tag + " readers" * (own and reader_marked(attrs)))
+
+    def _among_readers(self) -> bool:
+        return any(" " in self.names[n] for _, n, _ in self.stack)
+
+    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
+            self.handle_endtag(tag)
+
+    def handle_endtag(self, tag: str) -> None:
+        self.tags += 1
+        at = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == tag), None)
+        if tag not in INLINE or at is not None and self.stack[at][2] != (at > 0 and self.stack[at - 1][2]):
+            self.flush()
+        if at is not None and not (tag in INLINE and any(n not in INLINE for n, _, _ in self.stack[at + 1 :])):
+            del self.stack[at:]
+
+    def handle_data(self, data: str) -> None:
+        self.text.append(data)
+
+
+def _words(attrs: list[tuple[str, str | None]]) -> set[str]:
+    return {w.lower() for k, v in attrs if k in ("class", "id") and v for w in _TOKENS.findall(v)}
+
+
+def reader_marked(attrs: list[tuple[str, str | None]]) -> bool:
+    return bool(_words(attrs) & READERS)
+
+
+def marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    """Whether an element's own attributes make it boilerplate."""
+    given = dict(attrs)
+    if (given.get("role") or "").strip().lower() in ROLES or "hidden" in given or (given.get("aria-hidden") or "").lower() == "true":
+        return True
+    if "display:none" in (given.get("style") or "").replace(" ", "").lower():
+        return True
+    words = _words(attrs)
+    return bool(words & (READERS if tag in ("article", "main", "body", "html") else PURPOSE)) and tag not in ("body", "html", "main")
+
+
+def smoothed_ratios(lines: list[tuple[int, int]], sigma: float = SIGMA) -> np.ndarray:
+    """Characters per tag of each line, smoothed by a Gaussian over its neighbours."""
+    ratio = np.array([chars / max(1, tags) for chars, tags in lines], float)
+    reach = min(len(ratio) - 1, int(np.ceil(3 * sigma)))
+    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    weight = np.convolve(np.ones(len(ratio)), kernel)[reach : reach + len(ratio)]
+    return np.convolve(ratio, kernel)[reach : reach + len(ratio)] / weight
+
+
+def main_text(html: str | None) -> str:
+    """The article of a page: its blocks in order, joined by one space.
+
+    Lines outside boilerplate are clustered by their smoothed ratio; the region
+    of content is the container that holds most of the text of the lines above
+    the threshold, with its short lines too. Null and empty pages, and pages of
+    boilerplate alone, give empty text; plain text counts as one line.
+    """
+    parser = Lines()
+    parser.feed(html or "")
+    parser.close()
+    parser.flush()
+    lines = [x for x in parser.lines if not x[3]]
+    if not lines:
+        return ""
+    ratios = smoothed_ratios([(len(t), tags) for t, tags, _, _ in lines])
+    core = np.flatnonzero(ratios >= min(THRESHOLD * ratios.std(), ratios.max()))
+    weight: dict[int, int] = {}
+    for i in core:
+        for element in lines[i][2]:
+            weight[element] = weight.get(element, 0) + len(lines[i][0])
+    total = sum(len(lines[i][0]) for i in core)
+    home = [e for e in lines[core[0]][2] + lines[core[-1]][2] if weight.get(e, 0) >= 0.8 * total]
+    inner = max(weight, key=lambda e: (weight[e] >= 0.8 * total, e), default=None)
+    path = next((lines[i][2] for i in core if inner in lines[i][2]), ()) if inner is not None and weight[inner] >= 0.8 * total else tuple(home)
+    path = path[: path.index(inner) + 1] if inner in path else path
+    article = next((e for e in path if parser.names[e].split()[0] in ("article", "main")), None)
+    if article is None:
+        article = next((e for e in reversed(path) if parser.names[e] in ("div", "section", "td", "center")), None)
+    if article is not None:
+        return " ".join(t for t, _, within, _ in lines if article in within)
+    return " ".join(t for t, _, _, _ in lines[core[0] : core[-1] + 1])
+
+
+def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """``(page_id, url, text, n_chars)`` of every page; rows that repeat stay, other columns go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [main_text(h) for h in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    source = input_columns(pages, page_id=page_id, url=url, html=html)
+    kinds = {c: source.schema[c].dataType.simpleString() for c in ("page_id", "url")}
+    return source.withColumn("html", F.col("html").cast("string")).mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars bigint")

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import sentencepiece, simhash
+from barloom.llm import decontaminate, html, knn, langid, quality, sentencepiece, simhash, warc
+from barloom.session import kept, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -29,6 +30,21 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def crc_of(doc_id: str = "doc_id"):
+    """crc32 of an id as text."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary"))
+
+
+@query
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    folder = shared_dir(spark, "warc")
+    written = warc.write_archives(warc.page_records(pages), folder, warc.train_dictionary(pages))
+    kept(written, "archives")
+    read = warc.read_archives(spark, folder, payloads=False)
+    return read.select(warc.page_number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_number("refers_to").alias("refers_to"))
+
+
 @query
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -36,7 +52,38 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.encode(documents, vocabulary, digests=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+@query
+def op5_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = knn.quantised(table(spark, sf_dir, "embeddings"))
+    return knn.top_k(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
+
+
+@query
+def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.summary(decontaminate.find_hits(documents, table(spark, sf_dir, "benchmark")))
+
+
 @query
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return near.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
+
+
+@query
+def op9_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_of() % 3 != 1)
+    return scored.select("doc_id", F.coalesce(crc_of() % 3 == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@query
+def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = langid.train(documents.filter(crc_of() % 4 != 2))
+    found = langid.predict(documents, model)
+    return found.select("doc_id", F.coalesce(crc_of() % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
