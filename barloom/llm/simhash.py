@@ -25,7 +25,9 @@ SAMPLE = 20_000
 #: Shards of a forest at most: its trees are sent to every task.
 MAX_SHARDS = 16_384
 #: A shard's own tree stops splitting here and compares the rest in blocks.
-LEAF = 96
+LEAF = 512
+#: Points a split inside a shard is chosen by.
+SPLIT_SAMPLE = 256
 
 _UPPER = bytes(range(65, 91))
 LOWER_ASCII = bytes.maketrans(_UPPER, _UPPER.lower())
@@ -147,7 +149,7 @@ def _best_split(points: np.ndarray, radius: int, rng: np.random.Generator) -> tu
                 near = inner[min(BITS, cut + radius)]
                 far = n - (inner[cut - radius] if cut >= radius else 0)
                 work = inner[cut] * near + (n - inner[cut]) * far
-                if work < 0.97 * n * n and (best is None or work < best[0]):
+                if work < 0.9 * n * n and (best is None or work < best[0]):
                     best = work, int(v), int(cut)
     return best and best[1:]
 
@@ -165,13 +167,17 @@ def local_links(home: np.ndarray, visitors: np.ndarray, mask: np.uint64, radius:
         left, right = stack.pop()
         if not len(left) or not len(right):
             continue
-        split = _best_split(points[right] & mask, radius, rng) if len(right) > LEAF and len(left) > 8 else None
+        split = None
+        if len(right) > LEAF and len(left) > 32:
+            some = right if len(right) <= SPLIT_SAMPLE else right[rng.integers(0, len(right), SPLIT_SAMPLE)]
+            split = _best_split(points[some] & mask, radius, rng)
         if split is None:
-            step = max(1, 2_000_000 // len(right))
-            for at in range(0, len(left), step):
-                part = left[at : at + step]
-                i, j = np.nonzero(np.bitwise_count(points[part][:, None] ^ points[right][None, :]) <= distance)
-                yield part[i], right[j]
+            a, b = points[left], points[right]
+            for at in range(0, len(a), 32):
+                for to in range(0, len(b), 4096):
+                    near = np.bitwise_count(a[at : at + 32, None] ^ b[None, to : to + 4096]) <= distance
+                    hit = np.flatnonzero(near)
+                    yield left[at + hit // near.shape[1]], right[to + hit % near.shape[1]]
             continue
         vantage, cut = np.uint64(split[0]), split[1]
         dl = np.bitwise_count((points[left] & mask) ^ vantage).astype(np.int64)
@@ -223,7 +229,8 @@ def links(fps: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(all_fp[edges[0]]), pa.array(all_fp[edges[1]])], names=["a", "b"])
 
     dealt = fps.mapInArrow(deal, "shard bigint, visitor boolean, fp bigint")
-    return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(match, "a bigint, b bigint")
+    tasks = min(2000, sum(tree.shards for tree in forest))
+    return dealt.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(match, "a bigint, b bigint")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
