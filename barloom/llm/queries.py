@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, html, knn, langid, quality, sentencepiece, simhash, warc
+from barloom.llm import decontaminate, html, knn, langid, line_dedup, quality, sentencepiece, simhash, warc
 from barloom.session import kept, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,15 @@ def crc_of(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary"))
 
 
+@query
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its lines, those kept, and the hash of the text that is left."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n_lines = F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).cast("bigint")
+    kept_lines = line_dedup.deduplicate(documents.select("doc_id", "text", n_lines.alias("n_lines")))
+    return kept_lines.select("doc_id", "n_lines", n_lines.alias("n_kept"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 @query
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
