@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, html, knn, langid, line_dedup, quality, sentencepiece, simhash, warc
+from barloom.llm import decontaminate, html_text, knn, langid, line_dedup, quality, secret_scan, sentencepiece, simhash, warc
 from barloom.session import kept, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,13 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept_lines.select("doc_id", "n_lines", n_lines.alias("n_kept"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+@query
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings with their scores; documents whose crc32 leaves 1 by 3 teach nothing."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents"), learn_from=crc_of() % 3 != 1)
+    return found.select("doc_id", "word_no", "finding", F.coalesce(crc_of() % 3 == 1, F.lit(False)).alias("held_out"), "label", "score", "is_secret")
+
+
 @query
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
@@ -58,7 +65,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     vocabulary = sentencepiece.Vocabulary.load(model_path())
-    return sentencepiece.encode(documents, vocabulary, digests=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return sentencepiece.encode(documents, vocabulary, into=None, digests=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 @query
@@ -69,7 +76,7 @@ def op5_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.extract(table(spark, sf_dir, "pages"))
+    return html_text.extract(table(spark, sf_dir, "pages"))
 
 
 @query

@@ -288,16 +288,15 @@ def _with_column(df: DataFrame, out: list[tuple[str, T.DataType]]) -> T.StructTy
     return T.StructType([*[f for f in df.schema.fields if f.name not in {n for n, _ in out}], *[T.StructField(n, t) for n, t in out]])
 
 
-def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", into: str = "ids", digests: bool = False) -> DataFrame:
-    """``df`` with the ids of every whole text; ``digests`` adds their count and hashes instead.
+def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", into: str | None = "ids", digests: bool = False) -> DataFrame:
+    """``df`` with the ids of every whole text in the column ``into``, unless that is None.
 
-    With ``digests`` the ids are also decoded again and the columns ``n_tokens``,
-    ``ids_sha256`` and ``decoded_sha256`` come in place of ``into``.
+    With ``digests`` the ids are also decoded again, and the columns ``n_tokens``,
+    ``ids_sha256`` and ``decoded_sha256`` are added.
     """
+    out = [(into, T.ArrayType(T.IntegerType()))] if into else []
     if digests:
-        out = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
-    else:
-        out = [(into, T.ArrayType(T.IntegerType()))]
+        out += [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
     schema = _with_column(df, out)
     kept = [f.name for f in schema.fields[: len(schema.fields) - len(out)]]
     made = [n for n, _ in out]
@@ -310,17 +309,22 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", into: str
             for a, b in chunks([len(t or "") for t in texts]):
                 rows = []
                 for ids in encoder.encode([t or "" for t in texts[a:b]]):
+                    row = (pa.array(ids, pa.int32()),) if into else ()
                     if digests:
                         joined = ",".join(map(vocabulary.digits.__getitem__, ids))
-                        rows.append((len(ids), _sha(joined), _sha(vocabulary.decode(ids))))
-                    else:
-                        rows.append((ids,))
-                columns = [pa.array(c) if digests else pa.array(c, pa.list_(pa.int32())) for c in zip(*rows)]
+                        row += (len(ids), _sha(joined), _sha(vocabulary.decode(ids)))
+                    rows.append(row)
+                columns = [_lists(c) if into and i == 0 else pa.array(c) for i, c in enumerate(zip(*rows))]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(kept))), *columns], names=[*kept, *made])
 
     return source.mapInArrow(run, schema)
 
 
+def _lists(rows: tuple[pa.Array, ...]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(rows))
+
+
 def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """``df`` with the text of every id list; null lists give empty text."""
 

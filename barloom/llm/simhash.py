@@ -8,8 +8,9 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom.llm.batches import input_columns
 from barloom.llm.components import connected_components
@@ -67,8 +68,8 @@ def fingerprints(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], names=["doc_id", "fp"])
 
     source = input_columns(documents, doc_id=doc_id, text=text)
-    id_type = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {id_type}, fp bigint")
+    schema = T.StructType([source.schema["doc_id"], T.StructField("fp", T.LongType())])
+    return source.mapInArrow(run, schema)
 
 
 # --- vantage-point trees ---------------------------------------------------------
@@ -293,6 +294,27 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def deduplicate(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = MAX_DISTANCE) -> DataFrame:
+    """``documents`` with one of each group of near-duplicates: that with the smallest id.
+
+    Groups are the components of :func:`near_duplicates`, so wordless texts are
+    one group. A null id stays only where its group has no other; of rows alike
+    in id the one whose text has the smallest hash stays, once. Columns are
+    those of ``documents``.
+    """
+    names = documents.columns
+    private = [f"_{i}" for i in range(len(names))]
+    plain = documents.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(names, private)])
+    key, content = F.col(private[names.index(doc_id)]), F.col(private[names.index(text)])
+    hashed = plain.select(F.struct(F.isnull(key).alias("nameless"), key.alias("id"), F.xxhash64(content).alias("hash")).alias("row"), content.alias("content"))
+    found = kept(near_duplicates(hashed, "row", "content", distance), "groups")
+    chosen = found.select(F.col("component_id").alias("row")).distinct().select(F.col("row.id").alias("id"), F.col("row.hash").alias("hash"))
+    joined = plain.withColumn("hash", F.xxhash64(content)).join(chosen.withColumnRenamed("hash", "h"), key.eqNullSafe(F.col("id")) & (F.col("hash") == F.col("h")))
+    once = Window.partitionBy(key, "hash").orderBy(F.lit(0))
+    single = joined.withColumn("n", F.row_number().over(once)).filter("n = 1")
+    return single.select(*[F.col(p).alias(c) for c, p in zip(names, private)])
+
+
 def hex_digits(fp) -> Column:
     """The 16 lower-case hex digits of a signed long's bits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

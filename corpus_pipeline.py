@@ -1,18 +1,56 @@
-"""The corpus pipeline: raw documents to deduplicated, clean, tokenised ones."""
+"""The corpus pipeline: raw documents to good, deduplicated, clean, tokenised ones."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES = []
+from barloom.llm import decontaminate, line_dedup, quality, sentencepiece, simhash
+from barloom.llm.queries import crc_of, model_path, table
+from barloom.session import kept
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose Bradley-Terry score reaches the threshold."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"), crc_of() % 3 != 1)
+
+
+def fuzzy_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with one line of each component of similar lines."""
+    return line_dedup.deduplicate(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash group."""
+    return simhash.deduplicate(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages, and without those that mostly consist of them."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every document, their number, and hashes of ids and decoded text."""
+    vocabulary = sentencepiece.Vocabulary.load(model_path())
+    encoded = sentencepiece.encode(docs.select("doc_id", "text"), vocabulary, digests=True)
+    return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("line dedup", fuzzy_lines),
+    ("SimHash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("SentencePiece encoding", tokens),
+]
+
+#: The stages fit models and find components; they are tested against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to the table of documents; each result is written and read again."""
-    from barloom.session import kept
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = kept(stage(spark, docs, sf_dir), name)
+        docs = kept(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
