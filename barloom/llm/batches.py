@@ -42,3 +42,19 @@ def input_columns(df: DataFrame, **columns: str) -> DataFrame:
     their names cannot clash.
     """
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
+
+
+_SHARES = 1 << 30
+
+
+def bounded_sample(rows: DataFrame, size: int, *by: str) -> DataFrame:
+    """At most ``size`` rows, chosen by the hash of ``by``.
+
+    The rows are counted first, and a share of about twice the size is kept where
+    they lie, so that what meets in one place does not grow with the table.
+    """
+    total = rows.count()
+    number = F.xxhash64(F.lit(71), *by)
+    if total > size:
+        rows = rows.filter(F.pmod(number, F.lit(_SHARES)) < F.lit(int(_SHARES * min(1.0, 2 * size / total))))
+    return rows.orderBy(number, *by).limit(size)

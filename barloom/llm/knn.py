@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.batches import input_columns
+from barloom.llm.batches import bounded_sample, input_columns
 from barloom.session import kept
 
 SCALE = 1024
@@ -65,7 +65,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
     Both tables come from :func:`quantised`. Scores are inner products, ties go
     to the smaller vec_id, and rows with the query's own id are no candidates.
-    Only vectors of equal length are compared. A query id that repeats counts
+    Only vectors of equal length are compared, and scores beyond a long are
+    clipped to its ends. A query id that repeats counts
     once; other repeated rows are candidates each on their own; empty tables
     give no rows.
     """
@@ -84,7 +85,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 def _top_k(data: DataFrame, queries: DataFrame, k: int, n: int) -> DataFrame:
     kind = data.schema["vec_id"].dataType.simpleString()
     n_pivots = min(MAX_PIVOTS, max(1, math.ceil(n / CELL_ROWS)))
-    sample = data.orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id").limit(max(BOUND_SAMPLE, n_pivots)).collect()
+    sample = bounded_sample(data, max(BOUND_SAMPLE, n_pivots), "vec_id").collect()
     sample_ids = np.array([r.vec_id for r in sample])
     sample_v = np.array([r.v for r in sample], np.float64).reshape(len(sample), -1)
     pivots = np.unique(sample_v[:n_pivots], axis=0)

@@ -363,7 +363,7 @@ def _packed(documents: DataFrame, text: str) -> DataFrame:
     names = documents.columns
     at = names.index(text)
     hashed = documents.withColumn("text_hash", F.xxhash64(F.col(f"`{text}`")))
-    schema = hashed.withColumn(text, F.lit(b"")).select(*[f"`{c}`" for c in hashed.columns]).schema
+    schema = T.StructType([T.StructField(f.name, T.BinaryType() if f.name == text else f.dataType) for f in hashed.schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)

@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.batches import input_columns
+from barloom.llm.batches import bounded_sample, input_columns
 from barloom.session import kept
 
 #: Labelled documents of each class that pairs are made of, and partners of each.
@@ -105,7 +105,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE_PER_CLASS, partners: int = PAR
     centre = tuple(float(shape[f"avg{i}"]) for i in range(d))
     spread = tuple(float(shape[f"stddev_pop{i}"]) or 1.0 for i in range(d))
     order = Window.orderBy(F.xxhash64("x"), "x")
-    drawn = {k: rows.filter(F.col("label") == k).select(F.xxhash64("x").alias("h"), "x").orderBy("h", "x").limit(sample).select((F.row_number().over(order) - 1).alias("i"), "x") for k in (0, 1)}
+    drawn = {k: bounded_sample(rows.filter(F.col("label") == k).select("x"), sample, "x").select((F.row_number().over(order) - 1).alias("i"), "x") for k in (0, 1)}
     sizes = {k: min(n[k], sample) for k in (0, 1)}
     more, fewer = (1, 0) if sizes[1] >= sizes[0] else (0, 1)
     met = drawn[more].withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(partners - 1)))).withColumn("j", (F.col("i") + F.col("t") * 7919) % sizes[fewer])

@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.batches import input_columns
+from barloom.llm.batches import bounded_sample, input_columns
 from barloom.session import kept
 
 MIN_LENGTH = 12
@@ -119,7 +119,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE_PER_CLASS) -> Remover:
     With findings of one class only there is nothing to tell apart and no model.
     """
     rows = labelled.filter("label IN (0, 1)").select("x", F.col("label").cast("double").alias("label"))
-    parts = [rows.filter(F.col("label") == k).orderBy(F.xxhash64("x"), "x").limit(sample) for k in (0, 1)]
+    parts = [bounded_sample(rows.filter(F.col("label") == k), sample, "x") for k in (0, 1)]
     drawn = kept(parts[0].unionByName(parts[1]), "labelled")
     if drawn.select("label").distinct().count() < 2:
         return Remover(None)

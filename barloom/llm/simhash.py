@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.batches import input_columns
+from barloom.llm.batches import bounded_sample, input_columns
 from barloom.llm.components import connected_components
 from barloom.session import kept
 
@@ -199,9 +199,7 @@ def links(fps: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
     n = fps.count()
     masks = blocks_of(distance)
     radius = distance // len(masks)
-    fraction = min(1.0, 2.0 * SAMPLE / max(n, 1))
-    seen = fps if n <= SAMPLE else fps.filter(F.xxhash64("fp", F.lit(1)) % 1_000_003 < F.lit(int(fraction * 1_000_003)))
-    sample = np.array([r[0] for r in seen.limit(SAMPLE).collect()], np.int64).view(np.uint64)
+    sample = np.array([r[0] for r in bounded_sample(fps, SAMPLE, "fp").collect()], np.int64).view(np.uint64)
     depth = int(np.ceil(np.log2(min(MAX_SHARDS, max(1, n / SHARD_SIZE)))))
     rng = np.random.default_rng(7)
     forest = []
