@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.batches import input_columns
+from barloom.llm.batches import bounded_sample, input_columns
 
 # Fixed values of the two formats.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -24,8 +24,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 SUFFIX = ".warc.zst"
 #: An archive is closed once it is this large.
 ARCHIVE_BYTES = 8 << 20
-#: Pages the dictionary is trained on, and its size.
-DICTIONARY_SAMPLE, DICTIONARY_BYTES = 500, 64 << 10
+#: Pages the dictionary is trained on, characters of each, and its size.
+DICTIONARY_SAMPLE, SAMPLED_CHARS, DICTIONARY_BYTES = 300, 32 << 10, 64 << 10
 #: A record that claims to be larger is refused.
 MAX_RECORD_BYTES = 1 << 30
 CRAWL_DATE = "2024-01-01T00:00:00Z"
@@ -176,8 +176,8 @@ def records_of(data: bytes) -> Iterator[bytes]:
 
 def train_dictionary(pages: DataFrame, html: str = "html") -> bytes:
     """A dictionary from a bounded sample of pages; empty if they are too few to learn from."""
-    sample = pages.select(F.col(f"`{html}`").alias("html")).filter("length(html) > 0").orderBy(F.xxhash64("html"), "html").limit(DICTIONARY_SAMPLE)
-    texts = [r.html.encode()[: 128 << 10] for r in sample.select(F.left("html", F.lit(128 << 10)).alias("html")).collect()]
+    rows = pages.select(F.left(f"`{html}`", F.lit(SAMPLED_CHARS)).alias("html")).filter("length(html) > 0")
+    texts = [r.html.encode() for r in bounded_sample(rows, DICTIONARY_SAMPLE, "html").collect()]
     if len(texts) < 50:
         return b""
     return zstandard.train_dictionary(DICTIONARY_BYTES, texts, level=3).as_bytes()
