@@ -78,11 +78,13 @@ def propose_and_log_orders(
     subscriptions: DataFrame,
     settings: DeskSettings = DeskSettings(),
     dry_run: bool = True,
+    generated_at: str | None = None,
 ) -> DataFrame:
     """Turn the newest signals into risk-checked orders of every account.
 
     ``subscriptions`` is ``(account, symbol)``: what each account trades. Orders keep the rank order of the file. The plan is logged without
-    duplicates and the state after the approved orders goes to a new folder.
+    duplicates, stamped with ``generated_at`` or the time of the run, and the
+    state after the approved orders goes to a new folder.
     """
     actions = executable_actions(read_latest_signals(spark, signal_path)).select(
         F.col("date").alias("signal_date"),
@@ -98,7 +100,7 @@ def propose_and_log_orders(
     proposed = signals_to_proposed_orders(followed, snapshot, settings.risk)
     positions = snapshot.select("account", F.explode("open_positions").alias("symbol"))
     plan = kept(build_execution_plan(proposed, snapshot, positions, settings.risk), "plan")
-    log_orders(order_records(plan, dry_run), order_path)
+    log_orders(order_records(plan, dry_run, generated_at), order_path)
     save_state(apply_orders(state, plan.filter("risk_approved")), new_state_path)
     return plan
 

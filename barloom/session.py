@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -25,18 +27,44 @@ def local_session(cores: str = "*", app: str = "barloom", memory: str = "8g") ->
     )
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder.
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share.
 
-    Every executor must see what is written here, so the location named by
-    ``spark.checkpoint.dir`` is used. Only a session without that setting (a
-    test on one machine) falls back to a temporary folder.
+    ``spark.checkpoint.dir`` of the session, else the checkpoint folder set on
+    its context. A session on one machine (a test) may have neither and gets a
+    temporary folder, which goes when the process ends; a cluster may not.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        root = spark.sparkContext.getCheckpointDir()
+    if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="barloom-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+#: The folder of each running application below the shared one.
+_own: dict[tuple[str, str], str] = {}
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A path for a fresh folder below the shared one.
+
+    All paths of an application lie in one folder, which Spark's file system
+    deletes when the driver's JVM ends.
+    """
+    key = (spark.sparkContext.applicationId, shared_root(spark))
+    if key not in _own:
+        own = spark._jvm.org.apache.hadoop.fs.Path(f"{key[1]}/barloom-{uuid.uuid4().hex}")
+        fs = own.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(own)
+        fs.deleteOnExit(own)
+        _own[key] = own.toString()
+    return f"{_own[key]}/{name}-{uuid.uuid4().hex}"
 
 
 def kept(df: DataFrame, name: str = "kept") -> DataFrame:
@@ -44,7 +72,7 @@ def kept(df: DataFrame, name: str = "kept") -> DataFrame:
 
     For a table that several branches of a plan use: it is computed once, the
     plan stays short, and a lost executor re-reads files instead of redoing the
-    work before them. The folder is the session's to clean up.
+    work before them. The copy goes when the driver ends.
     """
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)

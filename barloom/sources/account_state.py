@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from barloom.operators.orders import DEFAULT_CASH
+from barloom.sources.files import is_missing
 
 STATE_SCHEMA = T.StructType(
     [
@@ -39,7 +40,9 @@ def load_state(spark: SparkSession, path: str, accounts: DataFrame) -> DataFrame
     """Read the JSON state table; a missing table or a corrupt line gives defaults."""
     try:
         saved = spark.read.schema(STATE_SCHEMA).option("mode", "DROPMALFORMED").json(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if not is_missing(error):
+            raise
         saved = None
     return with_defaults(accounts, saved)
 

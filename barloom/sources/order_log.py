@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import datetime as dt
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from barloom.functions.exprs import utc_date
+from barloom.session import kept
+from barloom.sources.files import is_missing
 
 _S, _D, _B = T.StringType(), T.DoubleType(), T.BooleanType()
 
@@ -35,12 +39,18 @@ ORDER_LOG_SCHEMA = T.StructType(
     ]
 )
 DEFAULT_ACCOUNT = "default"
-DATED_FILE = r"(?:^|/)(?:file_date=)?(\d{4}-\d{2}-\d{2})(?:\.jsonl)?(?:/part-[^/]*)?$"
+#: Where a record stands in the log: its file, the part of the file, the line.
+PLACE = ["_file", "_block", "_line"]
+
 
+def order_records(plan: DataFrame, dry_run: bool = True, generated_at: str | Column | None = None) -> DataFrame:
+    """Log records of a plan ``(account, seq, signal_date, symbol, side, ...)``.
 
-def order_records(plan: DataFrame, dry_run: bool = True, generated_at: str | None = None) -> DataFrame:
-    """Log records of a plan ``(account, seq, signal_date, symbol, side, ...)``."""
-    stamp = F.lit(generated_at) if generated_at else F.concat(F.date_format("signal_date", "yyyy-MM-dd"), F.lit("T21:00:00+00:00"))
+    ``generated_at`` is the time the plan was made; without it, the time of this call.
+    """
+    if generated_at is None:
+        generated_at = dt.datetime.now(dt.timezone.utc).isoformat(timespec="seconds")
+    stamp = F.lit(generated_at) if isinstance(generated_at, str) else generated_at
     day = F.date_format("signal_date", "yyyy-MM-dd")
     return plan.select(
         F.concat_ws(":", day, "symbol", "side").alias("order_id"),
@@ -63,31 +73,43 @@ def order_records(plan: DataFrame, dry_run: bool = True, generated_at: str | Non
     )
 
 
+def named(records: DataFrame) -> DataFrame:
+    """Records with all fields of the log; those without an account belong to the default one."""
+    missing = {f.name: F.lit(None).cast(f.dataType) for f in ORDER_LOG_SCHEMA.fields if f.name not in records.columns}
+    return records.withColumns(missing).withColumn("account", F.coalesce("account", F.lit(DEFAULT_ACCOUNT)))
+
+
 def first_per_order_id(records: DataFrame) -> DataFrame:
     """Keep the first record of each account and order id.
 
-    A partial aggregate: repeats are dropped before the shuffle, however often
-    one id was sent.
+    First is the one with the smallest ``seq``, then time, then values; records
+    without ``seq`` come after those that have one. A partial aggregate: repeats
+    are dropped before the shuffle, however often one id was sent.
     """
     cols = records.columns
-    kept = records.groupBy("account", "order_id").agg(
-        F.min_by(F.struct(*cols), F.col("seq")).alias("_first")
-    )
-    return kept.select("_first.*")
+    rest = [c for c in ("amount", "score", "risk_approved", "signal_reason", "risk_rule", "risk_reason") if c in cols]
+    order = F.struct(F.isnull("seq").alias("unnumbered"), "seq", "timestamp", *rest)
+    first = records.groupBy("account", "order_id").agg(F.min_by(F.struct(*cols), order).alias("_first"))
+    return first.select("_first.*")
 
 
 def new_records(records: DataFrame, logged: DataFrame | None) -> DataFrame:
     """Records whose id is neither logged already nor repeated in the batch."""
-    fresh = first_per_order_id(records)
+    fresh = first_per_order_id(named(records))
     if logged is None:
         return fresh
-    return fresh.join(logged.select("account", "order_id"), ["account", "order_id"], "left_anti").select(
-        records.columns
-    )
+    known = named(logged).select("account", "order_id")
+    return fresh.join(known, ["account", "order_id"], "left_anti").select(fresh.columns)
 
 
 def read_order_records(spark: SparkSession, path: str) -> DataFrame | None:
     """Every readable log record, or None when nothing has been logged."""
+    placed = _read(spark, path)
+    return None if placed is None else placed.drop(*PLACE)
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame | None:
+    """Records with their place; only a path that does not exist means an empty log."""
     schema = T.StructType([*ORDER_LOG_SCHEMA.fields, T.StructField("_corrupt_record", _S)])
     try:
         raw = (
@@ -97,33 +119,54 @@ def read_order_records(spark: SparkSession, path: str) -> DataFrame | None:
             .option("recursiveFileLookup", True)
             .json(path)
         )
-    except AnalysisException:
+    except AnalysisException as error:
+        if not is_missing(error):
+            raise
         return None
-    return raw.withColumn("account", F.coalesce("account", F.lit(DEFAULT_ACCOUNT)))
+    return named(
+        raw.select(
+            "*",
+            F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_block_start").alias("_block"),
+            F.monotonically_increasing_id().alias("_line"),
+        )
+    )
 
 
 def log_orders(records: DataFrame, path: str) -> None:
     """Append the records not logged yet, one folder per signal date.
 
-    Logging the same plan again adds nothing. Only the files of the batch's own
-    dates are searched for known ids; the filter on the file name skips all
-    others, so the cost of a run does not grow with the log.
+    Logging the same plan again adds nothing. Known ids are looked up only in
+    the folders and files named by the batch's own dates, and no others are
+    listed, so the cost of a run does not grow with the log. The batch is
+    evaluated once.
     """
-    logged = read_order_records(records.sparkSession, path)
-    if logged is not None:
-        dates = [r["signal_date"] for r in records.select("signal_date").distinct().collect()]
-        logged = logged.filter(F.regexp_extract("_metadata.file_path", DATED_FILE, 1).isin(dates))
+    batch = kept(named(records), "orders")
+    dates = sorted(r["signal_date"] for r in batch.select("signal_date").distinct().collect() if r["signal_date"])
+    logged = _read(batch.sparkSession, f"{path.rstrip('/')}/*{{{','.join(dates)}}}*") if dates else None
     (
-        new_records(records, logged)
+        new_records(batch, logged)
         .withColumn("file_date", F.col("signal_date"))
         .repartition("file_date", "account")
-        .sortWithinPartitions("file_date", "account", "seq")
+        .sortWithinPartitions("file_date", "account", "seq", "timestamp", "order_id")
         .write.mode("append")
         .partitionBy("file_date")
         .json(path)
     )
 
 
+def numbered(records: DataFrame) -> DataFrame:
+    """Give records without ``seq`` the numbers after those of their account and day.
+
+    They keep the order of the log: file, then line. An account logs one order
+    per symbol and side and day, which bounds the window.
+    """
+    day = Window.partitionBy("account", "date")
+    order = day.orderBy(F.col("seq").asc_nulls_last(), "timestamp", *PLACE)
+    after = F.coalesce(F.max("seq").over(day), F.lit(0)) + F.row_number().over(order)
+    return records.withColumn("seq", F.coalesce("seq", after.cast("long")))
+
+
 def approved_orders(records: DataFrame) -> DataFrame:
     """``(account, date, seq, symbol, side, amount, score)`` of the approved records.
 
@@ -138,7 +181,7 @@ def approved_orders(records: DataFrame) -> DataFrame:
     ).select(
         "account",
         utc_date(F.col("timestamp")).alias("date"),
-        "seq",
+        *(c for c in ("seq", "timestamp", *PLACE) if c in records.columns),
         "symbol",
         "side",
         F.coalesce("amount", F.lit(0.0)).alias("amount"),
@@ -147,10 +190,9 @@ def approved_orders(records: DataFrame) -> DataFrame:
 
 
 def load_orders(spark: SparkSession, path: str) -> DataFrame:
-    """Approved orders of a log folder, by date; empty when there is none."""
-    records = read_order_records(spark, path)
+    """Approved orders of a log folder, numbered within account and day; empty when there is none."""
+    records = _read(spark, path)
     if records is None:
-        records = spark.createDataFrame([], ORDER_LOG_SCHEMA)
-    else:
-        records = records.filter("_corrupt_record is null").drop("_corrupt_record")
-    return approved_orders(records)
+        return approved_orders(spark.createDataFrame([], ORDER_LOG_SCHEMA)).drop("timestamp")
+    good = records.filter("_corrupt_record is null").drop("_corrupt_record")
+    return numbered(approved_orders(good)).drop("timestamp", *PLACE)

@@ -10,7 +10,7 @@ from barloom.operators import orders as od
 from barloom.operators import quality, ranking, rebalance, replay, signals
 from barloom.operators.splits import WalkForwardSplit
 from barloom.plans import inputs
-from barloom.session import shared_dir
+from barloom.session import kept, shared_dir
 from barloom.sources import account_state, order_log, signal_log
 import catalog.panel  # noqa: F401  (defines the feature and dataset tables)
 from catalog.base import SYM, full, query, sql_table, summary_sql
@@ -671,12 +671,26 @@ query(
 def _logged(spark, sf):
     """The plan logged twice, the second time with each record repeated."""
     path = shared_dir(spark, "orders")
-    records = order_log.order_records(inputs.Desk(spark, sf).plan)
+    records = _records(spark, sf)
     order_log.log_orders(records, path)
     order_log.log_orders(records.unionByName(records), path)
     return path
 
 
+def _records(spark, sf):
+    evening = F.concat(F.date_format("signal_date", "yyyy-MM-dd"), F.lit("T21:00:00+00:00"))
+    return order_log.order_records(inputs.Desk(spark, sf).plan, generated_at=evening)
+
+
+def _logged_plain(spark, sf):
+    """The plan of all accounts as one book, in records without account and number, logged twice."""
+    path = shared_dir(spark, "plain-orders")
+    records = kept(_records(spark, sf).drop("account", "seq"), "records")
+    order_log.log_orders(records, path)
+    order_log.log_orders(records, path)
+    return path
+
+
 query(
     "a10_order_log_sink",
     "order_id:t timestamp:t signal_date:t dry_run:b type:t symbol:t side:t amount:2 score:8 signal_reason:t "
@@ -686,6 +700,19 @@ query(
          CASE WHEN risk_approved THEN 'approved' ELSE 'rejected' END AS type, NULL AS broker_status, NULL AS broker_order_id
        FROM (SELECT * REPLACE (strftime(signal_date, '%Y-%m-%d') AS signal_date), strftime(signal_date, '%Y-%m-%d') AS day FROM plan_t)""",
 )
+sql_table(
+    "plain_log",
+    """SELECT * EXCLUDE (rn) FROM (SELECT * EXCLUDE (account, seq), row_number() OVER (PARTITION BY signal_date, symbol, side
+         ORDER BY amount, score NULLS FIRST, risk_approved, signal_reason NULLS FIRST, risk_rule NULLS FIRST, risk_reason NULLS FIRST) AS rn
+       FROM plan_t) WHERE rn = 1""",
+)
+query(
+    "a10_order_log_plain",
+    "order_id:t signal_date:t type:t symbol:t side:t amount:2 score:8 signal_reason:t risk_approved:b risk_rule:t risk_reason:t account:t seq:l",
+    lambda spark, sf: order_log.read_order_records(spark, _logged_plain(spark, sf)),
+    """SELECT * REPLACE (strftime(signal_date, '%Y-%m-%d') AS signal_date), concat_ws(':', strftime(signal_date, '%Y-%m-%d'), symbol, side) AS order_id,
+         CASE WHEN risk_approved THEN 'approved' ELSE 'rejected' END AS type, 'default' AS account, NULL AS seq FROM plain_log""",
+)
 query(
     "a9_order_log_scan",
     "account:t date:d seq:l symbol:t side:t amount:2 score:8",
@@ -744,6 +771,41 @@ query(
     lambda spark, sf: replay.executed_orders(*inputs.Desk(spark, sf).replay_inputs),
     "SELECT *, cash AS cash_after FROM replay_steps WHERE turn > 0",
 )
+
+
+def _plain_replay(spark, sf):
+    """Replay of the plain log: orders of a day stand in the order of the log."""
+    orders = order_log.load_orders(spark, _logged_plain(spark, sf))
+    capital = spark.range(1).select(F.lit("default").alias("account"), F.lit(100_000.0).alias("capital"))
+    return replay.executed_orders(orders, inputs.bars(spark, sf), capital)
+
+
+sql_table(
+    "plain_rows",
+    """SELECT p.signal_date AS date, p.symbol, p.side, p.amount, b.close,
+         row_number() OVER (ORDER BY p.signal_date, p.symbol, p.side) AS turn
+       FROM plain_log p JOIN bars b ON b.symbol = p.symbol AND b.date = p.signal_date WHERE p.risk_approved AND b.close > 0""",
+)
+sql_table(
+    "plain_steps",
+    """SELECT 0::BIGINT AS turn, NULL::DATE AS date, 100000.0::DOUBLE AS cash, MAP {}::MAP(VARCHAR, DOUBLE) AS owned,
+         NULL::VARCHAR AS symbol, NULL::VARCHAR AS side, false AS executed
+       UNION ALL
+       SELECT r.turn, r.date,
+         CASE WHEN r.side = 'SELL' THEN s.cash + coalesce(s.owned[r.symbol], 0) * close
+              WHEN amount <= s.cash THEN s.cash - amount ELSE s.cash END,
+         CASE WHEN r.side = 'SELL' THEN map_concat(s.owned, MAP {r.symbol: 0.0::DOUBLE})
+              WHEN amount <= s.cash THEN map_concat(s.owned, MAP {r.symbol: coalesce(s.owned[r.symbol], 0) + amount / close})
+              ELSE s.owned END,
+         r.symbol, r.side, CASE WHEN r.side = 'SELL' THEN coalesce(s.owned[r.symbol], 0) > 0 ELSE amount <= s.cash END
+       FROM plain_steps s JOIN plain_rows r ON r.turn = s.turn + 1""",
+)
+query(
+    "m1_plain_log",
+    "date:d symbol:t side:t executed:b cash_after:4",
+    _plain_replay,
+    "SELECT *, cash AS cash_after FROM plain_steps WHERE turn > 0",
+)
 query(
     "m1_equity_curve",
     "account:t date:d cash:4 value:4",

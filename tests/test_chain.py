@@ -34,13 +34,13 @@ def test_weekly_routine(spark, make_bars, tmp_path):
     assert ranking.count() == 5
     accounts = spark.createDataFrame([("x",), ("y",)], "account string")
     books = spark.createDataFrame([(a, s) for a in "xy" for s in "ABCDE"], "account string, symbol string")
-    plan = weekly.propose_and_log_orders(spark, signals, state, state2, orders, books, SETTINGS)
+    plan = weekly.propose_and_log_orders(spark, signals, state, state2, orders, books, SETTINGS, generated_at=f"{days[207]}T21:00:00+00:00")
     bought = {r["symbol"] for r in plan.filter("risk_approved and account = 'x'").collect()}
     wanted = {r["symbol"] for r in ranking.orderBy(F.desc("score"), "symbol").filter("score >= 0.5").limit(2).collect()}
     assert bought == wanted and bought
     assert plan.select("signal_date").distinct().first()[0] == days[207]
     logged = order_log.load_orders(spark, orders).count()
-    weekly.propose_and_log_orders(spark, signals, state, str(tmp_path / "s3"), orders, books, SETTINGS)
+    weekly.propose_and_log_orders(spark, signals, state, str(tmp_path / "s3"), orders, books, SETTINGS, generated_at=f"{days[207]}T21:00:00+00:00")
     assert order_log.load_orders(spark, orders).count() == logged == 2 * len(bought)
     # with the new state, the held symbols are not sold and nothing more may be opened
     again = weekly.propose_and_log_orders(

@@ -8,6 +8,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom.operators import forward_returns as fr
 from barloom.operators import orders as od
@@ -228,6 +229,53 @@ def test_order_log_knows_plain_dated_files(spark, tmp_path):
     assert sorted(got) == ["2024-05-10:A:BUY", "2024-05-10:B:BUY"]
 
 
+PLAIN_FIELDS = [f.name for f in order_log.ORDER_LOG_SCHEMA.fields if f.name not in ("account", "seq")]
+
+
+def test_order_log_takes_records_without_account_and_number(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows = [("2024-05-10:B:BUY", "t2", "B", 5.0), ("2024-05-10:A:BUY", "t1", "A", 6.0), ("2024-05-10:A:BUY", "t3", "A", 7.0)]
+    records = spark.createDataFrame(rows, "order_id string, timestamp string, symbol string, amount double").selectExpr(
+        "order_id", "timestamp", "'2024-05-10' AS signal_date", "true AS dry_run", "'approved' AS type", "symbol", "'BUY' AS side", "amount",
+        "0.6D AS score", "'why' AS signal_reason", "true AS risk_approved", "'' AS risk_rule", "'' AS risk_reason", "string(null) AS broker_status", "string(null) AS broker_order_id",
+    )
+    assert records.columns == PLAIN_FIELDS
+    for _ in range(2):
+        order_log.log_orders(records, path)
+    got = order_log.read_order_records(spark, path).orderBy("order_id").collect()
+    assert [(r["account"], r["seq"], r["order_id"], r["timestamp"], r["amount"], r["signal_reason"]) for r in got] == [
+        ("default", None, "2024-05-10:A:BUY", "t1", 6.0, "why"),
+        ("default", None, "2024-05-10:B:BUY", "t2", 5.0, "why"),
+    ]
+
+
+def test_orders_without_number_keep_the_order_of_the_file(spark, tmp_path):
+    stamp = "2024-05-10T21:00:00+00:00"
+    lines = [{"timestamp": stamp, "symbol": s, "side": "BUY", "amount": 1.0, "risk_approved": True} for s in "CABED"]
+    lines.insert(2, {**lines[0], "symbol": "Z", "seq": 7})
+    (tmp_path / "2024-05-10.jsonl").write_text("".join(json.dumps(x) + "\n" for x in lines))
+    got = order_log.load_orders(spark, str(tmp_path)).orderBy("seq").collect()
+    assert [r["symbol"] for r in got] == ["Z", "C", "A", "B", "E", "D"] and len({r["seq"] for r in got}) == 6
+
+
+def test_records_are_stamped_with_the_time_of_the_plan(spark):
+    plan = spark.createDataFrame([("x", 1, DAY, "A", "BUY", 5.0, 0.6, "", True, "", "")], "account string, seq long, signal_date date, symbol string, side string, amount double, score double, signal_reason string, risk_approved boolean, risk_rule string, risk_reason string")
+    now = dt.datetime.now(dt.timezone.utc)
+    made = dt.datetime.fromisoformat(order_log.order_records(plan).first()["timestamp"])
+    assert abs((made - now).total_seconds()) < 120
+    assert order_log.order_records(plan, generated_at="2024-05-10T09:00:00+00:00").first()["timestamp"].startswith("2024-05-10T09")
+
+
+def test_only_a_missing_path_is_an_empty_log(spark, tmp_path, monkeypatch):
+    from pyspark.errors import AnalysisException
+
+    assert order_log.read_order_records(spark, str(tmp_path / "none")) is None
+    (tmp_path / "log").mkdir()
+    monkeypatch.setattr(order_log, "ORDER_LOG_SCHEMA", T.StructType([*order_log.ORDER_LOG_SCHEMA.fields, order_log.ORDER_LOG_SCHEMA["symbol"]]))
+    with pytest.raises(AnalysisException):
+        order_log.read_order_records(spark, str(tmp_path / "log"))
+
+
 def test_order_log_skips_bad_lines(spark, tmp_path):
     lines = [
         json.dumps({"timestamp": "2024-05-10T23:30:00-05:00", "symbol": "A", "side": "BUY", "risk_approved": True}),
