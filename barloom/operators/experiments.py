@@ -12,7 +12,7 @@ from barloom.functions.history import over_history
 from barloom.operators.backtest import run_backtest
 from barloom.operators.features import CLOSE, FEATURE_COLUMNS, feature_stages
 from barloom.operators.metrics import return_summary
-from barloom.operators.models import LEARNED_MODELS, Model
+from barloom.operators.models import Model, kind_of
 from barloom.operators.splits import AdaptiveSplit, Splitter
 from barloom.operators.targets import target_column
 from barloom.operators.walkforward import by_history, threshold_signal, walk_forward_scores
@@ -98,7 +98,7 @@ def run_grid(
         holding = F.when(F.col("config") == c.label, F.lit(c.holding_period)).otherwise(holding)
     scored = None
     for name, model in models.items():
-        rows = by_history(dataset, KEYS) if isinstance(model, LEARNED_MODELS) else dataset
+        rows = by_history(dataset, KEYS) if kind_of(model) == "history" else dataset
         part = threshold_signal(walk_forward_scores(rows, model, splitter, KEYS), cut).select(
             *KEYS, F.lit(name).alias("model"), "date", CLOSE, "y", "prediction"
         )

@@ -1,9 +1,16 @@
 """Direction models.
 
-Rule models are column expressions. Learned models see one symbol's history at
-a time: Spark groups the rows, and ``score_history`` below runs inside the
-task. A daily history has at most ~366 rows a year, which bounds the group;
-intraday panels are rolled up to daily bars before a model is fitted.
+Any object is a model that follows one of three protocols; nothing has to be
+derived or registered, and walk-forward, ranking and grid treat all alike:
+
+* a rule has ``probability()`` and ``label()``, column expressions over a row;
+* a history model has ``fit_score(x, y, test)``, which gives P(up) of the test
+  rows of one symbol from its training rows, as arrays inside a task. A daily
+  history has at most ~366 rows a year, which bounds it. ``min_per_class``
+  (1 if absent) is how many rows of each class a fit needs;
+* a pooled model has ``estimator(n)``, an MLlib estimator for ``n`` training rows
+  with the columns ``features`` and ``label``. It is fitted on all symbols
+  together, distributed, one fit per fold, so it also suits intraday panels.
 """
 
 from __future__ import annotations
@@ -11,6 +18,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.ml import Estimator, Pipeline
+from pyspark.ml.classification import LogisticRegression as MLLogisticRegression
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import StandardScaler
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,7 +63,17 @@ class ColumnScore:
         return (F.col(self.column) > 0.5).cast("int")
 
 
-RULE_MODELS = (AlwaysLong, PreviousDirection, ColumnScore)
+def kind_of(model: object) -> str:
+    """``rule``, ``history`` or ``pooled``, by the methods a model has."""
+    for name, method in (("rule", "probability"), ("pooled", "estimator"), ("history", "fit_score")):
+        if callable(getattr(model, method, None)):
+            return name
+    raise TypeError(f"{type(model).__name__} has none of probability, estimator and fit_score")
+
+
+def rows_needed(model: object) -> int:
+    """Training rows of each class that a fit needs; 0 for rules."""
+    return 0 if kind_of(model) == "rule" else int(getattr(model, "min_per_class", 1))
 
 
 # --------------------------------------------------------------------------
@@ -60,12 +81,17 @@ RULE_MODELS = (AlwaysLong, PreviousDirection, ColumnScore)
 
 
 def standardise(train: np.ndarray, test: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Centre and scale both parts by the training rows only (population deviation)."""
-    mean, dev = train.mean(axis=0), train.std(axis=0)
-    dev = np.where(dev < 10 * np.finfo(float).eps, 1.0, dev)
+    """Centre and scale both parts by the training rows only."""
+    mean, dev = scaling(train)
     return (train - mean) / dev, (test - mean) / dev
 
 
+def scaling(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and population deviation of each column; a constant one is not scaled."""
+    dev = x.std(axis=0)
+    return x.mean(axis=0), np.where(dev < 10 * np.finfo(float).eps, 1.0, dev)
+
+
 def newton_logistic(
     x: np.ndarray, y: np.ndarray, ridge: np.ndarray, start: np.ndarray, max_iter: int
 ) -> np.ndarray:
@@ -121,6 +147,12 @@ class LogisticRegression:
         x, test = standardise(x, test)
         return _expit(_with_intercept(test) @ _margin_fit(x, y, self.C, self.max_iter))
 
+    def fit(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Means and deviations of the features, weights and intercept."""
+        centre, spread = scaling(x)
+        w = _margin_fit((x - centre) / spread, y, self.C, self.max_iter)
+        return centre, spread, w[:-1], float(w[-1])
+
 
 @dataclass(frozen=True)
 class CalibratedLogisticRegression:
@@ -135,6 +167,10 @@ class CalibratedLogisticRegression:
     method: str = "sigmoid"
     cv: int = 5
 
+    @property
+    def min_per_class(self) -> int:
+        return self.cv
+
     def __post_init__(self) -> None:
         if self.method not in ("sigmoid", "isotonic"):
             raise ValueError("method must be 'sigmoid' or 'isotonic'")
@@ -153,12 +189,16 @@ class CalibratedLogisticRegression:
 
 
 def stratified_parts(y: np.ndarray, parts: int) -> np.ndarray:
-    """Part number of each row: equal class shares, consecutive rows per class."""
-    sizes = {c: np.bincount(np.flatnonzero(np.sort(y) == c) % parts, minlength=parts) for c in (0.0, 1.0)}
-    if min(np.count_nonzero(y == c) for c in (0.0, 1.0)) < parts:
-        raise ValueError("a class has fewer rows than inner folds")
+    """Part number of each row: equal class shares, consecutive rows per class.
+
+    Classes are laid out in the order in which they first appear, and dealt to
+    the parts in turn; that gives the number of rows of each class in each part.
+    """
+    classes = sorted((0.0, 1.0), key=lambda c: int(np.argmax(y == c)))
+    laid = np.concatenate([np.full(np.count_nonzero(y == c), i) for i, c in enumerate(classes)])
     out = np.empty(len(y), dtype=int)
-    for c, counts in sizes.items():
+    for i, c in enumerate(classes):
+        counts = np.bincount(np.flatnonzero(laid == i) % parts, minlength=parts)
         out[y == c] = np.repeat(np.arange(parts), counts)
     return out
 
@@ -191,59 +231,30 @@ def isotonic_curve(margins: np.ndarray, y: np.ndarray):
 
 @dataclass(frozen=True)
 class RandomForest:
-    """Bagged shallow trees with a random feature subset at every node."""
+    """Bagged shallow trees with a random feature subset at every node, over all symbols."""
 
     n_estimators: int = 200
     max_depth: int = 5
     min_samples_leaf: int = 20
     seed: int = 42
 
-    def fit_score(self, x: np.ndarray, y: np.ndarray, test: np.ndarray) -> np.ndarray:
-        rng = np.random.default_rng(self.seed)
-        total = np.zeros(len(test))
-        for _ in range(self.n_estimators):
-            weight = np.bincount(rng.integers(0, len(y), len(y)), minlength=len(y)).astype(float)
-            rows = np.flatnonzero(weight)
-            self._score(x[rows], y[rows], weight[rows], test, np.arange(len(test)), total, self.max_depth, rng)
-        return total / self.n_estimators
-
-    def _score(self, x, y, weight, test, at, total, depth, rng) -> None:
-        """Grow one branch and add its leaf probabilities to the test rows that reach it."""
-        if len(at) == 0:
-            return
-        share = float(np.dot(weight, y) / weight.sum())
-        cut = None
-        if depth > 0 and len(y) >= 2 * self.min_samples_leaf and 0.0 < share < 1.0:
-            tried = rng.permutation(x.shape[1])[: max(1, int(np.sqrt(x.shape[1])))]
-            cut = best_cut(x, y, weight, tried, self.min_samples_leaf)
-        if cut is None:
-            total[at] += share
-            return
-        feature, level = cut
-        left, goes = x[:, feature] <= level, test[at, feature] <= level
-        for side, reach in ((left, goes), (~left, ~goes)):
-            self._score(x[side], y[side], weight[side], test, at[reach], total, depth - 1, rng)
-
-
-def best_cut(x, y, weight, features, min_leaf: int):
-    """The (feature, level) with the lowest weighted Gini impurity, or None."""
-    best, found = np.inf, None
-    n = len(y)
-    for f in features:
-        order = np.argsort(x[:, f], kind="stable")
-        v, w, up = x[order, f], np.cumsum(weight[order]), np.cumsum((weight * y)[order])
-        i = np.arange(min_leaf - 1, n - min_leaf)
-        i = i[v[i + 1] > v[i]]
-        if len(i) == 0:
-            continue
-        left, right = w[i], w[-1] - w[i]
-        a, b = up[i], up[-1] - up[i]
-        impurity = a * (left - a) / left + b * (right - b) / right
-        k = int(np.argmin(impurity))
-        if impurity[k] < best:
-            best, found = impurity[k], (int(f), float((v[i[k]] + v[i[k] + 1]) / 2))
-    return found
-
-
-LEARNED_MODELS = (LogisticRegression, CalibratedLogisticRegression, RandomForest)
-Model = AlwaysLong | PreviousDirection | ColumnScore | LogisticRegression | CalibratedLogisticRegression | RandomForest
+    def estimator(self, n: int) -> Estimator:
+        return RandomForestClassifier(
+            numTrees=self.n_estimators, maxDepth=self.max_depth, minInstancesPerNode=self.min_samples_leaf, featureSubsetStrategy="sqrt", seed=self.seed
+        )
+
+
+@dataclass(frozen=True)
+class PooledLogisticRegression:
+    """L2-penalised logistic regression on standardised features, over all symbols."""
+
+    C: float = 1.0
+    max_iter: int = 200
+
+    def estimator(self, n: int) -> Estimator:
+        scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True)
+        learner = MLLogisticRegression(featuresCol="scaled", regParam=1.0 / (self.C * max(n, 1)), standardization=False, maxIter=self.max_iter, tol=1e-9)
+        return Pipeline(stages=[scaler, learner])
+
+
+Model = object

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from barloom.functions.exprs import change, full_window
 from barloom.functions.history import over_history
-from barloom.operators.models import Model
-from barloom.operators.splits import Splitter, short_histories
+from barloom.operators.models import AlwaysLong, Model
+from barloom.operators.splits import Splitter
 from barloom.operators.targets import make_dataset
-from barloom.operators.walkforward import run_walk_forward_proba
+from barloom.operators.walkforward import run_walk_forward_proba, unfit_histories
 from barloom.sources.bars import slice_dates
 
 # The context columns, in order.
@@ -38,17 +38,21 @@ def rank_universe(
 ) -> DataFrame:
     """``(symbol, score)``: P(up) on each symbol's last out-of-sample date.
 
-    Symbols without enough rows drop out; :func:`skipped_symbols` lists them.
+    Symbols that the model cannot be fitted to drop out; :func:`skipped_symbols`
+    lists them with the reason.
     """
     scores = run_walk_forward_proba(slice_dates(bars, start, end), model, splitter, target)
     return latest_scores(scores)
 
 
-def skipped_symbols(bars: DataFrame, splitter: Splitter, target: str = "direction") -> DataFrame:
-    """Symbols too short for the splitter, with the usable row count."""
-    return short_histories(
-        bars.select("symbol").distinct().join(make_dataset(bars, target), "symbol", "left"), splitter
-    )
+def skipped_symbols(bars: DataFrame, splitter: Splitter, target: str = "direction", model: Model = AlwaysLong()) -> DataFrame:
+    """``(symbol, n, reason)`` of the symbols that get no score, and why.
+
+    Too few usable rows for the splitter, or too few rows of a class in the
+    first training part for ``model``; ``n`` is the number that was too small.
+    """
+    every = bars.select("symbol").distinct().join(make_dataset(bars, target), "symbol", "left")
+    return unfit_histories(every, model, splitter)
 
 
 def context_history(bars: DataFrame) -> DataFrame:

@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.functions.history import calendar_bounded
 from barloom.operators.features import CLOSE, FEATURE_COLUMNS
-from barloom.operators.models import RULE_MODELS, Model
-from barloom.operators.splits import PLAN_COLUMNS, Splitter, out_of_sample, with_plan
+from barloom.operators.models import LogisticRegression, Model, kind_of, rows_needed
+from barloom.operators.splits import PLAN_COLUMNS, Splitter, out_of_sample, short_histories, walk_forward_folds, with_plan
 from barloom.operators.targets import TARGET_HORIZON, make_dataset
+from barloom.session import kept
+
+#: Pooled fits that are under way at the same time.
+FITS_AT_ONCE = 4
 
 
 def by_history(rows: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
@@ -34,11 +40,15 @@ def walk_forward_scores(
 ) -> DataFrame:
     """One row per test date: ``fold``, ``proba_up``, ``prediction``, ``close`` and the label ``y``.
 
-    The close rides along so that a backtest needs no join with the bars. Learned models get each history once and walk its folds inside the task, so
-    training rows are shuffled once, not once per fold.
+    The close rides along so that a backtest needs no join with the bars. History
+    models get each history once and walk its folds inside the task, so training
+    rows are shuffled once, not once per fold. A history that a model cannot be
+    fitted to gives no rows; :func:`unfit_histories` tells which and why.
     """
+    if kind_of(model) == "pooled":
+        return _pooled_scores(dataset, model, splitter, keys)
     planned = with_plan(dataset, splitter, keys)
-    if isinstance(model, RULE_MODELS):
+    if kind_of(model) == "rule":
         return out_of_sample(planned).select(
             *keys,
             "date",
@@ -49,7 +59,8 @@ def walk_forward_scores(
             "y",
         )
     if not calendar_bounded(planned):
-        raise ValueError("learned models need daily bars: an intraday history is not bounded by the calendar")
+        raise ValueError("history models need daily bars: an intraday history is not bounded by the calendar; use a pooled model")
+    needed = rows_needed(model)
     rows = planned.select(*keys, "date", CLOSE, "pos", *PLAN_COLUMNS, *FEATURE_COLUMNS, "y")
     schema = T.StructType(
         [rows.schema[k] for k in keys]
@@ -73,7 +84,7 @@ def walk_forward_scores(
             end = first + fold * size
             train = (pos < end) & ~np.isnan(y)
             test = (pos >= end + gap) & (pos < end + gap + size)
-            if len(np.unique(y[train])) < 2:
+            if min(np.count_nonzero(y[train] == c) for c in (0.0, 1.0)) < needed:
                 return pd.DataFrame(columns=names)
             if test.any():
                 part = history.loc[test, [*keys, "date", CLOSE, "y"]].copy()
@@ -88,15 +99,133 @@ def walk_forward_scores(
     )
 
 
+def logistic_fits(dataset: DataFrame, model: LogisticRegression, splitter: Splitter, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """``(keys, fold, n, centre, spread, weights, intercept)``: what each fold's fit learned.
+
+    ``weights`` belong to the standardised features; histories that cannot be
+    fitted give no rows.
+    """
+    planned = with_plan(dataset, splitter, keys)
+    rows = planned.select(*keys, "date", "pos", *PLAN_COLUMNS, *FEATURE_COLUMNS, "y")
+    arrays = [T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("centre", "spread", "weights")]
+    schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("fold", T.IntegerType()), T.StructField("n", T.LongType()), *arrays, T.StructField("intercept", T.DoubleType())])
+    names, needed = schema.fieldNames(), rows_needed(model)
+
+    def fit_history(history: pd.DataFrame) -> pd.DataFrame:
+        history = history.sort_values("date", kind="stable")
+        pos, y = history["pos"].to_numpy(), history["y"].to_numpy(dtype=float)
+        x = history[FEATURE_COLUMNS].to_numpy(dtype=float)
+        folds, first, size, _ = (int(history[c].iloc[0]) for c in PLAN_COLUMNS)
+        out = []
+        for fold in range(folds):
+            train = (pos < first + fold * size) & ~np.isnan(y)
+            if min(np.count_nonzero(y[train] == c) for c in (0.0, 1.0)) < needed:
+                return pd.DataFrame(columns=names)
+            centre, spread, weights, intercept = model.fit(x[train], y[train])
+            out.append((*(history[k].iloc[0] for k in keys), fold, int(train.sum()), centre.tolist(), spread.tolist(), weights.tolist(), intercept))
+        return pd.DataFrame(out, columns=names)
+
+    return rows.groupBy(*keys).applyInPandas(fit_history, schema)
+
+
+def steepest_descent(dataset: DataFrame, fits: DataFrame, splitter: Splitter, c: float = 1.0, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """``(keys, fold, gradient)``: the largest slope of the penalised loss at each fit.
+
+    Computed from the training rows and the reported weights alone, so it tells
+    whether a fit is the optimum, whatever solver made it.
+    """
+    on = [*keys, "fold"]
+    train = walk_forward_folds(dataset, splitter, keys).filter("role = 'train'").select(*keys, "date", "fold")
+    rows = train.join(dataset.select(*keys, "date", *FEATURE_COLUMNS, "y"), [*keys, "date"]).join(fits, on)
+    scaled = F.zip_with(F.zip_with(F.array(*FEATURE_COLUMNS), "centre", lambda x, m: x - m), "spread", lambda x, d: x / d)
+    margin = F.aggregate(F.zip_with("z", "weights", lambda z, w: z * w), F.col("intercept"), lambda total, x: total + x)
+    placed = rows.select(*on, scaled.alias("z"), "weights", "intercept", "y").select(*on, (1 / (1 + F.exp(-margin)) - F.col("y")).alias("error"), "weights", F.array_append("z", F.lit(1.0)).alias("z"))
+    each = placed.select(*on, "error", "weights", F.posexplode("z").alias("i", "z"))
+    # the intercept comes last and is not penalised
+    pull = F.coalesce(F.get(F.first("weights"), F.col("i")), F.lit(0.0)) / c
+    slopes = each.groupBy(*on, "i").agg(F.abs(F.sum(F.col("error") * F.col("z")) + pull).alias("slope"))
+    return slopes.groupBy(*on).agg(F.max("slope").alias("gradient"))
+
+
+def unfit_histories(dataset: DataFrame, model: Model, splitter: Splitter, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """``(keys, n, reason)`` of the histories that give no scores.
+
+    ``n`` counts labelled rows, or the rows of the rarer class in the first
+    training part. Later parts contain the first, so what suffices there
+    suffices in all.
+    """
+    short = short_histories(dataset, splitter, keys).withColumn("reason", F.lit("too few rows"))
+    needed = rows_needed(model)
+    if not needed or kind_of(model) == "pooled":
+        return short
+    first = F.col("pos") < F.col("first_train")
+    classes = [F.count_if(first & (F.col("y") == c)).alias(f"n{c}") for c in (0, 1)]
+    rare = F.least("n0", "n1")
+    counted = with_plan(dataset, splitter, keys).groupBy(*keys).agg(*classes).filter(rare < needed)
+    reason = F.when(rare == 0, "one class").otherwise("too few rows of a class")
+    return short.unionByName(counted.select(*keys, rare.alias("n"), reason.alias("reason")))
+
+
+def _pooled_scores(dataset: DataFrame, model: Model, splitter: Splitter, keys: Sequence[str]) -> DataFrame:
+    """Scores of one MLlib fit per fold over all symbols.
+
+    Folds are cut by date: the dates on which any symbol has a labelled row
+    are planned as one history per pool (the keys without the symbol), so no
+    fit sees a row that is later than its training part. The number of fits is
+    the number of pools times folds. A fold whose training part has one class
+    ends the pool, as it would a history.
+    """
+    pool = [k for k in keys if k != "symbol"]
+    columns = [*keys, "date", CLOSE, *FEATURE_COLUMNS, "y"]
+    rows = kept(dataset.select(*columns), "pooled-rows")
+    axis = [*pool, "_pool"]
+    dates = rows.withColumn("_pool", F.lit(0)).groupBy(*axis, "date").agg(F.max("y").alias("y"))
+    planned = with_plan(dates, splitter, axis).select(*axis, "date", "pos", *PLAN_COLUMNS, "y")
+    tests = out_of_sample(planned).groupBy(*axis, "fold").agg(F.min("date").alias("begin"), F.max("date").alias("end"))
+    cut = F.col("first_train") + F.col("fold") * F.col("test_size")
+    folds = planned.withColumn("fold", F.explode(F.sequence(F.lit(0), F.col("folds") - 1)))
+    trained = folds.filter((F.col("pos") < cut) & F.col("y").isNotNull()).groupBy(*axis, "fold").agg(F.max("date").alias("until"))
+    jobs = tests.join(trained, [*axis, "fold"]).orderBy(*axis, "fold").collect()
+    data = rows.withColumn("features", array_to_vector(F.array(*FEATURE_COLUMNS))).withColumn("label", F.col("y").cast("double"))
+
+    def within(job):
+        here = F.lit(True)
+        for k in pool:
+            here = here & (F.col(k) == job[k])
+        return here
+
+    def fit(job):
+        train = data.filter(within(job) & (F.col("date") <= job.until) & F.col("y").isNotNull()).select("features", "label")
+        seen = {r.label: r["count"] for r in train.groupBy("label").count().collect()}
+        if min(seen.get(0.0, 0), seen.get(1.0, 0)) < rows_needed(model):
+            return None
+        return model.estimator(sum(seen.values())).fit(train)
+
+    with ThreadPoolExecutor(FITS_AT_ONCE) as workers:
+        fitted = list(workers.map(fit, jobs))
+    ended = {tuple(j[k] for k in axis) for j, m in zip(jobs, fitted) if m is None}
+    out = rows.filter("false").select(*keys, "date", CLOSE, F.lit(0).alias("fold"), F.lit(0.0).alias("proba_up"), F.lit(0).alias("prediction"), "y")
+    for job, made in zip(jobs, fitted):
+        if tuple(job[k] for k in axis) in ended:
+            continue
+        test = data.filter(within(job) & F.col("date").between(job.begin, job.end))
+        scored = made.transform(test).withColumn("proba_up", vector_to_array("probability")[1])
+        out = out.unionByName(
+            scored.select(*keys, "date", CLOSE, F.lit(job.fold).alias("fold"), "proba_up", (F.col("proba_up") > 0.5).cast("int").alias("prediction"), "y")
+        )
+    return out
+
+
 def _embargoed(splitter: Splitter, target: str) -> Splitter:
     return replace(splitter, gap=max(splitter.gap, TARGET_HORIZON[target]))
 
 
 def _dataset(bars: DataFrame, model: Model, target: str, keys: Sequence[str], score_neutral: bool) -> DataFrame:
-    if not isinstance(model, RULE_MODELS):
+    if kind_of(model) != "rule":
         if target == "return":
             raise ValueError("learned models classify: use a direction or threshold target")
-        bars = by_history(bars.select(*keys, "date", CLOSE), keys)
+        if kind_of(model) == "history":
+            bars = by_history(bars.select(*keys, "date", CLOSE), keys)
     return make_dataset(bars, target, keys, keep_unlabelled=score_neutral)
 
 

@@ -140,10 +140,7 @@ query(
     summary_sql("swept_bt", "strategy_return", "symbol, cut", "position"),
 )
 
-# --- learned models (rows only) --------------------------------------------
-
-LEARNED = "symbol:t date:d fold:i proba_up:8 prediction:i y:1"
-
+# --- learned models --------------------------------------------
 
 def _learned(model, target="direction"):
     return lambda spark, sf: wf.walk_forward_scores(
@@ -151,10 +148,48 @@ def _learned(model, target="direction"):
     )
 
 
-query("f3_logistic_regression", LEARNED, _learned(mo.LogisticRegression()))
-query("f4_calibrated_sigmoid", LEARNED, _learned(mo.CalibratedLogisticRegression()))
-query("f4_calibrated_isotonic", LEARNED, _learned(mo.CalibratedLogisticRegression(method="isotonic")))
-query("f5_random_forest", LEARNED, _learned(mo.RandomForest(), "threshold"))
+SCORED = "symbol:t date:d fold:i y:1 probable:b"
+_SCORED_SQL = "SELECT *, true AS probable FROM wf_direction"
+
+
+def _probable(model, target="direction"):
+    return lambda spark, sf: _learned(model, target)(spark, sf).withColumn("probable", F.col("proba_up").between(0.0, 1.0))
+
+
+query("f3_logistic_regression", SCORED, _probable(mo.LogisticRegression()), _SCORED_SQL)
+query("f4_calibrated_sigmoid", SCORED, _probable(mo.CalibratedLogisticRegression()), _SCORED_SQL)
+query("f4_calibrated_isotonic", SCORED, _probable(mo.CalibratedLogisticRegression(method="isotonic")), _SCORED_SQL)
+
+
+def _fits(spark, sf):
+    """Fits of every fold, with the scaling they used and whether they are at the optimum."""
+    data = kept(make_dataset(inputs.bars(spark, sf)), "dataset")
+    fits = kept(wf.logistic_fits(data, mo.LogisticRegression(), inputs.SPLITTER), "fits")
+    slopes = wf.steepest_descent(data, fits, inputs.SPLITTER)
+    each = [F.col(f"{part}")[i].alias(f"{part}_{name}") for i, name in enumerate(FEATURE_COLUMNS) for part in ("centre", "spread")]
+    return fits.join(slopes, ["symbol", "fold"]).select("symbol", "fold", "n", *each, (F.col("gradient") < 1e-5).alias("optimal"))
+
+
+query(
+    "f3_logistic_fits",
+    "symbol:t fold:i n:l " + " ".join(f"centre_{c}:6 spread_{c}:6" for c in FEATURE_COLUMNS) + " optimal:b",
+    _fits,
+    "SELECT symbol, fold, count(*) AS n, true AS optimal, "
+    + ", ".join(f"avg({c}) AS centre_{c}, stddev_pop({c}) AS spread_{c}" for c in FEATURE_COLUMNS)
+    + f""" FROM (SELECT *, row_number() OVER ({SYM}) - 1 AS pos FROM ds_direction) JOIN (SELECT unnest([0, 1, 2, 3, 4]) AS fold)
+        ON pos < 252 + fold * 63 GROUP BY symbol, fold""",
+)
+
+# pooled models: folds cut on the dates of all symbols together
+for _target in ("direction", "threshold"):
+    sql_table(
+        f"pooled_{_target}",
+        f"""SELECT symbol, d.date, CAST(floor((pos - 253) / 63.0) AS INTEGER) AS fold, y, true AS probable FROM ds_{_target} d JOIN (
+              SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM ds_{_target})) a
+            ON a.date = d.date WHERE n >= 568 AND pos >= 253 AND pos < 253 + 5 * 63""",
+    )
+query("f3_pooled_logistic", SCORED, _probable(mo.PooledLogisticRegression()), "SELECT * FROM pooled_direction")
+query("f5_random_forest", SCORED, _probable(mo.RandomForest(), "threshold"), "SELECT * FROM pooled_threshold")
 
 # --- backtests -------------------------------------------------------------
 
@@ -373,7 +408,7 @@ query(
         {
             "AlwaysLong": mo.AlwaysLong(),
             "CalibratedLR": mo.CalibratedLogisticRegression(),
-            "RandomForest": mo.RandomForest(n_estimators=25),
+            "RandomForest": mo.RandomForest(),
         },
     ),
 )

@@ -13,7 +13,8 @@ from barloom.plans import inputs
 from barloom.session import kept, shared_dir
 from barloom.sources import account_state, order_log, signal_log
 import catalog.panel  # noqa: F401  (defines the feature and dataset tables)
-from catalog.base import SYM, full, query, sql_table, summary_sql
+from barloom.operators.features import FEATURE_COLUMNS
+from catalog.base import SYM, complete, features_sql, full, query, sql_table, summary_sql
 
 CONTEXT = "return_20d:8 return_60d:8 volatility_20d:8 price_vs_sma_200:8 above_sma_200:b"
 
@@ -40,12 +41,48 @@ query(
         inputs.bars(spark, sf), mo.CalibratedLogisticRegression(), WalkForwardSplit(5, 252, 63, 1, anchor="end")
     ),
 )
+
+
+def _skip_bars(spark, sf):
+    """The bars, with symbols that no model can be fitted to: always rising, rarely falling, too short."""
+    from pyspark.sql import Window
+
+    panel = inputs.bars(spark, sf).select("symbol", "date", "close")
+    one = panel.filter("symbol = '1-URGENT'").withColumn("t", F.row_number().over(Window.partitionBy("symbol").orderBy("date")))
+    rising = 100.0 + F.col("t") + 2.0 * (F.col("t") % 2)
+    rare = rising - F.when(F.col("t").between(100, 103), 50.0).otherwise(0.0)
+    for name, rows, close in (("RISING", one, rising), ("RARE", one, rare), ("SHORT", one.filter("t <= 300"), F.col("close"))):
+        panel = panel.unionByName(rows.select(F.lit(name).alias("symbol"), "date", close.alias("close")))
+    return panel
+
+
+sql_table("skip_one", f"SELECT date, close, row_number() OVER ({SYM}) AS t FROM bars WHERE symbol = '1-URGENT'")
+sql_table(
+    "skip_bars",
+    """SELECT symbol, date, close FROM bars UNION ALL SELECT 'RISING', date, 100.0 + t + 2 * (t % 2) FROM skip_one
+       UNION ALL SELECT 'RARE', date, 100.0 + t + 2 * (t % 2) - CASE WHEN t BETWEEN 100 AND 103 THEN 50 ELSE 0 END FROM skip_one
+       UNION ALL SELECT 'SHORT', date, close FROM skip_one WHERE t <= 300""",
+)
+sql_table("skip_feats", features_sql("skip_bars"))
+sql_table(
+    "skip_rows",
+    f"""SELECT *, row_number() OVER ({SYM}) - 1 AS pos, count(*) OVER (PARTITION BY symbol) AS n FROM (
+          SELECT *, CASE WHEN lead(close, 5) OVER ({SYM}) IS NOT NULL THEN CAST(lead(close, 5) OVER ({SYM}) > close AS INTEGER) END AS y
+          FROM skip_feats) WHERE {complete(FEATURE_COLUMNS)} AND y IS NOT NULL""",
+)
 query(
     "j1_skipped_symbols",
-    "symbol:t n:l",
-    lambda spark, sf: ranking.skipped_symbols(inputs.bars(spark, sf), WalkForwardSplit(20, 252, 63, 1), "threshold"),
-    """SELECT b.symbol, count(t.y) AS n FROM (SELECT DISTINCT symbol FROM bars) b LEFT JOIN ds_threshold t USING (symbol)
-       GROUP BY b.symbol HAVING count(t.y) < 252 + 20 * 63 + 1""",
+    "symbol:t n:l reason:t",
+    lambda spark, sf: ranking.skipped_symbols(_skip_bars(spark, sf), WalkForwardSplit(5, 252, 63, 1), "direction_5d", mo.CalibratedLogisticRegression()),
+    """SELECT symbol, n, 'too few rows' AS reason FROM (SELECT DISTINCT symbol, n FROM skip_rows) WHERE n < 252 + 5 * 63 + 1
+       UNION ALL SELECT symbol, rare, CASE WHEN rare = 0 THEN 'one class' ELSE 'too few rows of a class' END FROM (
+         SELECT symbol, least(sum(y), count(*) - sum(y)) AS rare FROM skip_rows WHERE pos < 252 AND n >= 252 + 5 * 63 + 1 GROUP BY symbol) WHERE rare < 5""",
+)
+query(
+    "j1_ranked_beside_skipped",
+    "symbol:t scored:b",
+    lambda spark, sf: ranking.rank_universe(_skip_bars(spark, sf), mo.CalibratedLogisticRegression(), WalkForwardSplit(5, 252, 63, 1), "direction_5d").select("symbol", F.col("score").between(0.0, 1.0).alias("scored")),
+    "SELECT DISTINCT symbol, true AS scored FROM bars",
 )
 
 sql_table(

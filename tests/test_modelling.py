@@ -57,8 +57,9 @@ def test_inner_parts_are_stratified():
         counts = np.bincount(parts[y == c], minlength=5)
         assert counts.max() - counts.min() <= 1
         assert (np.diff(parts[y == c]) >= 0).all()
-    with pytest.raises(ValueError):
-        models.stratified_parts(np.array([0.0, 0.0, 1.0]), 5)
+    # the class that appears first is dealt first, so it gets the larger first parts
+    assert models.stratified_parts(np.array([1.0, 0.0, 0.0, 1.0, 1.0]), 2).tolist() == [0, 0, 1, 0, 1]
+    assert models.stratified_parts(np.array([0.0, 1.0, 1.0, 0.0, 0.0]), 2).tolist() == [0, 0, 1, 0, 1]
 
 
 def test_isotonic_is_monotone_least_squares():
@@ -74,7 +75,6 @@ def test_isotonic_is_monotone_least_squares():
         models.LogisticRegression(),
         models.CalibratedLogisticRegression(),
         models.CalibratedLogisticRegression(method="isotonic"),
-        models.RandomForest(n_estimators=20),
     ],
 )
 def test_learned_models_predict_and_repeat(model):
@@ -85,22 +85,74 @@ def test_learned_models_predict_and_repeat(model):
     assert (p == model.fit_score(x[:400], y[:400], x[400:])).all()
 
 
-def test_best_cut_against_all_cuts():
-    rng = np.random.default_rng(3)
-    x, y, w = rng.normal(size=(60, 2)), rng.integers(0, 2, 60).astype(float), rng.integers(1, 4, 60).astype(float)
+@pytest.mark.parametrize("model", [models.RandomForest(n_estimators=5), models.PooledLogisticRegression()])
+def test_pooled_models_learn_from_the_past_of_all_symbols(make_bars, model):
+    a, b, cut = walk(240, 8), walk(240, 11), 200
+    late = [v * (1.5 if i % 2 else 0.7) for i, v in enumerate(a[cut:])]
+    data = [walkforward.run_walk_forward_proba(make_bars({"A": s, "B": b}), model, SPLIT) for s in (a, a[:cut] + late)]
+    limit = F.lit(business_days(cut - 2)[-1])
+    rows = [sorted(map(tuple, d.collect())) for d in data]
+    assert {r[0] for r in rows[0]} == {"A", "B"} and len(rows[0]) == 120 and all(0 <= r[-1] <= 1 for r in rows[0])
+    early = [sorted(map(tuple, d.filter(F.col("date") < limit).collect())) for d in data]
+    assert early[0] and early[0] == early[1]
+
 
-    def impurity(mask):
-        total = 0.0
-        for side in (mask, ~mask):
-            p = np.dot(w[side], y[side]) / w[side].sum()
-            total += w[side].sum() * p * (1 - p)
-        return total
+def test_pooled_models_take_intraday_panels(make_bars):
+    timed = make_bars({"A": walk(240, 9), "B": walk(240, 3)}).withColumn("date", F.col("date").cast("timestamp_ntz"))
+    assert walkforward.run_walk_forward(timed, models.PooledLogisticRegression(), SPLIT).count() == 120
 
-    best = min(
-        impurity(x[:, f] <= v) for f in (0, 1) for v in x[:, f] if 10 <= (x[:, f] <= v).sum() <= 50
-    )
-    f, v = models.best_cut(x, y, w, [0, 1], 10)
-    assert impurity(x[:, f] <= v) == pytest.approx(best)
+
+class MeanReversion:
+    """A user's rule: no base class, only the two expressions."""
+
+    def probability(self):
+        return F.when(F.col("return_1d") < 0, 0.7).otherwise(0.3)
+
+    def label(self):
+        return (F.col("return_1d") < 0).cast("int")
+
+
+class MajorityVote:
+    """A user's history model."""
+
+    def fit_score(self, x, y, test):
+        return np.full(len(test), y.mean())
+
+
+class Shrunken:
+    """A user's pooled model."""
+
+    def estimator(self, n):
+        return models.PooledLogisticRegression(C=0.01).estimator(n)
+
+
+@pytest.mark.parametrize("model", [MeanReversion(), MajorityVote(), Shrunken()])
+def test_user_models_work_everywhere(make_bars, model):
+    from barloom.operators.ranking import rank_universe
+
+    bars = make_bars({"A": walk(420, 5), "B": walk(420, 6)})
+    assert walkforward.run_walk_forward(bars, model, SPLIT).count() == 120
+    assert rank_universe(bars, model, SPLIT).count() == 2
+    period = [{"period": "all", "start": "2020-01-01", "end": "2030-01-01"}]
+    grid = experiments.run_grid(bars, period, {"mine": model}, configs=experiments.CONFIGS[:1])
+    assert {r["symbol"] for r in grid.collect()} == {"A", "B"}
+
+
+def test_what_is_no_model_is_refused(make_bars):
+    with pytest.raises(TypeError):
+        walkforward.run_walk_forward(make_bars({"A": walk(240, 9)}), object(), SPLIT)
+
+
+def test_one_symbol_never_ends_the_run(make_bars):
+    from barloom.operators.ranking import rank_universe, skipped_symbols
+
+    falling = [200 * 0.999**i + (2.5 if i in (50, 80, 100) else 0.02 * (i % 2)) for i in range(260)]
+    bars = make_bars({"A": walk(260, 1), "B": walk(260, 2), "DOWN": falling, "NEW": walk(60, 3)})
+    model = models.CalibratedLogisticRegression()
+    assert {r["symbol"] for r in rank_universe(bars, model, SPLIT).collect()} == {"A", "B"}
+    skipped = {r["symbol"]: r["reason"] for r in skipped_symbols(bars, SPLIT, model=model).collect()}
+    assert set(skipped) == {"DOWN", "NEW"} and skipped["NEW"] == "too few rows" and "class" in skipped["DOWN"]
+    assert {r["symbol"] for r in skipped_symbols(bars, SPLIT).collect()} == {"NEW"}
 
 
 def test_walk_forward_trains_on_the_past_only(make_bars):
