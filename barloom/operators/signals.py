@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.numbering import numbered
+
 # Output order of the actions.
 ACTION_ORDER = {"buy": 1, "hold": 2, "sell": 3, "blocked": 4}
 
@@ -110,12 +112,10 @@ def order_signals(signals: DataFrame, keys: Sequence[str] = ("as_of",)) -> DataF
 def signal_sequence(signals: DataFrame, keys: Sequence[str] = ("as_of",), out: str = "seq") -> DataFrame:
     """Number the signals of each group in output order, from 1.
 
-    A group holds at most one row per symbol of its universe.
+    Counted in two levels, so one group is spread over many tasks.
     """
-    w = Window.partitionBy(*keys).orderBy(
-        action_rank(F.col("action")), F.col("score").desc_nulls_last(), "symbol"
-    )
-    return signals.withColumn(out, F.row_number().over(w).cast("long"))
+    order = [action_rank(F.col("action")), F.col("score").desc_nulls_last(), F.col("symbol")]
+    return numbered(signals, keys, order, out)
 
 
 def candidate_table(

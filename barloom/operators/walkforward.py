@@ -20,8 +20,8 @@ from barloom.operators.splits import PLAN_COLUMNS, Splitter, out_of_sample, shor
 from barloom.operators.targets import TARGET_HORIZON, make_dataset
 from barloom.session import kept
 
-#: Pooled fits that are under way at the same time.
-FITS_AT_ONCE = 4
+#: Pooled fits that are under way at the same time, and training rows for each of a fit's tasks.
+FITS_AT_ONCE, ROWS_PER_TASK = 8, 50_000
 
 
 def by_history(rows: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
@@ -199,7 +199,9 @@ def _pooled_scores(dataset: DataFrame, model: Model, splitter: Splitter, keys: S
         seen = {r.label: r["count"] for r in train.groupBy("label").count().collect()}
         if min(seen.get(0.0, 0), seen.get(1.0, 0)) < rows_needed(model):
             return None
-        return model.estimator(sum(seen.values())).fit(train)
+        n = sum(seen.values())
+        # a small fit runs in few tasks: its many passes cost more to start than to do
+        return model.estimator(n).fit(train.coalesce(max(1, n // ROWS_PER_TASK)))
 
     with ThreadPoolExecutor(FITS_AT_ONCE) as workers:
         fitted = list(workers.map(fit, jobs))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.functions.exprs import utc_date
+from barloom.functions.numbering import numbered
 from barloom.operators.forward_returns import NO_ACTION
 from barloom.operators.ranking import CONTEXT_COLUMNS
 
@@ -16,6 +17,9 @@ from barloom.operators.ranking import CONTEXT_COLUMNS
 LOG_COLUMNS = ["date", "rank", "symbol", "score", "action", "reason", *CONTEXT_COLUMNS]
 DATED_FILE = r"(?:^|/)(?:file_date=)?(\d{4}-\d{2}-\d{2})(?:\.csv)?(?:/part-[^/]*)?$"
 
+#: Rows of a date that go into one file.
+ROWS_PER_FILE = 100_000
+
 _TEXT_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in LOG_COLUMNS])
 
 
@@ -24,14 +28,12 @@ def signal_log_rows(
 ) -> DataFrame:
     """The rows of a signal file: ranking with 1-based rank, action and reason.
 
-    One ranking (a date) has one row per symbol, which bounds the rank window.
+    Ranks are counted in two levels, so a universe is spread over many tasks.
     """
-    from pyspark.sql import Window
-
     on = [*keys, "symbol"]
-    best = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "symbol")
     return (
-        ranking.withColumn("rank", F.row_number().over(best))
+        numbered(ranking, keys, [F.col("score").desc(), F.col("symbol")], "rank")
+        .withColumn("rank", F.col("rank").cast("int"))
         .join(signals.select(*on, "action", "reason"), on, "left")
         .withColumns(
             {"action": F.coalesce("action", F.lit("")), "reason": F.coalesce("reason", F.lit(""))}
@@ -42,12 +44,15 @@ def signal_log_rows(
 
 
 def write_signal_log(rows: DataFrame, path: str) -> None:
-    """Write one folder per date; a date written again replaces its folder."""
+    """Write one folder per date; a date written again replaces its folder.
+
+    A date's rows are cut into files of consecutive ranks, one task each.
+    """
     flag = F.when(F.col("above_sma_200"), "True").when(~F.col("above_sma_200"), "False")
     (
         rows.withColumn("above_sma_200", flag)
         .withColumn("file_date", F.date_format("date", "yyyy-MM-dd"))
-        .repartition("file_date")
+        .repartition("file_date", F.floor(F.col("rank") / ROWS_PER_FILE))
         .sortWithinPartitions("file_date", "rank")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -65,7 +70,7 @@ def _scan(spark: SparkSession, path: str) -> DataFrame:
         .csv(path)
     )
     named = F.regexp_extract(F.col("_metadata.file_path"), DATED_FILE, 1)
-    return raw.withColumn("file", F.nullif(named, F.lit(""))).filter("file is not null")
+    return raw.withColumn("file", F.nullif(named, F.lit("")))
 
 
 def _typed(raw: DataFrame) -> DataFrame:
@@ -84,7 +89,11 @@ def _typed(raw: DataFrame) -> DataFrame:
 
 
 def read_signal_log(spark: SparkSession, path: str) -> DataFrame:
-    """All dated signal files: mixed date forms to UTC days, bad scores to NULL."""
+    """All signal files below ``path``: mixed date forms to UTC days, bad scores to NULL.
+
+    ``file`` is the date in a file's name, NULL for other names; a row's own
+    ``date`` counts, not its file. Analysis output lies in a folder of its own.
+    """
     return _typed(_scan(spark, path))
 
 

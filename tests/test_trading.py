@@ -86,7 +86,7 @@ def test_signal_log_reads_plain_files(spark, tmp_path):
     )
     (tmp_path / "analysis.csv").write_text(f"{HEADER}\n2020-01-01,1,Q,0.9,buy,,,,,,True\n")
     rows = {(r["file"], r["symbol"]): r for r in signal_log.read_signal_log(spark, str(tmp_path)).collect()}
-    assert len(rows) == 4
+    assert len(rows) == 5 and rows[(None, "Q")]["score"] == 0.9
     assert rows["2024-05-10", "B"]["score"] is None and rows["2024-05-10", "B"]["action"] == "(no action)"
     assert rows["2024-05-17", "A"]["date"] == rows["2024-05-17", "C"]["date"] == dt.date(2024, 5, 17)
     assert rows["2024-05-17", "A"]["above_sma_200"] is False
