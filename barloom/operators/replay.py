@@ -83,25 +83,29 @@ def _all_filled(priced: DataFrame) -> DataFrame:
 
 
 def _one_by_one(priced: DataFrame) -> DataFrame:
-    """The replay in order, for accounts with a BUY their cash does not cover."""
+    """The replay in order, from the first BUY that an account's cash does not cover.
+
+    ``capital`` is the cash before that order, ``owned`` what the account then
+    holds of the row's symbol.
+    """
 
     def new_state():
         shares: dict[str, float] = {}
         cash: list[float] = []
 
-        def step(symbol, side, amount, close, capital):
+        def step(symbol, side, amount, close, capital, at_first):
             if not cash:
                 cash.append(capital)
-            owned, done = shares.get(symbol, 0.0), False
+            owned, done = shares.setdefault(symbol, at_first), False
             if side == "BUY" and amount <= cash[0]:
                 shares[symbol] = owned + amount / close
                 cash[0] -= amount
                 done = True
             elif side == "SELL" and owned > 0:
-                del shares[symbol]
+                shares[symbol] = 0.0
                 cash[0] += owned * close
                 done = True
-            return cash[0], shares.get(symbol, 0.0), done
+            return cash[0], shares[symbol], done
 
         return step
 
@@ -111,24 +115,43 @@ def _one_by_one(priced: DataFrame) -> DataFrame:
         T.StructField("executed", T.BooleanType()),
     ]
     return ordered_fold(
-        priced, ["account"], ["date", "seq"], ["symbol", "side", "amount", "close", "capital"], fields, new_state
+        priced, ["account"], ["date", "seq"], ["symbol", "side", "amount", "close", "capital", "owned"], fields, new_state
     ).select(
         "account", "date", "seq", "symbol", "side", "amount", "close", "cash_after", "shares_after", "executed"
     )
 
 
+def split_at_first_refusal(filled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Orders whose running sums are exact, and those from an account's first refused BUY on.
+
+    The latter carry the cash before that BUY as ``capital`` and the shares then
+    held of their symbol as ``owned``.
+    """
+    turn = F.struct("date", "seq")
+    refused = filled.filter("short").groupBy("account").agg(
+        F.min(turn).alias("_cut"), F.min_by(F.col("cash_after") + F.col("amount"), turn).alias("_cash")
+    )
+    marked = filled.join(refused, "account", "left")
+    exact = marked.filter(F.col("_cut").isNull() | (turn < F.col("_cut")))
+    held = exact.filter("_cut IS NOT NULL").groupBy("account", "symbol").agg(F.max_by("shares_after", turn).alias("_held"))
+    rest = marked.filter(turn >= F.col("_cut")).join(held, ["account", "symbol"], "left")
+    ordered = ["account", "date", "seq", "symbol", "side", "amount", "close"]
+    return (
+        exact.select(*ordered, "cash_after", "shares_after", "executed"),
+        rest.select(*ordered, F.col("_cash").alias("capital"), F.coalesce("_held", F.lit(0.0)).alias("owned")),
+    )
+
+
 def executed_orders(orders: DataFrame, bars: DataFrame, accounts: DataFrame) -> DataFrame:
     """Each executable order with ``executed`` and the cash and shares after it.
 
-    Accounts that never run short are done by running sums. Only an account
-    with a refused BUY needs its orders one by one.
+    Running sums do all orders up to an account's first refused BUY; only those
+    from there on are taken one by one.
     """
     priced = _priced(orders, bars).join(accounts.select("account", "capital"), "account")
     filled = kept(_all_filled(priced), "filled-orders")
-    short = filled.filter("short").select("account").distinct()
-    clean = filled.join(short, "account", "left_anti").drop("short", "capital")
-    rest = filled.join(short, "account", "left_semi").drop("cash_after", "shares_after", "executed", "short")
-    return clean.unionByName(_one_by_one(rest))
+    exact, rest = split_at_first_refusal(filled)
+    return exact.unionByName(_one_by_one(rest))
 
 
 def build_equity_curve(orders: DataFrame, bars: DataFrame, accounts: DataFrame) -> PortfolioHistory:

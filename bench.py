@@ -84,6 +84,18 @@ def experiment_grid(spark: SparkSession, sf: str) -> DataFrame:
     return experiments.run_grid(inputs.wide_bars(spark, sf), periods, rules)
 
 
+def learned_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """The grid with a model fitted to every history."""
+    periods = [{"period": "all", "start": "1995-01-01", "end": "2001-12-31"}]
+    learned = {"AlwaysLong": models.AlwaysLong(), "CalibratedLR": models.CalibratedLogisticRegression()}
+    return experiments.run_grid(inputs.wide_bars(spark, sf), periods, learned)
+
+
+def pooled_forest(spark: SparkSession, sf: str) -> DataFrame:
+    """200 trees over all symbols, one distributed fit per fold."""
+    return run_walk_forward_proba(inputs.wide_bars(spark, sf), models.RandomForest(), inputs.SPLITTER)
+
+
 WORKLOADS = [
     bars,
     features_targets,
@@ -94,6 +106,8 @@ WORKLOADS = [
     signal_analysis,
     order_replay,
     experiment_grid,
+    learned_grid,
+    pooled_forest,
 ]
 
 

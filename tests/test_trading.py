@@ -340,6 +340,21 @@ def test_replay_equals_plain_loop(spark, make_bars):
     assert 0 < refused.count() < len(books)
 
 
+def test_only_orders_from_the_first_refusal_on_are_taken_one_by_one(spark, make_bars):
+    days = business_days(30)
+    bars = make_bars({"A": walk(30, 1)}, days)
+    rows = [("late", d, 1, "A", "BUY", 10.0) for d in days[:25]] + [("late", days[25], 1, "A", "BUY", 5000.0), ("late", days[26], 1, "A", "SELL", 0.0)]
+    rows += [("rich", d, 1, "A", "BUY", 10.0) for d in days]
+    orders = spark.createDataFrame(rows, "account string, date date, seq long, symbol string, side string, amount double")
+    accounts = spark.createDataFrame([("late", 1000.0), ("rich", 1000.0)], "account string, capital double")
+    filled = replay._all_filled(replay._priced(orders, bars).join(accounts, "account"))
+    exact, rest = (x.collect() for x in replay.split_at_first_refusal(filled))
+    assert len(exact) == 55 and [(r["account"], r["side"], r["capital"]) for r in sorted(rest, key=lambda r: r["date"])] == [("late", "BUY", 750.0), ("late", "SELL", 750.0)]
+    last = replay.executed_orders(orders, bars, accounts).filter("account = 'late' AND side = 'SELL'").first()
+    shares = sum(10.0 / v for v in walk(30, 1)[:25])
+    assert last["executed"] and last["cash_after"] == pytest.approx(750.0 + shares * walk(30, 1)[26])
+
+
 def test_weekly_returns_end_on_friday(spark):
     days = [dt.date(2024, 1, 4), dt.date(2024, 1, 5), dt.date(2024, 1, 6), dt.date(2024, 1, 11), dt.date(2024, 1, 25)]
     eq = spark.createDataFrame([("x", d, v) for d, v in zip(days, [100.0, 110.0, 99.0, 121.0, 60.5])], "account string, date date, value double")
