@@ -103,3 +103,33 @@ def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.train(documents.filter(crc_of() % 4 != 2))
     found = langid.predict(documents, model)
     return found.select("doc_id", F.coalesce(crc_of() % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+ORACLE_SQL["op5_voronoi_knn"] = """
+WITH good AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+asked AS (SELECT * FROM good WHERE vec_id % 100 = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_sum(list_transform(list_zip(q.v, d.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM asked q JOIN good d ON q.vec_id <> d.vec_id AND len(q.v) = len(d.v))
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM scored) WHERE n <= 10"""
+
+_WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+ORACLE_SQL["op7_decontamination"] = f"""
+WITH item_words AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
+windows AS (
+  SELECT DISTINCT item_id, size, list_slice(w, pos, pos + size - 1) AS words
+  FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS pos FROM (SELECT *, least(10, len(w)) AS size FROM item_words WHERE len(w) > 0))),
+docs AS (SELECT doc_id, row_number() OVER () AS row, coalesce({_WORDS}, []) AS w FROM documents),
+places AS (
+  SELECT row, size, pos, list_slice(w, pos, pos + size - 1) AS words
+  FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS pos FROM docs CROSS JOIN (SELECT DISTINCT size FROM windows) WHERE len(w) >= size)),
+found AS (SELECT row, pos, p.size, item_id FROM places p JOIN windows i ON p.size = i.size AND p.words = i.words),
+hit AS (SELECT row, count(DISTINCT place) AS n_hit FROM (SELECT row, unnest(range(pos, pos + size)) AS place FROM found) GROUP BY row),
+listed AS (SELECT row, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT row, CAST(item_id AS VARCHAR) AS id FROM found WHERE item_id IS NOT NULL) GROUP BY row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (row) LEFT JOIN listed USING (row)"""
