@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: A task works on about this many characters of text at a time, however many rows Arrow delivers.
 CHUNK_CHARS = 1_000_000
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
 def chunks(sizes: list[int], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` units each; a larger row stands alone."""
     start, total = 0, 0
@@ -29,10 +25,16 @@ def chunks(sizes: list[int], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, in
         yield start, len(sizes)
 
 
-def typed(table: dict[str, pa.Array | list], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [v if isinstance(v, pa.Array) else pa.array(v, f.type) for f, v in ((f, table[f.name]) for f in schema)], schema=schema
-    )
+def by_pieces(batches: Iterator[pa.RecordBatch], column: int, limit: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``limit`` bytes of text each.
+
+    Only so much text is turned into Python strings at a time; a longer text
+    stands alone.
+    """
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        for a, b in chunks(size, limit):
+            yield batch.slice(a, b - a)
 
 
 def input_columns(df: DataFrame, **columns: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.batches import input_columns
+from barloom.llm.batches import by_pieces, input_columns
 from barloom.session import kept
 
 WINDOW_WORDS = 10
@@ -163,7 +163,7 @@ def find_hits(documents: DataFrame, benchmark: DataFrame, text: str = "text", it
 
 def _marker(automaton: Automaton, text_at: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_pieces(batches, text_at):
             counts, runs, found = [], [], []
             for t, before, listed in zip(*(batch.column(i).to_pylist() for i in (text_at, len(names) - 2, len(names) - 1))):
                 words = words_of(t)
@@ -203,7 +203,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, text: str = "text"
     at = columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_pieces(batches, at):
             texts, keep = [], []
             for t, n, runs in zip(*(batch.column(i).to_pylist() for i in (at, len(columns), len(columns) + 1))):
                 hit = sum(b - a + 1 for a, b in runs)

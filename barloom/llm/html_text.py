@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.batches import input_columns
+from barloom.llm.batches import by_pieces, input_columns
 
 #: Spread of the smoothing, in lines.
 SIGMA = 1.5
@@ -156,7 +156,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     """``(page_id, url, text, n_chars)`` of every page; rows that repeat stay, other columns go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_pieces(batches, 2):
             texts = [main_text(h) for h in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

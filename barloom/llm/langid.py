@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.batches import input_columns
+from barloom.llm.batches import by_pieces, input_columns
 
 GRAM = 3
 #: Hash buckets of the n-grams; a model is languages x buckets numbers, checked against the bound.
@@ -97,7 +97,7 @@ def train(documents: DataFrame, text: str = "text", lang: str = "lang") -> Model
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(BUCKETS, np.int64))
-        for batch in batches:
+        for batch in by_pieces(batches, 0):
             for t, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 sums[name] += gram_counts(t)
         for name, counts in sums.items():
@@ -127,7 +127,7 @@ def predict(documents: DataFrame, model: Model, doc_id: str = "doc_id", text: st
     source = input_columns(documents, doc_id=doc_id, text=text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_pieces(batches, 1):
             made = [model.predict(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())], names=["doc_id", "lang_pred", "score"])
 

@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.batches import bounded_sample, input_columns
+from barloom.llm.batches import bounded_sample, by_pieces, input_columns
 from barloom.session import kept
 
 #: Labelled documents of each class that pairs are made of, and partners of each.
@@ -57,7 +57,7 @@ def featured(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     source = input_columns(documents, doc_id=doc_id, text=text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_pieces(batches, 1):
             made = [features(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.float64()))], names=["doc_id", "x"])
 
@@ -152,7 +152,7 @@ def _scored(documents: DataFrame, ranking: Ranking, text: str) -> DataFrame:
     schema = documents.withColumn("__x", F.array().cast("array<double>")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_pieces(batches, at):
             made = [features(t) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.list_(pa.float64()))], names=[*names, "__x"])
 

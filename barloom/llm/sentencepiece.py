@@ -17,12 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.batches import chunks
+from barloom.llm.batches import by_pieces, chunks
 
 SPACE = "▁"
 NONE = np.iinfo(np.int32).max
 #: Words remembered by a task, twice at most: recent ones, and those before them.
-REMEMBERED_WORDS = 200_000
+REMEMBERED_WORDS = 100_000
+#: Characters of words whose merge rounds run together.
+MERGED_CHARS = 250_000
 #: A vocabulary is sent to every task, so its size is checked.
 MAX_PIECES = 1_000_000
 
@@ -257,7 +259,7 @@ class Encoder:
         if self.older:
             self.words.update((w, self.older[w]) for w in missing if w in self.older)
             missing = [w for w in missing if w not in self.older]
-        for a, b in chunks([len(w) for w in missing]):
+        for a, b in chunks([len(w) for w in missing], MERGED_CHARS):
             self.words.update(zip(missing[a:b], self.vocabulary.merge_words([SPACE + w for w in missing[a:b]])))
         for t, words in zip(texts, parts):
             if not t:
@@ -304,18 +306,16 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", into: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary)
-        for batch in batches:
-            texts = batch.column(len(kept)).to_pylist()
-            for a, b in chunks([len(t or "") for t in texts]):
-                rows = []
-                for ids in encoder.encode([t or "" for t in texts[a:b]]):
-                    row = (pa.array(ids, pa.int32()),) if into else ()
-                    if digests:
-                        joined = ",".join(map(vocabulary.digits.__getitem__, ids))
-                        row += (len(ids), _sha(joined), _sha(vocabulary.decode(ids)))
-                    rows.append(row)
-                columns = [_lists(c) if into and i == 0 else pa.array(c) for i, c in enumerate(zip(*rows))]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(kept))), *columns], names=[*kept, *made])
+        for batch in by_pieces(batches, len(kept)):
+            rows = []
+            for ids in encoder.encode([t or "" for t in batch.column(len(kept)).to_pylist()]):
+                row = (pa.array(ids, pa.int32()),) if into else ()
+                if digests:
+                    joined = ",".join(map(vocabulary.digits.__getitem__, ids))
+                    row += (len(ids), _sha(joined), _sha(vocabulary.decode(ids)))
+                rows.append(row)
+            columns = [_lists(c) if into and i == 0 else pa.array(c) for i, c in enumerate(zip(*rows))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), *columns], names=[*kept, *made])
 
     return source.mapInArrow(run, schema)
 

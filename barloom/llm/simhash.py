@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.batches import bounded_sample, input_columns
+from barloom.llm.batches import bounded_sample, by_pieces, input_columns
 from barloom.llm.components import connected_components
 from barloom.session import kept
 
@@ -63,7 +63,7 @@ def fingerprints(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     """``(doc_id, fp)`` of every whole text; ``fp`` holds the 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_pieces(batches, 1):
             made = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], names=["doc_id", "fp"])
 

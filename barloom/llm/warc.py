@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.batches import bounded_sample, input_columns
+from barloom.llm.batches import bounded_sample, by_pieces, input_columns
 
 # Fixed values of the two formats.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -259,8 +259,8 @@ def page_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
     rows = input_columns(pages, page_id=page_id, url=url, html=html).withColumn("payload", F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")).drop("html")
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [sha1_base32(p) for p in batch.column(batch.schema.get_field_index("payload")).to_pylist()]
+        for batch in by_pieces(batches, 2):
+            made = [sha1_base32(p) for p in batch.column(2).to_pylist()]
             yield batch.append_column("payload_digest", pa.array(made, pa.string()))
 
     hashed = rows.mapInArrow(digests, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, payload binary, payload_digest string")
