@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.batches import chunks, input_columns
+from barloom.llm.batches import by_pieces, input_columns
 from barloom.llm.components import connected_components
 from barloom.session import kept
 
@@ -21,7 +21,7 @@ THRESHOLD = 0.8
 #: At the threshold a pair shares a band with probability 1 - (1 - 0.8**3)**7 = 0.993, and more above it.
 BANDS, ROWS = 7, 3
 #: Lines whose signature a task remembers having sent.
-REMEMBERED_LINES = 500_000
+REMEMBERED_LINES = 100_000
 #: Members of a bucket that are compared with each other in one piece.
 BLOCK = 256
 #: Bits of the map that keeps lines without any candidate out of the shuffle.
@@ -106,22 +106,20 @@ def _signed_lines(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in chunks([len(t or "") for t in texts], PIECE_CHARS):
-                found = {}
-                for t in texts[a:b]:
-                    lines = [line for line in lines_of(t) if line]
-                    if lines:
-                        found.update(zip(_keys(lines)[1].tolist(), lines))
-                fresh = [k for k in found if k not in seen]
-                if len(seen) > REMEMBERED_LINES:
-                    seen.clear()
-                seen.update(fresh)
-                if fresh:
-                    flat = pa.array(buckets(signatures([found[k] for k in fresh])).ravel())
-                    bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), flat)
-                    yield pa.RecordBatch.from_arrays([pa.array(fresh, pa.int64()), bands], names=["k", "bands"])
+        for batch in by_pieces(batches, 0, PIECE_CHARS):
+            found = {}
+            for t in batch.column(0).to_pylist():
+                lines = [line for line in lines_of(t) if line]
+                if lines:
+                    found.update(zip(_keys(lines)[1].tolist(), lines))
+            fresh = [k for k in found if k not in seen]
+            if len(seen) > REMEMBERED_LINES:
+                seen.clear()
+            seen.update(fresh)
+            if fresh:
+                flat = pa.array(buckets(signatures([found[k] for k in fresh])).ravel())
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), flat)
+                yield pa.RecordBatch.from_arrays([pa.array(fresh, pa.int64()), bands], names=["k", "bands"])
 
     return texts.mapInArrow(run, "k bigint, bands array<bigint>")
 
@@ -150,21 +148,20 @@ def _occurrences(rows: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
     """``(key, k, doc, text_hash, line_no)`` of every line that is not blank, or of those in the map."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for a, b in chunks([len(t or "") for t in texts]):
-                keys, row, number = [], [], []
-                for i, t in enumerate(texts[a:b], a):
-                    got = [(n, line) for n, line in enumerate(lines_of(t)) if line]
-                    keys += [xxhash.xxh3_128_digest(line.encode()) for _, line in got]
-                    number += [n for n, _ in got]
-                    row += [i] * len(got)
-                k = np.frombuffer(b"".join(keys), np.int64)[::2]
-                out = pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.binary()), pa.array(k), batch.column(0).take(pa.array(row, pa.int64())), batch.column(1).take(pa.array(row, pa.int64())), pa.array(number, pa.int32())],
-                    names=["key", "k", "doc", "text_hash", "line_no"],
-                )
-                yield out if bits is None else out.filter(pa.array(_marked(bits, k)))
+        for batch in by_pieces(batches, 2):
+            keys, row, number = [], [], []
+            for i, t in enumerate(batch.column(2).to_pylist()):
+                got = [(n, line) for n, line in enumerate(lines_of(t)) if line]
+                keys += [xxhash.xxh3_128_digest(line.encode()) for _, line in got]
+                number += [n for n, _ in got]
+                row += [i] * len(got)
+            k = np.frombuffer(b"".join(keys), np.int64)[::2]
+            place = pa.array(row, pa.int64())
+            out = pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.binary()), pa.array(k), batch.column(0).take(place), batch.column(1).take(place), pa.array(number, pa.int32())],
+                names=["key", "k", "doc", "text_hash", "line_no"],
+            )
+            yield out if bits is None else out.filter(pa.array(_marked(bits, k)))
 
     return rows.mapInArrow(run, f"key binary, k bigint, doc {rows.schema['doc'].dataType.simpleString()}, text_hash bigint, line_no int")
 
@@ -174,7 +171,7 @@ def _texts(rows: DataFrame, bits: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for batch in batches:
+        for batch in by_pieces(batches, 2):
             out = {}
             for t in batch.column(2).to_pylist():
                 lines = [line for line in lines_of(t) if line]
@@ -185,11 +182,8 @@ def _texts(rows: DataFrame, bits: np.ndarray) -> DataFrame:
             if len(seen) > REMEMBERED_LINES:
                 seen.clear()
             seen.update(out)
-            keys = list(out)
-            for a, b in chunks([len(out[x]) for x in keys]):
-                part = keys[a:b]
-                k = np.frombuffer(b"".join(part), np.int64)[::2]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array(k), pa.array([out[x] for x in part], pa.string())], names=["key", "k", "line"])
+            k = np.frombuffer(b"".join(out), np.int64)[::2]
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array(k), pa.array(list(out.values()), pa.string())], names=["key", "k", "line"])
 
     return rows.mapInArrow(run, "key binary, k bigint, line string").groupBy("key").agg(F.first("k").alias("k"), F.first("line").alias("line"))
 
@@ -219,7 +213,7 @@ def _across(groups: DataFrame) -> DataFrame:
 
     def links(rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
         i, j = rows[0][1:3]
-        sets = [shingles(r[6]) for r in rows]
+        sets: dict[int, set[str]] = {}
         part = {}
         for r in rows:
             part.setdefault(r[4], r[4])
@@ -234,7 +228,12 @@ def _across(groups: DataFrame) -> DataFrame:
                 if i != j and rows[x][3] == rows[y][3]:
                     continue  # compared where the block stands alone
                 a, b = find(rows[x][4]), find(rows[y][4])
-                if a != b and similar(sets[x], sets[y]):
+                if a == b:
+                    continue
+                for n in (x, y):
+                    if n not in sets:
+                        sets[n] = shingles(rows[n][6])
+                if similar(sets[x], sets[y]):
                     part[max(a, b)] = min(a, b)
                     yield rows[x][5], rows[y][5]
 
@@ -262,13 +261,17 @@ def _rooted(keys: DataFrame, components: DataFrame) -> DataFrame:
     return keys.join(found, "key", "left").withColumn("root", F.coalesce("root", "key"))
 
 
+def _links_of(components: DataFrame) -> DataFrame:
+    return components.select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
 def line_components(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Components of similar lines, and all lines that have a copy or a candidate.
 
-    Members of a bucket are first compared with its smallest key; where that
-    leaves several components in one bucket, their lines are compared across
-    in blocks. So no pair of a bucket goes unseen, and a large bucket of
-    variants of one line costs one comparison each.
+    Every line is first compared with the smallest key of one of its buckets.
+    Where that leaves a bucket with several components, their lines are compared
+    across in blocks. So no pair of a bucket goes unseen, and a large bucket of
+    variants of one line costs about one comparison each.
     """
     signed = _signed_lines(rows.select("text"))
     members = signed.select(F.explode("bands").alias("bucket"), "k")
@@ -279,25 +282,30 @@ def line_components(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     bits = bit_map(candidates)
     texts = kept(_texts(rows, bits).join(candidates, "k", "left_semi"), "lines")
     stars = members.filter("k <> least").select("k", "least").distinct()
-    left = texts.select("k", F.col("key").alias("a"), F.col("line").alias("line_a"))
-    right = texts.select(F.col("k").alias("least"), F.col("key").alias("b"), F.col("line").alias("line_b"))
     # two lines whose keys only share their first half meet here as well
     twins = texts.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k", F.col("k").alias("least"))
-    pairs = stars.unionByName(twins).join(left, "k").join(right, "least").filter("a <> b")
-    edges = kept(_verified(pairs), "edges")
+    left = texts.select("k", F.col("key").alias("a"), F.col("line").alias("line_a"))
+    right = texts.select(F.col("k").alias("least"), F.col("key").alias("b"), F.col("line").alias("line_b"))
+    pairs = lambda some: some.join(left, "k").join(right, "least").filter("a <> b")
+    # one comparison a line; what it leaves apart is looked at by bucket
+    first = stars.groupBy("k").agg(F.min("least").alias("least"))
+    edges = kept(_verified(pairs(first.unionByName(twins))), "edges")
     components = kept(connected_components(edges), "components")
 
-    keyed = members.select("bucket", "k").join(texts.select("k", "key"), "k").select("bucket", "key").distinct()
-    open_members = _rooted(keyed, components)
-    open_buckets = open_members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("n > 2 AND r0 <> r1").select("bucket", "n")
+    seen = first.select("k", F.col("least").alias("compared"))
+    rooted = _rooted(texts.select("k", "key"), components).join(seen, "k", "left")
+    open_members = members.join(rooted, "k").select("bucket", "key", "root", F.coalesce(F.col("compared") == F.col("least"), F.lit(False)).alias("compared")).distinct()
+    content = [F.bit_xor(F.xxhash64(F.lit(seed), "key")).alias(f"h{seed}") for seed in (0, 1)]
+    each = open_members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.count_if("compared").alias("done"), *content)
+    # buckets of several bands with the same members are looked through once
+    open_buckets = each.filter("r0 <> r1 AND (n > 2 OR done = 0)").groupBy("n", "h0", "h1").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
     order = Window.partitionBy("bucket").orderBy("root", "key")
     blocks = open_members.join(open_buckets, "bucket").withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK))
     last = F.floor((F.col("n") - 1) / BLOCK)
     spread = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
     grouped = spread.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "root", "key")
     more = kept(_across(grouped.join(texts.select("key", "line"), "key")), "edges")
-    links = components.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
-    return connected_components(links), candidates
+    return connected_components(_links_of(components).unionByName(more)), candidates
 
 
 def dropped_lines(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -343,17 +351,15 @@ def deduplicate(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for a, b in chunks([len(z or b"") for z in batch.column(at).to_pylist()], 4 << 20):
-                part = batch.slice(a, b - a)
-                texts = []
-                for z, numbers in zip(part.column(at).to_pylist(), part.column(len(names)).to_pylist()):
-                    t = None if z is None else unpack.decompress(z).decode()
-                    if numbers:
-                        drop = set(numbers)
-                        t = "\n".join(line for n, line in enumerate(t.split("\n")) if n not in drop)
-                    texts.append(t)
-                yield pa.RecordBatch.from_arrays([part.column(i) if i != at else pa.array(texts, pa.string()) for i in range(len(names))], names=names)
+        for batch in by_pieces(batches, at):
+            texts = []
+            for z, numbers in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()):
+                t = None if z is None else unpack.decompress(z).decode()
+                if numbers:
+                    drop = set(numbers)
+                    t = "\n".join(line for n, line in enumerate(t.split("\n")) if n not in drop)
+                texts.append(t)
+            yield pa.RecordBatch.from_arrays([batch.column(i) if i != at else pa.array(texts, pa.string()) for i in range(len(names))], names=names)
 
     return source.mapInArrow(run, T.StructType([fields[c] for c in names]))
 
@@ -367,7 +373,7 @@ def _packed(documents: DataFrame, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in by_pieces(batches, at):
             out = [None if t is None else pack.compress(t.encode()) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([c if i != at else pa.array(out, pa.binary()) for i, c in enumerate(batch.columns)], names=batch.schema.names)
 
