@@ -38,22 +38,25 @@ _TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Lines(HTMLParser):
-    """Turns parser events into lines, one per block: text, tags seen, open containers."""
+    """Turns parser events into lines, one per block: text, tags seen, open containers, inside boilerplate, nothing but links."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int, bool]] = []  # name, number, inside boilerplate
         self.names: list[str] = []
-        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
+        self.lines: list[tuple[str, int, tuple[int, ...], bool, bool]] = []
         self.text: list[str] = []
+        self.links: set[int] = set()
+        self.plain = False  # whether the line has text outside links
         self.tags = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         self.text = []
         if text:
-            self.lines.append((text, self.tags, tuple(n for _, n, _ in self.stack), bool(self.stack) and self.stack[-1][2]))
+            self.lines.append((text, self.tags, tuple(n for _, n, _ in self.stack), bool(self.stack) and self.stack[-1][2], not self.plain))
             self.tags = 0
+        self.plain = False
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag not in INLINE:
@@ -68,6 +71,8 @@ class Lines(HTMLParser):
         if tag == "main" or tag == "article" and not own and not self._among_readers():
             outer = False  # whatever was left open before does not hold the article
         self.stack.append((tag, len(self.names), outer or own))
+        if tag == "a" and any(k == "href" for k, _ in attrs):
+            self.links.add(len(self.names))
         self.names.append(tag + " readers" * (own and reader_marked(attrs)))
 
     def _among_readers(self) -> bool:
@@ -88,6 +93,8 @@ class Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         self.text.append(data)
+        if not self.plain and not data.isspace():
+            self.plain = self.links.isdisjoint(n for _, n, _ in self.stack)
 
 
 def _words(attrs: list[tuple[str, str | None]]) -> set[str]:
@@ -118,13 +125,22 @@ def smoothed_ratios(lines: list[tuple[int, int]], sigma: float = SIGMA) -> np.nd
     return np.convolve(ratio, kernel)[reach : reach + len(ratio)] / weight
 
 
+def common(paths: list[tuple[int, ...]]) -> tuple[int, ...]:
+    """The containers that are open in all of some lines."""
+    low, high = min(paths), max(paths)
+    return low[: next((i for i, (a, b) in enumerate(zip(low, high)) if a != b), min(len(low), len(high)))]
+
+
 def main_text(html: str | None) -> str:
     """The article of a page: its blocks in order, joined by one space.
 
     Lines outside boilerplate are clustered by their smoothed ratio; the region
-    of content is the container that holds most of the text of the lines above
-    the threshold, with its short lines too. Null and empty pages, and pages of
-    boilerplate alone, give empty text; plain text counts as one line.
+    of content is the article or main element that holds most of the text of the
+    lines above the threshold, else the lowest container around all of those
+    lines, with its short lines too. A line of nothing but links that is above the
+    threshold by its neighbours alone does not widen the container. Null and empty
+    pages, and pages of boilerplate alone, give empty text; plain text counts as
+    one line.
     """
     parser = Lines()
     parser.feed(html or "")
@@ -133,23 +149,33 @@ def main_text(html: str | None) -> str:
     lines = [x for x in parser.lines if not x[3]]
     if not lines:
         return ""
-    ratios = smoothed_ratios([(len(t), tags) for t, tags, _, _ in lines])
-    core = np.flatnonzero(ratios >= min(THRESHOLD * ratios.std(), ratios.max()))
+    ratios = smoothed_ratios([(len(x[0]), x[1]) for x in lines])
+    limit = min(THRESHOLD * ratios.std(), ratios.max())
+    core = np.flatnonzero(ratios >= limit)
     weight: dict[int, int] = {}
     for i in core:
         for element in lines[i][2]:
             weight[element] = weight.get(element, 0) + len(lines[i][0])
     total = sum(len(lines[i][0]) for i in core)
-    home = [e for e in lines[core[0]][2] + lines[core[-1]][2] if weight.get(e, 0) >= 0.8 * total]
     inner = max(weight, key=lambda e: (weight[e] >= 0.8 * total, e), default=None)
-    path = next((lines[i][2] for i in core if inner in lines[i][2]), ()) if inner is not None and weight[inner] >= 0.8 * total else tuple(home)
+    path = next((lines[i][2] for i in core if inner in lines[i][2]), ()) if inner is not None and weight[inner] >= 0.8 * total else ()
     path = path[: path.index(inner) + 1] if inner in path else path
     article = next((e for e in path if parser.names[e].split()[0] in ("article", "main")), None)
-    if article is None:
-        article = next((e for e in reversed(path) if parser.names[e] in ("div", "section", "td", "center")), None)
     if article is not None:
-        return " ".join(t for t, _, within, _ in lines if article in within)
-    return " ".join(t for t, _, _, _ in lines[core[0] : core[-1] + 1])
+        return " ".join(x[0] for x in lines if article in x[2])
+    ends = [i for i in core if not (lines[i][4] and len(lines[i][0]) / max(1, lines[i][1]) < limit)] or list(core)
+    around = common([lines[i][2] for i in ends])
+    region = next((e for e in reversed(around) if parser.names[e].split()[0] in ("div", "section", "td", "center")), None)
+    if region is not None:
+        return " ".join(x[0] for x in lines if region in x[2])
+    depth = next((i for i, e in enumerate(around) if parser.names[e].split()[0] not in ("html", "body")), len(around))
+    first, last = ends[0], ends[-1]
+    while first > 0 and lines[first][2][depth:] and lines[first - 1][2][: depth + 1] == lines[first][2][: depth + 1]:
+        first -= 1
+    while last + 1 < len(lines) and lines[last][2][depth:] and lines[last + 1][2][: depth + 1] == lines[last][2][: depth + 1]:
+        last += 1
+    first, last = min(first, core[0]), max(last, core[-1])
+    return " ".join(x[0] for x in lines[first : last + 1])
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

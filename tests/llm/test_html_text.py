@@ -36,6 +36,31 @@ def test_pages_without_text(page):
     assert H.main_text(page) == ""
 
 
+LONG, SHORT = " ".join(["Many words of one long paragraph."] * 24), " ".join(["And some few more of another."] * 4)
+
+
+@pytest.mark.parametrize("n", [1, 12])
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><div id=content><div>{a}</div><div>{b}</div></div></body>",
+        "<body><div id=content><div>{b}</div><div>{a}</div></div></body>",
+        "<body><div><section>{a}</section><section>{b}</section></div></body>",
+        "<body><section>{a}</section><section>{b}</section></body>",
+        "<table><tr><td>{a}</td><td>{b}</td></tr></table>",
+        "<body><table><tbody><tr><td>{a}</td></tr><tr><td>{b}</td></tr></tbody></table></body>",
+        "<body><nav><a href=/>Home</a></nav><div><center>{a}</center><div>{b}</div></div><footer>(c)</footer></body>",
+        "<body><ul><li><a href=/>Home</a></li><li><a href=/b>About</a></li></ul><div><div>{a}</div><div>{b}</div></div></body>",
+    ],
+)
+def test_uneven_blocks_without_article(page, n):
+    a, b = f"<p>{LONG}</p>" * n, f"<p>{SHORT}</p>"
+    text = [LONG] * n + [SHORT]
+    if page.index("{b}") < page.index("{a}"):
+        text = [SHORT] + [LONG] * n
+    assert H.main_text(page.format(a=a, b=b)) == " ".join(text)
+
+
 def test_other_forms():
     assert H.main_text("just  plain\n text &lt;3") == "just plain text <3"
     assert H.main_text("<p>a<p>b") == "a b"
