@@ -34,17 +34,26 @@ PURPOSE = frozenset(
     reply replies respond disqus discussion responses related recommended recommendations widget widgets search searchbox skip""".split()
 )
 READERS = frozenset("comment comments commentlist reply replies respond disqus discussion responses".split())
+# Before such a word, a class or id speaks of the layout: "with-sidebar", "no-header".
+MODIFIERS = frozenset("with without no has".split())
 _TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Lines(HTMLParser):
-    """Turns parser events into lines, one per block: text, tags seen, open containers, inside boilerplate, nothing but links."""
+    """Turns parser events into lines, one per block: text, tags seen, open containers, boilerplate, nothing but links.
+
+    Boilerplate is ``None`` inside elements that are it by tag or role, else the
+    innermost open container that is it by name alone, -1 without one; an article
+    is not inside what is open around it.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool]] = []  # name, number, inside boilerplate
+        self.stack: list[tuple[str, int, int | None]] = []  # name, number, boilerplate
         self.names: list[str] = []
-        self.lines: list[tuple[str, int, tuple[int, ...], bool, bool]] = []
+        self.lines: list[tuple[str, int, tuple[int, ...], int | None, bool]] = []
+        self.around: dict[int, int] = {}  # of a container that is boilerplate by name: the next one outside it
+        self.only_named: set[int] = set()  # containers whose names say nothing but boilerplate, or readers
         self.text: list[str] = []
         self.links: set[int] = set()
         self.plain = False  # whether the line has text outside links
@@ -54,7 +63,7 @@ class Lines(HTMLParser):
         text = " ".join("".join(self.text).split())
         self.text = []
         if text:
-            self.lines.append((text, self.tags, tuple(n for _, n, _ in self.stack), bool(self.stack) and self.stack[-1][2], not self.plain))
+            self.lines.append((text, self.tags, tuple(n for _, n, _ in self.stack), self.stack[-1][2] if self.stack else -1, not self.plain))
             self.tags = 0
         self.plain = False
 
@@ -64,13 +73,20 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        outer = bool(self.stack) and self.stack[-1][2]
-        own = tag in BOILERPLATE or bool(attrs) and marked(tag, attrs)
-        if own and not outer:
+        outer = self.stack[-1][2] if self.stack else -1
+        by_tag = tag in BOILERPLATE or bool(attrs) and marked(attrs)
+        by_name = not by_tag and bool(attrs) and named(tag, attrs)
+        own = by_tag or by_name
+        if own and outer is not None:
             self.flush()  # an inline element may be boilerplate too
         if tag == "main" or tag == "article" and not own and not self._among_readers():
-            outer = False  # whatever was left open before does not hold the article
-        self.stack.append((tag, len(self.names), outer or own))
+            outer = -1  # whatever was left open before does not hold the article
+        if by_name and outer is not None:
+            self.around[len(self.names)] = outer
+            outer = len(self.names)
+            if reader_marked(attrs) or _words(attrs) <= PURPOSE:
+                self.only_named.add(outer)
+        self.stack.append((tag, len(self.names), None if by_tag else outer))
         if tag == "a" and any(k == "href" for k, _ in attrs):
             self.links.add(len(self.names))
         self.names.append(tag + " readers" * (own and reader_marked(attrs)))
@@ -86,7 +102,7 @@ class Lines(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         at = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == tag), None)
-        if tag not in INLINE or at is not None and self.stack[at][2] != (at > 0 and self.stack[at - 1][2]):
+        if tag not in INLINE or at is not None and self.stack[at][2] != (self.stack[at - 1][2] if at else -1):
             self.flush()
         if at is not None and not (tag in INLINE and any(n not in INLINE for n, _, _ in self.stack[at + 1 :])):
             del self.stack[at:]
@@ -98,22 +114,26 @@ class Lines(HTMLParser):
 
 
 def _words(attrs: list[tuple[str, str | None]]) -> set[str]:
-    return {w.lower() for k, v in attrs if k in ("class", "id") and v for w in _TOKENS.findall(v)}
+    """Words of class and id, without those that a modifier stands before."""
+    names = [[w.lower() for w in _TOKENS.findall(name)] for k, v in attrs if k in ("class", "id") and v for name in v.split()]
+    return {w for words in names for i, w in enumerate(words) if i == 0 or words[i - 1] not in MODIFIERS}
 
 
 def reader_marked(attrs: list[tuple[str, str | None]]) -> bool:
     return bool(_words(attrs) & READERS)
 
 
-def marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-    """Whether an element's own attributes make it boilerplate."""
+def marked(attrs: list[tuple[str, str | None]]) -> bool:
+    """Whether an element's role or style makes it boilerplate."""
     given = dict(attrs)
     if (given.get("role") or "").strip().lower() in ROLES or "hidden" in given or (given.get("aria-hidden") or "").lower() == "true":
         return True
-    if "display:none" in (given.get("style") or "").replace(" ", "").lower():
-        return True
-    words = _words(attrs)
-    return bool(words & (READERS if tag in ("article", "main", "body", "html") else PURPOSE)) and tag not in ("body", "html", "main")
+    return "display:none" in (given.get("style") or "").replace(" ", "").lower()
+
+
+def named(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    """Whether an element's class or id names it as boilerplate."""
+    return tag not in ("body", "html", "main") and bool(_words(attrs) & (READERS if tag == "article" else PURPOSE))
 
 
 def smoothed_ratios(lines: list[tuple[int, int]], sigma: float = SIGMA) -> np.ndarray:
@@ -125,6 +145,46 @@ def smoothed_ratios(lines: list[tuple[int, int]], sigma: float = SIGMA) -> np.nd
     return np.convolve(ratio, kernel)[reach : reach + len(ratio)] / weight
 
 
+def core_lines(lines: list[tuple]) -> tuple[list[int], list[int], list[int]]:
+    """Lines whose smoothed ratio reaches the threshold, those of them that are more than links next to text, and those that reach it by their own."""
+    ratios = smoothed_ratios([(len(x[0]), x[1]) for x in lines])
+    limit = min(THRESHOLD * ratios.std(), ratios.max())
+    core = np.flatnonzero(ratios >= limit).tolist()
+    own = [i for i in core if len(lines[i][0]) / max(1, lines[i][1]) >= limit]
+    reached = set(own)
+    return core, [i for i in core if i in reached or not lines[i][4]] or core, own
+
+
+def outside_boilerplate(parser: Lines) -> list[tuple]:
+    """Lines outside boilerplate, where a name counts unless its container holds most of the page's text.
+
+    Names that say nothing but boilerplate, and those of readers' parts, count
+    unless there is no text but theirs; with an article or main element on the
+    page, every name counts.
+    """
+    lines = [x for x in parser.lines if x[3] is not None]
+    if all(x[3] == -1 for x in lines):
+        return lines
+    _, ends, own = core_lines(lines)
+    held = dict.fromkeys(parser.around, 0) | {-1: 0}
+    for i in ends:
+        held[lines[i][3]] += len(lines[i][0])
+    total = sum(held.values())
+    for e in sorted(parser.around, reverse=True):
+        if parser.around[e] != -1:
+            held[parser.around[e]] += held[e]
+    free = {-1}
+    for e in sorted(e for e in parser.around if 2 * held[e] > total):  # each lies in the one before
+        if e in parser.only_named and any(lines[i][3] in free for i in own):
+            break
+        free.add(e)
+    if len(free) > 1:
+        articles = {e for e, name in enumerate(parser.names) if name in ("article", "main")}
+        if any(x[3] == -1 and not articles.isdisjoint(x[2]) for x in lines):
+            free = {-1}
+    return [x for x in lines if x[3] in free]
+
+
 def common(paths: list[tuple[int, ...]]) -> tuple[int, ...]:
     """The containers that are open in all of some lines."""
     low, high = min(paths), max(paths)
@@ -139,19 +199,17 @@ def main_text(html: str | None) -> str:
     lines above the threshold, else the lowest container around all of those
     lines, with its short lines too. A line of nothing but links that is above the
     threshold by its neighbours alone does not widen the container. Null and empty
-    pages, and pages of boilerplate alone, give empty text; plain text counts as
-    one line.
+    pages, and pages of boilerplate tags or roles alone, give empty text; plain
+    text counts as one line.
     """
     parser = Lines()
     parser.feed(html or "")
     parser.close()
     parser.flush()
-    lines = [x for x in parser.lines if not x[3]]
+    lines = outside_boilerplate(parser)
     if not lines:
         return ""
-    ratios = smoothed_ratios([(len(x[0]), x[1]) for x in lines])
-    limit = min(THRESHOLD * ratios.std(), ratios.max())
-    core = np.flatnonzero(ratios >= limit)
+    core, ends, _ = core_lines(lines)
     weight: dict[int, int] = {}
     for i in core:
         for element in lines[i][2]:
@@ -163,7 +221,6 @@ def main_text(html: str | None) -> str:
     article = next((e for e in path if parser.names[e].split()[0] in ("article", "main")), None)
     if article is not None:
         return " ".join(x[0] for x in lines if article in x[2])
-    ends = [i for i in core if not (lines[i][4] and len(lines[i][0]) / max(1, lines[i][1]) < limit)] or list(core)
     around = common([lines[i][2] for i in ends])
     region = next((e for e in reversed(around) if parser.names[e].split()[0] in ("div", "section", "td", "center")), None)
     if region is not None:

@@ -61,6 +61,37 @@ def test_uneven_blocks_without_article(page, n):
     assert H.main_text(page.format(a=a, b=b)) == " ".join(text)
 
 
+@pytest.mark.parametrize("name", ["content with-sidebar", "no-sidebar", "page header-fixed", "container related-on", "post comments-open", "hasSidebar", "notice"])
+def test_wrappers_whose_names_have_boilerplate_words(name):
+    text = f"{LONG} {SHORT}"
+    blocks = f"<h2>A title</h2><p>{LONG}</p><p>{SHORT}</p>"
+    for kind in ("class", "id"):
+        for page in (
+            "<body><div {k}='{n}'>{b}</div></body>",
+            "<body><header>Site</header><div {k}='{n}'><div {k}='{n}'>{b}</div><div class=sidebar>Links and more</div></div><footer>(c)</footer></body>",
+            "<body><ul class=menu><li><a href=/>Home</a></ul><div {k}='{n}'>{b}<div class=comments><p>Nice text, I liked it.</p></div></div></body>",
+        ):
+            assert H.main_text(page.format(k=kind, n=name, b=blocks)) == f"A title {text}"
+
+
+@pytest.mark.parametrize("name", ["with-sidebar", "row no-header"])
+def test_several_wrappers_with_modifiers(name):
+    rows = "".join(f"<div class='{name}'><p>{LONG}</p></div>" for _ in range(3))
+    assert H.main_text(f"<body>{rows}</body>") == " ".join([LONG] * 3)
+
+
+@pytest.mark.parametrize("name", ["sidebar", "cookie-notice", "comment-list", "related", "site-header"])
+def test_names_of_containers_that_hold_less_text(name):
+    other = f"<div class='{name}'><p>{SHORT}</p></div>"
+    assert H.main_text(f"<body><div>{ARTICLE[9:-10]}<p>{LONG}</p></div>{other}</body>") == f"{TEXT} {LONG}"
+    longer = f"<div class='{name}'><p>{LONG}</p><p>{LONG}</p></div>"
+    assert H.main_text(f"<body>{ARTICLE}{longer}</body>") == TEXT
+
+
+def test_comments_longer_than_the_text():
+    assert H.main_text(f"<body><div><p>{SHORT}</p></div><div class='comments-area'><p>{LONG}</p><p>{LONG}</p></div></body>") == SHORT
+
+
 def test_other_forms():
     assert H.main_text("just  plain\n text &lt;3") == "just plain text <3"
     assert H.main_text("<p>a<p>b") == "a b"
