@@ -126,3 +126,25 @@ def test_secrets_edge_cases(documents):
     assert secret_scan.scan(documents([(1, None), (2, "no finding here")])).collect() == []
     one = secret_scan.scan(documents([(1, 'x token: "abcdef0123456789" password=abcdef0123456789,zyxwvu9876543210')])).collect()
     assert sorted((r.word_no, r.finding, r.is_secret) for r in one) == [(2, "abcdef0123456789", True), (3, "abcdef0123456789", True), (3, "zyxwvu9876543210", True)]
+
+
+def test_secrets_without_digits_and_with_signs(documents):
+    """Values of any form after a credential's name, and keys that have no digit."""
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    key = "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(16))
+    base = "".join(rng.choice(letters) for _ in range(22))
+    cases = [
+        (key, key, 10), (f"secret={base}", base, 10), ("password=p@ss!w#rd", "p@ss!w#rd", 10), ('token = "zq!x"', "zq!x", 12), ("pwd: kx@7#q", "kx@7#q", 11),
+        ('{"password":"a,b;c=d"}', "a,b;c=d", 10), ("passwd='qzx jkw vvb'", "qzx jkw vvb", 10), ("auth=abcdefgh1234!x#y", "abcdefgh1234!x#y", 10), ("api_key=k", "k", 10), (base, base, 10),
+    ]
+    rows = secrets_corpus(rng, 300)
+    for i, (text, _, _) in enumerate(cases):
+        words = prose(rng, 40).split()
+        rows.append((1000 + i, " ".join([*words[:10], text, *words[10:]])))
+    rows += [(2000 + i, prose(rng, 20) + " vermistthonmin reonsolverthan") for i in range(5)]
+    got = secret_scan.scan(documents(rows)).collect()
+    found = {(r.doc_id, r.word_no, r.finding): r for r in got if r.doc_id >= 1000}
+    assert {k for k in found if k[0] < 2000} == {(1000 + i, no, value) for i, (_, value, no) in enumerate(cases)}
+    assert all(r.is_secret for k, r in found.items() if k[0] < 1009)
+    assert {(k[2], r.is_secret) for k, r in found.items() if k[0] >= 2000} == {("vermistthonmin", False), ("reonsolverthan", False)}
