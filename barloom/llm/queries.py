@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, html_text, knn, langid, line_dedup, quality, secret_scan, sentencepiece, simhash, warc
+from barloom.llm import decontaminate, html_text, knn, langid, lexical, line_dedup, prefix_trie, quality, secret_scan, sentencepiece, simhash, warc
 from barloom.session import kept, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,6 +105,17 @@ def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(crc_of() % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = prefix_trie.turn_lists(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(prefix_trie.with_shared_lead(lists))
+
+
+@query
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 ORACLE_SQL["op5_voronoi_knn"] = """
 WITH good AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
@@ -133,3 +144,42 @@ listed AS (SELECT row, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS i
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN hit USING (row) LEFT JOIN listed USING (row)"""
+
+ORACLE_SQL["op12_prefix_trie"] = """
+WITH numbered AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i, coalesce(role, '') AS r, coalesce(text, '') AS x
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list(struct_pack(r := r, x := x) ORDER BY i) AS w FROM numbered GROUP BY c),
+crc AS (
+  SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda ch: [ascii(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, s: CASE WHEN s >= 0 THEN xor(a, s) ELSE xor(a >> 1, (a & 1) * 3988292384) END), 4294967295) % 4 AS h FROM own),
+rebuilt AS (
+  SELECT a.c, list_concat(coalesce(list_slice(b.w, 1, a.h), []), list_slice(a.w, a.h + 1, len(a.w))) AS w
+  FROM crc a LEFT JOIN own b ON b.c = a.c - a.c % 20),
+prefixes AS (SELECT c, len(w) = d AS ends, d, list_slice(w, 1, d) AS p FROM (SELECT *, unnest(range(0, len(w) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT p, any_value(d) AS d, min(c) AS conv_id, count(*) AS n, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends), '') AS ids FROM prefixes GROUP BY p),
+children AS (SELECT list_slice(p, 1, d - 1) AS p, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
+known AS (
+  SELECT p, d, conv_id, n, ids, coalesce(n_children, 0) AS n_children,
+    CASE WHEN d = 0 THEN 0 ELSE (n - 1) * len(regexp_extract_all(p[d].x, '[^\\x20\\x09-\\x0D]+')) END AS saved
+  FROM nodes LEFT JOIN children USING (p)),
+subtrees AS (
+  SELECT list_slice(p, 1, e) AS p, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM known) GROUP BY 1)
+SELECT k.conv_id, CAST(k.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, k.n AS n_convs, k.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(k.ids) AS ends_sha256
+FROM known k JOIN subtrees s ON s.p = k.p LEFT JOIN nodes u ON k.d > 0 AND u.p = list_slice(k.p, 1, k.d - 1)"""
+
+_TERMS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+ORACLE_SQL["op13_lexical_search"] = f"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, {_TERMS} AS w FROM documents WHERE text IS NOT NULL),
+lengths AS (SELECT row, doc_id, len(w) AS n FROM docs WHERE len(w) > 0),
+totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM lengths),
+wanted AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark WHERE text IS NOT NULL),
+postings AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(w) AS term FROM docs) WHERE term IN (SELECT term FROM wanted) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM postings, totals GROUP BY term),
+scored AS (
+  SELECT item_id, row, any_value(doc_id) AS doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // terms))))) AS BIGINT) AS score
+  FROM postings JOIN weights USING (term) JOIN lengths USING (row) JOIN wanted USING (term), totals GROUP BY item_id, row)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 50"""
