@@ -25,6 +25,8 @@ MAX_ITEMS, MAX_ITEM_CHARS = 20_000, 1_000_000
 CELLS = 2_000_000
 #: Candidates a task holds before it cuts them back to the best of each item.
 HELD = 200_000
+#: Longest term in bytes that the automaton holds; longer ones are looked up whole, as its depth is theirs.
+LONG_TERM = 1000
 #: First-level groups of an item's candidates, so that no task sorts those of all tasks.
 GROUPS = 64
 
@@ -50,19 +52,22 @@ class Queries:
         self.item_of = np.array([i for _, i in pairs], np.int64)
         self.degree = np.bincount([t for t, _ in pairs], minlength=len(self.terms)).astype(np.int64)
         self.begin = np.cumsum(self.degree) - self.degree
+        self.long = {t: i for i, t in enumerate(self.terms) if len(t) > LONG_TERM}
 
     def automaton(self):
         """Terms between spaces, over the bytes of the text; the value of a word is its number."""
         words = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for i, t in enumerate(self.terms):
-            words.add_word(f" {t.decode('latin-1')} ", i)
-        words.make_automaton()
+            if t not in self.long:
+                words.add_word(f" {t.decode('latin-1')} ", i)
+        if len(words):
+            words.make_automaton()
         return words
 
 
 def _counted(documents: DataFrame, queries: Queries) -> DataFrame:
     """``(doc, n, terms, tfs)``: a document's terms, and how often each query term occurs in it."""
-    shared = documents.sparkSession.sparkContext.broadcast(queries.automaton()) if queries.terms else None
+    shared = documents.sparkSession.sparkContext.broadcast((queries.automaton(), queries.long)) if queries.terms else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = itemgetter(1)
@@ -70,9 +75,13 @@ def _counted(documents: DataFrame, queries: Queries) -> DataFrame:
             totals, sizes, terms, tfs = [], [0], [], []
             for text in batch.column(1).to_pylist():
                 raw = (text or "").encode().translate(_NORMAL)
-                totals.append(len(raw.split()))
+                words = raw.split()
+                totals.append(len(words))
                 if shared is not None:
-                    found = np.fromiter(map(number, shared.value.iter(f" {raw.decode('latin-1')} ")), np.int32)
+                    automaton, long = shared.value
+                    found = np.fromiter(map(number, automaton.iter(f" {raw.decode('latin-1')} ")), np.int32) if len(automaton) else np.empty(0, np.int32)
+                    if long:
+                        found = np.r_[found, [long[w] for w in words if len(w) > LONG_TERM and w in long]].astype(np.int32)
                     ids, tf = np.unique(found, return_counts=True)
                     terms.append(ids)
                     tfs.append(tf)
