@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, html_text, knn, langid, lexical, line_dedup, prefix_trie, quality, secret_scan, sentencepiece, simhash, warc
+from barloom.llm import context_mixing, decontaminate, html_text, knn, langid, lexical, line_dedup, prefix_trie, quality, secret_scan, sentencepiece, simhash, warc
 from barloom.session import kept, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,6 +105,13 @@ def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(crc_of() % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op11_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = context_mixing.trained_and_scored(documents, crc_of() % 7 != 2)
+    return scored.select("doc_id", F.coalesce(crc_of() % 7 == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 @query
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = prefix_trie.turn_lists(table(spark, sf_dir, "conversations"))
