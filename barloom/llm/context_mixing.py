@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,11 +21,13 @@ from barloom.session import kept
 #: Frequent words of which the last one seen is a context, and words whose counts are sent to every task.
 MARKER_WORDS, SENT_WORDS = 31, 131_072
 #: Slots of each predictor's table, as powers of two. Fixed: contexts that meet in a slot share its counts.
-TABLE_BITS = (16, 20, 21, 22, 22, 24)
-#: Different words or pairs a task gathers, and scores it remembers, before it starts again.
-GATHERED, REMEMBERED = 400_000, 400_000
+TABLE_BITS = (16, 20, 21, 21, 22, 23)
+#: Bytes at the beginning of a word that are predicted with the marker word; the rest looks at the word alone.
+LEAD = 4
+#: Different words a task gathers, and scores it remembers, before it starts again.
+GATHERED, REMEMBERED = 200_000, 200_000
 #: Text a task takes at a time, and bytes of different words whose bits are worked on at a time.
-PIECE_BYTES, BLOCK_BYTES = 4_000_000, 20_000
+PIECE_BYTES, BLOCK_BYTES = 1_000_000, 20_000
 #: Slots of one part of a table on its way through the shuffle.
 SLICE = 1 << 14
 #: Bins of the refinement, and how many observations the mixed probability counts for there.
@@ -52,32 +56,60 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))) * _FACTOR >> np.uint64(34)
 
 
-def events(words: list[bytes], marker: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Bytes of the words, where each begins, their bits, and the slot of every bit in each table.
+def written(word: bytes) -> bytes:
+    """The bytes of a word and what ends it."""
+    return word + b" " if word else b"\n"
 
-    The contexts are the last one, two and three bytes of the word, the last two
-    and three with the marker word, and the word so far.
+
+@dataclass
+class Events:
+    """The bits of some strings: byte by byte, with the slots of each bit in the tables."""
+
+    code: np.ndarray
+    #: First byte of each string, and the number of its bytes.
+    begin: np.ndarray
+    size: np.ndarray
+    bit: np.ndarray
+    slots: list[np.ndarray]
+    tail: bool
+
+
+def events(strings: list[bytes], marker: np.ndarray | None = None) -> Events:
+    """Bits of the leads of words after their ``marker``, or, without, of what comes after the leads.
+
+    The contexts of a lead are the last one, two and three bytes, and the last
+    one, two and three with the marker word; those of a tail the last one to five
+    bytes and the whole word so far.
     """
-    size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    size = np.fromiter(map(len, strings), np.int64, len(strings))
     begin = np.cumsum(size) - size
-    code = np.frombuffer(b" ".join(words) + b" ", np.uint8).copy()
-    code[begin[size == 1]] = 10
+    code = np.frombuffer(b"".join(strings), np.uint8)
     place = np.arange(len(code)) - np.repeat(begin, size)
-    last = [np.where(place >= k, np.r_[np.zeros(k, np.uint8), code[:-k]], 0).astype(np.uint64) if len(code) > k else np.zeros(len(code), np.uint64) for k in (1, 2, 3)]
-    power = np.cumprod(np.full(int(size.max()), _MULTIPLIER, np.uint64))
-    term = (code.astype(np.uint64) + np.uint64(1)) * power[place]
-    so_far = np.cumsum(term) - term
-    so_far -= np.repeat(so_far[begin], size)
-    mark = np.repeat(marker.astype(np.uint64) + np.uint64(1), size)
+    tail = marker is None
+    last = [np.where(place >= k, np.r_[np.zeros(min(k, len(code)), np.uint8), code[:-k]], 0).astype(np.uint64) for k in range(1, 6 if tail else 4)]
     two = last[0] | last[1] << np.uint64(8)
-    three, marked = two | last[2] << np.uint64(16), mark << np.uint64(24)
-    contexts = (two | np.uint64(1 << 40), three | np.uint64(2 << 40), two | marked | np.uint64(3 << 40), three | marked | np.uint64(4 << 40), so_far)
+    three = two | last[2] << np.uint64(16)
+    if tail:
+        power = np.cumprod(np.full(int(size.max(initial=1)), _MULTIPLIER, np.uint64))
+        term = (code.astype(np.uint64) + np.uint64(1)) * power[place]
+        so_far = np.cumsum(term) - term
+        so_far -= np.repeat(so_far[begin], size)
+        four = three | last[3] << np.uint64(24)
+        contexts = [two, three, four, four | last[4] << np.uint64(32), so_far ^ place.astype(np.uint64)]
+        here = place >= LEAD
+        code, contexts, last = code[here], [c[here] for c in contexts], [x[here] for x in last]
+        size = size - LEAD
+        begin = np.cumsum(size) - size
+    else:
+        mark = np.repeat(marker.astype(np.uint64) + np.uint64(1), size) << np.uint64(24)
+        contexts = [two, three, last[0] | mark, three | mark, two | mark]
     node = _NODE[code]
     slots = [(last[0].astype(np.uint32)[:, None] << np.uint32(8)) | node]
     spread = _SPREAD[node]
-    for bits, context in zip(TABLE_BITS[1:], contexts):
-        slots.append((_mixed(context).astype(np.uint32)[:, None] ^ spread) & np.uint32((1 << bits) - 1))
-    return code, begin, _BIT[code], slots
+    for k, (bits, context) in enumerate(zip(TABLE_BITS[1:], contexts)):
+        tagged = _mixed(context ^ np.uint64((2 * k + tail + 1) << 48)).astype(np.uint32)
+        slots.append((tagged[:, None] ^ spread) & np.uint32((1 << bits) - 1))
+    return Events(code, begin, size, _BIT[code], slots, tail)
 
 
 #: Counts are kept exactly up to 31 and in steps of a factor 2 ** (1 / 8) above.
@@ -111,7 +143,7 @@ def _seen() -> np.ndarray:
 
 _EVIDENCE, _SEEN = _evidence(), _seen()
 _INPUTS = len(TABLE_BITS) + 1
-_GATES = 9 * 8
+_GATES = 2 * 9 * 8
 
 
 @dataclass
@@ -133,15 +165,17 @@ class Mixer:
         return ((self.ones + TRUST * np.tile(middle, 256)) / (self.seen + TRUST)).astype(np.float32)
 
 
-def _inputs(tables: list[np.ndarray], slots: list[np.ndarray], held_back: np.ndarray | None) -> tuple[list[np.ndarray], np.ndarray]:
+def _inputs(tables: list[np.ndarray], found: Events, held_back: bool = False) -> tuple[list[np.ndarray], np.ndarray]:
     """Evidence of each predictor for each bit, and the gate.
 
-    ``held_back`` is the bit itself while learning: its own occurrence is taken
-    out of the counts, so that they tell what would be known without it.
+    ``held_back`` while learning: a bit's own occurrence is taken out of the
+    counts, so that they tell what would be known without it.
     """
-    shift = 0 if held_back is None else (np.uint32(1) + held_back.astype(np.uint32)) << np.uint32(16)
-    states = [table[slot] + shift if held_back is not None else table[slot] for table, slot in zip(tables, slots)]
-    gate = _SEEN[states[-2]] * 3 + _SEEN[states[-1]]
+    states = [table[slot] for table, slot in zip(tables, found.slots)]
+    if held_back:
+        shift = (np.uint32(1) + found.bit.astype(np.uint32)) << np.uint32(16)
+        states = [s + shift for s in states]
+    gate = _SEEN[states[-2]] * 3 + _SEEN[states[-1]] + 9 * found.tail
     return [_EVIDENCE[s] for s in states], gate * 8 + np.arange(8, dtype=np.uint8)
 
 
@@ -157,17 +191,17 @@ def _refinement_cell(code: np.ndarray, logits: np.ndarray) -> np.ndarray:
     return _NODE[code].astype(np.int32) * BINS + bins
 
 
-def word_scores(words: list[bytes], marker: np.ndarray, tables: list[np.ndarray], mixer: Mixer) -> np.ndarray:
-    """log10 probability of each word after its marker word."""
+def string_scores(strings: list[bytes], marker: np.ndarray | None, tables: list[np.ndarray], mixer: Mixer) -> np.ndarray:
+    """log10 probability of each lead after its marker word, or of each word's tail after its lead."""
     weights, refined = mixer.weights.astype(np.float32), mixer.refined()
-    out = np.empty(len(words))
-    for a, b in chunks([len(w) + 1 for w in words], BLOCK_BYTES):
-        code, begin, bit, slots = events(words[a:b], marker[a:b])
-        inputs, gate = _inputs(tables, slots, None)
+    out = np.empty(len(strings))
+    for a, b in chunks([len(w) for w in strings], BLOCK_BYTES):
+        found = events(strings[a:b], None if marker is None else marker[a:b])
+        inputs, gate = _inputs(tables, found)
         logits = _logits(weights, inputs, gate)
-        p = 0.5 / (1 + np.exp(-logits)) + 0.5 * refined[_refinement_cell(code, logits)]
-        chance = np.where(bit == 1, p, 1 - p)
-        out[a:b] = np.add.reduceat(np.log10(chance.astype(np.float64)).sum(axis=1), begin)
+        p = 0.5 / (1 + np.exp(-logits)) + 0.5 * refined[_refinement_cell(found.code, logits)]
+        chance = np.where(found.bit == 1, p, 1 - p)
+        out[a:b] = np.add.reduceat(np.log10(chance.astype(np.float64)).sum(axis=1), found.begin)
     return out
 
 
@@ -176,30 +210,30 @@ def fresh_curve() -> np.ndarray:
     return np.tile(np.eye(_INPUTS) * 100.0, (_GATES, 1, 1))
 
 
-def learn(words: list[bytes], marker: np.ndarray, times: np.ndarray, tables: list[np.ndarray], mixer: Mixer, curve: np.ndarray) -> None:
+def learn(strings: list[bytes], marker: np.ndarray | None, times: np.ndarray, tables: list[np.ndarray], mixer: Mixer, curve: np.ndarray) -> None:
     """Predict, then update the mixer, block by block.
 
     A gate's weights take a Newton step by the block's slope and all the
     curvature gathered so far, so that steps get smaller as more is seen.
     """
-    for a, b in chunks([len(w) + 1 for w in words], BLOCK_BYTES):
-        code, begin, bit, slots = events(words[a:b], marker[a:b])
-        inputs, gate = _inputs(tables, slots, bit)
+    for a, b in chunks([len(w) for w in strings], BLOCK_BYTES):
+        found = events(strings[a:b], None if marker is None else marker[a:b])
+        bit = found.bit
+        inputs, gate = _inputs(tables, found, held_back=True)
         logits = _logits(mixer.weights.astype(np.float32), inputs, gate)
         p = 1 / (1 + np.exp(-logits))
-        size = np.diff(np.r_[begin, len(code)])
-        weight = np.repeat(times[a:b].astype(np.float32), size)[:, None]
+        weight = np.repeat(times[a:b].astype(np.float32), found.size)[:, None]
         pull, bend = weight * (bit - p), weight * np.maximum(p * (1 - p), 1e-3)
         both = np.stack([*inputs, np.ones_like(p)], axis=2)
         for place in range(8):
             order = np.argsort(gate[:, place], kind="stable")
-            cuts = np.searchsorted(gate[order, place], np.arange(place, _GATES + 8, 8))
+            cuts = np.searchsorted(gate[order, place], np.arange(place, _GATES + 8, 8).astype(gate.dtype))
             x, bent, pulled = both[order, place], bend[order, place], pull[order, place]
             for g, lo, hi in zip(range(place, _GATES, 8), cuts[:-1], cuts[1:]):
                 if lo < hi:
                     curve[g] += (x[lo:hi] * bent[lo:hi, None]).T @ x[lo:hi]
                     mixer.weights[:, g] += np.linalg.solve(curve[g], x[lo:hi].T @ pulled[lo:hi])
-        cell = _refinement_cell(code, logits).ravel()
+        cell = _refinement_cell(found.code, logits).ravel()
         wide = np.broadcast_to(weight, bit.shape)
         mixer.seen += np.bincount(cell, weights=wide.ravel(), minlength=256 * BINS)
         mixer.ones += np.bincount(cell, weights=(wide * bit).ravel(), minlength=256 * BINS)
@@ -208,19 +242,38 @@ def learn(words: list[bytes], marker: np.ndarray, times: np.ndarray, tables: lis
 # --- Spark: what is gathered from the corpus ---------------------------------------
 
 
+def _split(column: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """The words of all texts, without their ends, and the text of each."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(column))
+    size = pc.fill_null(pc.list_value_length(parts), 0).to_numpy()
+    flat = parts.flatten()
+    real = pc.greater(pc.binary_length(flat), 0)
+    return np.repeat(np.arange(len(column)), size)[real.to_numpy(zero_copy_only=False)], flat.filter(real).dictionary_encode()
+
+
+def _bytes(words: pa.Array) -> list[bytes]:
+    return words.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+
+
 def _word_counts(documents: DataFrame) -> DataFrame:
     """``(word, c)`` of all tokens."""
 
+    def summed(parts: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(parts).group_by("word").aggregate([("c", "sum")]).rename_columns(["word", "c"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counted: Counter[bytes] = Counter()
+        held, ends = [], 0
         for batch in by_pieces(batches, 0, PIECE_BYTES):
-            for t in batch.column(0).to_pylist():
-                counted.update(tokens_of(t))
-            if len(counted) > GATHERED:
-                yield _counter_batch(counted)
-                counted.clear()
-        if counted:
-            yield _counter_batch(counted)
+            ends += batch.num_rows
+            _, words = _split(batch.column(0))
+            times = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
+            held.append(pa.table({"word": words.dictionary.cast(pa.binary()), "c": pa.array(times, pa.int64())}))
+            if sum(map(len, held)) > 2 * GATHERED:
+                held = [summed(held)]
+                if len(held[0]) > GATHERED:
+                    yield from held.pop().to_batches()
+        if ends:
+            yield from summed([*held, pa.table({"word": pa.array([_END], pa.binary()), "c": pa.array([ends], pa.int64())})]).to_batches()
 
     return documents.select("text").mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -231,63 +284,83 @@ def _counter_batch(counted: Counter) -> pa.RecordBatch:
 
 @dataclass
 class Piece:
-    """The tokens of some documents: different words, their numbers in order, and the marker before each."""
+    """The tokens of some documents: different words and leads, their numbers in order, and the marker before each."""
 
-    words: list[bytes]
+    spelled: pa.Array
+    leads: list[bytes]
     number: np.ndarray
+    lead_number: np.ndarray
     marker: np.ndarray
     document: np.ndarray
 
-
-def piece_of(texts: list[str | None], markers: dict[bytes, int]) -> Piece:
-    local: dict[bytes, int] = {}
-    numbers, sizes = [], []
-    for t in texts:
-        tokens = tokens_of(t)
-        numbers += [local.setdefault(w, len(local)) for w in tokens]
-        sizes.append(len(tokens))
-    number = np.array(numbers, np.int64)
-    words = list(local)
-    kind = np.fromiter((markers.get(w, 0) for w in words), np.int64, len(words))[number]
-    begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    @cached_property
+    def words(self) -> list[bytes]:
+        return [*_bytes(self.spelled), _END]
+
+
+def piece_of(texts: pa.Array, markers: dict[bytes, int]) -> Piece:
+    document, encoded = _split(texts)
+    n = len(texts)
+    # the end stands after the last word of each text and has the last number
+    ends = np.cumsum(np.bincount(document, minlength=n))
+    number = np.insert(encoded.indices.to_numpy().astype(np.int64), ends, len(encoded.dictionary))
+    document = np.insert(document, ends, np.arange(n))
+    spelled = encoded.dictionary.cast(pa.binary())
+    space = pa.scalar(b" ", pa.binary())
+    leads = pa.concat_arrays([pc.binary_slice(pc.binary_join_element_wise(spelled, space, b""), 0, LEAD), pa.array([written(_END)], pa.binary())]).dictionary_encode()
+    names = sorted(markers, key=markers.__getitem__)
+    kinds = pc.fill_null(pc.index_in(spelled, pa.array(names, pa.binary())), -1).to_numpy()
+    kind = np.r_[np.r_[[markers[w] for w in names], 0][kinds] if len(kinds) else [], 0].astype(np.int64)[number]
+    begin = (ends + np.arange(n) - np.bincount(document, minlength=n) + 1)[document]
     at = np.arange(len(number))
     latest = np.maximum.accumulate(np.where(kind > 0, at, 0))
     before = np.r_[0, latest[:-1]]
-    return Piece(words, number, np.where((before >= begin) & (at > begin), kind[before], 0), np.repeat(np.arange(len(texts)), sizes))
+    marker = np.where((before >= begin) & (at > begin), kind[before], 0)
+    return Piece(spelled, _bytes(leads.dictionary), number, leads.indices.to_numpy().astype(np.int64)[number], marker, document)
 
 
-def _pair_counts(documents: DataFrame, markers: dict[bytes, int]) -> DataFrame:
-    """``(word, marker, c)``: how often each word follows each marker word."""
+def _lead_counts(documents: DataFrame, markers: dict[bytes, int]) -> DataFrame:
+    """``(word, c)``: how often each lead follows each marker word, whose number is the last byte."""
     spread = MARKER_WORDS + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted: Counter[bytes] = Counter()
         for batch in by_pieces(batches, 0, PIECE_BYTES):
-            piece = piece_of(batch.column(0).to_pylist(), markers)
-            pairs, times = np.unique(piece.number * spread + piece.marker, return_counts=True)
-            for word, marker, c in zip((pairs // spread).tolist(), (pairs % spread).tolist(), times.tolist()):
-                counted[piece.words[word] + bytes((marker,))] += c
+            piece = piece_of(batch.column(0), markers)
+            pairs, times = np.unique(piece.lead_number * spread + piece.marker, return_counts=True)
+            for lead, marker, c in zip((pairs // spread).tolist(), (pairs % spread).tolist(), times.tolist()):
+                counted[piece.leads[lead] + bytes((marker,))] += c
             if len(counted) > GATHERED:
                 yield _counter_batch(counted)
                 counted.clear()
         if counted:
             yield _counter_batch(counted)
 
-    counts = documents.select("text").mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
-    return counts.sortWithinPartitions(F.xxhash64("word"))
+    return documents.select("text").mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+
+
+def _strings(counts: DataFrame, leads: DataFrame) -> DataFrame:
+    """``(string, marker, c)``: all leads with their marker, and all words that have a tail, in a fixed order."""
+    tails = counts.filter(F.length("word") >= LEAD).select(F.concat("word", F.lit(b" ")).alias("string"), F.lit(None).cast("int").alias("marker"), "c")
+    marked = leads.select(F.expr("substring(word, 1, length(word) - 1)").alias("string"), F.expr("conv(hex(substring(word, -1, 1)), 16, 10)").cast("int").alias("marker"), "c")
+    both = marked.unionByName(tails)
+    return both.repartition(F.xxhash64("string")).sortWithinPartitions(F.xxhash64("string", "marker"), "string", "marker")
 
 
-def _pairs_in(batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    keys = batch.column(0).to_pylist()
-    return [k[:-1] for k in keys], np.fromiter((k[-1] for k in keys), np.int64, len(keys)), batch.column(1).to_numpy()
+def _strings_in(batch: pa.RecordBatch) -> Iterator[tuple[list[bytes], np.ndarray | None, np.ndarray]]:
+    """Leads with their markers, then tails, each with how often they occur."""
+    for is_tail in (False, True):
+        part = batch.filter(pc.equal(pc.is_null(batch.column(1)), is_tail))
+        if part.num_rows:
+            yield _bytes(part.column(0)), None if is_tail else part.column(1).to_numpy().astype(np.int64), part.column(2).to_numpy()
 
 
-def _few_tasks(pairs: DataFrame) -> DataFrame:
+def _few_tasks(strings: DataFrame) -> DataFrame:
     """As many tasks as there are cores: each keeps tables of a fixed size, so their number must not follow the input."""
-    return pairs.coalesce(pairs.sparkSession.sparkContext.defaultParallelism)
+    return strings.coalesce(strings.sparkSession.sparkContext.defaultParallelism)
 
 
-def _tables(pairs: DataFrame) -> list[np.ndarray]:
+def _tables(strings: DataFrame) -> list[np.ndarray]:
     """Counts of all contexts, over all words; partial tables are added part by part."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,17 +378,17 @@ def _tables(pairs: DataFrame) -> list[np.ndarray]:
 
         gathered = 0
         for batch in batches:
-            words, marker, times = _pairs_in(batch)
-            if gathered + times.sum() > 1 << 31:
-                yield from parts()
-                gathered = 0
-            gathered += times.sum()
-            for a, b in chunks([len(w) + 1 for w in words], BLOCK_BYTES):
-                code, begin, bit, slots = events(words[a:b], marker[a:b])
-                each = np.repeat(times[a:b], np.diff(np.r_[begin, len(code)]))[:, None]
-                each = np.broadcast_to(each.astype(np.uint32), bit.shape).ravel()
-                for table, slot in zip(sums, slots):
-                    np.add.at(table, (slot * np.uint32(2) + bit).ravel(), each)
+            for some, marker, times in _strings_in(batch):
+                if gathered + times.sum() > 1 << 31:
+                    yield from parts()
+                    gathered = 0
+                gathered += times.sum()
+                for a, b in chunks([len(w) for w in some], BLOCK_BYTES):
+                    found = events(some[a:b], None if marker is None else marker[a:b])
+                    each = np.repeat(times[a:b], found.size)[:, None]
+                    each = np.broadcast_to(each.astype(np.uint32), found.bit.shape).ravel()
+                    for table, slot in zip(sums, found.slots):
+                        np.add.at(table, (slot * np.uint32(2) + found.bit).ravel(), each)
         yield from parts()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,7 +412,7 @@ def _tables(pairs: DataFrame) -> list[np.ndarray]:
             yield done()
 
     schema = "k int, part int, counts binary"
-    merged = _few_tasks(pairs).mapInArrow(count, schema).repartition("k", "part").sortWithinPartitions("k", "part").mapInArrow(add, schema)
+    merged = _few_tasks(strings).mapInArrow(count, schema).repartition("k", "part").sortWithinPartitions("k", "part").mapInArrow(add, schema)
     out = [np.zeros(1 << bits, np.uint16) for bits in TABLE_BITS]
     for r in merged.collect():
         state = np.frombuffer(zstandard.ZstdDecompressor().decompress(r.counts), np.uint16)[: len(out[r.k])]
@@ -347,21 +420,21 @@ def _tables(pairs: DataFrame) -> list[np.ndarray]:
     return out
 
 
-def _mixer(pairs: DataFrame, shared) -> Mixer:
-    """Mixers that the tasks learned online from all pairs, averaged by how much each has seen."""
+def _mixer(strings: DataFrame, shared) -> Mixer:
+    """Mixers that the tasks learned online from all strings, averaged by how much each has seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixer, curve, total = Mixer.fresh(), fresh_curve(), 0
         for batch in batches:
-            words, marker, times = _pairs_in(batch)
-            learn(words, marker, times, shared.value, mixer, curve)
-            total += times.sum()
+            for some, marker, times in _strings_in(batch):
+                learn(some, marker, times, shared.value, mixer, curve)
+                total += times.sum()
         if total:
             state = np.concatenate([mixer.weights.ravel(), curve.ravel(), mixer.seen, mixer.ones])
             yield pa.RecordBatch.from_arrays([pa.array([state.tolist()], pa.list_(pa.float64()))], names=["state"])
 
     mixer = Mixer.fresh()
-    learned = [np.array(r.state) for r in _few_tasks(pairs).mapInArrow(run, "state array<double>").collect()]
+    learned = [np.array(r.state) for r in _few_tasks(strings).mapInArrow(run, "state array<double>").collect()]
     if learned:
         ends = np.cumsum([_INPUTS * _GATES, _GATES * _INPUTS * _INPUTS, 256 * BINS])
         weights, curves, seen, ones = zip(*(np.split(s, ends) for s in learned))
@@ -385,22 +458,23 @@ class LanguageModel:
 def train(documents: DataFrame, text: str = "text") -> LanguageModel:
     """Gather the statistics of all ``documents`` and learn the mixer from them.
 
-    Words are counted exactly, then how often each follows each marker word (the
-    last of the 31 most frequent words). These pairs are all that the contexts
-    look at, so the tables and the mixer are made from them instead of from the
-    texts. The tables have a fixed size, in which every context of the corpus is
-    counted; sizes of words and pairs are not bounded. Null and empty texts
-    have no words but an end. No documents give a model that knows nothing.
+    Words are counted exactly, then how often each lead, the first bytes of a
+    word, follows each marker word (the last of the 31 most frequent words). That
+    is all that the contexts look at, so the tables and the mixer are made from
+    these counts instead of from the texts. The tables have a fixed size, in
+    which every context of the corpus is counted; the number of words and leads
+    is not bounded. Null and empty texts have no words but an end. No documents
+    give a model that knows nothing.
     """
     source = input_columns(documents, text=text)
     counts = kept(_word_counts(source), "words")
     tokens, words = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     sent = [(bytes(r.word), r.c) for r in counts.orderBy(F.col("c").desc(), "word").limit(SENT_WORDS).collect()]
     markers = {w: i for i, w in enumerate([w for w, _ in sent if w != _END][:MARKER_WORDS], 1)}
-    pairs = kept(_pair_counts(source, markers), "pairs")
+    strings = kept(_strings(counts, _lead_counts(source, markers)), "strings")
     context = documents.sparkSession.sparkContext
-    tables = context.broadcast(_tables(pairs))
-    return LanguageModel(counts, tokens, words, (tables, context.broadcast((dict(sent), markers, _mixer(pairs, tables)))))
+    tables = context.broadcast(_tables(strings))
+    return LanguageModel(counts, tokens, words, (tables, context.broadcast((dict(sent), markers, _mixer(strings, tables)))))
 
 
 # --- scoring ----------------------------------------------------------------------
@@ -448,19 +522,33 @@ def _scorer(width: int, tables, rest):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, markers, mixer = rest.value
-        remembered: dict[bytes, float] = {}
+        lead_scores: dict[bytes, float] = {}
+        tail_scores: dict[bytes, float] = {}
+
+        def looked_up(keys: list[bytes], known: dict[bytes, float], made) -> np.ndarray:
+            if len(known) > REMEMBERED:
+                known.clear()
+            new = [k for k in keys if k not in known]
+            if new:
+                known.update(zip(new, made(new).tolist()))
+            return np.fromiter(map(known.__getitem__, keys), float, len(keys))
+
+        def of_leads(keys: list[bytes]) -> np.ndarray:
+            return string_scores([k[:-1] for k in keys], np.fromiter((k[-1] for k in keys), np.int64, len(keys)), tables.value, mixer)
+
+        def of_tails(words: list[bytes]) -> np.ndarray:
+            return string_scores([written(w) for w in words], None, tables.value, mixer)
+
         for batch in by_pieces(batches, width, PIECE_BYTES):
             n_docs = batch.num_rows
-            piece = piece_of(batch.column(width).to_pylist(), markers)
-            pairs, of = np.unique(piece.number * spread + piece.marker, return_inverse=True)
-            keys = [piece.words[w] + bytes((m,)) for w, m in zip((pairs // spread).tolist(), (pairs % spread).tolist())]
-            if len(remembered) > REMEMBERED:
-                remembered.clear()
-            new = [i for i, k in enumerate(keys) if k not in remembered]
-            if new:
-                made = word_scores([keys[i][:-1] for i in new], (pairs % spread)[new], tables.value, mixer)
-                remembered.update(zip([keys[i] for i in new], made.tolist()))
-            value = np.fromiter((remembered[k] for k in keys), float, len(keys))
+            piece = piece_of(batch.column(width), markers)
+            pairs, of = np.unique(piece.lead_number * spread + piece.marker, return_inverse=True)
+            keys = [piece.leads[i] + bytes((m,)) for i, m in zip((pairs // spread).tolist(), (pairs % spread).tolist())]
+            value = looked_up(keys, lead_scores, of_leads)[of]
+            long = [i for i, w in enumerate(piece.words) if len(w) >= LEAD]
+            tails = np.zeros(len(piece.words))
+            tails[long] = looked_up([piece.words[i] for i in long], tail_scores, of_tails)
+            value += tails[piece.number]
             sums = lambda x: np.bincount(piece.document, weights=x, minlength=n_docs)
             c = np.fromiter((counts.get(w, -1) for w in piece.words), np.int64, len(piece.words))[piece.number]
             base = np.where(c >= 0, np.log10(np.maximum(c, 0) + 1.0), 0.0)
@@ -472,7 +560,7 @@ def _scorer(width: int, tables, rest):
             rare = pa.array([piece.words[i] for i in (each % len(piece.words)).tolist()], pa.binary())
             columns = [
                 batch.column(width + 1), pa.array(np.bincount(piece.document, minlength=n_docs)), pa.array(sums(size).astype(np.int64)), pa.array(sums(c >= 0).astype(np.int64)),
-                pa.array(sums(base)), pa.array(sums(value[of])), pa.ListArray.from_arrays(offsets, rare), pa.ListArray.from_arrays(offsets, pa.array(times, pa.int64())),
+                pa.array(sums(base)), pa.array(sums(value)), pa.ListArray.from_arrays(offsets, rare), pa.ListArray.from_arrays(offsets, pa.array(times, pa.int64())),
             ]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(width)), *columns], names=[*batch.schema.names[:width], *(f.split()[0] for f in _FOUND.split(", "))])
 

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,25 +77,24 @@ def test_probabilities_of_all_continuations_add_up():
     """The scores are those of one distribution: over the bytes after a beginning they sum to 1."""
     rng = random.Random(3)
     words = [w.encode() for w in prose(rng, 500).split()]
-    marker = np.array([i % 3 for i in range(len(words))])
+    leads, marker = [cm.written(w)[: cm.LEAD] for w in words], np.array([i % 3 for i in range(len(words))])
+    tails = [cm.written(w) for w in words if len(w) >= cm.LEAD]
     tables = [np.zeros(1 << b, np.uint16) for b in cm.TABLE_BITS]
-    code, begin, bit, slots = cm.events(words, marker)
-    for table, slot in zip(tables, slots):
-        zeros, ones = (np.bincount(slot[bit == b], minlength=len(table)) for b in (0, 1))
+    parts = [cm.events(leads, marker), cm.events(tails)]
+    for k, table in enumerate(tables):
+        zeros, ones = (sum(np.bincount(e.slots[k][e.bit == b], minlength=len(table)) for e in parts) for b in (0, 1))
         table[:] = cm.packed_counts(zeros, ones)
     mixer, curve = cm.Mixer.fresh(), cm.fresh_curve()
-    before = cm.word_scores(words, marker, tables, mixer).sum()
-    cm.learn(words, marker, np.ones(len(words), np.int64), tables, mixer, curve)
-    assert cm.word_scores(words, marker, tables, mixer).sum() > before
-    # P(first byte) = sum over both ends; check by the bits of one byte after "th"
-    total = 0.0
-    for b in range(256):
-        code, begin, bit, slots = cm.events([b"th" + bytes([b])], np.array([1]))
-        inputs, gate = cm._inputs(tables, slots, None)
-        logits = cm._logits(mixer.weights.astype(np.float32), inputs, gate)
-        p = 0.5 / (1 + np.exp(-logits)) + 0.5 * mixer.refined()[cm._refinement_cell(code, logits)]
-        total += float(np.prod(np.where(bit == 1, p, 1 - p)[2].astype(float)))
-    assert total == pytest.approx(1.0, abs=1e-5)
+    both = lambda: cm.string_scores(leads, marker, tables, mixer).sum() + cm.string_scores(tails, None, tables, mixer).sum()
+    before = both()
+    for strings, marks in ((leads, marker), (tails, None)):
+        cm.learn(strings, marks, np.ones(len(strings), np.int64), tables, mixer, curve)
+    assert both() > before
+    every = [bytes([b]) for b in range(256)]
+    for begin, marks in ((b"th", np.ones(256, np.int64)), (b"", np.zeros(256, np.int64)), (b"thon", None)):
+        scores = cm.string_scores([begin + b for b in every], marks, tables, mixer)
+        known = cm.string_scores([begin], marks[:1], tables, mixer)[0] if begin and marks is not None else 0.0
+        assert (10 ** (scores - known)).sum() == pytest.approx(1.0, abs=1e-4)
 
 
 def test_blocks_and_pieces_do_not_change_a_score(documents, monkeypatch):
@@ -126,6 +126,6 @@ def test_empty_tables_and_a_very_long_word(documents):
 
 
 def test_markers_are_the_last_frequent_word_before():
-    piece = cm.piece_of(["a the b the of c", "b", None], {b"the": 1, b"of": 2})
+    piece = cm.piece_of(pa.array(["a the b the of c", "b", None]), {b"the": 1, b"of": 2})
     assert [piece.words[n] for n in piece.number] == [b"a", b"the", b"b", b"the", b"of", b"c", b"", b"b", b"", b""]
     assert piece.marker.tolist() == [0, 0, 1, 1, 1, 2, 2, 0, 0, 0]
