@@ -21,11 +21,11 @@ from barloom.session import kept
 #: Frequent words of which the last one seen is a context, and words whose counts are sent to every task.
 MARKER_WORDS, SENT_WORDS = 31, 131_072
 #: Slots of each predictor's table, as powers of two. Fixed: contexts that meet in a slot share its counts.
-TABLE_BITS = (16, 20, 21, 21, 22, 23)
+TABLE_BITS = (16, 20, 21, 21, 22, 22)
 #: Bytes at the beginning of a word that are predicted with the marker word; the rest looks at the word alone.
 LEAD = 4
 #: Different words a task gathers, and scores it remembers, before it starts again.
-GATHERED, REMEMBERED = 200_000, 200_000
+GATHERED, REMEMBERED = 200_000, 100_000
 #: Text a task takes at a time, and bytes of different words whose bits are worked on at a time.
 PIECE_BYTES, BLOCK_BYTES = 1_000_000, 20_000
 #: Slots of one part of a table on its way through the shuffle.
@@ -47,7 +47,8 @@ def tokens_of(text: str | None) -> list[bytes]:
 _BIT = ((np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1).astype(np.uint8)
 #: Place in the byte before each bit: a one, then the bits so far.
 _NODE = ((np.arange(256)[:, None] >> np.arange(8, 0, -1)) | (1 << np.arange(8))).astype(np.uint8)
-_SPREAD = (np.arange(256, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.uint32)
+#: The same within each half of the byte: 1 to 15, so that the four bits of a half lie in one block of 16 slots.
+_STEP = np.concatenate([_NODE[:, :4], (np.arange(256)[:, None] % 16 >> np.arange(4, 0, -1)) | (1 << np.arange(4))], axis=1).astype(np.uint32)
 _FACTOR, _MULTIPLIER = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -105,10 +106,16 @@ def events(strings: list[bytes], marker: np.ndarray | None = None) -> Events:
         contexts = [two, three, last[0] | mark, three | mark, two | mark]
     node = _NODE[code]
     slots = [(last[0].astype(np.uint32)[:, None] << np.uint32(8)) | node]
-    spread = _SPREAD[node]
+    step = _STEP[code]
+    half = (code >> 4).astype(np.uint64) + np.uint64(1) << np.uint64(56)
     for k, (bits, context) in enumerate(zip(TABLE_BITS[1:], contexts)):
-        tagged = _mixed(context ^ np.uint64((2 * k + tail + 1) << 48)).astype(np.uint32)
-        slots.append((tagged[:, None] ^ spread) & np.uint32((1 << bits) - 1))
+        context = context ^ np.uint64((2 * k + tail + 1) << 48)
+        slot = np.empty((len(code), 8), np.uint32)
+        mask = np.uint64((1 << bits) - 1)
+        slot[:, :4] = (_mixed(context) & mask)[:, None]
+        slot[:, 4:] = (_mixed(context ^ half) & mask)[:, None]
+        slot ^= step
+        slots.append(slot)
     return Events(code, begin, size, _BIT[code], slots, tail)
 
 
@@ -127,11 +134,11 @@ def packed_counts(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 
 def _evidence() -> np.ndarray:
-    """Log odds of a one by packed counts; then those without one zero, then those without one one."""
+    """Log odds of a one in eighths by packed counts; then those without one zero, then those without one one."""
     zeros, ones = _COUNT[:, None], _COUNT[None, :]
     fewer = lambda n: np.where((n >= 1) & (n < _EXACT), n - 1, n)
-    odds = lambda n0, n1: np.log((n1 + 0.4) / (n0 + 0.4))
-    return np.stack([odds(zeros, ones), odds(fewer(zeros), ones), odds(zeros, fewer(ones))]).astype(np.float32).reshape(-1)
+    odds = lambda n0, n1: np.clip(np.rint(8 * np.log((n1 + 0.4) / (n0 + 0.4))), -127, 127)
+    return np.stack([odds(zeros, ones), odds(fewer(zeros), ones), odds(zeros, fewer(ones))]).astype(np.int8).reshape(-1)
 
 
 def _seen() -> np.ndarray:
@@ -165,25 +172,38 @@ class Mixer:
         return ((self.ones + TRUST * np.tile(middle, 256)) / (self.seen + TRUST)).astype(np.float32)
 
 
-def _inputs(tables: list[np.ndarray], found: Events, held_back: bool = False) -> tuple[list[np.ndarray], np.ndarray]:
-    """Evidence of each predictor for each bit, and the gate.
+@dataclass
+class Evidence:
+    """What scoring reads of the tables: log odds, and for the last two how well known a slot is."""
 
-    ``held_back`` while learning: a bit's own occurrence is taken out of the
-    counts, so that they tell what would be known without it.
-    """
-    states = [table[slot] for table, slot in zip(tables, found.slots)]
-    if held_back:
-        shift = (np.uint32(1) + found.bit.astype(np.uint32)) << np.uint32(16)
-        states = [s + shift for s in states]
-    gate = _SEEN[states[-2]] * 3 + _SEEN[states[-1]] + 9 * found.tail
-    return [_EVIDENCE[s] for s in states], gate * 8 + np.arange(8, dtype=np.uint8)
+    odds: list[np.ndarray]
+    seen: list[np.ndarray]
+
+    @classmethod
+    def of(cls, tables: list[np.ndarray]) -> Evidence:
+        return cls([_EVIDENCE[t] for t in tables], [_SEEN[t] for t in tables[-2:]])
+
+    def inputs(self, found: Events) -> tuple[list[np.ndarray], np.ndarray]:
+        """Evidence of each predictor for each bit, and the gate."""
+        return [o.take(s) for o, s in zip(self.odds, found.slots)], _gate(found, *(x.take(s) for x, s in zip(self.seen, found.slots[-2:])))
+
+
+def _gate(found: Events, before_last: np.ndarray, last: np.ndarray) -> np.ndarray:
+    return ((before_last * 3 + last + 9 * found.tail) * 8 + np.arange(8, dtype=np.uint8)).astype(np.intp)
+
+
+def _held_back(tables: list[np.ndarray], found: Events) -> tuple[list[np.ndarray], np.ndarray]:
+    """The same while learning: a bit's own occurrence is taken out of the counts, which then tell what would be known without it."""
+    shift = (np.uint32(1) + found.bit.astype(np.uint32)) << np.uint32(16)
+    states = [table[slot] + shift for table, slot in zip(tables, found.slots)]
+    return [_EVIDENCE[s] for s in states], _gate(found, _SEEN[states[-2]], _SEEN[states[-1]])
 
 
 def _logits(weights: np.ndarray, inputs: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
-    total = weights[-1][gate]
-    for w, x in zip(weights, inputs):
-        total = total + w[gate] * x
-    return np.clip(total, -13.0, 13.0)
+    total = weights[-1].take(gate)
+    for w, x in zip(weights * np.float32(0.125), inputs):
+        total += w.take(gate) * x
+    return np.clip(total, -13.0, 13.0, out=total)
 
 
 def _refinement_cell(code: np.ndarray, logits: np.ndarray) -> np.ndarray:
@@ -191,17 +211,19 @@ def _refinement_cell(code: np.ndarray, logits: np.ndarray) -> np.ndarray:
     return _NODE[code].astype(np.int32) * BINS + bins
 
 
-def string_scores(strings: list[bytes], marker: np.ndarray | None, tables: list[np.ndarray], mixer: Mixer) -> np.ndarray:
+def string_scores(strings: list[bytes], marker: np.ndarray | None, evidence: Evidence, mixer: Mixer) -> np.ndarray:
     """log10 probability of each lead after its marker word, or of each word's tail after its lead."""
     weights, refined = mixer.weights.astype(np.float32), mixer.refined()
+    # chance of a zero, then of a one, in each cell
+    halves = 0.5 * np.concatenate([1 - refined, refined])
     out = np.empty(len(strings))
     for a, b in chunks([len(w) for w in strings], BLOCK_BYTES):
         found = events(strings[a:b], None if marker is None else marker[a:b])
-        inputs, gate = _inputs(tables, found)
-        logits = _logits(weights, inputs, gate)
-        p = 0.5 / (1 + np.exp(-logits)) + 0.5 * refined[_refinement_cell(found.code, logits)]
-        chance = np.where(found.bit == 1, p, 1 - p)
-        out[a:b] = np.add.reduceat(np.log10(chance.astype(np.float64)).sum(axis=1), found.begin)
+        logits = _logits(weights, *evidence.inputs(found))
+        cell = _refinement_cell(found.code, logits) + found.bit.astype(np.int32) * len(refined)
+        np.negative(logits, where=found.bit == 1, out=logits)
+        chance = np.float32(0.5) / (1 + np.exp(logits)) + halves.take(cell)
+        out[a:b] = np.add.reduceat(np.log10(chance).sum(axis=1, dtype=np.float64), found.begin)
     return out
 
 
@@ -219,12 +241,12 @@ def learn(strings: list[bytes], marker: np.ndarray | None, times: np.ndarray, ta
     for a, b in chunks([len(w) for w in strings], BLOCK_BYTES):
         found = events(strings[a:b], None if marker is None else marker[a:b])
         bit = found.bit
-        inputs, gate = _inputs(tables, found, held_back=True)
+        inputs, gate = _held_back(tables, found)
         logits = _logits(mixer.weights.astype(np.float32), inputs, gate)
         p = 1 / (1 + np.exp(-logits))
         weight = np.repeat(times[a:b].astype(np.float32), found.size)[:, None]
         pull, bend = weight * (bit - p), weight * np.maximum(p * (1 - p), 1e-3)
-        both = np.stack([*inputs, np.ones_like(p)], axis=2)
+        both = np.stack([*(x * np.float32(0.125) for x in inputs), np.ones_like(p)], axis=2)
         for place in range(8):
             order = np.argsort(gate[:, place], kind="stable")
             cuts = np.searchsorted(gate[order, place], np.arange(place, _GATES + 8, 8).astype(gate.dtype))
@@ -473,8 +495,11 @@ def train(documents: DataFrame, text: str = "text") -> LanguageModel:
     markers = {w: i for i, w in enumerate([w for w, _ in sent if w != _END][:MARKER_WORDS], 1)}
     strings = kept(_strings(counts, _lead_counts(source, markers)), "strings")
     context = documents.sparkSession.sparkContext
-    tables = context.broadcast(_tables(strings))
-    return LanguageModel(counts, tokens, words, (tables, context.broadcast((dict(sent), markers, _mixer(strings, tables)))))
+    tables = _tables(strings)
+    sent_tables = context.broadcast(tables)
+    mixer = _mixer(strings, sent_tables)
+    sent_tables.unpersist()
+    return LanguageModel(counts, tokens, words, context.broadcast((Evidence.of(tables), dict(sent), markers, mixer)))
 
 
 # --- scoring ----------------------------------------------------------------------
@@ -500,7 +525,7 @@ def score(documents: DataFrame, model: LanguageModel, text: str = "text") -> Dat
     private = [f"_{i}" for i in range(len(names))]
     plain = documents.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(names, private)], F.col(f"`{text}`").alias("text"))
     numbered = plain.withColumn("row", F.monotonically_increasing_id())
-    found = numbered.mapInArrow(_scorer(len(names), *model.shared), T.StructType([*numbered.drop("text", "row").schema.fields, *T.StructType.fromDDL(_FOUND).fields]))
+    found = numbered.mapInArrow(_scorer(len(names), model.shared), T.StructType([*numbered.drop("text", "row").schema.fields, *T.StructType.fromDDL(_FOUND).fields]))
     found = kept(found, "scored")
     rare = found.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
     known = rare.join(model.counts, "word")
@@ -517,11 +542,11 @@ def score(documents: DataFrame, model: LanguageModel, text: str = "text") -> Dat
 _FOUND = "row bigint, n_tokens bigint, n_bytes bigint, known bigint, base double, score double, rare array<binary>, times array<bigint>"
 
 
-def _scorer(width: int, tables, rest):
+def _scorer(width: int, shared):
     spread = MARKER_WORDS + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, markers, mixer = rest.value
+        evidence, counts, markers, mixer = shared.value
         lead_scores: dict[bytes, float] = {}
         tail_scores: dict[bytes, float] = {}
 
@@ -534,10 +559,10 @@ def _scorer(width: int, tables, rest):
             return np.fromiter(map(known.__getitem__, keys), float, len(keys))
 
         def of_leads(keys: list[bytes]) -> np.ndarray:
-            return string_scores([k[:-1] for k in keys], np.fromiter((k[-1] for k in keys), np.int64, len(keys)), tables.value, mixer)
+            return string_scores([k[:-1] for k in keys], np.fromiter((k[-1] for k in keys), np.int64, len(keys)), evidence, mixer)
 
         def of_tails(words: list[bytes]) -> np.ndarray:
-            return string_scores([written(w) for w in words], None, tables.value, mixer)
+            return string_scores([written(w) for w in words], None, evidence, mixer)
 
         for batch in by_pieces(batches, width, PIECE_BYTES):
             n_docs = batch.num_rows

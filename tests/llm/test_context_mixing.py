@@ -85,15 +85,15 @@ def test_probabilities_of_all_continuations_add_up():
         zeros, ones = (sum(np.bincount(e.slots[k][e.bit == b], minlength=len(table)) for e in parts) for b in (0, 1))
         table[:] = cm.packed_counts(zeros, ones)
     mixer, curve = cm.Mixer.fresh(), cm.fresh_curve()
-    both = lambda: cm.string_scores(leads, marker, tables, mixer).sum() + cm.string_scores(tails, None, tables, mixer).sum()
+    both = lambda: cm.string_scores(leads, marker, cm.Evidence.of(tables), mixer).sum() + cm.string_scores(tails, None, cm.Evidence.of(tables), mixer).sum()
     before = both()
     for strings, marks in ((leads, marker), (tails, None)):
         cm.learn(strings, marks, np.ones(len(strings), np.int64), tables, mixer, curve)
     assert both() > before
     every = [bytes([b]) for b in range(256)]
     for begin, marks in ((b"th", np.ones(256, np.int64)), (b"", np.zeros(256, np.int64)), (b"thon", None)):
-        scores = cm.string_scores([begin + b for b in every], marks, tables, mixer)
-        known = cm.string_scores([begin], marks[:1], tables, mixer)[0] if begin and marks is not None else 0.0
+        scores = cm.string_scores([begin + b for b in every], marks, cm.Evidence.of(tables), mixer)
+        known = cm.string_scores([begin], marks[:1], cm.Evidence.of(tables), mixer)[0] if begin and marks is not None else 0.0
         assert (10 ** (scores - known)).sum() == pytest.approx(1.0, abs=1e-4)
 
 
