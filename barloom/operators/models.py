@@ -10,7 +10,15 @@ derived or registered, and walk-forward, ranking and grid treat all alike:
   (1 if absent) is how many rows of each class a fit needs;
 * a pooled model has ``estimator(n)``, an MLlib estimator for ``n`` training rows
   with the columns ``features`` and ``label``. It is fitted on all symbols
-  together, distributed, one fit per fold, so it also suits intraday panels.
+  together, distributed, one fit per fold, so it also suits intraday panels;
+* a moment model has ``columns`` and ``solve(n, products, pulls)``, which gives
+  weights (the intercept last) from the sums of products of the columns with
+  each other and with the target. The sums are Spark aggregates, so it also suits
+  intraday panels and no row enters Python.
+
+Models of moments predict a value, as do history models with ``fit_predict(x, y,
+test)`` in place of ``fit_score``, and pooled ones with ``regression = True``:
+they take the return target. The others predict P(up).
 """
 
 from __future__ import annotations
@@ -25,6 +33,8 @@ from pyspark.ml.feature import StandardScaler
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from barloom.operators.features import FEATURE_COLUMNS
+
 
 @dataclass(frozen=True)
 class AlwaysLong:
@@ -64,16 +74,24 @@ class ColumnScore:
 
 
 def kind_of(model: object) -> str:
-    """``rule``, ``history`` or ``pooled``, by the methods a model has."""
-    for name, method in (("rule", "probability"), ("pooled", "estimator"), ("history", "fit_score")):
+    """``rule``, ``history``, ``pooled`` or ``moments``, by the methods a model has."""
+    for name, method in (("rule", "probability"), ("pooled", "estimator"), ("moments", "solve"), ("history", "fit_score"), ("history", "fit_predict")):
         if callable(getattr(model, method, None)):
             return name
-    raise TypeError(f"{type(model).__name__} has none of probability, estimator and fit_score")
+    raise TypeError(f"{type(model).__name__} has none of probability, estimator, solve, fit_score and fit_predict")
+
+
+def predicts_values(model: object) -> bool:
+    """Whether a model predicts the target itself, not the chance of an up move."""
+    kind = kind_of(model)
+    if kind == "pooled":
+        return bool(getattr(model, "regression", False))
+    return kind == "moments" or (kind == "history" and not callable(getattr(model, "fit_score", None)))
 
 
 def rows_needed(model: object) -> int:
-    """Training rows of each class that a fit needs; 0 for rules."""
-    return 0 if kind_of(model) == "rule" else int(getattr(model, "min_per_class", 1))
+    """Training rows of each class that a fit needs; 0 for rules and for models of values."""
+    return 0 if kind_of(model) == "rule" or predicts_values(model) else int(getattr(model, "min_per_class", 1))
 
 
 # --------------------------------------------------------------------------
@@ -178,14 +196,25 @@ class CalibratedLogisticRegression:
     def fit_score(self, x: np.ndarray, y: np.ndarray, test: np.ndarray) -> np.ndarray:
         x, test = standardise(x, test)
         held = stratified_parts(y, self.cv)
-        total = np.zeros(len(test))
+        return sum(curve(_with_intercept(test) @ w) for _, w, curve in self.inner_fits(x, y, held)) / self.cv
+
+    def inner_fits(self, x: np.ndarray, y: np.ndarray, held: np.ndarray):
+        """For each part: its rows as flags, the weights fitted to the others, and the curve fitted to its own margins."""
+        calibrate = platt_curve if self.method == "sigmoid" else isotonic_curve
         for part in range(self.cv):
-            inside = held != part
-            w = _margin_fit(x[inside], y[inside], self.C, self.max_iter)
-            margins = _with_intercept(x[~inside]) @ w
-            calibrate = platt_curve if self.method == "sigmoid" else isotonic_curve
-            total += calibrate(margins, y[~inside])(_with_intercept(test) @ w)
-        return total / self.cv
+            own = held == part
+            w = _margin_fit(x[~own], y[~own], self.C, self.max_iter)
+            yield own, w, calibrate(_with_intercept(x[own]) @ w, y[own])
+
+    def inner_report(self, x: np.ndarray, y: np.ndarray, test: np.ndarray) -> list[tuple[int, int, float, float, bool]]:
+        """Of each part: rows, up rows, sum of their calibrated values, mean calibrated value of ``test``, and whether the curve rises with the margin."""
+        x, test = standardise(x, test)
+        out = []
+        for own, w, curve in self.inner_fits(x, y, stratified_parts(y, self.cv)):
+            margins = _with_intercept(x[own]) @ w
+            rising = bool(np.all(np.diff(curve(np.sort(margins))) >= -1e-12))
+            out.append((int(own.sum()), int(y[own].sum()), float(curve(margins).sum()), float(curve(_with_intercept(test) @ w).mean()), rising))
+        return out
 
 
 def stratified_parts(y: np.ndarray, parts: int) -> np.ndarray:
@@ -253,8 +282,23 @@ class PooledLogisticRegression:
 
     def estimator(self, n: int) -> Estimator:
         scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True)
-        learner = MLLogisticRegression(featuresCol="scaled", regParam=1.0 / (self.C * max(n, 1)), standardization=False, maxIter=self.max_iter, tol=1e-9)
+        learner = MLLogisticRegression(featuresCol="scaled", regParam=1.0 / (self.C * max(n, 1)), standardization=False, maxIter=self.max_iter, tol=1e-7)
         return Pipeline(stages=[scaler, learner])
 
 
+@dataclass(frozen=True)
+class LinearRegression:
+    """Least squares on some feature columns, with an intercept that ``ridge`` does not shrink."""
+
+    columns: tuple[str, ...] = tuple(FEATURE_COLUMNS)
+    ridge: float = 0.0
+
+    def solve(self, n: int, products: np.ndarray, pulls: np.ndarray) -> np.ndarray:
+        """Weights of the columns and the intercept; of all that fit equally well, the smallest."""
+        penalty = np.append(np.full(len(self.columns), self.ridge), 0.0)
+        # columns of very different size are brought to one scale first
+        scale = np.sqrt(np.maximum(np.diag(products), np.finfo(float).tiny))
+        return np.linalg.lstsq((products + np.diag(penalty)) / np.outer(scale, scale), pulls / scale, rcond=1e-13)[0] / scale
+
+
 Model = object

@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,13 +68,13 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{_own[key]}/{name}-{uuid.uuid4().hex}"
 
 
-def kept(df: DataFrame, name: str = "kept") -> DataFrame:
-    """Write ``df`` to the shared folder now and read it back.
+def kept(df: DataFrame, name: str = "kept", by: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` to the shared folder now and read it back, in one folder for each value of ``by``.
 
     For a table that several branches of a plan use: it is computed once, the
     plan stays short, and a lost executor re-reads files instead of redoing the
     work before them. The copy goes when the driver ends.
     """
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

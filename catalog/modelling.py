@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom.operators import experiments as ex
@@ -11,6 +12,7 @@ from barloom.operators import walkforward as wf
 from barloom.operators.backtest import run_backtest
 from barloom.operators.features import FEATURE_COLUMNS, build_features
 from barloom.operators.replay import strategy_curves
+from barloom.operators.splits import walk_forward_folds
 from barloom.operators.targets import make_dataset
 from barloom.plans import inputs
 from barloom.plans.report import rule_report
@@ -103,6 +105,40 @@ query(
     "SELECT * FROM wf_direction",
 )
 
+# regression of the next return on two moving features, by the moments of the training rows
+sql_table("wf_return_train", "SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS pos, count(*) OVER (PARTITION BY symbol) AS n FROM ds_return")
+sql_table(
+    "return_line",
+    """SELECT symbol, fold, count(*) AS n, regr_slope(y, price_vs_mean_20) AS slope, regr_intercept(y, price_vs_mean_20) AS intercept
+       FROM wf_return_train JOIN (SELECT unnest([0, 1, 2, 3, 4]) AS fold) ON pos < 252 + fold * 63 WHERE n >= 568 GROUP BY symbol, fold""",
+)
+# two columns: the normal equations of the centred sums, by Cramer's rule
+sql_table(
+    "return_plane",
+    """SELECT symbol, fold, n, wa, wb, my - wa * ma - wb * mb AS w0 FROM (
+         SELECT *, (say * sbb - sby * sab) / (saa * sbb - sab * sab) AS wa, (sby * saa - say * sab) / (saa * sbb - sab * sab) AS wb FROM (
+           SELECT symbol, fold, count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, regr_sxx(a, a) AS saa, regr_sxx(b, b) AS sbb,
+             regr_sxy(a, b) AS sab, regr_sxy(y, a) AS say, regr_sxy(y, b) AS sby
+           FROM (SELECT *, return_1d AS a, rsi_14 AS b FROM wf_return_train) JOIN (SELECT unnest([0, 1, 2, 3, 4]) AS fold) ON pos < 252 + fold * 63
+           WHERE n >= 568 GROUP BY symbol, fold))""",
+)
+query(
+    "g1_walk_forward_return",
+    "symbol:t date:d fold:i prediction:10",
+    lambda spark, sf: wf.run_walk_forward(inputs.bars(spark, sf), mo.LinearRegression(("price_vs_mean_20",)), inputs.SPLITTER, "return"),
+    f"""SELECT symbol, date, fold, slope * price_vs_mean_20 + intercept AS prediction
+        FROM (SELECT *, (pos - 253) // 63 AS fold FROM wf_return_train WHERE n >= 568 AND pos >= 253 AND pos < 253 + 5 * 63) JOIN return_line USING (symbol, fold)""",
+)
+
+
+def _return_fits(spark, sf):
+    data = make_dataset(inputs.bars(spark, sf), "return")
+    fits = wf.moment_fits(data, mo.LinearRegression(("return_1d", "rsi_14")), inputs.SPLITTER)
+    return fits.select("symbol", "fold", "n", *(F.col("weights")[i].alias(c) for i, c in enumerate(("wa", "wb", "w0"))))
+
+
+query("g1_return_fits", "symbol:t fold:i n:l wa:8 wb:10 w0:8", _return_fits, "SELECT symbol, fold, n, wa, wb, w0 FROM return_plane")
+
 # a smoother rule probability, for thresholds: how RSI stands within 0..100
 sql_table("wf_rsi", _folded("ds_direction", ", rsi_14 / 100 AS proba_up"))
 
@@ -142,23 +178,72 @@ query(
 
 # --- learned models --------------------------------------------
 
-def _learned(model, target="direction"):
-    return lambda spark, sf: wf.walk_forward_scores(
-        make_dataset(wf.by_history(inputs.bars(spark, sf)), target), model, inputs.SPLITTER
+# (symbol, fold) with its training rows, and what any optimum with a free intercept has: as many expected as actual ups
+sql_table(
+    "fold_rows",
+    f"""SELECT symbol, fold, pos, y FROM (SELECT *, row_number() OVER ({SYM}) - 1 AS pos, count(*) OVER (PARTITION BY symbol) AS n FROM ds_direction)
+        JOIN (SELECT unnest([0, 1, 2, 3, 4]) AS fold) ON pos < 252 + fold * 63 WHERE n >= 568""",
+)
+
+
+def _logistic(spark, sf):
+    """Per fold: expected ups of the training rows by the reported fit, and whether it gives the scores of the test rows."""
+    data = kept(make_dataset(inputs.bars(spark, sf)), "dataset")
+    model = mo.LogisticRegression()
+    fits = kept(wf.logistic_fits(data, model, inputs.SPLITTER), "fits").drop("n")
+    scored = wf.walk_forward_scores(data, model, inputs.SPLITTER).select("symbol", "date", "fold", "proba_up")
+    roles = walk_forward_folds(data, inputs.SPLITTER).select("symbol", "date", "fold", "role")
+    rows = roles.join(data.select("symbol", "date", *FEATURE_COLUMNS), ["symbol", "date"]).join(fits, ["symbol", "fold"]).join(scored, ["symbol", "date", "fold"], "left")
+    terms = [(F.col(c) - F.col("centre")[i]) / F.col("spread")[i] * F.col("weights")[i] for i, c in enumerate(FEATURE_COLUMNS)]
+    p = 1 / (1 + F.exp(-(sum(terms[1:], terms[0]) + F.col("intercept"))))
+    test = F.col("role") == "test"
+    return rows.withColumn("p", p).groupBy("symbol", "fold").agg(
+        F.sum(F.when(~test, F.col("p"))).alias("expected_ups"), F.count_if(test & (F.abs(F.col("p") - F.col("proba_up")) < 1e-9)).alias("n_test")
     )
 
 
-SCORED = "symbol:t date:d fold:i y:1 probable:b"
-_SCORED_SQL = "SELECT *, true AS probable FROM wf_direction"
+query(
+    "f3_logistic_regression",
+    "symbol:t fold:i expected_ups:4 n_test:l",
+    _logistic,
+    "SELECT symbol, fold, sum(y) AS expected_ups, 63 AS n_test FROM fold_rows GROUP BY symbol, fold",
+)
+
+# rows of the inner parts: each class is laid out after the other, the class of the first row first, and dealt to the parts in turn
+sql_table(
+    "inner_parts",
+    """SELECT symbol, fold, part, sum(held) AS n_held, sum(CASE WHEN y = 1 THEN held ELSE 0 END) AS ups_held FROM (
+         SELECT *, (o + n - part + 4) // 5 - (o - part + 4) // 5 AS held FROM (
+           SELECT c.symbol, c.fold, c.y, c.n, CASE WHEN c.y = f.first THEN 0 ELSE f.n_first END AS o FROM
+             (SELECT symbol, fold, y, count(*) AS n FROM fold_rows GROUP BY ALL) c JOIN
+             (SELECT symbol, fold, first, count(*) FILTER (WHERE y = first) AS n_first FROM
+               (SELECT *, first_value(y) OVER (PARTITION BY symbol, fold ORDER BY pos) AS first FROM fold_rows) GROUP BY ALL) f USING (symbol, fold))
+         JOIN (SELECT unnest([0, 1, 2, 3, 4]) AS part) ON true) GROUP BY symbol, fold, part""",
+)
+
 
+def _calibrated(model):
+    def run(spark, sf):
+        data = kept(make_dataset(wf.by_history(inputs.bars(spark, sf))), "dataset")
+        parts = wf.calibration_report(data, model, inputs.SPLITTER)
+        scores = wf.walk_forward_scores(data, model, inputs.SPLITTER).groupBy("symbol", "fold").agg(F.count("*").alias("n_test"), F.avg("proba_up").alias("mean"))
+        means = Window.partitionBy("symbol", "fold")
+        agrees = F.abs(F.avg("test_mean").over(means) - F.col("mean")) < 1e-9
+        return parts.join(scores, ["symbol", "fold"]).select("symbol", "fold", "part", "n_held", "ups_held", "total", "rising", "n_test", agrees.alias("agrees"))
 
-def _probable(model, target="direction"):
-    return lambda spark, sf: _learned(model, target)(spark, sf).withColumn("probable", F.col("proba_up").between(0.0, 1.0))
+    return run
 
 
-query("f3_logistic_regression", SCORED, _probable(mo.LogisticRegression()), _SCORED_SQL)
-query("f4_calibrated_sigmoid", SCORED, _probable(mo.CalibratedLogisticRegression()), _SCORED_SQL)
-query("f4_calibrated_isotonic", SCORED, _probable(mo.CalibratedLogisticRegression(method="isotonic")), _SCORED_SQL)
+_PARTS = "symbol:t fold:i part:i n_held:l ups_held:l total:6 rising:b n_test:l agrees:b"
+_PARTS_SQL = "SELECT symbol, fold, part, n_held, ups_held, {} AS total, true AS rising, 63 AS n_test, true AS agrees FROM inner_parts"
+query(
+    "f4_calibrated_sigmoid",
+    _PARTS,
+    _calibrated(mo.CalibratedLogisticRegression()),
+    # the curve is fitted to smoothed labels, and has their sum
+    _PARTS_SQL.format("ups_held * (ups_held + 1.0) / (ups_held + 2) + (n_held - ups_held) / (n_held - ups_held + 2.0)"),
+)
+query("f4_calibrated_isotonic", _PARTS, _calibrated(mo.CalibratedLogisticRegression(method="isotonic")), _PARTS_SQL.format("CAST(ups_held AS DOUBLE)"))
 
 
 def _fits(spark, sf):
@@ -184,12 +269,45 @@ query(
 for _target in ("direction", "threshold"):
     sql_table(
         f"pooled_{_target}",
-        f"""SELECT symbol, d.date, CAST(floor((pos - 253) / 63.0) AS INTEGER) AS fold, y, true AS probable FROM ds_{_target} d JOIN (
+        f"""SELECT symbol, d.date, pos, y FROM ds_{_target} d JOIN (
               SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM ds_{_target})) a
-            ON a.date = d.date WHERE n >= 568 AND pos >= 253 AND pos < 253 + 5 * 63""",
+            ON a.date = d.date WHERE n >= 568""",
     )
-query("f3_pooled_logistic", SCORED, _probable(mo.PooledLogisticRegression()), "SELECT * FROM pooled_direction")
-query("f5_random_forest", SCORED, _probable(mo.RandomForest(), "threshold"), "SELECT * FROM pooled_threshold")
+_POOLED_SQL = """SELECT fold, count(*) FILTER (WHERE pos < 252 + fold * 63) AS n_train, {} AS {},
+    count(*) FILTER (WHERE pos >= 253 + fold * 63 AND pos < 316 + fold * 63) AS n_test{} FROM pooled_{} JOIN (SELECT unnest([0, 1, 2, 3, 4]) AS fold) ON true GROUP BY fold"""
+_TRAIN_UPS = "sum(CASE WHEN pos < 252 + fold * 63 THEN y ELSE 0 END)"
+
+
+def _pooled(model, target):
+    """Scores of the training rows and of the test rows, by fold."""
+
+    def run(spark, sf):
+        data = kept(make_dataset(inputs.bars(spark, sf), target), "dataset")
+        tests = wf.walk_forward_scores(data, model, inputs.SPLITTER).groupBy("fold").agg(F.count_if(F.col("proba_up").between(0.0, 1.0)).alias("n_test"))
+        p, y = F.col("proba_up"), F.col("y")
+        error = F.avg(F.pow(p - y, F.lit(2.0)))
+        train = wf.training_scores(data, model, inputs.SPLITTER).groupBy("fold").agg(
+            F.count("*").alias("n_train"), F.sum(p).alias("expected_ups"), F.sum(y).alias("ups"),
+            (F.abs(F.avg(p) - F.avg(y)) < 0.02).alias("centred"), (error < 0.97 * F.var_pop(y)).alias("learned"), F.count_distinct(F.round(p, 6)).alias("levels"),
+        )
+        return train.join(tests, "fold")
+
+    return run
+
+
+query(
+    "f3_pooled_logistic",
+    "fold:i n_train:l expected_ups:2 n_test:l",
+    lambda spark, sf: _pooled(mo.PooledLogisticRegression(), "direction")(spark, sf).select("fold", "n_train", "expected_ups", "n_test"),
+    _POOLED_SQL.format(_TRAIN_UPS, "expected_ups", "", "direction"),
+)
+query(
+    "f5_random_forest",
+    "fold:i n_train:l ups:1 n_test:l centred:b learned:b many_levels:b",
+    # no constant and no random score is centred and better than the base rate on every fold's rows
+    lambda spark, sf: _pooled(mo.RandomForest(), "threshold")(spark, sf).select("fold", "n_train", "ups", "n_test", "centred", "learned", (F.col("levels") > 100).alias("many_levels")),
+    _POOLED_SQL.format(_TRAIN_UPS, "ups", ", true AS centred, true AS learned, true AS many_levels", "threshold"),
+)
 
 # --- backtests -------------------------------------------------------------
 

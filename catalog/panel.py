@@ -269,9 +269,10 @@ _target("e4_threshold_target", "target_threshold", ta.threshold_direction, _THRE
 
 FULL = complete(fe.FEATURE_COLUMNS)
 sql_table("ds_direction", f"SELECT * FROM (SELECT *, {_DIRECTION} AS y FROM feats) WHERE {FULL} AND y IS NOT NULL")
+sql_table("ds_return", f"SELECT * FROM (SELECT *, {_NEXT} / close - 1 AS y FROM feats) WHERE {FULL} AND y IS NOT NULL")
 sql_table("ds_threshold", f"SELECT * FROM (SELECT *, {_THRESHOLD} AS y FROM feats) WHERE {FULL} AND y IS NOT NULL")
 
-for _name in ("direction", "threshold"):
+for _name in ("direction", "threshold", "return"):
     query(
         f"e5_make_dataset_{_name}",
         f"symbol:t date:d {ALL_FEATURES} y:8",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import functions as F
 
 from barloom.operators import forward_returns as fr
@@ -78,11 +80,23 @@ query(
        UNION ALL SELECT symbol, rare, CASE WHEN rare = 0 THEN 'one class' ELSE 'too few rows of a class' END FROM (
          SELECT symbol, least(sum(y), count(*) - sum(y)) AS rare FROM skip_rows WHERE pos < 252 AND n >= 252 + 5 * 63 + 1 GROUP BY symbol) WHERE rare < 5""",
 )
+@dataclass(frozen=True)
+class BaseRate:
+    """A model of a user's own: P(up) is the share of ups among the training rows."""
+
+    min_per_class: int = 5
+
+    def fit_score(self, x, y, test):
+        return [y.mean()] * len(test)
+
+
 query(
     "j1_ranked_beside_skipped",
-    "symbol:t scored:b",
-    lambda spark, sf: ranking.rank_universe(_skip_bars(spark, sf), mo.CalibratedLogisticRegression(), WalkForwardSplit(5, 252, 63, 1), "direction_5d").select("symbol", F.col("score").between(0.0, 1.0).alias("scored")),
-    "SELECT DISTINCT symbol, true AS scored FROM bars",
+    "symbol:t score:8",
+    lambda spark, sf: ranking.rank_universe(_skip_bars(spark, sf), BaseRate(), WalkForwardSplit(5, 252, 63, 1), "direction_5d"),
+    # the last score comes from the last fold's training rows
+    """SELECT symbol, avg(y) AS score FROM skip_rows WHERE n >= 252 + 5 * 63 + 1 AND pos < 252 + 4 * 63
+         AND symbol IN (SELECT symbol FROM skip_rows WHERE pos < 252 GROUP BY symbol HAVING least(sum(y), count(*) - sum(y)) >= 5) GROUP BY symbol""",
 )
 
 sql_table(

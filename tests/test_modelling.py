@@ -200,9 +200,92 @@ def test_learned_models_refuse_intraday(make_bars):
         walkforward.run_walk_forward(timed, models.LogisticRegression(), SPLIT)
 
 
-def test_learned_models_refuse_a_continuous_target(make_bars):
+def test_models_of_classes_refuse_a_continuous_target(make_bars):
+    bars = make_bars({"A": walk(240, 9)})
+    with pytest.raises(ValueError):
+        walkforward.run_walk_forward(bars, models.LogisticRegression(), SPLIT, "return")
     with pytest.raises(ValueError):
-        walkforward.run_walk_forward(make_bars({"A": walk(240, 9)}), models.LogisticRegression(), SPLIT, "return")
+        walkforward.run_walk_forward_proba(bars, models.LinearRegression(), SPLIT)
+
+
+class LeastSquares:
+    """A user's regression on the rows of one history."""
+
+    def fit_predict(self, x, y, test):
+        wide = lambda part: np.hstack([part, np.ones((len(part), 1))])
+        return wide(test) @ np.linalg.lstsq(wide(x), y, rcond=None)[0]
+
+
+def test_return_targets_by_moments_equal_a_fit_on_the_rows(make_bars):
+    bars = make_bars({"A": walk(240, 9), "B": walk(240, 10), "NEW": walk(60, 3)})
+    some = lambda model: {(r["symbol"], r["date"]): r["prediction"] for r in walkforward.run_walk_forward(bars, model, SPLIT, "return").collect()}
+    rows, moments = some(LeastSquares()), some(models.LinearRegression())
+    assert rows.keys() == moments.keys() and {k[0] for k in rows} == {"A", "B"}
+    assert all(moments[k] == pytest.approx(rows[k], abs=1e-6) for k in rows)
+    # a large penalty leaves the mean return of the training rows
+    flat = some(models.LinearRegression(ridge=1e12))
+    assert len({round(v, 9) for (s, _), v in flat.items() if s == "A"}) == SPLIT.n_splits
+
+
+def test_moment_fits_see_the_past_only(make_bars):
+    closes = walk(240, 9)
+    cut = lambda c: {(r["fold"]): r["weights"] for r in walkforward.moment_fits(make_dataset(make_bars({"A": c}), "return"), models.LinearRegression(("rsi_14",)), SPLIT).collect()}
+    changed = closes[:-3] + [500.0, 1.0, 90.0]
+    assert cut(closes)[0] == pytest.approx(cut(changed)[0])
+    assert len(cut(closes)) == SPLIT.n_splits
+
+
+def test_moment_models_take_intraday_panels(make_bars):
+    timed = make_bars({"A": walk(240, 9)}).withColumn("date", F.col("date").cast("timestamp_ntz"))
+    plain = walkforward.run_walk_forward(make_bars({"A": walk(240, 9)}), models.LinearRegression(), SPLIT, "return")
+    got = walkforward.run_walk_forward(timed, models.LinearRegression(), SPLIT, "return")
+    assert column(got, "prediction") == pytest.approx(column(plain, "prediction"))
+
+
+def test_pooled_models_report_the_symbols_without_scores(make_bars):
+    from barloom.operators.ranking import skipped_symbols
+
+    splits = walkforward.WalkForwardSplit(2, 100, 40, 1, anchor="end")
+    model = models.PooledLogisticRegression(max_iter=5)
+    closes = {"A": walk(240, 9), "B": walk(240, 10)}
+    late = business_days(240)[-60:]
+    bars = make_bars(closes).unionByName(make_bars({"LATE": walk(60, 5)}, late)).unionByName(make_bars({"GONE": walk(60, 5)}))
+    scored = {r["symbol"] for r in walkforward.run_walk_forward_proba(bars, model, splits).select("symbol").distinct().collect()}
+    skipped = {r["symbol"]: (r["n"], r["reason"]) for r in skipped_symbols(bars, splits, model=model).collect()}
+    # a short history is scored if it has rows on the test dates of its pool
+    assert scored == {"A", "B", "LATE"} and skipped == {"GONE": (0, "no row on a test date")}
+
+
+def test_a_pool_without_one_class_is_reported_with_its_fold(make_bars):
+    data = make_dataset(make_bars({"A": walk(240, 9), "B": walk(240, 10)})).withColumn("y", F.lit(1.0))
+    model = models.PooledLogisticRegression(max_iter=5)
+    assert walkforward.walk_forward_scores(data, model, SPLIT).count() == 0
+    found = {(r["symbol"], r["n"], r["reason"]) for r in walkforward.unfit_histories(data, model, SPLIT).collect()}
+    assert found == {(s, 0, "one class in fold 0 of its pool") for s in "AB"}
+    few = walkforward.unfit_histories(data.limit(50), model, SPLIT).collect()
+    assert {r["reason"] for r in few} == {"too few rows in its pool"}
+
+
+class Counted(models.PooledLogisticRegression):
+    """A pooled model that counts its fits."""
+
+    fits: list = []
+
+    def estimator(self, n):
+        self.fits.append(n)
+        return super().estimator(n)
+
+
+def test_pools_with_the_same_training_rows_share_a_fit(make_bars):
+    data = make_dataset(make_bars({"A": walk(240, 9), "B": walk(240, 10)}))
+    keys = ["symbol", "config"]
+    both = data.withColumn("config", F.lit("x")).unionByName(data.withColumn("config", F.lit("y")))
+    Counted.fits.clear()
+    scored = walkforward.walk_forward_scores(both, Counted(max_iter=20), SPLIT, keys)
+    assert len(Counted.fits) == SPLIT.n_splits
+    parts = [{(r["symbol"], r["date"]): r["proba_up"] for r in scored.filter(F.col("config") == c).collect()} for c in "xy"]
+    assert parts[0] == parts[1] and parts[0]
+    assert scored.inputFiles()  # results of pooled folds are a table, not a plan
 
 
 def test_fits_share_the_shuffle_of_the_features(make_bars):
