@@ -245,7 +245,7 @@ def test_moment_models_take_intraday_panels(make_bars):
 def test_pooled_models_report_the_symbols_without_scores(make_bars):
     from barloom.operators.ranking import skipped_symbols
 
-    splits = walkforward.WalkForwardSplit(2, 100, 40, 1, anchor="end")
+    splits = WalkForwardSplit(2, 100, 40, 1, anchor="end")
     model = models.PooledLogisticRegression(max_iter=5)
     closes = {"A": walk(240, 9), "B": walk(240, 10)}
     late = business_days(240)[-60:]
