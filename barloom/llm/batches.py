@@ -49,14 +49,18 @@ def input_columns(df: DataFrame, **columns: str) -> DataFrame:
 _SHARES = 1 << 30
 
 
-def bounded_sample(rows: DataFrame, size: int, *by: str) -> DataFrame:
+def bounded_sample(rows: DataFrame, size: int, *by: str, alike: bool = True) -> DataFrame:
     """At most ``size`` rows, chosen by the hash of ``by``.
 
     The rows are counted first, and a share of about twice the size is kept where
-    they lie, so that what meets in one place does not grow with the table.
+    they lie, so that what meets in one place does not grow with the table. With
+    ``alike`` rows of one hash stay or go together; without, each is drawn on its
+    own, so that copies make up the share of the sample that they have in the
+    table. ``rows`` must then be a written table, whose rows keep their places.
     """
     total = rows.count()
-    number = F.xxhash64(F.lit(71), *by)
+    own = [] if alike else [F.monotonically_increasing_id()]
+    number = F.xxhash64(F.lit(71), *by, *own)
     if total > size:
         rows = rows.filter(F.pmod(number, F.lit(_SHARES)) < F.lit(int(_SHARES * min(1.0, 2 * size / total))))
     return rows.orderBy(number, *by).limit(size)

@@ -144,7 +144,9 @@ def find_hits(documents: DataFrame, benchmark: DataFrame, text: str = "text", it
     or wordless documents have no words; items without words are ignored; an
     item without an id marks words but is not listed; items or documents that
     repeat give the same as one. Items are spread over as many automata as their
-    measured size asks for, and every document passes through each of them.
+    measured size asks for, and every document passes through each of them. Very
+    long texts are walked like others; an empty table gives no rows; input columns
+    that have one of the new names are replaced by them.
     """
     items = input_columns(benchmark, item_id=item_id, text=item_text)
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -195,12 +197,13 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, text: str = "text"
     Runs of over ``max_span`` hit words are cut out of the text, from the first
     to the last of their words. A document in which hit words make up more than
     ``max_coverage`` of all words goes altogether. Others stay as they are, null
-    and empty ones too. Columns are those of ``documents``.
+    and empty ones too. Columns are those of ``documents``, whatever their names.
     """
-    hits = find_hits(documents, benchmark, text, **names)
     columns = documents.columns
-    source = hits.select(*[F.col(f"`{c}`") for c in columns], "n_words", "hit_runs")
     at = columns.index(text)
+    private = [f"_{i}" for i in range(len(columns))]
+    hits = find_hits(documents.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(columns, private)]), benchmark, private[at], **names)
+    source = hits.select(*private, "n_words", "hit_runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_pieces(batches, at):

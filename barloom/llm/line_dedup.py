@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.batches import by_pieces, input_columns
+from barloom.llm.batches import by_pieces, chunks, input_columns
 from barloom.llm.components import connected_components
 from barloom.session import kept
 
@@ -24,6 +24,8 @@ BANDS, ROWS = 7, 3
 REMEMBERED_LINES = 100_000
 #: Members of a bucket that are compared with each other in one piece.
 BLOCK = 256
+#: Bits of a line's sketch: one is set for each of its shingles.
+SKETCH_BITS = 512
 #: Bits of the map that keeps lines without any candidate out of the shuffle.
 MAP_BITS = 1 << 26
 #: Characters whose hashes are minimised at a time, so that they stay in the cache.
@@ -59,8 +61,8 @@ def similar(a: set[str], b: set[str]) -> bool:
 # --- signatures -------------------------------------------------------------------
 
 
-def signatures(lines: list[str]) -> np.ndarray:
-    """MinHash values, one row per hash function and one column per line."""
+def _shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of shingle length over the joined lines, and the size of each line, padded if short."""
     padded = [line if len(line) >= SHINGLE_CHARS else line.ljust(SHINGLE_CHARS, "\0") for line in lines]
     code = np.frombuffer("".join(padded).encode("utf-32-le", "replace"), np.uint32)
     size = np.fromiter(map(len, padded), np.int64, len(padded))
@@ -72,6 +74,40 @@ def signatures(lines: list[str]) -> np.ndarray:
         h ^= h >> np.uint32(shift)
         h *= np.uint32(factor)
     h ^= h >> np.uint32(16)
+    return h, size
+
+
+def sketches(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """How many shingles each line has at most, and its sketch as packed bits."""
+    h, size = _shingle_hashes(lines)
+    most = size - SHINGLE_CHARS + 1
+    begin = np.cumsum(size) - size
+    row = np.repeat(np.arange(len(lines)), most)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(most) - most, most) + np.repeat(begin, most)
+    bits = np.zeros((len(lines), SKETCH_BITS), bool)
+    bits[row, h[at] % SKETCH_BITS] = True
+    return most, np.packbits(bits, axis=1)
+
+
+def may_be_similar(n_a: np.ndarray, a: np.ndarray, n_b: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """False only where sketches prove that two lines are below the threshold.
+
+    A bit that only one line has stands for a shingle that only this line has, so
+    the sketches bound what both have in common from above and what they have
+    together from below. Sketches are 64-bit words along the last axis.
+    """
+    only_a, only_b = np.bitwise_count(a & ~b).sum(axis=-1, dtype=np.int64), np.bitwise_count(b & ~a).sum(axis=-1, dtype=np.int64)
+    together = np.bitwise_count(a | b).sum(axis=-1, dtype=np.int64)
+    return np.minimum(n_a - only_a, n_b - only_b) >= THRESHOLD * together
+
+
+def _words(sketch: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(sketch.to_pylist()), np.uint64).reshape(len(sketch), SKETCH_BITS // 64)
+
+
+def signatures(lines: list[str]) -> np.ndarray:
+    """MinHash values, one row per hash function and one column per line."""
+    h, size = _shingle_hashes(lines)
     begin = np.cumsum(size) - size
     cuts = np.stack([begin, begin + size - SHINGLE_CHARS + 1], axis=1).ravel()[:-1]
     out, mixed = np.empty((BANDS * ROWS, len(lines)), np.uint32), np.empty_like(h)
@@ -167,7 +203,7 @@ def _occurrences(rows: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
 
 
 def _texts(rows: DataFrame, bits: np.ndarray) -> DataFrame:
-    """``(key, k, line)``: each different line in the map once."""
+    """``(key, k, line, n, sketch)``: each different line in the map once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -182,33 +218,41 @@ def _texts(rows: DataFrame, bits: np.ndarray) -> DataFrame:
             if len(seen) > REMEMBERED_LINES:
                 seen.clear()
             seen.update(out)
-            k = np.frombuffer(b"".join(out), np.int64)[::2]
-            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array(k), pa.array(list(out.values()), pa.string())], names=["key", "k", "line"])
+            keys, found = list(out), list(out.values())
+            for a, b in chunks(list(map(len, found)), PIECE_CHARS):
+                k = np.frombuffer(b"".join(keys[a:b]), np.int64)[::2]
+                n, sketch = sketches(found[a:b])
+                columns = [pa.array(keys[a:b], pa.binary()), pa.array(k), pa.array(found[a:b], pa.string()), pa.array(n), pa.array([x.tobytes() for x in sketch], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.mapInArrow(run, "key binary, k bigint, line string").groupBy("key").agg(F.first("k").alias("k"), F.first("line").alias("line"))
+    names = ["key", "k", "line", "n", "sketch"]
+    return rows.mapInArrow(run, "key binary, k bigint, line string, n bigint, sketch binary").groupBy("key").agg(*[F.first(c).alias(c) for c in names[1:]])
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
-    """Of ``(a, line_a, b, line_b)`` the pairs ``(a, b)`` that reach the threshold exactly."""
+    """Of ``(a, line_a, n_a, sketch_a, b, …)`` the pairs ``(a, b)`` that reach the threshold exactly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, last_set = None, set()
         for batch in batches:
+            n_a, n_b = (batch.column(i).to_numpy() for i in (4, 6))
+            some = batch.filter(pa.array(may_be_similar(n_a, _words(batch.column(5)), n_b, _words(batch.column(7)))))
             good = []
-            for b, line_a, line_b in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()):
+            for b, line_a, line_b in zip(some.column(2).to_pylist(), some.column(1).to_pylist(), some.column(3).to_pylist()):
                 if b != last:
                     last, last_set = b, shingles(line_b)
                 good.append(similar(shingles(line_a), last_set))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(2)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.select("a", "line_a", "b", "line_b").mapInArrow(run, "a binary, b binary")
+    return pairs.select("a", "line_a", "b", "line_b", "n_a", "sketch_a", "n_b", "sketch_b").mapInArrow(run, "a binary, b binary")
 
 
 def _across(groups: DataFrame) -> DataFrame:
     """Links between lines of different components inside each block of a bucket.
 
-    Rows ``(bucket, i, j, block, root, key, line)`` stream in group order; only
-    lines that are not yet connected are compared, each link connects two parts.
+    Rows ``(bucket, i, j, block, root, key, line, n, sketch)`` stream in group
+    order; only lines that are not yet connected and whose sketches allow it are
+    compared, each link connects two parts.
     """
 
     def links(rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
@@ -223,16 +267,19 @@ def _across(groups: DataFrame) -> DataFrame:
                 x = part[x]
             return x
 
-        for y in range(len(rows)):
-            for x in range(y):
-                if i != j and rows[x][3] == rows[y][3]:
-                    continue  # compared where the block stands alone
+        block, n = (np.array([r[c] for r in rows]) for c in (3, 7))
+        words = np.frombuffer(b"".join(r[8] for r in rows), np.uint64).reshape(len(rows), -1)
+        for y in range(1, len(rows)):
+            near = may_be_similar(n[:y], words[:y], n[y], words[y])
+            if i != j:
+                near &= block[:y] != block[y]  # others are compared where their block stands alone
+            for x in np.flatnonzero(near).tolist():
                 a, b = find(rows[x][4]), find(rows[y][4])
                 if a == b:
                     continue
-                for n in (x, y):
-                    if n not in sets:
-                        sets[n] = shingles(rows[n][6])
+                for at in (x, y):
+                    if at not in sets:
+                        sets[at] = shingles(rows[at][6])
                 if similar(sets[x], sets[y]):
                     part[max(a, b)] = min(a, b)
                     yield rows[x][5], rows[y][5]
@@ -251,7 +298,7 @@ def _across(groups: DataFrame) -> DataFrame:
             made = list(links(held))
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in made], pa.binary()), pa.array([b for _, b in made], pa.binary())], names=["a", "b"])
 
-    ordered = groups.select("bucket", "i", "j", "block", "root", "key", "line")
+    ordered = groups.select("bucket", "i", "j", "block", "root", "key", "line", "n", "sketch")
     return ordered.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "a binary, b binary")
 
 
@@ -284,8 +331,7 @@ def line_components(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     stars = members.filter("k <> least").select("k", "least").distinct()
     # two lines whose keys only share their first half meet here as well
     twins = texts.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k", F.col("k").alias("least"))
-    left = texts.select("k", F.col("key").alias("a"), F.col("line").alias("line_a"))
-    right = texts.select(F.col("k").alias("least"), F.col("key").alias("b"), F.col("line").alias("line_b"))
+    left, right = (texts.select(F.col("k").alias(k), F.col("key").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("line", "n", "sketch")]) for k, x in (("k", "a"), ("least", "b")))
     pairs = lambda some: some.join(left, "k").join(right, "least").filter("a <> b")
     # one comparison a line; what it leaves apart is looked at by bucket
     first = stars.groupBy("k").agg(F.min("least").alias("least"))
@@ -304,7 +350,7 @@ def line_components(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     last = F.floor((F.col("n") - 1) / BLOCK)
     spread = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
     grouped = spread.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "root", "key")
-    more = kept(_across(grouped.join(texts.select("key", "line"), "key")), "edges")
+    more = kept(_across(grouped.join(texts.select("key", "line", "n", "sketch"), "key")), "edges")
     return connected_components(_links_of(components).unionByName(more)), candidates
 
 

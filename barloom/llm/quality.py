@@ -90,11 +90,11 @@ def fit(labelled: DataFrame, sample: int = SAMPLE_PER_CLASS, partners: int = PAR
     """Learn from ``(x, label)`` rows with label 1 (preferred) or 0; other labels are ignored.
 
     Pairs are drawn between bounded samples of the two classes, ``sample`` rows
-    each by the hash of their features: every row of the larger sample meets
-    ``partners`` of the other. The logistic loss on the difference of features
+    each, where copies are drawn each on their own: every row of the larger sample
+    meets ``partners`` of the other. The logistic loss on the difference of features
     is minimised without an intercept, half of the pairs turned round. The
-    threshold is the quantile of the scores of all rows that leaves the share
-    of label 0 below. With one class only, every document counts as good.
+    threshold is the quantile of the scores of all rows, to a hundred-thousandth of
+    their number, that leaves the share of label 0 below. With one class only, every document counts as good.
     """
     rows = kept(labelled.select("x", F.col("label").cast("int").alias("label")).filter("label IN (0, 1)"), "labelled")
     n = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
@@ -105,8 +105,11 @@ def fit(labelled: DataFrame, sample: int = SAMPLE_PER_CLASS, partners: int = PAR
     centre = tuple(float(shape[f"avg{i}"]) for i in range(d))
     spread = tuple(float(shape[f"stddev_pop{i}"]) or 1.0 for i in range(d))
     order = Window.orderBy(F.xxhash64("x"), "x")
-    drawn = {k: bounded_sample(rows.filter(F.col("label") == k).select("x"), sample, "x").select((F.row_number().over(order) - 1).alias("i"), "x") for k in (0, 1)}
-    sizes = {k: min(n[k], sample) for k in (0, 1)}
+    drawn = {}
+    for k in (0, 1):
+        some = bounded_sample(rows.filter(F.col("label") == k).select("x"), sample, "x", alike=False)
+        drawn[k] = kept(some.select((F.row_number().over(order) - 1).alias("i"), "x"), "drawn")
+    sizes = {k: drawn[k].count() for k in (0, 1)}
     more, fewer = (1, 0) if sizes[1] >= sizes[0] else (0, 1)
     met = drawn[more].withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(partners - 1)))).withColumn("j", (F.col("i") + F.col("t") * 7919) % sizes[fewer])
     pairs = met.join(drawn[fewer].select(F.col("i").alias("j"), F.col("x").alias("y")), "j")
@@ -118,7 +121,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE_PER_CLASS, partners: int = PAR
     weights = tuple(float(w) for w in learner.fit(data.select(array_to_vector("difference").alias("features"), "label")).coefficients)
     ranking = Ranking(centre, spread, weights, 0.0)
     share = n[0] / (n[0] + n[1])
-    cut = rows.agg(F.percentile(ranking.worth(), share).alias("cut")).first().cut
+    cut = rows.agg(F.percentile_approx(ranking.worth(), share, 100_000).alias("cut")).first().cut
     return Ranking(centre, spread, weights, float(cut))
 
 
@@ -126,8 +129,9 @@ def classify(documents: DataFrame, labels: DataFrame, learn_from, doc_id: str =
     """``(doc_id, score, predicted)`` of every row, learned from the labels of rows where ``learn_from`` holds.
 
     ``learn_from`` is a condition on ``doc_id``. Null and empty texts are scored
-    by features of 0; a document with several labels teaches each of them; rows
-    that repeat stay.
+    by features of 0, very long ones by those of the whole text; a document with
+    several labels teaches each of them; rows that repeat stay, and teach as often
+    as they occur. An empty table gives no rows. Only the named columns are read.
     """
     rows = kept(featured(documents, doc_id, text), "features")
     known = input_columns(labels, doc_id=doc_id, label=label).filter("label IN (0, 1)").distinct()
@@ -141,19 +145,22 @@ def keep_good(documents: DataFrame, labels: DataFrame, learn_from, doc_id: str =
     known = input_columns(labels, doc_id=doc_id, label=label).filter("label IN (0, 1)").distinct()
     rows = kept(featured(documents, doc_id, text).filter(learn_from).join(known, "doc_id").select("x", "label"), "features")
     ranking = fit(rows)
-    columns = [f"`{c}`" for c in documents.columns]
-    return _scored(documents, ranking, text).filter("__score >= 0.5").select(*columns)
+    names = documents.columns
+    private = [f"_{i}" for i in range(len(names))]
+    plain = documents.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(names, private)])
+    good = _scored(plain, ranking, private[names.index(text)]).filter("score >= 0.5")
+    return good.select(*[F.col(p).alias(c) for p, c in zip(private, names)])
 
 
 def _scored(documents: DataFrame, ranking: Ranking, text: str) -> DataFrame:
-    """``documents`` with ``__score``, in one pass that leaves the text where it is."""
+    """``documents`` with ``x`` and ``score``, in one pass that leaves the text where it is."""
     names = documents.columns
     at = names.index(text)
-    schema = documents.withColumn("__x", F.array().cast("array<double>")).schema
+    schema = documents.withColumn("x", F.array().cast("array<double>")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_pieces(batches, at):
             made = [features(t) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.list_(pa.float64()))], names=[*names, "__x"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.list_(pa.float64()))], names=[*names, "x"])
 
-    return documents.mapInArrow(run, schema).withColumn("__score", ranking.score("__x"))
+    return documents.mapInArrow(run, schema).withColumn("score", ranking.score("x"))

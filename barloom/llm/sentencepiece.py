@@ -1,8 +1,9 @@
 """SentencePiece BPE encoding and decoding in vectorised merge rounds.
 
 Edge cases: a null text counts as empty and gives no ids; text without spaces is
-one long word; repeated rows are encoded each on their own; extra columns pass
-through untouched. Models whose normaliser changes the text are refused.
+one long word; repeated rows are encoded each on their own; an empty table gives
+no rows; extra columns pass through untouched, but for those that have the name
+of a new column, which takes their place. Models whose normaliser changes the text are refused.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from barloom.llm.batches import by_pieces, chunks
 SPACE = "▁"
 NONE = np.iinfo(np.int32).max
 #: Words remembered by a task, twice at most: recent ones, and those before them.
-REMEMBERED_WORDS = 100_000
+REMEMBERED_WORDS = 50_000
 #: Characters of words whose merge rounds run together.
 MERGED_CHARS = 250_000
 #: A vocabulary is sent to every task, so its size is checked.
@@ -302,7 +303,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", into: str
     schema = _with_column(df, out)
     kept = [f.name for f in schema.fields[: len(schema.fields) - len(out)]]
     made = [n for n, _ in out]
-    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"))
+    source = df.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(kept)], F.col(f"`{text}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary)
@@ -330,7 +331,7 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", into: str =
 
     schema = _with_column(df, [(into, T.StringType())])
     kept = [f.name for f in schema.fields[:-1]]
-    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{ids}`").alias("__ids"))
+    source = df.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(kept)], F.col(f"`{ids}`").alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,7 +7,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.llm import langid, quality, secret_scan
+from barloom import session
+from barloom.llm import decontaminate, langid, quality, secret_scan, sentencepiece
+from barloom.llm.queries import model_path
 from tests.llm.conftest import prose
 
 
@@ -44,21 +46,55 @@ def test_quality_without_two_classes(spark, documents, labels, predicted):
     assert quality.classify(documents([]), frame, F.lit(True)).collect() == []
 
 
-def test_ranking_loss_is_at_its_minimum(spark):
-    """No step along any weight lowers the loss over the pairs that the fit draws."""
+def test_ranking_loss_is_at_its_minimum(spark, monkeypatch):
+    """A step along any weight raises the penalised loss over the pairs that the fit draws."""
     import numpy as np
 
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, len(quality.FEATURES)))
     label = (x @ rng.normal(size=x.shape[1]) + rng.normal(size=300) > 0).astype(int)
     frame = spark.createDataFrame([(a.tolist(), int(b)) for a, b in zip(x, label)], "x array<double>, label int")
+    written = {}
+    monkeypatch.setattr(quality, "kept", lambda df, name: written.setdefault(name, original(df, name)) if name == "pairs" else original(df, name))
+    original = session.kept
     ranking = quality.fit(frame)
-    assert abs(sum(ranking.weights)) > 0
-    z = (x - np.array(ranking.centre)) / np.array(ranking.spread)
-    score = z @ np.array(ranking.weights)
+    pairs = written["pairs"].collect()
+    d, won = np.array([r.difference for r in pairs]), np.array([r.label for r in pairs])
+    assert len(pairs) == quality.PARTNERS * max(label.sum(), 300 - label.sum())
+
+    def loss(w):
+        return np.mean(np.logaddexp(0, -(2 * won - 1) * (d @ w))) + quality.RIDGE / 2 * w @ w
+
+    weights = np.array(ranking.weights)
+    for step in np.eye(len(weights)) * 0.05:
+        assert min(loss(weights + step), loss(weights - step)) > loss(weights)
+    score = (x - np.array(ranking.centre)) / np.array(ranking.spread) @ weights
     assert np.mean((score >= ranking.threshold) == (label == 1)) > 0.8
-    below = np.mean(score < ranking.threshold)
-    assert abs(below - np.mean(label == 0)) < 0.02
+    assert abs(np.mean(score < ranking.threshold) - np.mean(label == 0)) < 0.02
+
+
+def test_quality_learns_from_classes_that_are_mostly_copies(spark):
+    copies = spark.range(100_000).select(F.array(*[F.lit(0.5 + i) for i in range(len(quality.FEATURES))]).alias("x"), F.lit(0).alias("label"))
+    others = spark.range(500).select(F.array(*[F.rand(i) * 3 for i in range(len(quality.FEATURES))]).alias("x"), F.lit(1).alias("label"))
+    for sample in (20, 1000):
+        ranking = quality.fit(copies.unionByName(others), sample=sample)
+        assert any(ranking.weights)
+
+
+def test_user_columns_named_like_inner_ones_stay(spark):
+    rows = [(i, "good text about things " * 5 if i % 2 else "$$ ## 1 1 1", 777, "h", [1], 0.1, "own", 2.0) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_words int, hit_runs string, item_ids array<int>, score double, __x string, __text double")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, quality int")
+    good = quality.keep_good(docs, labels, F.lit(True))
+    assert good.schema == docs.schema and {r.n_words for r in good.collect()} == {777}
+    items = spark.createDataFrame([(1, "text about things good text about things good text about")], "item_id bigint, text string")
+    clean = decontaminate.decontaminate(docs, items)
+    assert clean.schema == docs.schema
+    assert {(r.n_words, r["__x"]) for r in clean.collect()} == {(777, "own")} and clean.count() == 30
+    found = decontaminate.find_hits(docs, items).collect()
+    assert {r.n_words for r in found} == {20, 3}
+    coded = sentencepiece.encode(docs, sentencepiece.Vocabulary.load(model_path()))
+    assert [c for c in coded.columns if c != "ids"] == docs.columns and {r["__text"] for r in coded.collect()} == {2.0}
 
 
 LANGS = {"xx": "abcde", "yy": "fghij", "zz": "klmno"}
