@@ -148,21 +148,36 @@ def find_hits(documents: DataFrame, benchmark: DataFrame, text: str = "text", it
     long texts are walked like others; an empty table gives no rows; input columns
     that have one of the new names are replaced by them.
     """
-    items = input_columns(benchmark, item_id=item_id, text=item_text)
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = int(size // MAX_ITEM_CHARS) + 1
+    items, parts = _items(benchmark, item_id, item_text)
     added = T.StructType.fromDDL("n_words bigint, hit_runs array<array<bigint>>, item_ids array<string>")
     names = [f.name for f in documents.schema.fields if f.name not in added.names]
     found = documents.select(*[F.col(f"`{c}`") for c in names], F.lit(None).cast("bigint").alias("n_words"), *[F.array().cast(added[c].dataType).alias(c) for c in ("hit_runs", "item_ids")])
     for part in range(parts):
         if part:
             found = kept(found, "hits")
-        own = items if parts == 1 else items.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == part)
-        automaton = Automaton([(r.item_id if r.item_id is None else str(r.item_id), r.text) for r in own.collect()], window)
+        automaton = _automaton(items, part, parts, window)
         found = found.mapInArrow(_marker(automaton, names.index(text), found.columns), found.schema)
     return found
 
 
+def _runs(flags: np.ndarray) -> list[list[int]]:
+    """First and last place of each run of flags."""
+    edge = np.flatnonzero(np.diff(np.r_[False, flags, False].astype(np.int8)))
+    return [[a, b - 1] for a, b in edge.reshape(-1, 2).tolist()]
+
+
+def _items(benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW_WORDS) -> tuple[DataFrame, int]:
+    """The items, and the number of automata that their measured size asks for."""
+    items = input_columns(benchmark, item_id=item_id, text=item_text)
+    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    return items, int(size // MAX_ITEM_CHARS) + 1
+
+
+def _automaton(items: DataFrame, part: int, parts: int, window: int) -> Automaton:
+    own = items if parts == 1 else items.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == part)
+    return Automaton([(r.item_id if r.item_id is None else str(r.item_id), r.text) for r in own.collect()], window)
+
+
 def _marker(automaton: Automaton, text_at: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_pieces(batches, text_at):
@@ -173,8 +188,7 @@ def _marker(automaton: Automaton, text_at: int, names: list[str]):
                 for a, b in before:
                     flags[a : b + 1] = True
                 counts.append(len(words))
-                edge = np.flatnonzero(np.diff(np.r_[False, flags, False].astype(np.int8)))
-                runs.append([[a, b - 1] for a, b in edge.reshape(-1, 2).tolist()])
+                runs.append(_runs(flags))
                 found.append(sorted({*listed, *(i for i in items if i is not None)}))
             columns = [pa.array(counts, pa.int64()), pa.array(runs, pa.list_(pa.list_(pa.int64()))), pa.array(found, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names) - 3)), *columns], names=names)
@@ -202,20 +216,37 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, text: str = "text"
     columns = documents.columns
     at = columns.index(text)
     private = [f"_{i}" for i in range(len(columns))]
-    hits = find_hits(documents.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(columns, private)]), benchmark, private[at], **names)
-    source = hits.select(*private, "n_words", "hit_runs")
+    plain = documents.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(columns, private)])
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in documents.schema.fields])
+    items, parts = _items(benchmark, **names)
+    if parts == 1:
+        automaton = _automaton(items, 0, 1, names.get("window", WINDOW_WORDS))
+        return plain.mapInArrow(_cutter(at, columns, max_span, max_coverage, automaton), schema)
+    hits = find_hits(plain, benchmark, private[at], **names)
+    return hits.select(*private, "n_words", "hit_runs").mapInArrow(_cutter(at, columns, max_span, max_coverage), schema)
+
+
+def _cutter(at: int, columns: list[str], max_span: int, max_coverage: float, automaton: Automaton | None = None):
+    """Cuts runs of hit words; they come with the rows, or an automaton finds them in the same pass."""
+    n = len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_pieces(batches, at):
             texts, keep = [], []
-            for t, n, runs in zip(*(batch.column(i).to_pylist() for i in (at, len(columns), len(columns) + 1))):
+            found = zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist()) if automaton is None else None
+            for t in batch.column(at).to_pylist():
+                if found is None:
+                    words = words_of(t)
+                    count, runs = len(words), _runs(automaton.hits(words)[0])
+                else:
+                    count, runs = next(found)
                 hit = sum(b - a + 1 for a, b in runs)
-                keep.append(not runs or hit <= max_coverage * n)
+                keep.append(not runs or hit <= max_coverage * count)
                 texts.append(_cut(t, [r for r in runs if r[1] - r[0] + 1 > max_span]) if keep[-1] and runs else t)
-            out = [batch.column(i) if i != at else pa.array(texts, pa.string()) for i in range(len(columns))]
+            out = [batch.column(i) if i != at else pa.array(texts, pa.string()) for i in range(n)]
             yield pa.RecordBatch.from_arrays(out, names=columns).filter(pa.array(keep, pa.bool_()))
 
-    return source.mapInArrow(run, documents.select(*[F.col(f"`{c}`") for c in columns]).schema)
+    return run
 
 
 def _cut(text: str, runs: list[list[int]]) -> str:

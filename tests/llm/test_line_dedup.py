@@ -76,23 +76,3 @@ def test_columns_nulls_and_repeats(documents):
 def test_empty_table(documents):
     assert L.deduplicate(documents([])).collect() == []
 
-
-def test_sketches_never_hide_a_similar_pair():
-    import numpy as np
-
-    rng = random.Random(4)
-    lines = []
-    for _ in range(60):
-        base = "".join(rng.choice("abcdef ") for _ in range(rng.choice([3, 7, 8, 40, 200, 1500])))
-        lines += [base, base[:-1] + "z", base + " and", base[len(base) // 6 :], base * 2]
-    n, sketch = L.sketches(lines)
-    words = sketch.view(np.uint64)
-    sets = [L.shingles(x) for x in lines]
-    pruned = 0
-    for y in range(len(lines)):
-        may = L.may_be_similar(n, words, n[y], words[y])
-        for x in range(len(lines)):
-            if L.similar(sets[x], sets[y]):
-                assert may[x]
-            pruned += not may[x]
-    assert pruned > len(lines) ** 2 / 2
