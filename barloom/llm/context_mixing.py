@@ -24,8 +24,8 @@ MARKER_WORDS, SENT_WORDS = 31, 131_072
 TABLE_BITS = (16, 20, 21, 21, 22, 22)
 #: Bytes at the beginning of a word that are predicted with the marker word; the rest looks at the word alone.
 LEAD = 4
-#: Different words a task gathers, and scores it remembers, before it starts again.
-GATHERED, REMEMBERED = 200_000, 100_000
+#: Different words a task gathers, and leads whose scores it remembers, before it starts again.
+GATHERED, REMEMBERED = 200_000, 200_000
 #: Text a task takes at a time, and bytes of different words whose bits are worked on at a time.
 PIECE_BYTES, BLOCK_BYTES = 1_000_000, 20_000
 #: Slots of one part of a table on its way through the shuffle.
@@ -550,13 +550,13 @@ def _scorer(width: int, shared):
         lead_scores: dict[bytes, float] = {}
         tail_scores: dict[bytes, float] = {}
 
-        def looked_up(keys: list[bytes], known: dict[bytes, float], made) -> np.ndarray:
+        def looked_up(keys: list[bytes], known: dict[bytes, float], made, stays=lambda k: True) -> np.ndarray:
             if len(known) > REMEMBERED:
                 known.clear()
             new = [k for k in keys if k not in known]
-            if new:
-                known.update(zip(new, made(new).tolist()))
-            return np.fromiter(map(known.__getitem__, keys), float, len(keys))
+            fresh = dict(zip(new, made(new).tolist())) if new else {}
+            known.update((k, x) for k, x in fresh.items() if stays(k))
+            return np.fromiter((known[k] if k in known else fresh[k] for k in keys), float, len(keys))
 
         def of_leads(keys: list[bytes]) -> np.ndarray:
             return string_scores([k[:-1] for k in keys], np.fromiter((k[-1] for k in keys), np.int64, len(keys)), evidence, mixer)
@@ -572,7 +572,8 @@ def _scorer(width: int, shared):
             value = looked_up(keys, lead_scores, of_leads)[of]
             long = [i for i, w in enumerate(piece.words) if len(w) >= LEAD]
             tails = np.zeros(len(piece.words))
-            tails[long] = looked_up([piece.words[i] for i in long], tail_scores, of_tails)
+            # only the frequent words are worth remembering: they are bounded in number and come again
+            tails[long] = looked_up([piece.words[i] for i in long], tail_scores, of_tails, counts.__contains__)
             value += tails[piece.number]
             sums = lambda x: np.bincount(piece.document, weights=x, minlength=n_docs)
             c = np.fromiter((counts.get(w, -1) for w in piece.words), np.int64, len(piece.words))[piece.number]
