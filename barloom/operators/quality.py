@@ -52,6 +52,22 @@ def validate_bars(bars: DataFrame) -> DataFrame:
     return bars
 
 
+def broken_symbols(bars: DataFrame) -> DataFrame:
+    """``(symbol, reason, n)``: each rule that a symbol breaks, with the rows that break it."""
+    rules = ("duplicate_dates", "null_rows", "high_below_low")
+    counted = bar_violations(bars).select("symbol", F.explode(F.array(*[F.struct(F.lit(r).alias("reason"), F.col(r).alias("n")) for r in rules])).alias("rule"))
+    return counted.select("symbol", "rule.reason", "rule.n").filter("n > 0")
+
+
+def sound_bars(bars: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The bars of the symbols that break no rule, and the others with their reasons.
+
+    For a scan of many symbols, of which a few broken ones must not stop the rest.
+    """
+    reasons = broken_symbols(bars)
+    return bars.join(reasons.select("symbol").distinct(), "symbol", "left_anti"), reasons
+
+
 def require_rows(df: DataFrame, what: str) -> DataFrame:
     """Return ``df``, or raise when it is empty (looks at one row only).
 

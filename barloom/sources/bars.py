@@ -20,12 +20,22 @@ def read_bars(
     symbols: list[str] | None = None,
     start: str | None = None,
     end: str | None = None,
+    validate: bool = False,
 ) -> DataFrame:
-    """Scan a bar table; symbols prune partitions, dates reach the Parquet reader."""
+    """Scan a bar table; symbols prune partitions, dates reach the Parquet reader.
+
+    ``validate`` checks the slice that is read and raises on the first broken
+    rule; ``operators.quality.sound_bars`` keeps the sound symbols instead.
+    """
     bars = spark.read.schema(BAR_SCHEMA).parquet(path)
     if symbols is not None:
         bars = bars.filter(F.col("symbol").isin(symbols))
-    return slice_dates(bars, start, end)
+    bars = slice_dates(bars, start, end)
+    if validate:
+        from barloom.operators.quality import validate_bars
+
+        bars = validate_bars(bars)
+    return bars
 
 
 def write_bars(bars: DataFrame, path: str) -> None:

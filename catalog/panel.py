@@ -106,6 +106,34 @@ query(
        FROM dirty GROUP BY symbol""",
 )
 
+# one symbol clean, the others each with the days that break a rule
+_PARTLY = "SELECT * REPLACE (CASE WHEN symbol = '2-HIGH' AND day(date) = 1 THEN low - 1 ELSE high END AS high, CASE WHEN symbol = '3-MEDIUM' AND month(date) = 6 THEN NULL ELSE volume END AS volume) FROM bars"
+
+
+def _partly_dirty(spark, sf):
+    path = shared_dir(spark, "dirty")
+    bars = inputs.bars(spark, sf)
+    high = F.when((F.col("symbol") == "2-HIGH") & (F.dayofmonth("date") == 1), F.col("low") - 1).otherwise(F.col("high"))
+    volume = F.when(~((F.col("symbol") == "3-MEDIUM") & (F.month("date") == 6)), F.col("volume"))
+    src.write_bars(bars.withColumns({"high": high, "volume": volume}), path)
+    return src.read_bars(spark, path)
+
+
+query(
+    "a1_scan_reasons",
+    "symbol:t reason:t n:l",
+    lambda spark, sf: quality.broken_symbols(_partly_dirty(spark, sf)),
+    f"""WITH dirty AS ({_PARTLY})
+        SELECT symbol, 'high_below_low' AS reason, count(*) AS n FROM dirty WHERE high < low GROUP BY symbol UNION ALL
+        SELECT symbol, 'null_rows', count(*) FROM dirty WHERE volume IS NULL GROUP BY symbol""",
+)
+query(
+    "a1_sound_scan",
+    BAR,
+    lambda spark, sf: quality.sound_bars(_partly_dirty(spark, sf))[0],
+    "SELECT * FROM bars WHERE symbol NOT IN ('2-HIGH', '3-MEDIUM')",
+)
+
 # --- splits ----------------------------------------------------------------
 
 query(

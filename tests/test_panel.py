@@ -190,3 +190,21 @@ def test_empty_results_can_be_refused(make_bars):
     assert quality.require_rows(b, "bars") is b
     with pytest.raises(ValueError):
         quality.require_rows(b.filter("close > 5"), "bars")
+
+
+def test_scan_validates_what_it_reads(spark, make_bars, tmp_path):
+    from barloom.operators.quality import sound_bars
+    from barloom.sources.bars import read_bars, write_bars
+
+    bars = make_bars({"A": [1.0, 2.0, 3.0], "B": [1.0, 2.0, 3.0]})
+    broken = bars.withColumn("high", F.when((F.col("symbol") == "B") & (F.col("close") == 3.0), 0.0).otherwise(F.col("high")))
+    write_bars(broken, str(tmp_path / "bars"))
+    with pytest.raises(ValueError, match="B: high_below_low in 1 row"):
+        read_bars(spark, str(tmp_path / "bars"), validate=True)
+    # the broken day lies outside the slice, the other symbol is sound
+    last = max(r["date"] for r in bars.select("date").collect())
+    assert read_bars(spark, str(tmp_path / "bars"), end=str(last - __import__("datetime").timedelta(days=1)), validate=True).count() == 4
+    assert read_bars(spark, str(tmp_path / "bars"), ["A"], validate=True).count() == 3
+    sound, reasons = sound_bars(read_bars(spark, str(tmp_path / "bars")))
+    assert {r["symbol"] for r in sound.collect()} == {"A"}
+    assert [tuple(r) for r in reasons.collect()] == [("B", "high_below_low", 1)]
