@@ -25,7 +25,7 @@ TABLE_BITS = (16, 20, 21, 21, 22, 22)
 #: Bytes at the beginning of a word that are predicted with the marker word; the rest looks at the word alone.
 LEAD = 4
 #: Different words a task gathers, and leads whose scores it remembers, before it starts again.
-GATHERED, REMEMBERED = 200_000, 200_000
+GATHERED, REMEMBERED = 100_000, 100_000
 #: Text a task takes at a time, and bytes of different words whose bits are worked on at a time.
 PIECE_BYTES, BLOCK_BYTES = 1_000_000, 20_000
 #: Slots of one part of a table on its way through the shuffle.
@@ -296,6 +296,9 @@ def _word_counts(documents: DataFrame) -> DataFrame:
                     yield from held.pop().to_batches()
         if ends:
             yield from summed([*held, pa.table({"word": pa.array([_END], pa.binary()), "c": pa.array([ends], pa.int64())})]).to_batches()
+        # the worker lives on, and what its next task needs is not what this one held
+        held.clear()
+        pa.default_memory_pool().release_unused()
 
     return documents.select("text").mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -357,6 +360,8 @@ def _lead_counts(documents: DataFrame, markers: dict[bytes, int]) -> DataFrame:
                 counted.clear()
         if counted:
             yield _counter_batch(counted)
+        counted.clear()
+        pa.default_memory_pool().release_unused()
 
     return documents.select("text").mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
