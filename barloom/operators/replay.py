@@ -18,8 +18,11 @@ from barloom.sources.bars import trading_days
 
 
 # A running sum this close to zero may differ from the one-by-one replay; such
-# accounts are replayed one by one as well.
+# a BUY is decided by the cash before it.
 ROUNDING = 1e-6
+#: How often the running sums start anew after a refused BUY, for every account and
+#: while an account has more orders left than one task should replay in order.
+ROUNDS, MOST_ROUNDS, FOLD_ROWS = 1, 20, 50_000
 
 
 @dataclass(frozen=True)
@@ -43,28 +46,34 @@ def _priced(orders: DataFrame, bars: DataFrame) -> DataFrame:
 
 
 def _all_filled(priced: DataFrame) -> DataFrame:
-    """The replay when every BUY is filled, by running sums only.
-
-    Per symbol, a SELL closes what was bought since the SELL before; per
-    account, the cash is the start plus all flows. A log holds one order per
-    account, day, symbol and side, so one account's orders in one symbol are
-    few; the scan over a whole account is cut by day, so a big account is
-    spread over its days. ``short`` marks a BUY that the cash would not cover:
-    up to the first one the values are exact.
+    """The replay when every BUY is filled that is not ``refused``, by running sums only.
+
+    Per symbol, a SELL closes what was ``owned`` at the start or bought since the
+    SELL before; per account, the cash is the start plus all flows. A log holds one
+    order per account, day, symbol and side, so one account's orders in one symbol
+    are few; the scan over a whole account is cut by day, so a big account is
+    spread over its days. ``short`` marks a BUY that the cash would not cover, unless
+    it is ``settled``: up to the first one the values are exact. ``gain`` is what all
+    SELLs so far bring at most.
     """
+    given = {"owned": F.lit(0.0), "refused": F.lit(False), "settled": F.lit(False)}
+    priced = priced.withColumns({c: v for c, v in given.items() if c not in priced.columns})
     sell = F.col("side") == "SELL"
+    paid = ~sell & ~F.col("refused")
     lots = priced.withColumns(
-        {"_sold": sell.cast("long"), "_bought": F.when(sell, F.lit(0.0)).otherwise(F.col("amount") / F.col("close"))}
+        {"_sold": sell.cast("long"), "_bought": F.when(paid, F.col("amount") / F.col("close")).otherwise(F.lit(0.0))}
     )
     mine = ["account", "symbol"]
     marked = running(lots, {"_round": ("sum", "_sold")}, keys=mine, order=["date", "seq"])
     # the SELL itself ends its round: it belongs to the shares before it
     marked = marked.withColumn("_round", F.col("_round") - F.col("_sold"))
     summed = running(marked, {"_shares": ("sum", "_bought")}, keys=[*mine, "_round"], order=["date", "seq"])
-    flows = summed.withColumn(
-        "_flow", F.when(sell, F.col("_shares") * F.col("close")).otherwise(-F.col("amount"))
+    summed = summed.withColumn("_shares", F.col("_shares") + F.when(F.col("_round") == 0, F.col("owned")).otherwise(0.0))
+    proceeds = F.when(sell, F.col("_shares") * F.col("close")).otherwise(F.lit(0.0))
+    flows = summed.withColumns({"_won": proceeds, "_flow": F.when(paid, -F.col("amount")).otherwise(proceeds)})
+    totals = running(
+        flows, {"_net": ("sum", "_flow"), "gain": ("sum", "_won")}, keys=["account"], order=["date", "seq"], block="date"
     )
-    totals = running(flows, {"_net": ("sum", "_flow")}, keys=["account"], order=["date", "seq"], block="date")
     cash = F.col("capital") + F.col("_net")
     return totals.select(
         "account",
@@ -77,8 +86,11 @@ def _all_filled(priced: DataFrame) -> DataFrame:
         "capital",
         cash.alias("cash_after"),
         F.when(sell, F.lit(0.0)).otherwise(F.col("_shares")).alias("shares_after"),
-        F.when(sell, F.col("_shares") > 0).otherwise(F.lit(True)).alias("executed"),
-        (~sell & (cash < ROUNDING)).alias("short"),
+        F.when(sell, F.col("_shares") > 0).otherwise(~F.col("refused")).alias("executed"),
+        (paid & ~F.col("settled") & (cash < ROUNDING)).alias("short"),
+        "owned",
+        "refused",
+        "gain",
     )
 
 
@@ -122,36 +134,58 @@ def _one_by_one(priced: DataFrame) -> DataFrame:
 
 
 def split_at_first_refusal(filled: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Orders whose running sums are exact, and those from an account's first refused BUY on.
+    """Orders whose running sums are exact, and those from an account's first short BUY on.
 
     The latter carry the cash before that BUY as ``capital`` and the shares then
-    held of their symbol as ``owned``.
+    held of their symbol as ``owned``. That BUY is ``settled``: filled or ``refused``
+    by this cash. Later BUYs are ``refused`` with it where they cost more than this
+    cash and all that the SELLs in between bring if nothing is refused.
     """
     turn = F.struct("date", "seq")
-    refused = filled.filter("short").groupBy("account").agg(
-        F.min(turn).alias("_cut"), F.min_by(F.col("cash_after") + F.col("amount"), turn).alias("_cash")
+    first = filled.filter("short").groupBy("account").agg(
+        F.min(turn).alias("_cut"),
+        F.min_by(F.col("cash_after") + F.col("amount"), turn).alias("_cash"),
+        F.min_by("gain", turn).alias("_gain"),
     )
-    marked = filled.join(refused, "account", "left")
+    marked = filled.join(first, "account", "left")
     exact = marked.filter(F.col("_cut").isNull() | (turn < F.col("_cut")))
     held = exact.filter("_cut IS NOT NULL").groupBy("account", "symbol").agg(F.max_by("shares_after", turn).alias("_held"))
     rest = marked.filter(turn >= F.col("_cut")).join(held, ["account", "symbol"], "left")
     ordered = ["account", "date", "seq", "symbol", "side", "amount", "close"]
+    settled = turn == F.col("_cut")
+    most = F.col("_cash") + F.when(settled, 0.0).otherwise(F.col("gain") - F.col("_gain") + ROUNDING)
     return (
         exact.select(*ordered, "cash_after", "shares_after", "executed"),
-        rest.select(*ordered, F.col("_cash").alias("capital"), F.coalesce("_held", F.lit(0.0)).alias("owned")),
+        rest.select(
+            *ordered,
+            F.col("_cash").alias("capital"),
+            F.coalesce("_held", "owned").alias("owned"),
+            (F.col("refused") | ((F.col("side") == "BUY") & (F.col("amount") > most))).alias("refused"),
+            settled.alias("settled"),
+        ),
     )
 
 
-def executed_orders(orders: DataFrame, bars: DataFrame, accounts: DataFrame) -> DataFrame:
+def executed_orders(orders: DataFrame, bars: DataFrame, accounts: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Each executable order with ``executed`` and the cash and shares after it.
 
-    Running sums do all orders up to an account's first refused BUY; only those
-    from there on are taken one by one.
+    Running sums do all orders up to an account's first refused BUY. From there
+    the sums start anew, without the BUYs that are known to be refused, ``rounds``
+    times; each round takes the accounts that are left one refusal on at least.
+    More rounds follow, up to ``MOST_ROUNDS``, while some account has over
+    ``FOLD_ROWS`` orders left. Only what then remains is taken one by one.
     """
-    priced = _priced(orders, bars).join(accounts.select("account", "capital"), "account")
-    filled = kept(_all_filled(priced), "filled-orders")
-    exact, rest = split_at_first_refusal(filled)
-    return exact.unionByName(_one_by_one(rest))
+    rest = _priced(orders, bars).join(accounts.select("account", "capital"), "account")
+    done = None
+    for turn in range(MOST_ROUNDS + 1):
+        filled = kept(_all_filled(rest), "filled-orders")
+        exact, rest = split_at_first_refusal(filled)
+        done = exact if done is None else done.unionByName(exact)
+        if filled.filter("short").isEmpty():
+            return done
+        if turn >= rounds and rest.groupBy("account").count().filter(F.col("count") > FOLD_ROWS).isEmpty():
+            break
+    return done.unionByName(_one_by_one(rest))
 
 
 def build_equity_curve(orders: DataFrame, bars: DataFrame, accounts: DataFrame) -> PortfolioHistory:

@@ -355,6 +355,58 @@ def test_only_orders_from_the_first_refusal_on_are_taken_one_by_one(spark, make_
     assert last["executed"] and last["cash_after"] == pytest.approx(750.0 + shares * walk(30, 1)[26])
 
 
+def test_late_refusals_send_no_row_through_python(spark, make_bars, monkeypatch):
+    """An account with a late refusal, or a big one with a few, is replayed by sums alone."""
+
+    def refuse(rest):
+        raise AssertionError("rows would be replayed one by one")
+
+    monkeypatch.setattr(replay, "_one_by_one", refuse)
+    monkeypatch.setattr(replay, "FOLD_ROWS", 0)
+    days = business_days(60)
+    bars = make_bars({"A": walk(60, 1), "B": walk(60, 2)}, days)
+    mine = [(d, 1, "A", "BUY", 10.0) for d in days[:25]] + [(d, 2, "B", "BUY", 5000.0) for d in days[25:40]]
+    mine += [(d, 3, "B", "BUY", 7.0) for d in days[20:40]] + [(days[41], 1, "A", "SELL", 0.0), (days[41], 2, "B", "SELL", 0.0)]
+    mine += [(days[50], 1, "B", "SELL", 0.0), (days[51], 1, "A", "BUY", 2000.0), (days[52], 1, "A", "BUY", 400.0)]
+    orders = spark.createDataFrame([("late", *o) for o in mine], "account string, date date, seq long, symbol string, side string, amount double")
+    accounts = spark.createDataFrame([("late", 1000.0)], "account string, capital double")
+    assert replay.executed_orders(orders.filter("date < '%s'" % days[41]), bars, accounts).count() == 60
+    price = {(s, d): v for s, i in (("A", 1), ("B", 2)) for d, v in zip(days, walk(60, i))}
+    history = replay.build_equity_curve(orders, bars, accounts)
+    got = {r["date"]: (r["cash"], r["value"]) for r in history.equity_curve.collect()}
+    wanted = _loop_replay(mine, price, days, 1000.0)
+    assert got.keys() == wanted.keys()
+    for day in days:
+        assert got[day] == pytest.approx(wanted[day])
+
+
+@pytest.mark.parametrize("rounds", [0, 3])
+def test_replay_does_not_depend_on_its_rounds(spark, make_bars, rounds):
+    rng = random.Random(9)
+    days = business_days(50)
+    closes = {s: walk(50, i) for i, s in enumerate("ABC")}
+    bars = make_bars(closes, days)
+    price = {(s, d): v for s, vs in closes.items() for d, v in zip(days, vs)}
+    books = {
+        f"p{a}": sorted((rng.choice(days), n, rng.choice("ABC"), rng.choice(["BUY", "BUY", "SELL"]), float(rng.randrange(40, 300))) for n in range(60))
+        for a in range(8)
+    }
+    books["whole"] = [(d, 1, "A", "BUY", 100.0) for d in days]  # spends its cash to the last cent, then is refused
+    rows = [(a, *o) for a, mine in books.items() for o in mine]
+    orders = spark.createDataFrame(rows, "account string, date date, seq long, symbol string, side string, amount double")
+    accounts = spark.createDataFrame([(a, 700.0) for a in books], "account string, capital double")
+    done = replay.executed_orders(orders, bars, accounts, rounds).collect()
+    assert len(done) == len(rows)
+    last = {}
+    for r in sorted(done, key=lambda r: (r["date"], r["seq"])):
+        last[r["account"], r["date"]] = r["cash_after"]
+    for account, mine in books.items():
+        wanted = _loop_replay(mine, price, days, 700.0)
+        for (a, day), cash in last.items():
+            if a == account:
+                assert cash == pytest.approx(wanted[day][0], abs=1e-6)
+
+
 def test_weekly_returns_end_on_friday(spark):
     days = [dt.date(2024, 1, 4), dt.date(2024, 1, 5), dt.date(2024, 1, 6), dt.date(2024, 1, 11), dt.date(2024, 1, 25)]
     eq = spark.createDataFrame([("x", d, v) for d, v in zip(days, [100.0, 110.0, 99.0, 121.0, 60.5])], "account string, date date, value double")
