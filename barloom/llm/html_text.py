@@ -39,23 +39,37 @@ MODIFIERS = frozenset("with without no has".split())
 _TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
+_P = frozenset(["p"])
+# Open elements that a start tag ends, where they are the innermost block, as the HTML standard has it.
+ENDS = {t: _P for t in "address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split()}
+ENDS |= {"li": _P | {"li"}} | dict.fromkeys(["dt", "dd"], _P | {"dt", "dd"}) | dict.fromkeys(["option", "optgroup"], frozenset(["option"]))
+ENDS |= dict.fromkeys(["td", "th"], _P | {"td", "th"}) | {"tr": _P | {"td", "th", "tr"}}
+ENDS |= dict.fromkeys(["tbody", "thead", "tfoot"], _P | {"td", "th", "tr", "tbody", "thead", "tfoot"})
+
+
 class Lines(HTMLParser):
-    """Turns parser events into lines, one per block: text, tags seen, open containers, boilerplate, nothing but links.
+    """Turns parser events into lines, one per block: text, tags seen, innermost open container, boilerplate, nothing but links.
 
-    Boilerplate is ``None`` inside elements that are it by tag or role, else the
-    innermost open container that is it by name alone, -1 without one; an article
-    is not inside what is open around it.
+    Containers are numbered as they open; each keeps the number of the one around
+    it, so a line costs the same at any depth. Boilerplate is ``None`` inside
+    elements that are it by tag or role, else the innermost open container that is
+    it by name alone, -1 without one; an article is not inside what is open around it.
     """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int, int | None]] = []  # name, number, boilerplate
+        self.places: dict[str, list[int]] = {}  # where in the stack the open elements of a name are
+        self.blocks: list[int] = []  # where in the stack the elements that are not inline are
         self.names: list[str] = []
-        self.lines: list[tuple[str, int, tuple[int, ...], int | None, bool]] = []
+        self.parents: list[int] = []
+        self.readers: list[bool] = []  # whether a container is, or is inside, a part of readers
+        self.articles: list[bool] = []  # whether it is, or is inside, an article or main element that is not one of readers
+        self.linked: list[bool] = []  # whether it is, or is inside, a link
+        self.lines: list[tuple[str, int, int, int | None, bool]] = []
         self.around: dict[int, int] = {}  # of a container that is boilerplate by name: the next one outside it
         self.only_named: set[int] = set()  # containers whose names say nothing but boilerplate, or readers
         self.text: list[str] = []
-        self.links: set[int] = set()
         self.plain = False  # whether the line has text outside links
         self.tags = 0
 
@@ -63,36 +77,54 @@ class Lines(HTMLParser):
         text = " ".join("".join(self.text).split())
         self.text = []
         if text:
-            self.lines.append((text, self.tags, tuple(n for _, n, _ in self.stack), self.stack[-1][2] if self.stack else -1, not self.plain))
+            self.lines.append((text, self.tags, self._innermost(), self.stack[-1][2] if self.stack else -1, not self.plain))
             self.tags = 0
         self.plain = False
 
+    def _innermost(self) -> int:
+        return self.stack[-1][1] if self.stack else -1
+
+    def _close(self, at: int) -> None:
+        """Close the open elements from a place in the stack on."""
+        for name, _, _ in reversed(self.stack[at:]):
+            self.places[name].pop()
+            if name not in INLINE:
+                self.blocks.pop()
+        del self.stack[at:]
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag not in INLINE:
             self.flush()
+        ended = ENDS.get(tag, ())
+        while ended and self.blocks and self.stack[self.blocks[-1]][0] in ended:
+            self._close(self.blocks[-1])
         self.tags += 1
         if tag in VOID:
             return
         outer = self.stack[-1][2] if self.stack else -1
+        inside = self._innermost()
         by_tag = tag in BOILERPLATE or bool(attrs) and marked(attrs)
         by_name = not by_tag and bool(attrs) and named(tag, attrs)
         own = by_tag or by_name
         if own and outer is not None:
             self.flush()  # an inline element may be boilerplate too
-        if tag == "main" or tag == "article" and not own and not self._among_readers():
+        if tag == "main" or tag == "article" and not own and not (inside >= 0 and self.readers[inside]):
             outer = -1  # whatever was left open before does not hold the article
         if by_name and outer is not None:
             self.around[len(self.names)] = outer
             outer = len(self.names)
             if reader_marked(attrs) or _words(attrs) <= PURPOSE:
                 self.only_named.add(outer)
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag not in INLINE:
+            self.blocks.append(len(self.stack))
         self.stack.append((tag, len(self.names), None if by_tag else outer))
-        if tag == "a" and any(k == "href" for k, _ in attrs):
-            self.links.add(len(self.names))
-        self.names.append(tag + " readers" * (own and reader_marked(attrs)))
-
-    def _among_readers(self) -> bool:
-        return any(" " in self.names[n] for _, n, _ in self.stack)
+        self.names.append(tag)
+        self.parents.append(inside)
+        of_readers = own and reader_marked(attrs)
+        self.readers.append(of_readers or inside >= 0 and self.readers[inside])
+        self.articles.append(tag in ("article", "main") and not of_readers or inside >= 0 and self.articles[inside])
+        self.linked.append(tag == "a" and any(k == "href" for k, _ in attrs) or inside >= 0 and self.linked[inside])
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -101,16 +133,41 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        at = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == tag), None)
+        places = self.places.get(tag)
+        at = places[-1] if places else None
         if tag not in INLINE or at is not None and self.stack[at][2] != (self.stack[at - 1][2] if at else -1):
             self.flush()
-        if at is not None and not (tag in INLINE and any(n not in INLINE for n, _, _ in self.stack[at + 1 :])):
-            del self.stack[at:]
+        if at is not None and not (tag in INLINE and self.blocks and self.blocks[-1] > at):
+            self._close(at)
 
     def handle_data(self, data: str) -> None:
         self.text.append(data)
         if not self.plain and not data.isspace():
-            self.plain = self.links.isdisjoint(n for _, n, _ in self.stack)
+            self.plain = not (self.stack and self.linked[self._innermost()])
+
+    def path(self, element: int) -> list[int]:
+        """The containers around an element, outermost first, itself last."""
+        found = []
+        while element >= 0:
+            found.append(element)
+            element = self.parents[element]
+        return found[::-1]
+
+    def inside(self, element: int) -> tuple[int, int]:
+        """First and last number of an element and those inside it."""
+        last = element
+        while last + 1 < len(self.parents) and self.parents[last + 1] >= element:
+            last += 1
+        return element, last
+
+    def at_depth(self, depth: int) -> list[int | None]:
+        """For each container the one around it, or itself, that has ``depth`` others around it."""
+        levels: list[int] = []
+        found: list[int | None] = []
+        for e, outer in enumerate(self.parents):
+            levels.append(levels[outer] + 1 if outer >= 0 else 0)
+            found.append(e if levels[e] == depth else found[outer] if outer >= 0 else None)
+        return found
 
 
 def _words(attrs: list[tuple[str, str | None]]) -> set[str]:
@@ -179,15 +236,14 @@ def outside_boilerplate(parser: Lines) -> list[tuple]:
             break
         free.add(e)
     if len(free) > 1:
-        articles = {e for e, name in enumerate(parser.names) if name in ("article", "main")}
-        if any(x[3] == -1 and not articles.isdisjoint(x[2]) for x in lines):
+        if any(x[3] == -1 and x[2] >= 0 and parser.articles[x[2]] for x in lines):
             free = {-1}
     return [x for x in lines if x[3] in free]
 
 
-def common(paths: list[tuple[int, ...]]) -> tuple[int, ...]:
-    """The containers that are open in all of some lines."""
-    low, high = min(paths), max(paths)
+def common(parser: Lines, elements: list[int]) -> list[int]:
+    """The containers around all of some elements: those around the first and the last of them."""
+    low, high = parser.path(min(elements)), parser.path(max(elements))
     return low[: next((i for i, (a, b) in enumerate(zip(low, high)) if a != b), min(len(low), len(high)))]
 
 
@@ -210,26 +266,27 @@ def main_text(html: str | None) -> str:
     if not lines:
         return ""
     core, ends, _ = core_lines(lines)
-    weight: dict[int, int] = {}
+    weight = [0] * len(parser.names)
     for i in core:
-        for element in lines[i][2]:
-            weight[element] = weight.get(element, 0) + len(lines[i][0])
+        if lines[i][2] >= 0:
+            weight[lines[i][2]] += len(lines[i][0])
+    for e in range(len(weight) - 1, 0, -1):  # the inner ones have the larger numbers
+        if parser.parents[e] >= 0:
+            weight[parser.parents[e]] += weight[e]
     total = sum(len(lines[i][0]) for i in core)
-    inner = max(weight, key=lambda e: (weight[e] >= 0.8 * total, e), default=None)
-    path = next((lines[i][2] for i in core if inner in lines[i][2]), ()) if inner is not None and weight[inner] >= 0.8 * total else ()
-    path = path[: path.index(inner) + 1] if inner in path else path
-    article = next((e for e in path if parser.names[e].split()[0] in ("article", "main")), None)
-    if article is not None:
-        return " ".join(x[0] for x in lines if article in x[2])
-    around = common([lines[i][2] for i in ends])
-    region = next((e for e in reversed(around) if parser.names[e].split()[0] in ("div", "section", "td", "center")), None)
-    if region is not None:
-        return " ".join(x[0] for x in lines if region in x[2])
-    depth = next((i for i, e in enumerate(around) if parser.names[e].split()[0] not in ("html", "body")), len(around))
+    inner = next((e for e in range(len(weight) - 1, -1, -1) if weight[e] >= 0.8 * total), -1)
+    article = next((e for e in parser.path(inner) if parser.names[e] in ("article", "main")), None)
+    around = common(parser, [lines[i][2] for i in ends])
+    region = next((e for e in reversed(around) if parser.names[e] in ("div", "section", "td", "center")), None)
+    if article is not None or region is not None:
+        first, last = parser.inside(region if article is None else article)
+        return " ".join(x[0] for x in lines if first <= x[2] <= last)
+    depth = next((i for i, e in enumerate(around) if parser.names[e] not in ("html", "body")), len(around))
+    holders = [*parser.at_depth(depth), None]  # the last for lines outside all containers
     first, last = ends[0], ends[-1]
-    while first > 0 and lines[first][2][depth:] and lines[first - 1][2][: depth + 1] == lines[first][2][: depth + 1]:
+    while first > 0 and holders[lines[first][2]] is not None and holders[lines[first - 1][2]] == holders[lines[first][2]]:
         first -= 1
-    while last + 1 < len(lines) and lines[last][2][depth:] and lines[last + 1][2][: depth + 1] == lines[last][2][: depth + 1]:
+    while last + 1 < len(lines) and holders[lines[last][2]] is not None and holders[lines[last + 1][2]] == holders[lines[last][2]]:
         last += 1
     first, last = min(first, core[0]), max(last, core[-1])
     return " ".join(x[0] for x in lines[first : last + 1])

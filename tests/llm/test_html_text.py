@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+import random
+import time
+
 import pytest
 
 from barloom.llm import html_text as H
+from barloom.llm.html_text import main_text
 
 ARTICLE = "<article><h1>A title</h1><p>First &amp; long enough paragraph, with <b>bold</b> words&nbsp;in it.<br>Next line.</p><p>Sh is.</p><ul><li>one</li><li>two</li></ul></article>"
 TEXT = "A title First & long enough paragraph, with bold words in it. Next line. Sh is. one two"
@@ -106,3 +111,87 @@ def test_frame(spark):
     got = sorted((tuple(r) for r in H.extract(df).collect()), key=str)
     assert got == sorted([(1, "u", TEXT, len(TEXT))] * 2 + [(2, None, "", 0), (None, "v", "x", 1)], key=str)
     assert H.extract(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize(
+    "opened",
+    ["<p>", "<div>", "<li>", "<section><p>", "<b>", "<tr><td>"],
+)
+def test_pages_of_elements_that_never_end_take_time_by_their_length(opened):
+    pieces = [f"some words of part {i}" for i in range(20_000)]
+    start = time.monotonic()
+    text = main_text("<body>" + "".join(opened + p + " " for p in pieces) + "</i></u>" * 20_000)
+    assert time.monotonic() - start < 20
+    assert text == " ".join(pieces)
+
+
+def test_elements_without_end_tags_end_where_the_next_begins():
+    page = "<main><p class=ad>Buy this now, it is cheap today<p>{0}<p>{1}<ul><li class=share>Tell your friends<li>{2}</ul></main>"
+    parts = [" ".join(f"w{n}{i}" for i in range(30)) for n in "abc"]
+    assert main_text(page.format(*parts)) == " ".join(parts)
+
+
+def _generated(rng):
+    """A random page of closed elements, and its lines: text, tags, containers from the outermost in."""
+    html, lines, names, seen = [], [], [], [0]
+
+    def element(name, path, fill):
+        number = len(names)
+        names.append(name)
+        seen[0] += 1
+        html.append(f"<{name}>")
+        fill([*path, number])
+        html.append(f"</{name}>")
+        seen[0] += 1
+
+    def leaf(path):
+        words = [f"w{rng.randrange(999)}" for _ in range(rng.choice([1, 2, 5, 40, 90]))]
+        bold = rng.random() < 0.3
+        html.append(f"<b>{words[0]}</b> " + " ".join(words[1:]) if bold else " ".join(words))
+        names.extend(["b"] * bold)
+        lines.append((" ".join(words), seen[0] + 2 * bold + 1, path))
+        seen[0] = -1  # its end tag is counted with the line
+
+    def inner(depth):
+        def fill(path):
+            for _ in range(rng.randrange(1, 5)):
+                if depth == 0 or rng.random() < 0.4:
+                    element("p", path, leaf)
+                else:
+                    element(rng.choice(["div", "section", "blockquote", "article"]), path, inner(depth - 1))
+
+        return fill
+
+    element("div", [], inner(4))
+    return "".join(html), lines, names
+
+
+def _plain_main_text(lines, names):
+    """Ratio, smoothing, threshold and region by their definitions, over lists of containers."""
+    ratios = [len(text) / max(1, tags) for text, tags, _ in lines]
+    reach = min(len(lines) - 1, 5)
+    smooth = []
+    for i in range(len(lines)):
+        near = [(math.exp(-0.5 * ((i - j) / 1.5) ** 2), ratios[j]) for j in range(max(0, i - reach), min(len(lines), i + reach + 1))]
+        smooth.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
+    mean = sum(smooth) / len(smooth)
+    limit = min(0.5 * math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth)), max(smooth))
+    core = [line for line, x in zip(lines, smooth) if x >= limit - 1e-9]
+    total = sum(len(text) for text, _, _ in core)
+    holding = [e for e in range(len(names)) if sum(len(t) for t, _, path in core if e in path) >= 0.8 * total]
+    deepest = max(holding)
+    path = next(p for _, _, p in lines if deepest in p)
+    articles = [e for e in path[: path.index(deepest) + 1] if names[e] == "article"]
+    shared = [e for e in core[0][2] if all(e in p for _, _, p in core) and names[e] in ("div", "section")]
+    region = articles[0] if articles else shared[-1]
+    return " ".join(text for text, _, p in lines if region in p)
+
+
+def test_region_equals_the_plain_definition_on_generated_pages():
+    rng = random.Random(3)
+    articles = 0
+    for _ in range(300):
+        html, lines, names = _generated(rng)
+        assert main_text(html) == _plain_main_text(lines, names)
+        articles += "article" in names
+    assert 0 < articles < 300
