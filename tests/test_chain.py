@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
+from barloom.operators import replay
 from barloom.operators.models import PreviousDirection
 from barloom.operators.orders import RiskConfig
 from barloom.operators.splits import WalkForwardSplit
 from barloom.plans import weekly
 from barloom.sources import order_log
 from barloom.streaming.order_stream import stream_order_log
+from barloom.streaming.weekly_stream import stream_weekly_values, streamed_weekly_returns
 from tests.conftest import business_days, walk
 
 SETTINGS = weekly.DeskSettings(
@@ -71,3 +74,30 @@ def test_order_stream_adds_each_id_once(spark, tmp_path):
         "2024-05-10:A:BUY",
         "2024-05-10:B:BUY",
     ]
+
+
+def test_streamed_weekly_returns_equal_the_batch_operator(spark, tmp_path):
+    """Rows arrive day by day, repeated and a little late; a gap of weeks and a zero are passed over."""
+    schema = "account string, date date, cash double, value double"
+    start = dt.date(2024, 1, 1)
+    rows = [
+        (account, start + dt.timedelta(days=d), 0.0, value)
+        for account, first in (("a", 100.0), ("b", 250.0))
+        for d, value in ((d, 0.0 if d == 25 else first + (d * 7) % 23) for d in range(60) if account == "a" or not 20 <= d < 41)
+        if (start + dt.timedelta(days=d)).weekday() < 5
+    ]
+    batches = [[r for r in rows if (r[1] - start).days // 15 == n] for n in range(4)]
+    batches[1], batches[2] = batches[1] + batches[0][-3:], batches[2] + batches[1][-2:]
+    end = [(account, dt.date(2024, 6, 3), 0.0, 1.0) for account in "ab"]
+    incoming, out = str(tmp_path / "equity"), str(tmp_path / "weekly")
+    for batch in [*batches, end]:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(incoming)
+        equity = spark.readStream.schema(schema).parquet(incoming)
+        stream_weekly_values(equity, out, str(tmp_path / "checkpoint")).awaitTermination()
+    wanted = replay.weekly_returns(spark.createDataFrame(rows, schema)).collect()
+    got = streamed_weekly_returns(spark, out).collect()
+    assert len(wanted) > 10
+    key = lambda r: (r["account"], r["week_end"])
+    assert [(*key(r), pytest.approx(r["weekly_return"])) for r in sorted(wanted, key=key)] == [
+        (*key(r), r["weekly_return"]) for r in sorted(got, key=key)
+    ]
