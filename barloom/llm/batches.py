@@ -46,7 +46,8 @@ def input_columns(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
 
 
-_SHARES = 1 << 30
+#: Into how many equal parts hashes are cut where a share of them is drawn.
+SHARES = 1 << 30
 
 
 def bounded_sample(rows: DataFrame, size: int, *by: str, alike: bool = True) -> DataFrame:
@@ -62,5 +63,5 @@ def bounded_sample(rows: DataFrame, size: int, *by: str, alike: bool = True) ->
     own = [] if alike else [F.monotonically_increasing_id()]
     number = F.xxhash64(F.lit(71), *by, *own)
     if total > size:
-        rows = rows.filter(F.pmod(number, F.lit(_SHARES)) < F.lit(int(_SHARES * min(1.0, 2 * size / total))))
+        rows = rows.filter(F.pmod(number, F.lit(SHARES)) < F.lit(int(SHARES * min(1.0, 2 * size / total))))
     return rows.orderBy(number, *by).limit(size)

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.batches import bounded_sample, by_pieces, input_columns
+from barloom.llm.batches import SHARES, by_pieces, input_columns
 
 # Fixed values of the two formats.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -24,8 +24,10 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 SUFFIX = ".warc.zst"
 #: An archive is closed once it is this large.
 ARCHIVE_BYTES = 8 << 20
-#: Pages the dictionary is trained on, characters of each, and its size.
+#: Different pages the dictionary is trained on, characters of each, and its size.
 DICTIONARY_SAMPLE, SAMPLED_CHARS, DICTIONARY_BYTES = 300, 32 << 10, 64 << 10
+#: What the dictionary is trained on comes in pieces of so many bytes, and in so many at least.
+PIECE_BYTES, LEAST_PIECES = 8 << 10, 256
 #: A record that claims to be larger is refused.
 MAX_RECORD_BYTES = 1 << 30
 CRAWL_DATE = "2024-01-01T00:00:00Z"
@@ -175,12 +177,28 @@ def records_of(data: bytes) -> Iterator[bytes]:
 
 
 def train_dictionary(pages: DataFrame, html: str = "html") -> bytes:
-    """A dictionary from a bounded sample of pages; empty if they are too few to learn from."""
-    rows = pages.select(F.left(f"`{html}`", F.lit(SAMPLED_CHARS)).alias("html")).filter("length(html) > 0")
-    texts = [r.html.encode() for r in bounded_sample(rows, DICTIONARY_SAMPLE, "html").collect()]
-    if len(texts) < 50:
-        return b""
-    return zstandard.train_dictionary(DICTIONARY_BYTES, texts, level=3).as_bytes()
+    """A dictionary trained on records of a bounded sample of different pages.
+
+    Of a long page a stretch counts that begins at a place told by the page's hash.
+    Copies of a page count once. Few pages are repeated until they suffice for
+    training; without any text, the records' headers are learned. So every archive
+    has a dictionary.
+    """
+    text = F.col(f"`{html}`").cast("string")
+    number = F.xxhash64(text)
+    begin = F.pmod(number, F.greatest(F.length(text) - SAMPLED_CHARS, F.lit(0)) + 1) + 1
+    rows = pages.filter(F.length(text) > 0).select(text.alias("html"), number.alias("number"), begin.cast("int").alias("begin"))
+    different = rows.agg(F.approx_count_distinct("number", 0.02)).first()[0]
+    if different > DICTIONARY_SAMPLE:
+        share = int(SHARES * min(1.0, 2 * DICTIONARY_SAMPLE / different))
+        rows = rows.filter(F.pmod(F.xxhash64("number"), F.lit(SHARES)) < F.lit(share))
+    pieces_of = rows.select("number", F.substring("html", F.col("begin"), F.lit(SAMPLED_CHARS)).alias("html"))
+    drawn = pieces_of.dropDuplicates(["number"]).orderBy("number").limit(DICTIONARY_SAMPLE).collect()
+    payloads = [r.html.encode() for r in drawn] or [b""]
+    records = [record_bytes(f"urn:page:{n}", None, p, sha1_base32(p), None) for n, p in enumerate(payloads)]
+    pieces = [r[at : at + PIECE_BYTES] for r in records for at in range(0, len(r), PIECE_BYTES)]
+    pieces *= -(-LEAST_PIECES // len(pieces))
+    return zstandard.train_dictionary(DICTIONARY_BYTES, pieces, level=3).as_bytes()
 
 
 def write_archives(records: DataFrame, folder: str, dictionary: bytes = b"", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:

@@ -54,6 +54,20 @@ def test_dictionary_is_used_and_found_again(spark):
     assert W.read_archives(spark, folder).agg(F.count("*")).first()[0] == 200
 
 
+@pytest.mark.parametrize("html", [[], [None, ""], ["x"], ["ab" * 90_000], ["x"] * 300, [f"<p>{i}</p>" for i in range(7)], ["é" * 40_000 + "end"] * 3])
+def test_every_archive_has_a_dictionary(spark, html):
+    rows = [(i, "u", h) for i, h in enumerate(html)]
+    dictionary = W.train_dictionary(pages(spark, rows))
+    assert dictionary
+    folder = shared_dir(spark, "warc")
+    kept(W.write_archives(W.page_records(pages(spark, rows)), folder, dictionary))
+    found = [bytes(r.content) for r in spark.read.format("binaryFile").load(f"{folder}*/*").select("content").collect()] if rows else []
+    assert all(struct.unpack("<I", d[:4])[0] == W.DICTIONARY_MAGIC for d in found) and bool(found) == bool(rows)
+    if rows:
+        read = W.read_archives(spark, folder).filter("record_type = 'response'").collect()
+        assert {bytes(r.payload) for r in read} == {(h or "").encode() for h in html}
+
+
 def test_empty_table(spark):
     files, read = through_archives(spark, [(1, "u", "x")])
     folder = shared_dir(spark, "warc")
