@@ -8,8 +8,8 @@ Two grains of time column are supported:
 * ``TIMESTAMP``: intraday rows have no such bound. Histories are cut into
   blocks of ``block_rows`` consecutive rows; rows near a cut are copied to the
   neighbouring block (the halo), windows run per block, copies are dropped.
-  Running totals are two-level scans: inside a day, plus the totals of the
-  days before. A symbol holding most of the table is then spread over tasks.
+  Running totals and last known values are two-level scans: inside a day, plus
+  those of the days before. A symbol holding most of the table is then spread over tasks.
 """
 
 from __future__ import annotations
@@ -24,7 +24,12 @@ BLOCK_ROWS = 65_536
 
 Stage = Callable[[WindowSpec], dict[str, Column]]
 
-_SCANS = {"sum": F.sum, "product": F.product, "max": F.max}
+_SCANS = {
+    "sum": F.sum,
+    "product": F.product,
+    "max": F.max,
+    "last": lambda c: F.last(c, ignorenulls=True),
+}
 
 
 def calendar_bounded(df: DataFrame, order: str = "date") -> bool:
@@ -79,30 +84,34 @@ def running(
     keys: Sequence[str] = ("symbol",),
     order: str | Sequence[str] = "date",
     block: str | None = None,
+    backwards: bool = False,
 ) -> DataFrame:
-    """Running ``sum``, ``product`` or ``max`` from the start of each key.
+    """Running ``sum``, ``product``, ``max`` or ``last`` known value from the start of each key.
 
     ``outs`` maps an output name to ``(kind, input column)``. With one row per
     key and DATE a single window does it. Otherwise the scan has two levels:
     inside a ``block`` (by default the day of the time column; it must follow
-    the order), plus the totals of the blocks before.
+    the order), plus the totals of the blocks before. ``backwards`` scans from
+    the end of each key, so that ``last`` is the next known value.
     """
     by = [order] if isinstance(order, str) else list(order)
+    turn = [F.col(c).desc() if backwards else F.col(c).asc() for c in by]
     if block is None and calendar_bounded(df, by[0]):
-        w = Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+        w = Window.partitionBy(*keys).orderBy(*turn).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({o: _SCANS[k](F.col(c)).over(w) for o, (k, c) in outs.items()})
 
     cut = df.withColumn("_cut", F.col(block) if block else F.to_date(by[0]))
     totals = cut.groupBy(*keys, "_cut").agg(
-        *[_SCANS[k](F.col(c)).alias(f"_t_{o}") for o, (k, c) in outs.items()]
+        *[_total(k, c, by, backwards).alias(f"_t_{o}") for o, (k, c) in outs.items()]
     )
-    before = Window.partitionBy(*keys).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = F.col("_cut").desc() if backwards else F.col("_cut").asc()
+    before = Window.partitionBy(*keys).orderBy(blocks).rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(
         *keys,
         "_cut",
         *[_SCANS[k](F.col(f"_t_{o}")).over(before).alias(f"_c_{o}") for o, (k, _) in outs.items()],
     )
-    inside = Window.partitionBy(*keys, "_cut").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*keys, "_cut").orderBy(*turn).rowsBetween(Window.unboundedPreceding, 0)
     joined = cut.join(carried, [*keys, "_cut"])
     both = {
         o: _combine(k, _SCANS[k](F.col(c)).over(inside), F.col(f"_c_{o}")) for o, (k, c) in outs.items()
@@ -110,10 +119,20 @@ def running(
     return joined.withColumns(both).select(*df.columns, *outs)
 
 
+def _total(kind: str, value: str, by: list[str], backwards: bool) -> Column:
+    """Value of a whole block; groups have no order, so the last one is found by its place."""
+    if kind != "last":
+        return _SCANS[kind](F.col(value))
+    place = F.when(F.col(value).isNotNull(), F.struct(*by))
+    return F.min_by(value, place) if backwards else F.max_by(value, place)
+
+
 def _combine(kind: str, here: Column, carry: Column) -> Column:
     """Value so far in the block joined with the blocks before; NULL means no value yet."""
     if kind == "max":
         return F.greatest(here, carry)
+    if kind == "last":
+        return F.coalesce(here, carry)
     joint = here + carry if kind == "sum" else here * carry
     return F.coalesce(joint, here, carry)
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.exprs import fan_out
+from barloom.functions.exprs import change, fan_out, trailing
 from barloom.functions.history import over_history
 from barloom.operators.backtest import run_backtest
 from barloom.operators.features import CLOSE, FEATURE_COLUMNS, feature_stages
@@ -175,10 +175,32 @@ def threshold_sweep(
 ) -> DataFrame:
     """Backtest quality for several probability cuts at once, per symbol and cut.
 
-    ``scores`` carry ``proba_up`` and ``close``.
+    ``scores`` carry ``proba_up`` and ``close``. A row is held if the highest score
+    of the rows that it follows exceeds the cut, so one window serves all cuts
+    and no row is copied per cut.
     """
-    rows = fan_out(scores.select("symbol", "date", CLOSE, "proba_up"), [{"cut": c} for c in cuts], {"cut": "double"})
-    signals = rows.withColumn("prediction", (F.col("proba_up") > F.col("cut")).cast("int"))
-    keys = ["symbol", "cut"]
-    tests = run_backtest(signals, None, costs_bps, holding_period, keys)
-    return return_summary(tests, {"": ("strategy_return", "position")}, keys)
+    if not cuts:
+        raise ValueError("at least one cut is needed")
+    if holding_period < 1:
+        raise ValueError("holding_period must be at least 1")
+    daily = over_history(
+        scores.select("symbol", "date", CLOSE, "proba_up").filter(F.col(CLOSE).isNotNull()),
+        lambda w: {"_ret": change(F.col(CLOSE), F.lag(CLOSE).over(w)), "_last": F.lag("proba_up").over(w)},
+        lambda w: {"_top": F.max("_last").over(trailing(w, holding_period))},
+        lambda w: {"_before": F.lag("_top").over(w)},
+        back=holding_period + 2,
+    ).filter("_top IS NOT NULL AND _ret IS NOT NULL")
+    series, columns = {}, {}
+    for i, cut in enumerate(cuts):
+        position, old = ((F.col(c) > cut).cast("double") for c in ("_top", "_before"))
+        gross = position * F.col("_ret")
+        paid = F.coalesce(F.abs(position - old), F.lit(0.0)) * F.lit(costs_bps) / 10_000
+        columns |= {f"_pos_{i}": position, f"_ret_{i}": gross - paid if costs_bps > 0 else gross}
+        series[f"c{i}_"] = (f"_ret_{i}", f"_pos_{i}")
+    wide = return_summary(daily.withColumns(columns).select("symbol", "date", *columns), series)
+    names = [c.removeprefix("c0_") for c in wide.columns if c.startswith("c0_")]
+    lines = [
+        F.struct(F.lit(float(cut)).alias("cut"), *[F.col(f"c{i}_{n}").alias(n) for n in names])
+        for i, cut in enumerate(cuts)
+    ]
+    return wide.select("symbol", F.inline(F.array(*lines)))

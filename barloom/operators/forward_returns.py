@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.exprs import change
-from barloom.functions.history import over_history
+from barloom.functions.history import over_history, running
 
 # Horizons in trading days and the score buckets [low, high).
 HORIZONS = (5, 20, 60)
@@ -20,21 +20,17 @@ def entry_bars(signals: DataFrame, bars: DataFrame, carry: Sequence[str] = ()) -
     """First bar on or after each ``(symbol, date)`` asked for.
 
     Returns the distinct ``(symbol, date, entry_date, carry...)``; NULL past the
-    last bar. Requests and bars are sorted together once, newest first, and the
-    last bar seen is kept, so there is no join on a date range. Distinct
-    requests are at most one per symbol and day, however many signals ask.
+    last bar. Requests and bars are sorted together, newest first, and the last bar
+    seen is kept, so there is no join on a date range. Distinct requests are at
+    most one per symbol and time, however many signals ask; intraday histories
+    are scanned day by day, with the first bar of the days after carried over.
     """
     payload = F.struct(F.col("date").alias("entry_date"), *[F.col(c) for c in carry])
     asked = signals.select("symbol", "date").filter("date is not null").distinct()
     timeline = bars.select("symbol", "date", payload.alias("_bar"), F.lit(1).alias("_kind")).unionByName(
         asked.withColumn("_kind", F.lit(0)), allowMissingColumns=True
     )
-    newest = (
-        Window.partitionBy("symbol")
-        .orderBy(F.col("date").desc(), F.col("_kind").desc())
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    found = timeline.withColumn("_next", F.last("_bar", ignorenulls=True).over(newest)).filter("_kind = 0")
+    found = running(timeline, {"_next": ("last", "_bar")}, order=["date", "_kind"], backwards=True).filter("_kind = 0")
     return found.select(
         "symbol", "date", F.col("_next.entry_date").alias("entry_date"), *[F.col(f"_next.{c}").alias(c) for c in carry]
     )

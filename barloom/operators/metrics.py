@@ -10,11 +10,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.exprs import no_nan, ratio
-from barloom.functions.history import over_history, running
+from barloom.functions.history import calendar_bounded, over_history, running
 
 TRADING_DAYS = 252
 FLAT_DEVIATION = 1e-14
@@ -66,17 +66,7 @@ def return_summary(
     a position column adds the turnover. The drawdown peak starts at the first
     row after its return, so a single loss has no drawdown.
     """
-    grown = rows.withColumns({f"_g_{p}": 1 + F.col(r) for p, (r, _) in series.items()})
-    curves = running(grown, {f"_eq_{p}": ("product", f"_g_{p}") for p in series}, keys=keys)
-    peaks = running(curves, {f"_pk_{p}": ("max", f"_eq_{p}") for p in series}, keys=keys)
-    moved = over_history(
-        peaks,
-        lambda w: {
-            f"_to_{p}": F.abs(F.col(c) - F.lag(c).over(w)) for p, (_, c) in series.items() if c
-        },
-        keys=keys,
-        back=1,
-    ) if any(c for _, c in series.values()) else peaks
+    moved = _curves(rows, {p: r for p, (r, _) in series.items()}, {p: c for p, (_, c) in series.items() if c}, keys)
     aggs = []
     for p, (r, c) in series.items():
         ret = F.col(r)
@@ -96,10 +86,64 @@ def return_summary(
 
 def max_drawdown(rows: DataFrame, ret: str, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """Deepest fall of the compounded curve from its running peak."""
-    curve = running(rows.withColumn("_g", 1 + F.col(ret)), {"_eq": ("product", "_g")}, keys=keys)
-    peak = running(curve, {"_pk": ("max", "_eq")}, keys=keys)
-    fall = ratio(F.col("_eq") - F.col("_pk"), F.col("_pk"))
-    return peak.groupBy(*keys).agg(F.min(fall).alias("max_drawdown"))
+    curve = _curves(rows, {"": ret}, {}, keys)
+    fall = ratio(F.col("_eq_") - F.col("_pk_"), F.col("_pk_"))
+    return curve.groupBy(*keys).agg(F.min(fall).alias("max_drawdown"))
+
+
+def _curves(rows: DataFrame, returns: dict[str, str], positions: dict[str, str], keys: Sequence[str]) -> DataFrame:
+    """Rows with their equity ``_eq_*``, its peak so far ``_pk_*`` and position change ``_to_*``.
+
+    With a ``DATE`` all windows share one sort of the history. Intraday rows are
+    shuffled once by day: the curve of each day starts at 1 and is moved by what
+    the days before made of it. Where that is negative, a day's peak is its lowest
+    value.
+    """
+    if calendar_bounded(rows):
+        grown = rows.withColumns({f"_g_{p}": 1 + F.col(r) for p, r in returns.items()})
+        curves = running(grown, {f"_eq_{p}": ("product", f"_g_{p}") for p in returns}, keys=keys)
+        peaks = running(curves, {f"_pk_{p}": ("max", f"_eq_{p}") for p in returns}, keys=keys)
+        w = Window.partitionBy(*keys).orderBy("date")
+        return peaks.withColumns({f"_to_{p}": F.abs(F.col(c) - F.lag(c).over(w)) for p, c in positions.items()})
+
+    turn = Window.partitionBy(*keys, "_cut").orderBy("date")
+    so_far = turn.rowsBetween(Window.unboundedPreceding, 0)
+    inside = (
+        rows.withColumn("_cut", F.to_date("date"))
+        .withColumns({f"_eq_{p}": F.product(1 + F.col(r)).over(so_far) for p, r in returns.items()})
+        .withColumns({f"_hi_{p}": F.max(f"_eq_{p}").over(so_far) for p in returns})
+        .withColumns({f"_lo_{p}": F.min(f"_eq_{p}").over(so_far) for p in returns})
+        .withColumns({f"_was_{p}": F.lag(c).over(turn) for p, c in positions.items()})
+        .withColumn("_first", F.row_number().over(turn) == 1)
+    )
+    sums = []
+    for p, r in returns.items():
+        sums += [F.product(1 + F.col(r)).alias(f"_all_{p}"), F.max(f"_eq_{p}").alias(f"_top_{p}"), F.min(f"_eq_{p}").alias(f"_low_{p}")]
+    sums += [F.max_by(c, "date").alias(f"_end_{p}") for p, c in positions.items()]
+    by_day = Window.partitionBy(*keys).orderBy("_cut")
+    before = by_day.rowsBetween(Window.unboundedPreceding, -1)
+    days = inside.groupBy(*keys, "_cut").agg(*sums)
+    days = days.withColumns({f"_c_{p}": F.product(f"_all_{p}").over(before) for p in returns})
+    days = days.withColumns({f"_p_{p}": F.max(_moved(p, f"_top_{p}", f"_low_{p}")).over(before) for p in returns})
+    days = days.withColumns({f"_e_{p}": F.lag(f"_end_{p}").over(by_day) for p in positions})
+    carried = days.select(
+        *keys, "_cut", *[f"_{k}_{p}" for k in "cp" for p in returns], *[f"_e_{p}" for p in positions]
+    )
+    joined = inside.join(carried, [*keys, "_cut"])
+    made = {}
+    for p in returns:
+        made[f"_pk_{p}"] = F.greatest(f"_p_{p}", _moved(p, f"_hi_{p}", f"_lo_{p}"))
+        made[f"_eq_{p}"] = F.coalesce(F.col(f"_eq_{p}") * F.col(f"_c_{p}"), f"_eq_{p}", f"_c_{p}")
+    for p, c in positions.items():
+        was = F.when(F.col("_first"), F.col(f"_e_{p}")).otherwise(F.col(f"_was_{p}"))
+        made[f"_to_{p}"] = F.abs(F.col(c) - was)
+    return joined.withColumns(made).select(*rows.columns, *made)
+
+
+def _moved(p: str, high: str, low: str) -> Column:
+    """Highest value of a day's curve, moved by the days before."""
+    carry = F.coalesce(f"_c_{p}", F.lit(1.0))
+    return carry * F.when(carry < 0, F.col(low)).otherwise(F.col(high))
 
 
 def turnover(rows: DataFrame, pos: str, keys: Sequence[str] = ("symbol",)) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.exprs import change
-from barloom.functions.history import over_history, running
+from barloom.functions.history import calendar_bounded, over_history, running
 from barloom.operators.signals import top_rows
 from barloom.session import kept
 
@@ -56,17 +56,20 @@ def day_axis(scores: DataFrame, bars: DataFrame) -> DataFrame:
         {"rebalance": ("sum", "_flag"), "day": ("sum", "_one")},
         keys=KEYS,
     )
-    whole = Window.partitionBy(*KEYS)
-    axis = counted.select(
+    numbers = counted.select(
         *KEYS,
         "date",
         "is_rebalance",
         F.col("rebalance").cast("int").alias("rebalance"),
         F.col("day").cast("int").alias("day"),
-        F.max("rebalance").over(whole).cast("int").alias("n_rebalances"),
-        F.max("day").over(whole).cast("int").alias("n_days"),
     )
-    return kept(axis, "day-axis")
+    ends = {"n_rebalances": F.max("rebalance"), "n_days": F.max("day")}
+    if calendar_bounded(days):
+        whole = Window.partitionBy(*KEYS)
+        return kept(numbers.withColumns({c: end.over(whole) for c, end in ends.items()}), "day-axis")
+    numbers = kept(numbers, "day-numbers")
+    last = numbers.groupBy(*KEYS).agg(*[end.alias(c) for c, end in ends.items()])
+    return kept(numbers.join(last, KEYS), "day-axis")
 
 
 def weekly_rebalance_dates(scores: DataFrame, bars: DataFrame) -> DataFrame:
@@ -88,19 +91,13 @@ def daily_score_matrix(scores: DataFrame, bars: DataFrame) -> DataFrame:
         .select(*KEYS, "symbol", "date", "proba_up")
         .join(axis.select(*KEYS, "date", "day", "n_days"), [*KEYS, "date"])
     )
-    mine = Window.partitionBy(*KEYS, "symbol").orderBy("date")
-    spread = known.withColumn("_until", F.coalesce(F.lead("day").over(mine) - 1, F.col("n_days"))).withColumn(
-        "day", F.explode(F.sequence("day", "_until"))
-    )
-    dated = spread.join(axis.select(*KEYS, "day", F.col("date").alias("on_date")), [*KEYS, "day"])
-    by_day = Window.partitionBy(*KEYS, "symbol").orderBy("on_date")
-    return dated.select(
-        *KEYS,
-        F.col("on_date").alias("date"),
-        "symbol",
-        F.col("proba_up").alias("filled"),
-        F.lag("proba_up").over(by_day).alias("score"),
-    )
+    mine = [*KEYS, "symbol"]
+    spread = over_history(
+        known, lambda w: {"_until": F.coalesce(F.lead("day").over(w) - 1, F.col("n_days"))}, keys=mine, ahead=1
+    ).withColumn("day", F.explode(F.sequence("day", "_until")))
+    dated = spread.drop("date").join(axis.select(*KEYS, "day", "date"), [*KEYS, "day"])
+    lagged = over_history(dated, lambda w: {"score": F.lag("proba_up").over(w)}, keys=mine, back=1)
+    return lagged.select(*KEYS, "date", "symbol", F.col("proba_up").alias("filled"), "score")
 
 
 def rebalance_scores(scores: DataFrame, axis: DataFrame) -> DataFrame:
@@ -116,10 +113,13 @@ def rebalance_scores(scores: DataFrame, axis: DataFrame) -> DataFrame:
         .select(*KEYS, "symbol", "date", "proba_up")
         .join(axis.select(*KEYS, "date", "rebalance", "n_rebalances"), [*KEYS, "date"])
     )
-    mine = Window.partitionBy(*KEYS, "symbol").orderBy("date")
-    until = F.coalesce(F.lead("rebalance").over(mine), F.col("n_rebalances"))
     return (
-        known.withColumn("_until", until)
+        over_history(
+            known,
+            lambda w: {"_until": F.coalesce(F.lead("rebalance").over(w), F.col("n_rebalances"))},
+            keys=[*KEYS, "symbol"],
+            ahead=1,
+        )
         .filter(F.col("_until") > F.col("rebalance"))
         .withColumn("rebalance", F.explode(F.sequence(F.col("rebalance") + 1, F.col("_until"))))
         .select(*KEYS, "rebalance", "symbol", F.col("proba_up").alias("score"))
@@ -200,16 +200,10 @@ def simulate(
         *KEYS, "date", "step", F.coalesce("n_new", F.lit(0)).alias("n_new"),
         F.coalesce("one_way", F.lit(0.0)).alias("one_way"),
     )
-    filled = Window.partitionBy(*KEYS).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    days = (
-        axis.select(*KEYS, "date")
-        .join(steps, [*KEYS, "date"], "left")
-        .withColumns(
-            {
-                "held_step": F.last("step", ignorenulls=True).over(filled),
-                "n_held": F.last("n_new", ignorenulls=True).over(filled),
-            }
-        )
+    days = running(
+        axis.select(*KEYS, "date").join(steps, [*KEYS, "date"], "left"),
+        {"held_step": ("last", "step"), "n_held": ("last", "n_new")},
+        keys=KEYS,
     )
     held = days.select(*KEYS, "date", F.col("held_step").alias("step")).join(targets, [*KEYS, "step"])
     moves = over_history(

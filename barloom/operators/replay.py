@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from barloom.functions.exprs import change, ratio
 from barloom.functions.fold import ordered_fold
-from barloom.functions.history import over_history, running
+from barloom.functions.history import calendar_bounded, over_history, running
 from barloom.operators.metrics import TRADING_DAYS, return_summary
 from barloom.session import kept
 from barloom.sources.bars import trading_days
@@ -72,7 +72,11 @@ def _all_filled(priced: DataFrame) -> DataFrame:
     proceeds = F.when(sell, F.col("_shares") * F.col("close")).otherwise(F.lit(0.0))
     flows = summed.withColumns({"_won": proceeds, "_flow": F.when(paid, -F.col("amount")).otherwise(proceeds)})
     totals = running(
-        flows, {"_net": ("sum", "_flow"), "gain": ("sum", "_won")}, keys=["account"], order=["date", "seq"], block="date"
+        flows,
+        {"_net": ("sum", "_flow"), "gain": ("sum", "_won")},
+        keys=["account"],
+        order=["date", "seq"],
+        block="date" if calendar_bounded(flows) else None,
     )
     cash = F.col("capital") + F.col("_net")
     return totals.select(

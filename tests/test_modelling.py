@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import random
 import subprocess
 import sys
 
@@ -375,6 +376,50 @@ def test_return_summary_values(spark):
     assert (row["hit_rate"], row["turnover"]) == (0.5, 1.0)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_intraday_returns_are_summarised_by_days(spark, seed):
+    """Several rows a day, wiped out and turned curves, missing values: equal to one row a day."""
+    rng = random.Random(seed)
+    rows = []
+    for s in "abc":
+        for i in range(90):
+            r = rng.gauss(0, 0.05) if rng.random() < 0.93 else rng.choice([-1.5, -2.2, None, 0.9])
+            rows.append((s, i, r, rng.choice([0.0, 1.0, 1.0, None])))
+    frame = spark.createDataFrame(rows, "symbol string, i int, r double, pos double")
+    daily = frame.withColumn("date", F.date_add(F.lit("2024-01-01").cast("date"), F.col("i")))
+    timed = frame.withColumn("date", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 5 * i)"))
+    series = {"": ("r", "pos"), "other_": ("pos", None)}
+    a, b = ({r["symbol"]: r.asDict() for r in metrics.return_summary(df, series).collect()} for df in (daily, timed))
+    assert a.keys() == b.keys() == set("abc")
+    for s in a:
+        assert b[s] == pytest.approx(a[s], nan_ok=True)
+        assert a[s]["max_drawdown"] < -1
+    falls = [{r[0]: r[1] for r in metrics.max_drawdown(df, "r").collect()} for df in (daily, timed)]
+    assert falls[0] == pytest.approx(falls[1])
+
+
+@pytest.mark.parametrize("hold,bps", [(1, 5.0), (3, 0.0)])
+def test_sweep_equals_a_backtest_for_each_cut(spark, make_bars, hold, bps):
+    rng = random.Random(hold)
+    days = business_days(50)
+    bars = make_bars({"A": walk(50, 1), "B": [None if i in (7, 8) else v for i, v in enumerate(walk(50, 2))]}, days)
+    scores = [(s, d, None if rng.random() < 0.1 else round(rng.random(), 2)) for s in "AB" for d in days]
+    rows = bars.join(spark.createDataFrame(scores, "symbol string, date date, proba_up double"), ["symbol", "date"])
+    cuts = [0.2, 0.5, 0.9, 2.0]
+    sweep = experiments.threshold_sweep(rows, cuts, bps, hold)
+    got = {(r["symbol"], r["cut"]): r.asDict() for r in sweep.collect()}
+    assert len(got) == 8
+    for cut in cuts:
+        said = rows.withColumn("prediction", (F.col("proba_up") > cut).cast("int"))
+        tests = run_backtest(said, None, bps, hold)
+        for r in metrics.return_summary(tests, {"": ("strategy_return", "position")}).collect():
+            assert got[r["symbol"], cut] == pytest.approx({**r.asDict(), "cut": cut})
+    plan = sweep._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Window"), "rows are copied per cut before the window"
+    with pytest.raises(ValueError):
+        experiments.threshold_sweep(rows, [])
+
+
 def test_flat_and_single_returns(spark):
     flat = metrics.return_summary(_returns(spark, [0.01] * 5), {"": ("r", None)}).first()
     assert flat["sharpe"] is None and flat["max_drawdown"] == 0.0

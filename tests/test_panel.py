@@ -138,6 +138,22 @@ def test_running_totals_in_two_levels(spark):
         assert (r["s"], r["m"]) == (total, top)
 
 
+@pytest.mark.parametrize("backwards", [False, True])
+def test_last_known_value_in_two_levels(spark, backwards):
+    # whole days without a value, nulls between values, a key without any
+    values = [None, None, 3.0, None, None, None, None, None, None, 5.0, None, 7.0, None, None, None]
+    rows = [("a", dt.date(2024, 1, 1 + i // 3), i, v) for i, v in enumerate(values)]
+    rows += [("b", dt.date(2024, 1, 1 + i), i, None) for i in range(3)]
+    df = spark.createDataFrame(rows, "k string, day date, seq int, v double")
+    out = history.running(df, {"l": ("last", "v")}, keys=["k"], order=["day", "seq"], block="day", backwards=backwards)
+    got = {(r["k"], r["seq"]): r["l"] for r in out.collect()}
+    known, wanted = None, {("b", i): None for i in range(3)}
+    for i in sorted(range(len(values)), reverse=backwards):
+        known = known if values[i] is None else values[i]
+        wanted["a", i] = known
+    assert got == wanted
+
+
 def test_validate_bars(spark, make_bars):
     good = make_bars({"A": [1.0, 2.0]})
     assert quality.validate_bars(good) is good

@@ -124,6 +124,31 @@ def test_entry_is_first_bar_on_or_after(spark, make_bars):
     assert {(r["symbol"], r["date"].day): r["return_1d_forward"] for r in moved}["A", 6] == pytest.approx(12 / 11 - 1)
 
 
+def _intraday(df, days, name="date"):
+    """The same rows, six to a day: the n-th date becomes the n-th of four-hourly times."""
+    times = {d: dt.datetime(2024, 3, 1) + dt.timedelta(hours=4 * i) for i, d in enumerate(days)}
+    at = F.create_map(*[F.lit(x) for d, t in times.items() for x in (d, t)])
+    return df.withColumn(name, at[F.col(name)].cast("timestamp_ntz")), times
+
+
+def test_forward_returns_of_intraday_bars_equal_those_of_days(spark, make_bars):
+    days = business_days(60)
+    closes = {s: [None if i % 7 in gaps else v for i, v in enumerate(walk(60, n))] for n, (s, gaps) in enumerate({"A": {1, 2}, "B": {5}, "C": set(range(7)) - {3}}.items())}
+    bars = make_bars(closes, days)
+    asked = spark.createDataFrame([(s, d) for s in "ABCX" for d in days[::3] for _ in range(2)], "symbol string, date date")
+    daily = fr.add_forward_returns(asked, bars, (2, 9))
+    (timed_asks, times), (timed_bars, _) = _intraday(asked, days), _intraday(bars, days)
+    timed = fr.add_forward_returns(timed_asks, timed_bars, (2, 9))
+    back = {t: d for d, t in times.items()}
+    key = lambda r: (r["symbol"], r["date"], str(r[2]), str(r[3]))
+    assert sorted(key(r) for r in daily.collect()) == sorted((r["symbol"], back[r["date"]], str(r[2]), str(r[3])) for r in timed.collect())
+    entries = {(r["symbol"], r["date"]): r["entry_date"] for r in fr.entry_bars(asked, bars).collect()}
+    found = {(r["symbol"], back[r["date"]]): back.get(r["entry_date"]) for r in fr.entry_bars(timed_asks, timed_bars).collect()}
+    assert entries == found and len(entries) == 80
+    plan = fr.entry_bars(timed_asks, timed_bars)._jdf.queryExecution().executedPlan().toString()
+    assert "_cut" in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
 def test_score_buckets(spark):
     df = spark.createDataFrame([(v,) for v in (-0.1, 0.0, 0.55, 0.599, 0.65, 1.0, 1.01, None)], "score double")
     got = [r["b"] for r in df.select(fr.score_bucket(F.col("score")).alias("b")).collect()]
@@ -479,6 +504,30 @@ def test_simulation_equals_plain_loop(spark, make_bars, seed, top_n, bps):
     assert sorted((r["date"], r["symbol"], r["action"], r["score"]) for r in result.trades_log.collect()) == trades
 
 
+def test_simulation_of_intraday_bars_holds_its_sets(spark, make_bars):
+    """Four bars a day, of which three repeat the close: the days' last values are those of daily bars."""
+    rng = random.Random(4)
+    days = business_days(40)
+    closes = {s: walk(40, 30 + i) for i, s in enumerate("ABCD")}
+    bars = make_bars(closes, days)
+    rows = [(s, d, round(rng.uniform(0.4, 0.7), 2)) for s in "ABCD" for d in days[5:] if rng.random() < 0.6]
+    scores = spark.createDataFrame(rows, "symbol string, date date, proba_up double")
+    hours = F.explode(F.array(*[F.expr(f"INTERVAL {h} HOURS") for h in (9, 11, 13, 15)]))
+    timed = bars.withColumn("_h", hours).withColumn("date", F.col("date").cast("timestamp_ntz") + F.col("_h")).drop("_h")
+    late = scores.withColumn("date", F.col("date").cast("timestamp_ntz") + F.expr("INTERVAL 15 HOURS"))
+    daily = rebalance.simulate(scores, bars, top_n=2, costs_bps=20.0)
+    intraday = rebalance.simulate(late, timed, top_n=2, costs_bps=20.0)
+    wanted = {r["date"]: r["value"] for r in daily.equity_curve.collect()}
+    got = {r["date"].date(): r["value"] for r in intraday.equity_curve.filter("hour(date) = 15").collect()}
+    assert got == pytest.approx(wanted) and len(got) == 40
+    logged = lambda r: sorted((str(x["date"])[:10], x["symbol"], x["action"], x["score"]) for x in r.trades_log.collect())
+    assert logged(daily) == logged(intraday) != []
+    filled = rebalance.daily_score_matrix(scores, bars).filter("score is not null").count()
+    assert filled > 0
+    matrix = rebalance.daily_score_matrix(late, timed).filter("hour(date) = 9 and score is not null")
+    assert matrix.count() == filled
+
+
 def test_only_weekly_rebalancing(spark, make_bars):
     with pytest.raises(ValueError):
         rebalance.simulate(None, None, rebalance_frequency="daily")
