@@ -9,7 +9,7 @@ derived or registered, and walk-forward, ranking and grid treat all alike:
   history has at most ~366 rows a year, which bounds it. ``min_per_class``
   (1 if absent) is how many rows of each class a fit needs;
 * a pooled model has ``estimator(n)``, an MLlib estimator for ``n`` training rows
-  with the columns ``features`` and ``label``. It is fitted on all symbols
+  with the columns ``symbol``, ``date``, ``features`` and ``label``. It is fitted on all symbols
   together, distributed, one fit per fold, so it also suits intraday panels;
 * a moment model has ``columns`` and ``solve(n, products, pulls)``, which gives
   weights (the intercept last) from the sums of products of the columns with

@@ -323,7 +323,7 @@ def _pooled_scores(dataset: DataFrame, model: Model, splitter: Splitter, keys: S
         first = same[0]
         train = data.filter(within(first) & (F.col("date") <= first.until) & F.col("y").isNotNull()).select("symbol", "date", "features", label.alias("label") if values else label)
         tasks = max(-(-first.rows // ROWS_PER_TASK), min(each, -(-first.rows // LEAST_ROWS)))
-        dealt = train.repartition(tasks, "symbol", "date").sortWithinPartitions("symbol", "date").select("features", "label")
+        dealt = train.repartition(tasks, "symbol", "date").sortWithinPartitions("symbol", "date")
         made = model.estimator(first.rows).fit(dealt)
         for i, job in enumerate(same):
             wanted = (F.col("date") <= job.until) & F.col("y").isNotNull() if on_training else F.col("date").between(job.begin, job.end)

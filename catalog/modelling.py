@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from barloom.operators import metrics as me
 from barloom.operators import models as mo
 from barloom.operators import walkforward as wf
 from barloom.operators.backtest import run_backtest
+from barloom.operators.calibration import PooledCalibratedLogisticRegression
 from barloom.operators.features import FEATURE_COLUMNS, build_features
 from barloom.operators.replay import strategy_curves
 from barloom.operators.splits import walk_forward_folds
@@ -246,6 +248,30 @@ query(
 query("f4_calibrated_isotonic", _PARTS, _calibrated(mo.CalibratedLogisticRegression(method="isotonic")), _PARTS_SQL.format("CAST(ups_held AS DOUBLE)"))
 
 
+def _pooled_calibration(method):
+    """The inner parts of one calibrated fit to all rows of all symbols."""
+
+    def run(spark, sf):
+        data = kept(make_dataset(inputs.bars(spark, sf)), "dataset")
+        rows = data.select("symbol", "date", array_to_vector(F.array(*FEATURE_COLUMNS)).alias("features"), F.col("y").cast("double").alias("label"))
+        return PooledCalibratedLogisticRegression(method=method).estimator(rows.count()).fit(rows).report()
+
+    return run
+
+
+_POOLED_PARTS_SQL = """SELECT part, count(*) AS n_held, CAST(sum(y) AS BIGINT) AS ups_held, {} AS total, true AS rising FROM (
+    SELECT y, CAST((row_number() OVER (PARTITION BY y ORDER BY date, symbol) - 1) * 5 // count(*) OVER (PARTITION BY y) AS INTEGER) AS part FROM ds_direction)
+    GROUP BY part"""
+_POOLED_PARTS = "part:i n_held:l ups_held:l total:{} rising:b"
+query(
+    "f4_pooled_calibrated_sigmoid",
+    _POOLED_PARTS.format(3),
+    _pooled_calibration("sigmoid"),
+    _POOLED_PARTS_SQL.format("sum(y) * (sum(y) + 1.0) / (sum(y) + 2) + (count(*) - sum(y)) / (count(*) - sum(y) + 2.0)"),
+)
+query("f4_pooled_calibrated_isotonic", _POOLED_PARTS.format(6), _pooled_calibration("isotonic"), _POOLED_PARTS_SQL.format("CAST(sum(y) AS DOUBLE)"))
+
+
 def _fits(spark, sf):
     """Fits of every fold, with the scaling they used and whether they are at the optimum."""
     data = kept(make_dataset(inputs.bars(spark, sf)), "dataset")

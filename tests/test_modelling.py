@@ -9,10 +9,12 @@ import sys
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from barloom.operators import experiments, metrics, models, walkforward
 from barloom.operators.backtest import run_backtest
+from barloom.operators.calibration import PooledCalibratedLogisticRegression
 from barloom.operators.splits import WalkForwardSplit
 from barloom.operators.targets import make_dataset
 from tests.conftest import business_days, column, walk
@@ -103,6 +105,44 @@ def test_pooled_models_take_intraday_panels(make_bars):
     assert walkforward.run_walk_forward(timed, models.PooledLogisticRegression(), SPLIT).count() == 120
 
 
+@pytest.mark.parametrize("method", ["sigmoid", "isotonic"])
+def test_pooled_calibration_equals_a_plain_one(spark, method):
+    """The same parts, fits and curves in numpy, over the rows in order of date and symbol."""
+    x, y = _xy(240, 5)
+    x = np.hstack([x, np.full((240, 1), 3.0)])  # a feature that never changes
+    days = business_days(120)
+    rows = [(s, days[i // 2], [float(v) for v in x[i]], float(y[i])) for i, s in enumerate("AB" * 120)]
+    frame = spark.createDataFrame(rows, "symbol string, date date, f array<double>, label double")
+    frame = frame.select("symbol", "date", array_to_vector("f").alias("features"), "label").repartition(5)
+    made = PooledCalibratedLogisticRegression(method=method, cv=4).estimator(240).fit(frame)
+    got = {(r["symbol"], r["date"]): r["p"] for r in made.transform(frame).select("symbol", "date", vector_to_array("probability")[1].alias("p")).collect()}
+
+    z = (x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0, ddof=1), 1.0)
+    part = np.empty(240, int)
+    for c in (0.0, 1.0):
+        own = np.flatnonzero(y == c)
+        part[own] = np.arange(len(own)) * 4 // len(own)
+    wanted = np.zeros(240)
+    for k in range(4):
+        w = models._margin_fit(z[part != k], y[part != k], 1.0, 200)
+        margin = models._with_intercept(z) @ w
+        curve = (models.platt_curve if method == "sigmoid" else models.isotonic_curve)(margin[part == k], y[part == k])
+        wanted += curve(margin) / 4
+    seen = np.array([got[s, d] for s, d, _, _ in rows])
+    assert seen == pytest.approx(wanted, abs=1e-3 if method == "sigmoid" else 0.02)
+    lines = {r["part"]: r for r in made.report().collect()}
+    assert [(lines[k]["n_held"], lines[k]["ups_held"]) for k in range(4)] == [((part == k).sum(), y[part == k].sum()) for k in range(4)]
+    assert all(r["rising"] for r in lines.values())
+
+
+def test_pooled_calibration_walks_forward_on_intraday_panels(make_bars):
+    timed = make_bars({"A": walk(240, 9), "B": walk(240, 3)}).withColumn("date", F.col("date").cast("timestamp_ntz"))
+    scores = walkforward.run_walk_forward_proba(timed, PooledCalibratedLogisticRegression(cv=3), SPLIT).collect()
+    assert len(scores) == 120 and all(0 < r["proba_up"] < 1 for r in scores)
+    with pytest.raises(ValueError):
+        PooledCalibratedLogisticRegression(method="linear")
+
+
 class MeanReversion:
     """A user's rule: no base class, only the two expressions."""
 
