@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.batches import by_pieces, input_columns
+from barloom.llm.batches import by_pieces, chunks, input_columns
 from barloom.llm.components import connected_components
 from barloom.session import kept
 
@@ -26,6 +26,10 @@ REMEMBERED_LINES = 100_000
 BLOCK = 256
 #: Bits of the map that keeps lines without any candidate out of the shuffle.
 MAP_BITS = 1 << 26
+#: Cells of a line's sketch, a byte each; a full one stands for that many shingles or more.
+CELLS, FULL = 64, 255
+#: The same where the texts are at hand, which leaves few comparisons in vain.
+FINE_CELLS = 1024
 #: Characters whose hashes are minimised at a time, so that they stay in the cache.
 PIECE_CHARS = 200_000
 
@@ -59,8 +63,8 @@ def similar(a: set[str], b: set[str]) -> bool:
 # --- signatures -------------------------------------------------------------------
 
 
-def signatures(lines: list[str]) -> np.ndarray:
-    """MinHash values, one row per hash function and one column per line."""
+def _hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all shingles in a row, where each line's begin, and how many it has; those across lines lie between."""
     padded = [line if len(line) >= SHINGLE_CHARS else line.ljust(SHINGLE_CHARS, "\0") for line in lines]
     code = np.frombuffer("".join(padded).encode("utf-32-le", "replace"), np.uint32)
     size = np.fromiter(map(len, padded), np.int64, len(padded))
@@ -72,8 +76,13 @@ def signatures(lines: list[str]) -> np.ndarray:
         h ^= h >> np.uint32(shift)
         h *= np.uint32(factor)
     h ^= h >> np.uint32(16)
-    begin = np.cumsum(size) - size
-    cuts = np.stack([begin, begin + size - SHINGLE_CHARS + 1], axis=1).ravel()[:-1]
+    return h, np.cumsum(size) - size, size - SHINGLE_CHARS + 1
+
+
+def signatures(lines: list[str]) -> np.ndarray:
+    """MinHash values, one row per hash function and one column per line."""
+    h, begin, n = _hashes(lines)
+    cuts = np.stack([begin, begin + n], axis=1).ravel()[:-1]
     out, mixed = np.empty((BANDS * ROWS, len(lines)), np.uint32), np.empty_like(h)
     for k in range(BANDS * ROWS):
         np.bitwise_xor(h, _XORS[k], out=mixed)
@@ -95,6 +104,28 @@ def buckets(signature: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketches(lines: list[str], n_cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
+    """How many shingles of each line fall into each cell, and at least how many different ones it has."""
+    h, begin, n = _hashes(lines)
+    line = np.repeat(np.arange(len(lines)), n)
+    own = h[np.arange(len(line)) + np.repeat(begin - np.cumsum(n) + n, n)]
+    cells = np.bincount(line * n_cells + own % n_cells, minlength=len(lines) * n_cells).reshape(-1, n_cells)
+    each = np.sort(line.astype(np.uint64) << np.uint64(32) | own)
+    each = each[np.r_[True, each[1:] != each[:-1]]]
+    return np.minimum(cells, FULL).astype(np.uint8), np.bincount((each >> np.uint64(32)).astype(np.int64), minlength=len(lines))
+
+
+def maybe_similar(cells_a: np.ndarray, fewest_a: np.ndarray, cells_b: np.ndarray, fewest_b: np.ndarray) -> np.ndarray:
+    """False only where the threshold is out of reach: lines share no more shingles than their cells have in common."""
+    common = np.minimum(cells_a, cells_b)
+    reached = common.sum(axis=-1, dtype=np.int64) * (1 + THRESHOLD) + 1e-6 >= THRESHOLD * (fewest_a + fewest_b)
+    return reached | (common.max(axis=-1, initial=0) == FULL)
+
+
+def _cells(column: pa.Array | list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist() if isinstance(column, pa.Array) else column), np.uint8).reshape(-1, CELLS)
+
+
 def _keys(lines: list[str]) -> tuple[list[bytes], np.ndarray]:
     """128-bit keys of lines, and their first halves as longs."""
     keys = [xxhash.xxh3_128_digest(line.encode()) for line in lines]
@@ -166,8 +197,8 @@ def _occurrences(rows: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
     return rows.mapInArrow(run, f"key binary, k bigint, doc {rows.schema['doc'].dataType.simpleString()}, text_hash bigint, line_no int")
 
 
-def _texts(rows: DataFrame, bits: np.ndarray) -> DataFrame:
-    """``(key, k, line)``: each different line in the map once."""
+def _texts(rows: DataFrame, bits: np.ndarray, candidates: DataFrame) -> DataFrame:
+    """``(key, k, line, cells, fewest)``: each different line of the ``candidates``, which are in the map, once, with its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -185,7 +216,39 @@ def _texts(rows: DataFrame, bits: np.ndarray) -> DataFrame:
             k = np.frombuffer(b"".join(out), np.int64)[::2]
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array(k), pa.array(list(out.values()), pa.string())], names=["key", "k", "line"])
 
-    return rows.mapInArrow(run, "key binary, k bigint, line string").groupBy("key").agg(F.first("k").alias("k"), F.first("line").alias("line"))
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_pieces(batches, 2, PIECE_CHARS):
+            if batch.num_rows:
+                cells, fewest = sketches(batch.column(2).to_pylist())
+                columns = [*batch.columns, pa.array([c.tobytes() for c in cells], pa.binary()), pa.array(fewest, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "cells", "fewest"])
+
+    # a line is dealt out by the first half of its key once, for the candidates and for its copies
+    found = rows.mapInArrow(run, "key binary, k bigint, line string").repartition("k")
+    once = found.join(candidates, "k", "left_semi").groupBy("k", "key").agg(F.first("line").alias("line"))
+    return once.select("key", "k", "line").mapInArrow(sketched, "key binary, k bigint, line string, cells binary, fewest bigint")
+
+
+def _lines(texts: DataFrame, numbers: DataFrame) -> DataFrame:
+    """``(key, line)`` of the lines whose ``k`` is among the numbers, and of the few others that share their bits."""
+    bits = bit_map(numbers)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_marked(bits, batch.column(1).to_numpy()))).select(["key", "line"])
+
+    return texts.select("key", "k", "line").mapInArrow(run, "key binary, line string")
+
+
+def _near(pairs: DataFrame) -> DataFrame:
+    """Of ``(k, least, a, cells_a, fewest_a, b, cells_b, fewest_b)`` the pairs ``(k, least, a, b)`` whose sketches allow the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = maybe_similar(_cells(batch.column(4)), batch.column(5).to_numpy(), _cells(batch.column(6)), batch.column(7).to_numpy())
+            yield batch.select(["k", "least", "a", "b"]).filter(pa.array(good))
+
+    return pairs.select("k", "least", "a", "b", "cells_a", "fewest_a", "cells_b", "fewest_b").mapInArrow(run, "k bigint, least bigint, a binary, b binary")
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
@@ -204,15 +267,79 @@ def _verified(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "line_a", "b", "line_b").mapInArrow(run, "a binary, b binary")
 
 
+_GROUP = ("bucket", "i", "j")
+
+
+def _grouped(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.select(*_GROUP, *columns).repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+
+
+def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of one group after the other, which stream in group order."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and row[:3] != held[0][:3]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _with_partners(groups: DataFrame) -> DataFrame:
+    """Rows ``(bucket, i, j, block, root, key, k, cells, fewest)`` whose sketch allows a link to another component in their group."""
+
+    def partners(rows: list[tuple]) -> Iterator[tuple]:
+        names: dict[bytes, int] = {}
+        root = np.array([names.setdefault(r[4], len(names)) for r in rows])
+        if len(names) == 1:
+            return
+        alone, block = rows[0][1] == rows[0][2], np.array([r[3] for r in rows])
+        cells, fewest = _cells([r[7] for r in rows]), np.array([r[8] for r in rows])
+        hit = np.zeros(len(rows), bool)
+        for x in range(len(rows) - 1):
+            found = maybe_similar(cells[x], fewest[x], cells[x + 1 :], fewest[x + 1 :]) & (root[x + 1 :] != root[x])
+            if not alone:
+                found &= block[x + 1 :] != block[x]
+            hit[x + 1 :] |= found
+            hit[x] |= found.any()
+        yield from (r for r, h in zip(rows, hit) if h)
+
+    schema = "bucket bigint, i bigint, j bigint, block bigint, root binary, key binary, k bigint, cells binary, fewest bigint"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64()] * 4 + [pa.binary()] * 2 + [pa.int64(), pa.binary(), pa.int64()]
+        names = [c.split()[0] for c in schema.split(", ")]
+        out: list[tuple] = []
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], kind) for n, kind in enumerate(kinds)], names=names)
+
+        for rows in _by_group(batches):
+            out += partners(rows)
+            if len(out) > 10_000:
+                yield made()
+                out = []
+        if out:
+            yield made()
+
+    return _grouped(groups, "block", "root", "key", "k", "cells", "fewest").mapInArrow(run, schema)
+
+
 def _across(groups: DataFrame) -> DataFrame:
     """Links between lines of different components inside each block of a bucket.
 
-    Rows ``(bucket, i, j, block, root, key, line)`` stream in group order; only
-    lines that are not yet connected are compared, each link connects two parts.
+    Rows ``(bucket, i, j, block, root, key, line, cells, fewest)`` stream in group
+    order; only lines that are not yet connected are compared, each link connects
+    two parts.
     """
 
     def links(rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
         i, j = rows[0][1:3]
+        cells, fewest = _cells([r[7] for r in rows]), np.array([r[8] for r in rows])
+        parts = [sketches([r[6] for r in rows[a:b]], FINE_CELLS) for a, b in chunks([len(r[6]) for r in rows], PIECE_CHARS)]
+        fine, different = (np.concatenate(x) for x in zip(*parts))
         sets: dict[int, set[str]] = {}
         part = {}
         for r in rows:
@@ -223,8 +350,9 @@ def _across(groups: DataFrame) -> DataFrame:
                 x = part[x]
             return x
 
-        for y in range(len(rows)):
-            for x in range(y):
+        for y in range(1, len(rows)):
+            near = np.flatnonzero(maybe_similar(cells[:y], fewest[:y], cells[y], fewest[y]))
+            for x in near[maybe_similar(fine[near], different[near], fine[y], different[y])].tolist():
                 if i != j and rows[x][3] == rows[y][3]:
                     continue  # compared where the block stands alone
                 a, b = find(rows[x][4]), find(rows[y][4])
@@ -238,21 +366,20 @@ def _across(groups: DataFrame) -> DataFrame:
                     yield rows[x][5], rows[y][5]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for batch in batches:
-            made: list[tuple[bytes, bytes]] = []
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and row[:3] != held[0][:3]:
-                    made += links(held)
-                    held = []
-                held.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in made], pa.binary()), pa.array([b for _, b in made], pa.binary())], names=["a", "b"])
-        if held:
-            made = list(links(held))
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in made], pa.binary()), pa.array([b for _, b in made], pa.binary())], names=["a", "b"])
+        made: list[tuple[bytes, bytes]] = []
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in made], pa.binary()), pa.array([b for _, b in made], pa.binary())], names=["a", "b"])
+
+        for rows in _by_group(batches):
+            made += links(rows)
+            if len(made) > 10_000:
+                yield out()
+                made = []
+        if made:
+            yield out()
 
-    ordered = groups.select("bucket", "i", "j", "block", "root", "key", "line")
-    return ordered.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "a binary, b binary")
+    return _grouped(groups, "block", "root", "key", "line", "cells", "fewest").mapInArrow(run, "a binary, b binary")
 
 
 def _rooted(keys: DataFrame, components: DataFrame) -> DataFrame:
@@ -271,7 +398,9 @@ def line_components(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     Every line is first compared with the smallest key of one of its buckets.
     Where that leaves a bucket with several components, their lines are compared
     across in blocks. So no pair of a bucket goes unseen, and a large bucket of
-    variants of one line costs about one comparison each.
+    variants of one line costs about one comparison each. Sketches, from which a
+    bound follows on what two lines can share, are joined and compared first;
+    the texts only follow for pairs that this leaves.
     """
     signed = _signed_lines(rows.select("text"))
     members = signed.select(F.explode("bands").alias("bucket"), "k")
@@ -280,21 +409,25 @@ def line_components(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = kept(members, "members")
     candidates = members.select("k").distinct()
     bits = bit_map(candidates)
-    texts = kept(_texts(rows, bits).join(candidates, "k", "left_semi"), "lines")
+    texts = kept(_texts(rows, bits, candidates), "lines")
     stars = members.filter("k <> least").select("k", "least").distinct()
     # two lines whose keys only share their first half meet here as well
     twins = texts.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k", F.col("k").alias("least"))
-    left = texts.select("k", F.col("key").alias("a"), F.col("line").alias("line_a"))
-    right = texts.select(F.col("k").alias("least"), F.col("key").alias("b"), F.col("line").alias("line_b"))
+    left = texts.select("k", F.col("key").alias("a"), F.col("cells").alias("cells_a"), F.col("fewest").alias("fewest_a"))
+    right = texts.select(F.col("k").alias("least"), F.col("key").alias("b"), F.col("cells").alias("cells_b"), F.col("fewest").alias("fewest_b"))
     pairs = lambda some: some.join(left, "k").join(right, "least").filter("a <> b")
     # one comparison a line; what it leaves apart is looked at by bucket
     first = stars.groupBy("k").agg(F.min("least").alias("least"))
-    edges = kept(_verified(pairs(first.unionByName(twins))), "edges")
+    near = kept(_near(pairs(first.unionByName(twins))), "near")
+    lines = _lines(texts, near.select("k").unionByName(near.select(F.col("least").alias("k"))))
+    with_a = near.join(lines.select(F.col("key").alias("a"), F.col("line").alias("line_a")), "a")
+    edges = kept(_verified(with_a.join(lines.select(F.col("key").alias("b"), F.col("line").alias("line_b")), "b")), "edges")
     components = kept(connected_components(edges), "components")
 
     seen = first.select("k", F.col("least").alias("compared"))
     rooted = _rooted(texts.select("k", "key"), components).join(seen, "k", "left")
-    open_members = members.join(rooted, "k").select("bucket", "key", "root", F.coalesce(F.col("compared") == F.col("least"), F.lit(False)).alias("compared")).distinct()
+    open_members = members.join(rooted, "k").select("bucket", "key", "k", "root", F.coalesce(F.col("compared") == F.col("least"), F.lit(False)).alias("compared"))
+    open_members = kept(open_members, "members")
     content = [F.bit_xor(F.xxhash64(F.lit(seed), "key")).alias(f"h{seed}") for seed in (0, 1)]
     each = open_members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.count_if("compared").alias("done"), *content)
     # buckets of several bands with the same members are looked through once
@@ -303,8 +436,9 @@ def line_components(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     blocks = open_members.join(open_buckets, "bucket").withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK))
     last = F.floor((F.col("n") - 1) / BLOCK)
     spread = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
-    grouped = spread.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "root", "key")
-    more = kept(_across(grouped.join(texts.select("key", "line"), "key")), "edges")
+    grouped = spread.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "root", "key", "k")
+    partners = kept(_with_partners(grouped.join(texts.select("key", "cells", "fewest"), "key")), "partners")
+    more = kept(_across(partners.join(_lines(texts, partners.select("k")), "key")), "edges")
     return connected_components(_links_of(components).unionByName(more)), candidates
 
 

@@ -76,3 +76,39 @@ def test_columns_nulls_and_repeats(documents):
 def test_empty_table(documents):
     assert L.deduplicate(documents([])).collect() == []
 
+
+
+def test_sketches_never_rule_out_similar_lines_and_keep_most_others_from_their_texts():
+    rng = random.Random(11)
+    base = [prose(rng, n) for n in (1, 2, 8, 30, 60, 90, 30, 40)] + ["ab" * 300, "a", "abc", "abc\0", "é漢" * 40]
+    lines = list(base)
+    for line in base:
+        words = line.split()
+        for k in (1, 2, 3):
+            lines.append(" ".join("zebra" if rng.random() < 0.02 * k else w for w in words))
+        lines.append(line[: len(line) * 9 // 10])
+    cells, fewest = L.sketches(lines)
+    assert all(n <= len(L.shingles(line)) for n, line in zip(fewest.tolist(), lines))
+    assert cells.max() == L.FULL  # more shingles in a cell than it can count
+    for a in range(len(lines)):
+        may = L.maybe_similar(cells[a], fewest[a], cells, fewest)
+        assert all(m for m, line in zip(may, lines) if L.similar(L.shingles(lines[a]), L.shingles(line)))
+    other = [" ".join(str(rng.randrange(10**6)) for _ in range(40)) for _ in range(40)]
+    cells, fewest = L.sketches(other)
+    assert sum(L.maybe_similar(cells[a], fewest[a], cells, fewest).sum() for a in range(40)) < 60
+
+
+def test_texts_of_lines_without_a_similar_one_stay_where_they_are(documents, monkeypatch):
+    # lines that share a bucket with many others, none of which is similar
+    rng = random.Random(2)
+    words = [str(rng.randrange(10**6)) for _ in range(40)]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(40))) for i in range(150)]
+    docs += [(200, docs[0][1] + " x"), (201, docs[1][1] + " x")]
+    compared = []
+    verified = L._verified
+    monkeypatch.setattr(L, "_verified", lambda pairs: compared.append(pairs.count()) or verified(pairs))
+    got = {r.doc_id: r.text for r in L.deduplicate(documents(docs)).collect()}
+    assert got == brute_force(docs)
+    buckets = L.buckets(L.signatures([line for _, line in docs]))
+    sharing = sum(any((b == other).any() for j, other in enumerate(buckets) if j != i) for i, b in enumerate(buckets))
+    assert 2 <= compared[0] < sharing / 3
