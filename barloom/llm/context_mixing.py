@@ -472,6 +472,24 @@ def _mixer(strings: DataFrame, shared) -> Mixer:
     return mixer
 
 
+def tail_scores(words: list[bytes], evidence: Evidence, mixer: Mixer) -> np.ndarray:
+    """log10 probability of what comes after the lead of each word; zero for words that have no more."""
+    out = np.zeros(len(words))
+    long = [i for i, w in enumerate(words) if len(w) >= LEAD]
+    if long:
+        out[long] = string_scores([written(words[i]) for i in long], None, evidence, mixer)
+    return out
+
+
+@dataclass
+class Frequent:
+    """Words that every task knows."""
+
+    words: pa.Array
+    counts: np.ndarray
+    tails: np.ndarray
+
+
 @dataclass
 class LanguageModel:
     """What scoring needs: exact word counts as a table, and the shared part that every task gets."""
@@ -504,7 +522,12 @@ def train(documents: DataFrame, text: str = "text") -> LanguageModel:
     sent_tables = context.broadcast(tables)
     mixer = _mixer(strings, sent_tables)
     sent_tables.unpersist()
-    return LanguageModel(counts, tokens, words, context.broadcast((Evidence.of(tables), dict(sent), markers, mixer)))
+    evidence = Evidence.of(tables)
+    # the frequent words with their counts, and the scores of their tails, in alphabetical order
+    sent.sort()
+    known = [w for w, _ in sent]
+    frequent = Frequent(pa.array(known, pa.binary()), np.array([c for _, c in sent], np.int64), tail_scores(known, evidence, mixer))
+    return LanguageModel(counts, tokens, words, context.broadcast((evidence, frequent, markers, mixer)))
 
 
 # --- scoring ----------------------------------------------------------------------
@@ -518,7 +541,8 @@ def score(documents: DataFrame, model: LanguageModel, text: str = "text") -> Dat
     contexts, mixed and refined. The learned state stays as it is while scoring,
     so a text's score does not depend on what is scored before it. ``base_score``
     is that of words by their counts plus one. Counts of frequent words are at
-    hand in every task; those of all others are joined.
+    hand in every task, as are the scores of what comes after their leads; the
+    counts of all others are joined, and each of those words is scored there.
 
     Null and empty texts are scored by their end alone; very long texts and
     words are worked on in blocks. Repeated rows are scored each by itself; an
@@ -533,14 +557,18 @@ def score(documents: DataFrame, model: LanguageModel, text: str = "text") -> Dat
     found = numbered.mapInArrow(_scorer(len(names), model.shared), T.StructType([*numbered.drop("text", "row").schema.fields, *T.StructType.fromDDL(_FOUND).fields]))
     found = kept(found, "scored")
     rare = found.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
-    known = rare.join(model.counts, "word")
-    more = known.groupBy("row").agg(F.sum("times").alias("known_more"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("base_more"))
+    # equal words come together in the join, so that each is scored about once
+    scored = rare.join(model.counts, "word", "left").select("row", "word", "times", "c").mapInArrow(_rare_scorer(model.shared), "row bigint, times bigint, c bigint, tail double")
+    more = scored.groupBy("row").agg(
+        F.sum(F.when(F.col("c").isNotNull(), F.col("times"))).alias("known_more"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("base_more"), F.sum(F.col("times") * F.col("tail")).alias("score_more")
+    )
     joined = found.join(more, "row", "left")
     share = F.log10(F.lit(float(model.tokens + model.words + 1)))
     base = F.col("base") + F.coalesce("base_more", F.lit(0.0)) - F.col("n_tokens") * share
+    value = F.col("score") + F.coalesce("score_more", F.lit(0.0))
     return joined.select(
         *[F.col(p).alias(c) for p, c in zip(private, names)], "n_tokens", (F.col("known") + F.coalesce("known_more", F.lit(0))).alias("n_known"),
-        F.lit(model.tokens).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score", (F.col("score") / -np.log10(2.0) / F.col("n_bytes")).alias("bits_per_byte"),
+        F.lit(model.tokens).cast("bigint").alias("train_tokens"), base.alias("base_score"), value.alias("score"), (value / -np.log10(2.0) / F.col("n_bytes")).alias("bits_per_byte"),
     )
 
 
@@ -551,44 +579,37 @@ def _scorer(width: int, shared):
     spread = MARKER_WORDS + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        evidence, counts, markers, mixer = shared.value
-        lead_scores: dict[bytes, float] = {}
-        tail_scores: dict[bytes, float] = {}
+        evidence, frequent, markers, mixer = shared.value
+        # one more at the end, for words that are not among the frequent
+        counts, tails = np.r_[frequent.counts, -1], np.r_[frequent.tails, 0.0]
+        known: dict[bytes, float] = {}
 
-        def looked_up(keys: list[bytes], known: dict[bytes, float], made, stays=lambda k: True) -> np.ndarray:
+        def of_leads(keys: list[bytes]) -> np.ndarray:
             if len(known) > REMEMBERED:
                 known.clear()
             new = [k for k in keys if k not in known]
-            fresh = dict(zip(new, made(new).tolist())) if new else {}
-            known.update((k, x) for k, x in fresh.items() if stays(k))
-            return np.fromiter((known[k] if k in known else fresh[k] for k in keys), float, len(keys))
-
-        def of_leads(keys: list[bytes]) -> np.ndarray:
-            return string_scores([k[:-1] for k in keys], np.fromiter((k[-1] for k in keys), np.int64, len(keys)), evidence, mixer)
-
-        def of_tails(words: list[bytes]) -> np.ndarray:
-            return string_scores([written(w) for w in words], None, evidence, mixer)
+            if new:
+                made = string_scores([k[:-1] for k in new], np.fromiter((k[-1] for k in new), np.int64, len(new)), evidence, mixer)
+                known.update(zip(new, made.tolist()))
+            return np.fromiter((known[k] for k in keys), float, len(keys))
 
         for batch in by_pieces(batches, width, PIECE_BYTES):
             n_docs = batch.num_rows
             piece = piece_of(batch.column(width), markers)
             pairs, of = np.unique(piece.lead_number * spread + piece.marker, return_inverse=True)
             keys = [piece.leads[i] + bytes((m,)) for i, m in zip((pairs // spread).tolist(), (pairs % spread).tolist())]
-            value = looked_up(keys, lead_scores, of_leads)[of]
-            long = [i for i, w in enumerate(piece.words) if len(w) >= LEAD]
-            tails = np.zeros(len(piece.words))
-            # only the frequent words are worth remembering: they are bounded in number and come again
-            tails[long] = looked_up([piece.words[i] for i in long], tail_scores, of_tails, counts.__contains__)
-            value += tails[piece.number]
+            spelled = pa.concat_arrays([piece.spelled, pa.array([_END], pa.binary())])
+            at = pc.fill_null(pc.index_in(spelled, frequent.words), len(frequent.words)).to_numpy()
+            value = of_leads(keys)[of] + tails[at][piece.number]
             sums = lambda x: np.bincount(piece.document, weights=x, minlength=n_docs)
-            c = np.fromiter((counts.get(w, -1) for w in piece.words), np.int64, len(piece.words))[piece.number]
+            c = counts[at][piece.number]
             base = np.where(c >= 0, np.log10(np.maximum(c, 0) + 1.0), 0.0)
-            size = np.fromiter(map(len, piece.words), np.int64, len(piece.words))[piece.number] + 1
+            size = pc.binary_length(spelled).to_numpy().astype(np.int64)[piece.number] + 1
             # the words that are not at hand, with their number in each document
             open_at = np.flatnonzero(c < 0)
-            each, times = np.unique(piece.document[open_at] * len(piece.words) + piece.number[open_at], return_counts=True)
-            offsets = pa.array(np.searchsorted(each // len(piece.words), np.arange(n_docs + 1)), pa.int32())
-            rare = pa.array([piece.words[i] for i in (each % len(piece.words)).tolist()], pa.binary())
+            each, times = np.unique(piece.document[open_at] * len(spelled) + piece.number[open_at], return_counts=True)
+            offsets = pa.array(np.searchsorted(each // len(spelled), np.arange(n_docs + 1)), pa.int32())
+            rare = spelled.take(pa.array(each % len(spelled)))
             columns = [
                 batch.column(width + 1), pa.array(np.bincount(piece.document, minlength=n_docs)), pa.array(sums(size).astype(np.int64)), pa.array(sums(c >= 0).astype(np.int64)),
                 pa.array(sums(base)), pa.array(sums(value)), pa.ListArray.from_arrays(offsets, rare), pa.ListArray.from_arrays(offsets, pa.array(times, pa.int64())),
@@ -598,6 +619,26 @@ def _scorer(width: int, shared):
     return run
 
 
+def _rare_scorer(shared):
+    """``(row, times, c, tail)`` of ``(row, word, times, c)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        evidence, _, _, mixer = shared.value
+        last, last_score = None, 0.0
+        for batch in batches:
+            words = batch.column(1).dictionary_encode()
+            spelled = _bytes(words.dictionary)
+            # the last word of a batch goes on in the next
+            fresh = [w for w in spelled if w != last]
+            made = iter(tail_scores(fresh, evidence, mixer).tolist())
+            score = np.array([last_score if w == last else next(made) for w in spelled])[words.indices.to_numpy()]
+            if len(score):
+                last, last_score = spelled[words.indices[-1].as_py()], score[-1]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(score, pa.float64())], names=["row", "times", "c", "tail"])
+
+    return run
+
+
 def trained_and_scored(documents: DataFrame, learn_from: Column, text: str = "text") -> DataFrame:
     """Scores of all ``documents`` by a model of those for which ``learn_from`` holds."""
     return score(documents, train(documents.filter(learn_from), text), text)

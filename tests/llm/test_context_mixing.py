@@ -129,3 +129,25 @@ def test_markers_are_the_last_frequent_word_before():
     piece = cm.piece_of(pa.array(["a the b the of c", "b", None]), {b"the": 1, b"of": 2})
     assert [piece.words[n] for n in piece.number] == [b"a", b"the", b"b", b"the", b"of", b"c", b"", b"b", b"", b""]
     assert piece.marker.tolist() == [0, 0, 1, 1, 1, 2, 2, 0, 0, 0]
+
+
+def test_a_word_that_is_not_sent_is_scored_once_where_equal_words_meet(monkeypatch):
+    made: list[bytes] = []
+
+    def scores(strings, marker, evidence, mixer):
+        if marker is None:
+            made.extend(strings)
+        return np.arange(1.0, len(strings) + 1)
+
+    monkeypatch.setattr(cm, "string_scores", scores)
+    monkeypatch.setattr(cm, "PIECE_BYTES", 1)
+    frequent = cm.Frequent(pa.array([b"", b"often", b"the"], pa.binary()), np.array([9, 7, 5]), np.array([0.0, -2.0, 0.0]))
+    shared = type("Shared", (), {"value": (None, frequent, {}, None)})
+    texts = pa.RecordBatch.from_arrays([pa.array(["often seldom", "seldom often the", "seldom rarely"]), pa.array([0, 1, 2])], names=["text", "row"])
+    out = pa.Table.from_batches(list(cm._scorer(0, shared)(iter([texts])))).to_pylist()
+    assert made == [] and [r["known"] for r in out] == [2, 3, 1]
+    assert [r["rare"] for r in out] == [[b"seldom"], [b"seldom"], [b"seldom", b"rarely"]]
+    joined = [([2], [b"rarely"]), ([0], [b"seldom"]), ([1, 2], [b"seldom", b"seldom"])]
+    batches = [pa.RecordBatch.from_arrays([pa.array(row), pa.array(word, pa.binary()), pa.array([1] * len(row)), pa.array([None] * len(row), pa.int64())], names=["row", "word", "times", "c"]) for row, word in joined]
+    tails = pa.Table.from_batches(list(cm._rare_scorer(shared)(iter(batches)))).column("tail").to_pylist()
+    assert made == [b"rarely ", b"seldom "] and tails == [1.0, 1.0, 1.0, 1.0]
