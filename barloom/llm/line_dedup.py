@@ -12,18 +12,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.batches import by_pieces, chunks, input_columns
-from barloom.llm.components import connected_components
+from barloom.llm.batches import by_pieces, chunks, input_columns, lean
+from barloom.llm.components import Forest, connected_components
 from barloom.session import kept
 
 SHINGLE_CHARS = 7
 THRESHOLD = 0.8
 #: At the threshold a pair shares a band with probability 1 - (1 - 0.8**3)**7 = 0.993, and more above it.
 BANDS, ROWS = 7, 3
+#: Last bits of a row that stands for a line seen again, where those of a bucket are its band.
+REPEATED = 7
 #: Lines whose signature a task remembers having sent.
 REMEMBERED_LINES = 100_000
 #: Members of a bucket that are compared with each other in one piece.
 BLOCK = 256
+#: Pairs whose sketches are compared at a time.
+NEAR_PAIRS = 8192
+#: Larger groups compare finer sketches before texts.
+FINE_FROM = 8
 #: Bits of the map that keeps lines without any candidate out of the shuffle.
 MAP_BITS = 1 << 26
 #: Cells of a line's sketch, a byte each; a full one stands for that many shingles or more.
@@ -60,6 +66,47 @@ def similar(a: set[str], b: set[str]) -> bool:
     return both >= THRESHOLD * (len(a) + len(b) - both)
 
 
+def shingle_numbers(line: str) -> np.ndarray | None:
+    """The line's different shingles in order, each as one number of 9 bits a character; none where that is not exact."""
+    code = np.frombuffer(line.encode("utf-32-le", "replace"), np.uint32)
+    if len(code) < SHINGLE_CHARS or code.max() >= 512:
+        return None
+    out = np.zeros(len(code) - SHINGLE_CHARS + 1, np.uint64)
+    for i in range(SHINGLE_CHARS):
+        out <<= np.uint64(9)
+        out |= code[i : len(out) + i]
+    out.sort()
+    return out[np.r_[True, out[1:] != out[:-1]]]
+
+
+def similar_numbers(a: np.ndarray, b: np.ndarray) -> bool:
+    """``similar`` for shingles as numbers."""
+    if min(len(a), len(b)) < THRESHOLD * max(len(a), len(b)):
+        return False
+    merged = np.concatenate((a, b))
+    merged.sort()
+    both = int(np.count_nonzero(merged[1:] == merged[:-1]))
+    return both >= THRESHOLD * (len(a) + len(b) - both)
+
+
+class Comparison:
+    """Exact comparison of lines, whose shingles are made once for as long as it remembers them."""
+
+    def __init__(self):
+        self.numbers: dict = {}
+
+    def of(self, name, line: str) -> np.ndarray | None:
+        if name not in self.numbers:
+            if len(self.numbers) >= BLOCK:
+                self.numbers.clear()
+            self.numbers[name] = shingle_numbers(line)
+        return self.numbers[name]
+
+    def similar(self, a, line_a: str, b, line_b: str) -> bool:
+        x, y = self.of(a, line_a), self.of(b, line_b)
+        return similar(shingles(line_a), shingles(line_b)) if x is None or y is None else similar_numbers(x, y)
+
+
 # --- signatures -------------------------------------------------------------------
 
 
@@ -92,7 +139,7 @@ def signatures(lines: list[str]) -> np.ndarray:
 
 
 def buckets(signature: np.ndarray) -> np.ndarray:
-    """One bucket per line and band, as signed longs."""
+    """One bucket per line and band, as signed longs whose last three bits are the band."""
     out = np.empty((signature.shape[1], BANDS), np.int64)
     for band in range(BANDS):
         h = np.full(signature.shape[1], band + 1, np.uint64)
@@ -100,7 +147,7 @@ def buckets(signature: np.ndarray) -> np.ndarray:
             h ^= row
             h *= np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
-        out[:, band] = h.view(np.int64)
+        out[:, band] = h.view(np.int64) & ~REPEATED | band
     return out
 
 
@@ -133,26 +180,44 @@ def _keys(lines: list[str]) -> tuple[list[bytes], np.ndarray]:
 
 
 def _signed_lines(texts: DataFrame) -> DataFrame:
-    """``(k, bands)`` for the different lines of each task, a bounded memory apart."""
+    """``(bucket, k)`` for the different lines of each task, a bounded memory apart, and a row that ends in REPEATED for those seen again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in by_pieces(batches, 0, PIECE_CHARS):
-            found = {}
+            found: dict[int, str] = {}
+            again: set[int] = set()
             for t in batch.column(0).to_pylist():
                 lines = [line for line in lines_of(t) if line]
                 if lines:
-                    found.update(zip(_keys(lines)[1].tolist(), lines))
-            fresh = [k for k in found if k not in seen]
+                    for k, line in zip(_keys(lines)[1].tolist(), lines):
+                        if k in found or k in seen:
+                            again.add(k)
+                        else:
+                            found[k] = line
             if len(seen) > REMEMBERED_LINES:
                 seen.clear()
-            seen.update(fresh)
-            if fresh:
-                flat = pa.array(buckets(signatures([found[k] for k in fresh])).ravel())
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([pa.array(fresh, pa.int64()), bands], names=["k", "bands"])
+            seen.update(found)
+            if found:
+                numbers = np.fromiter(found, np.int64, len(found))
+                yield _rows_of(buckets(signatures(list(found.values()))).ravel(), np.repeat(numbers, BANDS))
+            if again:
+                numbers = np.fromiter(again, np.int64, len(again))
+                yield _rows_of(numbers | REPEATED, numbers)
 
-    return texts.mapInArrow(run, "k bigint, bands array<bigint>")
+    def _rows_of(bucket: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(k)], names=["bucket", "k"])
+
+    return texts.mapInArrow(lean(run), "bucket bigint, k bigint")
+
+
+def _shared_buckets(signed: DataFrame) -> DataFrame:
+    """``(bucket, k, least)``: each line of a bucket of several lines once, with the smallest; ``least`` is null for lines that occur again."""
+    within = Window.partitionBy("bucket")
+    ends = signed.select("bucket", "k", F.min("k").over(within).alias("least"), F.max("k").over(within).alias("most"), F.count("*").over(within).alias("n"))
+    different = (F.col("least") < F.col("most")) & (F.col("bucket").bitwiseAND(REPEATED) != REPEATED)
+    again = F.expr(f"bucket & {REPEATED} = {REPEATED} OR n > 1 AND bucket & {REPEATED} = 0")
+    return ends.filter(different | again).select("bucket", "k", F.when(different, F.col("least")).alias("least")).distinct()
 
 
 # --- bit maps ---------------------------------------------------------------------
@@ -175,8 +240,8 @@ def _marked(bits: np.ndarray, k: np.ndarray) -> np.ndarray:
 # --- steps ------------------------------------------------------------------------
 
 
-def _occurrences(rows: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
-    """``(key, k, doc, text_hash, line_no)`` of every line that is not blank, or of those in the map."""
+def _occurrences(rows: DataFrame, bits: np.ndarray) -> DataFrame:
+    """``(key, doc, text_hash, line_no)`` of every line in the map that is not blank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_pieces(batches, 2):
@@ -186,15 +251,14 @@ def _occurrences(rows: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
                 keys += [xxhash.xxh3_128_digest(line.encode()) for _, line in got]
                 number += [n for n, _ in got]
                 row += [i] * len(got)
-            k = np.frombuffer(b"".join(keys), np.int64)[::2]
-            place = pa.array(row, pa.int64())
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.binary()), pa.array(k), batch.column(0).take(place), batch.column(1).take(place), pa.array(number, pa.int32())],
-                names=["key", "k", "doc", "text_hash", "line_no"],
+            hit = np.flatnonzero(_marked(bits, np.frombuffer(b"".join(keys), np.int64)[::2]))
+            place = pa.array(np.array(row, np.int64)[hit])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([keys[i] for i in hit], pa.binary()), batch.column(0).take(place), batch.column(1).take(place), pa.array(np.array(number, np.int32)[hit])],
+                names=["key", "doc", "text_hash", "line_no"],
             )
-            yield out if bits is None else out.filter(pa.array(_marked(bits, k)))
 
-    return rows.mapInArrow(run, f"key binary, k bigint, doc {rows.schema['doc'].dataType.simpleString()}, text_hash bigint, line_no int")
+    return rows.mapInArrow(lean(run), f"key binary, doc {rows.schema['doc'].dataType.simpleString()}, text_hash bigint, line_no int")
 
 
 def _texts(rows: DataFrame, bits: np.ndarray, candidates: DataFrame) -> DataFrame:
@@ -224,9 +288,9 @@ def _texts(rows: DataFrame, bits: np.ndarray, candidates: DataFrame) -> DataFram
                 yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "cells", "fewest"])
 
     # a line is dealt out by the first half of its key once, for the candidates and for its copies
-    found = rows.mapInArrow(run, "key binary, k bigint, line string").repartition("k")
+    found = rows.mapInArrow(lean(run), "key binary, k bigint, line string").repartition("k")
     once = found.join(candidates, "k", "left_semi").groupBy("k", "key").agg(F.first("line").alias("line"))
-    return once.select("key", "k", "line").mapInArrow(sketched, "key binary, k bigint, line string, cells binary, fewest bigint")
+    return once.select("key", "k", "line").mapInArrow(lean(sketched), "key binary, k bigint, line string, cells binary, fewest bigint")
 
 
 def _lines(texts: DataFrame, numbers: DataFrame) -> DataFrame:
@@ -237,7 +301,7 @@ def _lines(texts: DataFrame, numbers: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(_marked(bits, batch.column(1).to_numpy()))).select(["key", "line"])
 
-    return texts.select("key", "k", "line").mapInArrow(run, "key binary, line string")
+    return texts.select("key", "k", "line").mapInArrow(lean(run), "key binary, line string")
 
 
 def _near(pairs: DataFrame) -> DataFrame:
@@ -248,23 +312,20 @@ def _near(pairs: DataFrame) -> DataFrame:
             good = maybe_similar(_cells(batch.column(4)), batch.column(5).to_numpy(), _cells(batch.column(6)), batch.column(7).to_numpy())
             yield batch.select(["k", "least", "a", "b"]).filter(pa.array(good))
 
-    return pairs.select("k", "least", "a", "b", "cells_a", "fewest_a", "cells_b", "fewest_b").mapInArrow(run, "k bigint, least bigint, a binary, b binary")
+    return pairs.select("k", "least", "a", "b", "cells_a", "fewest_a", "cells_b", "fewest_b").mapInArrow(lean(run), "k bigint, least bigint, a binary, b binary")
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
     """Of ``(a, line_a, b, line_b)`` the pairs ``(a, b)`` that reach the threshold exactly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, last_set = None, set()
+        exact = Comparison()
         for batch in batches:
-            good = []
-            for b, line_a, line_b in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()):
-                if b != last:
-                    last, last_set = b, shingles(line_b)
-                good.append(similar(shingles(line_a), last_set))
+            rows = zip(*(c.to_pylist() for c in batch.columns))
+            good = [exact.similar(a, line_a, b, line_b) for a, line_a, b, line_b in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.select("a", "line_a", "b", "line_b").mapInArrow(run, "a binary, b binary")
+    return pairs.select("a", "line_a", "b", "line_b").mapInArrow(lean(run), "a binary, b binary")
 
 
 _GROUP = ("bucket", "i", "j")
@@ -287,24 +348,49 @@ def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield held
 
 
-def _with_partners(groups: DataFrame) -> DataFrame:
-    """Rows ``(bucket, i, j, block, root, key, k, cells, fewest)`` whose sketch allows a link to another component in their group."""
+def _near_by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], np.ndarray, np.ndarray]]:
+    """Each group's rows, and the pairs ``x < y`` of them, by ``y``, in different components whose sketches allow the threshold.
 
-    def partners(rows: list[tuple]) -> Iterator[tuple]:
+    Columns begin with ``bucket, i, j, block, root`` and end with ``cells, fewest``.
+    Many groups are looked through at a time, pairs of one block only where it stands alone.
+    """
+
+    def found(groups: list[list[tuple]]) -> Iterator[tuple[list[tuple], np.ndarray, np.ndarray]]:
+        rows = [r for group in groups for r in group]
         names: dict[bytes, int] = {}
         root = np.array([names.setdefault(r[4], len(names)) for r in rows])
-        if len(names) == 1:
-            return
-        alone, block = rows[0][1] == rows[0][2], np.array([r[3] for r in rows])
-        cells, fewest = _cells([r[7] for r in rows]), np.array([r[8] for r in rows])
-        hit = np.zeros(len(rows), bool)
-        for x in range(len(rows) - 1):
-            found = maybe_similar(cells[x], fewest[x], cells[x + 1 :], fewest[x + 1 :]) & (root[x + 1 :] != root[x])
-            if not alone:
-                found &= block[x + 1 :] != block[x]
-            hit[x + 1 :] |= found
-            hit[x] |= found.any()
-        yield from (r for r, h in zip(rows, hit) if h)
+        block, alone = np.array([r[3] for r in rows]), np.array([r[1] == r[2] for r in rows])
+        cells, fewest = _cells([r[-2] for r in rows]), np.array([r[-1] for r in rows])
+        place = np.cumsum([0, *map(len, groups)])
+        parts = []
+        for start, group in zip(place.tolist(), groups):
+            y, x = np.tril_indices(len(group), -1)
+            x, y = x + start, y + start
+            apart = (root[x] != root[y]) & (alone[x] | (block[x] != block[y]))
+            parts.append((x[apart], y[apart]))
+        x, y = (np.concatenate(p) for p in zip(*parts))
+        may = np.zeros(len(x), bool)
+        for a in range(0, len(x), NEAR_PAIRS):
+            p, q = x[a : a + NEAR_PAIRS], y[a : a + NEAR_PAIRS]
+            may[a : a + NEAR_PAIRS] = maybe_similar(cells[p], fewest[p], cells[q], fewest[q])
+        x, y = x[may], y[may]
+        cut = np.searchsorted(y, place)
+        for group, start, a, b in zip(groups, place, cut, cut[1:]):
+            yield group, x[a:b] - start, y[a:b] - start
+
+    groups, n = [], 0
+    for rows in _by_group(batches):
+        groups.append(rows)
+        n += len(rows)
+        if n >= BLOCK:
+            yield from found(groups)
+            groups, n = [], 0
+    if groups:
+        yield from found(groups)
+
+
+def _with_partners(groups: DataFrame) -> DataFrame:
+    """Rows ``(bucket, i, j, block, root, key, k, cells, fewest)`` whose sketch allows a link to another component in their group."""
 
     schema = "bucket bigint, i bigint, j bigint, block bigint, root binary, key binary, k bigint, cells binary, fewest bigint"
 
@@ -316,15 +402,15 @@ def _with_partners(groups: DataFrame) -> DataFrame:
         def made() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], kind) for n, kind in enumerate(kinds)], names=names)
 
-        for rows in _by_group(batches):
-            out += partners(rows)
+        for rows, x, y in _near_by_group(batches):
+            out += [rows[n] for n in np.union1d(x, y).tolist()]
             if len(out) > 10_000:
                 yield made()
                 out = []
         if out:
             yield made()
 
-    return _grouped(groups, "block", "root", "key", "k", "cells", "fewest").mapInArrow(run, schema)
+    return _grouped(groups, "block", "root", "key", "k", "cells", "fewest").mapInArrow(lean(run), schema)
 
 
 def _across(groups: DataFrame) -> DataFrame:
@@ -335,35 +421,20 @@ def _across(groups: DataFrame) -> DataFrame:
     two parts.
     """
 
-    def links(rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
-        i, j = rows[0][1:3]
-        cells, fewest = _cells([r[7] for r in rows]), np.array([r[8] for r in rows])
-        parts = [sketches([r[6] for r in rows[a:b]], FINE_CELLS) for a, b in chunks([len(r[6]) for r in rows], PIECE_CHARS)]
-        fine, different = (np.concatenate(x) for x in zip(*parts))
-        sets: dict[int, set[str]] = {}
-        part = {}
-        for r in rows:
-            part.setdefault(r[4], r[4])
-
-        def find(x):
-            while part[x] != x:
-                x = part[x]
-            return x
-
-        for y in range(1, len(rows)):
-            near = np.flatnonzero(maybe_similar(cells[:y], fewest[:y], cells[y], fewest[y]))
-            for x in near[maybe_similar(fine[near], different[near], fine[y], different[y])].tolist():
-                if i != j and rows[x][3] == rows[y][3]:
-                    continue  # compared where the block stands alone
-                a, b = find(rows[x][4]), find(rows[y][4])
-                if a == b:
-                    continue
-                for n in (x, y):
-                    if n not in sets:
-                        sets[n] = shingles(rows[n][6])
-                if similar(sets[x], sets[y]):
-                    part[max(a, b)] = min(a, b)
-                    yield rows[x][5], rows[y][5]
+    def links(rows: list[tuple], x: np.ndarray, y: np.ndarray, exact: Comparison) -> Iterator[tuple[bytes, bytes]]:
+        if len(rows) > FINE_FROM:
+            parts = [sketches([r[6] for r in rows[a:b]], FINE_CELLS) for a, b in chunks([len(r[6]) for r in rows], PIECE_CHARS)]
+            fine, different = (np.concatenate(p) for p in zip(*parts))
+            steps = range(0, len(x), BLOCK)
+            may = [maybe_similar(fine[p], different[p], fine[q], different[q]) for p, q in ((x[a : a + BLOCK], y[a : a + BLOCK]) for a in steps)]
+            may = np.concatenate([np.zeros(0, bool), *may])
+            x, y = x[may], y[may]
+        forest = Forest()
+        for p, q in zip(x.tolist(), y.tolist()):
+            (root_a, key_a, line_a), (root_b, key_b, line_b) = rows[p][4:7], rows[q][4:7]
+            if forest.find(root_a) != forest.find(root_b) and exact.similar(key_a, line_a, key_b, line_b):
+                forest.union(root_a, root_b)
+                yield key_a, key_b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: list[tuple[bytes, bytes]] = []
@@ -371,15 +442,16 @@ def _across(groups: DataFrame) -> DataFrame:
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in made], pa.binary()), pa.array([b for _, b in made], pa.binary())], names=["a", "b"])
 
-        for rows in _by_group(batches):
-            made += links(rows)
+        exact = Comparison()
+        for rows, x, y in _near_by_group(batches):
+            made += links(rows, x, y, exact)
             if len(made) > 10_000:
                 yield out()
                 made = []
         if made:
             yield out()
 
-    return _grouped(groups, "block", "root", "key", "line", "cells", "fewest").mapInArrow(run, "a binary, b binary")
+    return _grouped(groups, "block", "root", "key", "line", "cells", "fewest").mapInArrow(lean(run), "a binary, b binary")
 
 
 def _rooted(keys: DataFrame, components: DataFrame) -> DataFrame:
@@ -392,8 +464,8 @@ def _links_of(components: DataFrame) -> DataFrame:
     return components.select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
-def line_components(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Components of similar lines, and all lines that have a copy or a candidate.
+def line_components(rows: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """Components of similar lines, and a map of all lines that have a copy or a candidate.
 
     Every line is first compared with the smallest key of one of its buckets.
     Where that leaves a bucket with several components, their lines are compared
@@ -402,11 +474,8 @@ def line_components(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     bound follows on what two lines can share, are joined and compared first;
     the texts only follow for pairs that this leaves.
     """
-    signed = _signed_lines(rows.select("text"))
-    members = signed.select(F.explode("bands").alias("bucket"), "k")
-    within = Window.partitionBy("bucket")
-    members = members.select("bucket", "k", F.min("k").over(within).alias("least"), F.max("k").over(within).alias("most")).filter("least < most").drop("most").distinct()
-    members = kept(members, "members")
+    shared = kept(_shared_buckets(_signed_lines(rows.select("text"))), "members")
+    members = shared.filter("least IS NOT NULL")
     candidates = members.select("k").distinct()
     bits = bit_map(candidates)
     texts = kept(_texts(rows, bits, candidates), "lines")
@@ -439,22 +508,20 @@ def line_components(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     grouped = spread.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "root", "key", "k")
     partners = kept(_with_partners(grouped.join(texts.select("key", "cells", "fewest"), "key")), "partners")
     more = kept(_across(partners.join(_lines(texts, partners.select("k")), "key")), "edges")
-    return connected_components(_links_of(components).unionByName(more)), candidates
+    return connected_components(_links_of(components).unionByName(more)), bits | bit_map(shared.filter("least IS NULL").select("k"))
 
 
 def dropped_lines(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc, text_hash, line_nos)``: the lines that go, by document."""
     rows = _rows(documents, doc_id, text)
-    components, candidates = line_components(rows)
+    components, bits = line_components(rows)
     place = F.struct(F.isnull("doc").alias("nameless"), "doc", "text_hash", "line_no")
-    each = _occurrences(rows).groupBy("key").agg(F.first("k").alias("k"), F.min(place).alias("first"), F.count("*").alias("n"))
-    wanted = candidates.withColumn("candidate", F.lit(True))
-    repeated = kept(each.join(wanted, "k", "left").filter("n > 1 OR candidate"), "repeated")
-    rooted = _rooted(repeated.select("key", "k", "first", "n"), components)
+    occurrences = kept(_occurrences(rows, bits), "occurrences")
+    each = occurrences.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    rooted = kept(_rooted(each, components), "repeated")
     parts = rooted.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("total")).filter("total > 1")
-    keep = kept(rooted.join(parts, "root").select("key", "k", "keep"), "keep")
-    again = _occurrences(rows, bit_map(keep.select("k")))
-    gone = again.withColumn("place", place).join(keep.select("key", "keep"), "key").filter("place <> keep")
+    keep = rooted.join(parts, "root").select("key", "keep")
+    gone = occurrences.withColumn("place", place).join(keep, "key").filter("place <> keep")
     return gone.groupBy("doc", "text_hash").agg(F.collect_set("line_no").alias("line_nos"))
 
 
@@ -495,7 +562,7 @@ def deduplicate(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
                 texts.append(t)
             yield pa.RecordBatch.from_arrays([batch.column(i) if i != at else pa.array(texts, pa.string()) for i in range(len(names))], names=names)
 
-    return source.mapInArrow(run, T.StructType([fields[c] for c in names]))
+    return source.mapInArrow(lean(run), T.StructType([fields[c] for c in names]))
 
 
 def _packed(documents: DataFrame, text: str) -> DataFrame:
@@ -511,4 +578,4 @@ def _packed(documents: DataFrame, text: str) -> DataFrame:
             out = [None if t is None else pack.compress(t.encode()) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([c if i != at else pa.array(out, pa.binary()) for i, c in enumerate(batch.columns)], names=batch.schema.names)
 
-    return hashed.mapInArrow(run, schema)
+    return hashed.mapInArrow(lean(run), schema)

@@ -112,3 +112,30 @@ def test_texts_of_lines_without_a_similar_one_stay_where_they_are(documents, mon
     buckets = L.buckets(L.signatures([line for _, line in docs]))
     sharing = sum(any((b == other).any() for j, other in enumerate(buckets) if j != i) for i, b in enumerate(buckets))
     assert 2 <= compared[0] < sharing / 3
+
+
+def test_shingles_as_numbers_compare_like_sets_of_them():
+    rng = random.Random(4)
+    base = [prose(rng, 20), prose(rng, 3), "abcdefg", "abcdefgh", "aaaaaaaaaaaaaa", "\u00e9t\u00e9 \u0151sz " * 5, "x" * 400 + "y"]
+    lines = base + [line[: len(line) * k // 10] for line in base for k in (8, 9)] + [line + " é" for line in base]
+    for a in lines:
+        for b in lines:
+            exact = L.Comparison()
+            assert exact.similar(1, a, 2, b) == L.similar(L.shingles(a), L.shingles(b))
+    assert all(len(L.shingle_numbers(line)) == len(L.shingles(line)) for line in lines if len(line) >= 7)
+    # characters that do not fit, and lines of less than a shingle, are compared as text
+    assert L.shingle_numbers("漢字漢字漢字漢字") is None and L.shingle_numbers("abc") is None
+    assert not L.Comparison().similar(1, "abc", 2, "abc\0\0\0\0")
+
+
+def test_lines_that_only_have_exact_copies_are_found_in_one_pass_over_the_texts(documents, monkeypatch):
+    rng = random.Random(6)
+    own = [" ".join(str(rng.randrange(10**6)) for _ in range(30)) for _ in range(30)]
+    docs = [(i, f"license line of everybody\n{own[i]}") for i in range(30)] + [(50, "twice here\ntwice here")]
+    passes = []
+    occurrences = L._occurrences
+    monkeypatch.setattr(L, "_occurrences", lambda *a: passes.append(occurrences(*a).count()) or occurrences(*a))
+    got = {r.doc_id: r.text for r in L.deduplicate(documents(docs)).collect()}
+    assert got == brute_force(docs)
+    # the two lines that repeat, and no line that occurs once
+    assert passes == [32]
