@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.batches import lean
 from barloom.session import kept
 
 
@@ -73,7 +74,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     links = (
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-        .mapInArrow(_contract, edges.select("a", "b").schema)
+        .mapInArrow(lean(_contract), edges.select("a", "b").schema)
         .distinct()
     )
     links = kept(links, "links")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.batches import by_pieces, input_columns
+from barloom.llm.batches import by_pieces, input_columns, lean
 from barloom.session import kept
 
 WINDOW_WORDS = 10
@@ -156,7 +156,7 @@ def find_hits(documents: DataFrame, benchmark: DataFrame, text: str = "text", it
         if part:
             found = kept(found, "hits")
         automaton = _automaton(items, part, parts, window)
-        found = found.mapInArrow(_marker(automaton, names.index(text), found.columns), found.schema)
+        found = found.mapInArrow(lean(_marker(automaton, names.index(text), found.columns)), found.schema)
     return found
 
 
@@ -221,9 +221,9 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, text: str = "text"
     items, parts = _items(benchmark, **names)
     if parts == 1:
         automaton = _automaton(items, 0, 1, names.get("window", WINDOW_WORDS))
-        return plain.mapInArrow(_cutter(at, columns, max_span, max_coverage, automaton), schema)
+        return plain.mapInArrow(lean(_cutter(at, columns, max_span, max_coverage, automaton)), schema)
     hits = find_hits(plain, benchmark, private[at], **names)
-    return hits.select(*private, "n_words", "hit_runs").mapInArrow(_cutter(at, columns, max_span, max_coverage), schema)
+    return hits.select(*private, "n_words", "hit_runs").mapInArrow(lean(_cutter(at, columns, max_span, max_coverage)), schema)
 
 
 def _cutter(at: int, columns: list[str], max_span: int, max_coverage: float, automaton: Automaton | None = None):

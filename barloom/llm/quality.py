@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.batches import bounded_sample, by_pieces, input_columns
+from barloom.llm.batches import bounded_sample, by_pieces, input_columns, lean
 from barloom.session import kept
 
 #: Labelled documents of each class that pairs are made of, and partners of each.
@@ -61,7 +61,7 @@ def featured(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -
             made = [features(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.float64()))], names=["doc_id", "x"])
 
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, x array<double>")
+    return source.mapInArrow(lean(run), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, x array<double>")
 
 
 @dataclass(frozen=True)
@@ -163,4 +163,4 @@ def _scored(documents: DataFrame, ranking: Ranking, text: str) -> DataFrame:
             made = [features(t) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.list_(pa.float64()))], names=[*names, "x"])
 
-    return documents.mapInArrow(run, schema).withColumn("score", ranking.score("x"))
+    return documents.mapInArrow(lean(run), schema).withColumn("score", ranking.score("x"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.batches import by_pieces, chunks
+from barloom.llm.batches import by_pieces, chunks, lean
 
 SPACE = "▁"
 NONE = np.iinfo(np.int32).max
@@ -318,7 +318,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", into: str
             columns = [_lists(c) if into and i == 0 else pa.array(c) for i, c in enumerate(zip(*rows))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), *columns], names=[*kept, *made])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def _lists(rows: tuple[pa.Array, ...]) -> pa.ListArray:
@@ -338,7 +338,7 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", into: str =
             texts = [vocabulary.decode(i or []) for i in batch.column(len(kept)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(texts, pa.string())], names=[*kept, into])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def _sha(text: str) -> str:

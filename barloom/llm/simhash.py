@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.batches import bounded_sample, by_pieces, input_columns
+from barloom.llm.batches import bounded_sample, by_pieces, input_columns, lean
 from barloom.llm.components import connected_components
 from barloom.session import kept
 
@@ -69,7 +69,7 @@ def fingerprints(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     source = input_columns(documents, doc_id=doc_id, text=text)
     schema = T.StructType([source.schema["doc_id"], T.StructField("fp", T.LongType())])
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 # --- vantage-point trees ---------------------------------------------------------
@@ -227,9 +227,9 @@ def links(fps: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
                 all_fp = np.concatenate([home, others]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(all_fp[edges[0]]), pa.array(all_fp[edges[1]])], names=["a", "b"])
 
-    dealt = fps.mapInArrow(deal, "shard bigint, visitor boolean, fp bigint")
+    dealt = fps.mapInArrow(lean(deal), "shard bigint, visitor boolean, fp bigint")
     tasks = min(2000, sum(tree.shards for tree in forest))
-    return dealt.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(match, "a bigint, b bigint")
+    return dealt.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(lean(match), "a bigint, b bigint")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
