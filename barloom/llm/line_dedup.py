@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.batches import by_pieces, chunks, input_columns, lean
+from barloom.llm.batches import CHUNK_CHARS, by_pieces, chunks, input_columns, lean
 from barloom.llm.components import Forest, connected_components
 from barloom.session import kept
 
@@ -28,6 +28,8 @@ REMEMBERED_LINES = 100_000
 BLOCK = 256
 #: Pairs whose sketches are compared at a time.
 NEAR_PAIRS = 8192
+#: Groups of up to this size share the numbers of their pairs.
+FEW = 32
 #: Larger groups compare finer sketches before texts.
 FINE_FROM = 8
 #: Bits of the map that keeps lines without any candidate out of the shuffle.
@@ -38,6 +40,10 @@ CELLS, FULL = 64, 255
 FINE_CELLS = 1024
 #: Characters whose hashes are minimised at a time, so that they stay in the cache.
 PIECE_CHARS = 200_000
+#: The same for sketches, which sort them.
+SKETCH_CHARS = 50_000
+#: Buckets that a task packs at a time, by the partition they go to.
+PACKED_BUCKETS = 1 << 19
 
 _rng = np.random.default_rng(20_240_501)
 _XORS = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
@@ -68,15 +74,33 @@ def similar(a: set[str], b: set[str]) -> bool:
 
 def shingle_numbers(line: str) -> np.ndarray | None:
     """The line's different shingles in order, each as one number of 9 bits a character; none where that is not exact."""
-    code = np.frombuffer(line.encode("utf-32-le", "replace"), np.uint32)
-    if len(code) < SHINGLE_CHARS or code.max() >= 512:
-        return None
-    out = np.zeros(len(code) - SHINGLE_CHARS + 1, np.uint64)
+    return all_shingle_numbers([line])[0]
+
+
+def all_shingle_numbers(lines: list[str]) -> list[np.ndarray | None]:
+    """``shingle_numbers`` of many lines, packed in a row; those across lines go."""
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    code = np.frombuffer("".join(lines).encode("utf-32-le", "replace"), np.uint32)
+    if len(code) < SHINGLE_CHARS:
+        return [None] * len(lines)
+    packed = np.zeros(len(code) - SHINGLE_CHARS + 1, np.uint64)
     for i in range(SHINGLE_CHARS):
-        out <<= np.uint64(9)
-        out |= code[i : len(out) + i]
-    out.sort()
-    return out[np.r_[True, out[1:] != out[:-1]]]
+        packed <<= np.uint64(9)
+        packed |= code[i : len(packed) + i]
+    wide = np.concatenate(([0], np.cumsum(code >= 512)))
+    end = np.cumsum(size)
+    out: list[np.ndarray | None] = []
+    for a, b, exact in zip((end - size).tolist(), end.tolist(), (wide[end] == wide[end - size]).tolist()):
+        if exact and b - a >= SHINGLE_CHARS:
+            own = packed[a : b - SHINGLE_CHARS + 1]
+            own.sort()
+            different = np.empty(len(own), bool)
+            different[0] = True
+            np.not_equal(own[1:], own[:-1], out=different[1:])
+            out.append(own[different])
+        else:
+            out.append(None)
+    return out
 
 
 def similar_numbers(a: np.ndarray, b: np.ndarray) -> bool:
@@ -95,6 +119,13 @@ class Comparison:
     def __init__(self):
         self.numbers: dict = {}
 
+    def learn(self, lines: dict) -> None:
+        """Make the shingles of these named lines at once, a piece of them at a time, and remember no others."""
+        self.numbers = {name: self.numbers[name] for name in lines if name in self.numbers}
+        names = [name for name in lines if name not in self.numbers]
+        for a, b in chunks([len(lines[name]) for name in names], SKETCH_CHARS):
+            self.numbers.update(zip(names[a:b], all_shingle_numbers([lines[name] for name in names[a:b]])))
+
     def of(self, name, line: str) -> np.ndarray | None:
         if name not in self.numbers:
             if len(self.numbers) >= BLOCK:
@@ -126,15 +157,24 @@ def _hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, np.cumsum(size) - size, size - SHINGLE_CHARS + 1
 
 
+def _own_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of one line after the other, and how many each has."""
+    h, begin, n = _hashes(lines)
+    within = np.ones(len(h), bool)
+    for i in range(1, SHINGLE_CHARS):
+        within[begin[1:] - i] = False
+    return h[within], n
+
+
 def signatures(lines: list[str]) -> np.ndarray:
     """MinHash values, one row per hash function and one column per line."""
-    h, begin, n = _hashes(lines)
-    cuts = np.stack([begin, begin + n], axis=1).ravel()[:-1]
+    h, n = _own_hashes(lines)
+    begin = np.cumsum(n) - n
     out, mixed = np.empty((BANDS * ROWS, len(lines)), np.uint32), np.empty_like(h)
     for k in range(BANDS * ROWS):
         np.bitwise_xor(h, _XORS[k], out=mixed)
         np.multiply(mixed, _FACTORS[k], out=mixed)
-        out[k] = np.minimum.reduceat(mixed, cuts)[::2]
+        np.minimum.reduceat(mixed, begin, out=out[k])
     return out
 
 
@@ -153,13 +193,15 @@ def buckets(signature: np.ndarray) -> np.ndarray:
 
 def sketches(lines: list[str], n_cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
     """How many shingles of each line fall into each cell, and at least how many different ones it has."""
-    h, begin, n = _hashes(lines)
-    line = np.repeat(np.arange(len(lines)), n)
-    own = h[np.arange(len(line)) + np.repeat(begin - np.cumsum(n) + n, n)]
-    cells = np.bincount(line * n_cells + own % n_cells, minlength=len(lines) * n_cells).reshape(-1, n_cells)
-    each = np.sort(line.astype(np.uint64) << np.uint64(32) | own)
-    each = each[np.r_[True, each[1:] != each[:-1]]]
-    return np.minimum(cells, FULL).astype(np.uint8), np.bincount((each >> np.uint64(32)).astype(np.int64), minlength=len(lines))
+    own, n = _own_hashes(lines)
+    end = np.cumsum(n)
+    cells = np.bincount(np.repeat(np.arange(0, len(lines) * n_cells, n_cells), n) + own % n_cells, minlength=len(lines) * n_cells).reshape(-1, n_cells)
+    for a, b in zip((end - n).tolist(), end.tolist()):
+        own[a:b].sort()
+    fresh = np.ones(len(own), bool)
+    np.not_equal(own[1:], own[:-1], out=fresh[1:])
+    fresh[end - n] = True
+    return np.minimum(cells, FULL).astype(np.uint8), np.add.reduceat(fresh, end - n, dtype=np.int64)
 
 
 def maybe_similar(cells_a: np.ndarray, fewest_a: np.ndarray, cells_b: np.ndarray, fewest_b: np.ndarray) -> np.ndarray:
@@ -179,11 +221,16 @@ def _keys(lines: list[str]) -> tuple[list[bytes], np.ndarray]:
     return keys, np.frombuffer(b"".join(keys), np.int64)[::2]
 
 
-def _signed_lines(texts: DataFrame) -> DataFrame:
-    """``(bucket, k)`` for the different lines of each task, a bounded memory apart, and a row that ends in REPEATED for those seen again."""
+def _signed_lines(texts: DataFrame, n_parts: int) -> DataFrame:
+    """``(part, packed)``: buckets of the different lines of each task, a bounded memory apart, and one that ends in REPEATED for those seen again.
+
+    ``packed`` holds the buckets that go to one part, then the ``k`` of each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        made: list[tuple[np.ndarray, np.ndarray]] = []
+        n = 0
         for batch in by_pieces(batches, 0, PIECE_CHARS):
             found: dict[int, str] = {}
             again: set[int] = set()
@@ -200,24 +247,75 @@ def _signed_lines(texts: DataFrame) -> DataFrame:
             seen.update(found)
             if found:
                 numbers = np.fromiter(found, np.int64, len(found))
-                yield _rows_of(buckets(signatures(list(found.values()))).ravel(), np.repeat(numbers, BANDS))
+                made.append((buckets(signatures(list(found.values()))).ravel(), np.repeat(numbers, BANDS)))
             if again:
                 numbers = np.fromiter(again, np.int64, len(again))
-                yield _rows_of(numbers | REPEATED, numbers)
-
-    def _rows_of(bucket: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(k)], names=["bucket", "k"])
+                made.append((numbers | REPEATED, numbers))
+            n += BANDS * len(found) + len(again)
+            if n >= PACKED_BUCKETS:
+                yield packed(made)
+                made, n = [], 0
+        if n:
+            yield packed(made)
+
+    def packed(made: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        bucket, k = (np.concatenate(c) for c in zip(*made))
+        part = ((bucket >> 3) % n_parts).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        bucket, k = bucket[order], k[order]
+        used, begin = np.unique(part[order], return_index=True)
+        ends = [*begin.tolist()[1:], len(k)]
+        out = [bucket[a:b].tobytes() + k[a:b].tobytes() for a, b in zip(begin.tolist(), ends)]
+        return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(out, pa.binary())], names=["part", "packed"])
+
+    return texts.mapInArrow(lean(run), "part int, packed binary")
+
+
+def shared_of(bucket: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(bucket, k, least, different)`` of all rows of some buckets: each line of a bucket of several lines once, with the smallest.
+
+    Where ``different`` is false, the line is alone in its bucket but occurs again.
+    """
+    order = np.argsort(bucket)
+    bucket, k = bucket[order], k[order]
+    same = bucket[1:] == bucket[:-1]
+    repeated = bucket & REPEATED == REPEATED
+    several = np.zeros(len(bucket), bool)
+    several[1:] |= same
+    several[:-1] |= same
+    some = several | repeated
+    bucket, k, several = bucket[some], k[some], several[some]
+    order = np.lexsort((k, bucket))
+    bucket, k, several = bucket[order], k[order], several[order]
+    first = np.ones(len(bucket), bool)
+    first[1:] = bucket[1:] != bucket[:-1]
+    once = first.copy()
+    once[1:] |= k[1:] != k[:-1]
+    begin = np.flatnonzero(first)
+    n = np.diff(np.append(begin, len(bucket)))
+    least, most = np.repeat(k[begin], n), np.repeat(k[begin + n - 1], n)
+    different = (least < most) & (bucket & REPEATED != REPEATED)
+    again = (bucket & REPEATED == REPEATED) | several & (bucket & REPEATED == 0)
+    keep = once & (different | again)
+    return bucket[keep], k[keep], least[keep], different[keep]
+
+
+def _shared_buckets(signed: DataFrame, n_parts: int) -> DataFrame:
+    """``(bucket, k, least)``: each line of a bucket of several lines once, with the smallest; ``least`` is null for lines that occur again."""
 
-    return texts.mapInArrow(lean(run), "bucket bigint, k bigint")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        halves: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            for row in batch.column(1).to_pylist():
+                both = np.frombuffer(row, np.int64)
+                halves.append((both[: len(both) // 2], both[len(both) // 2 :]))
+        if halves:
+            bucket, k = (np.concatenate(c) for c in zip(*halves))
+            halves.clear()
+            bucket, k, least, different = shared_of(bucket, k)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(k), pa.array(least, mask=~different)], names=["bucket", "k", "least"])
 
-
-def _shared_buckets(signed: DataFrame) -> DataFrame:
-    """``(bucket, k, least)``: each line of a bucket of several lines once, with the smallest; ``least`` is null for lines that occur again."""
-    within = Window.partitionBy("bucket")
-    ends = signed.select("bucket", "k", F.min("k").over(within).alias("least"), F.max("k").over(within).alias("most"), F.count("*").over(within).alias("n"))
-    different = (F.col("least") < F.col("most")) & (F.col("bucket").bitwiseAND(REPEATED) != REPEATED)
-    again = F.expr(f"bucket & {REPEATED} = {REPEATED} OR n > 1 AND bucket & {REPEATED} = 0")
-    return ends.filter(different | again).select("bucket", "k", F.when(different, F.col("least")).alias("least")).distinct()
+    return signed.repartitionById(n_parts, "part").mapInArrow(lean(run), "bucket bigint, k bigint, least bigint")
 
 
 # --- bit maps ---------------------------------------------------------------------
@@ -240,55 +338,56 @@ def _marked(bits: np.ndarray, k: np.ndarray) -> np.ndarray:
 # --- steps ------------------------------------------------------------------------
 
 
-def _occurrences(rows: DataFrame, bits: np.ndarray) -> DataFrame:
-    """``(key, doc, text_hash, line_no)`` of every line in the map that is not blank."""
+def _occurrences(rows: DataFrame, candidates: np.ndarray, repeated: np.ndarray) -> DataFrame:
+    """``(key, k, doc, text_hash, line_no, line)`` of every line in one of the maps that is not blank.
+
+    ``line`` is null but for the lines among the candidates, once for each task, a
+    bounded memory apart.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in by_pieces(batches, 2):
-            keys, row, number = [], [], []
+            lines, row, number = [], [], []
             for i, t in enumerate(batch.column(2).to_pylist()):
                 got = [(n, line) for n, line in enumerate(lines_of(t)) if line]
-                keys += [xxhash.xxh3_128_digest(line.encode()) for _, line in got]
+                lines += [line for _, line in got]
                 number += [n for n, _ in got]
                 row += [i] * len(got)
-            hit = np.flatnonzero(_marked(bits, np.frombuffer(b"".join(keys), np.int64)[::2]))
+            if not lines:
+                continue
+            keys, k = _keys(lines)
+            candidate = _marked(candidates, k)
+            hit = np.flatnonzero(candidate | _marked(repeated, k))
+            if len(seen) > REMEMBERED_LINES:
+                seen.clear()
+            texts: list[str | None] = []
+            for i, wanted in zip(hit.tolist(), candidate[hit].tolist()):
+                fresh = wanted and keys[i] not in seen
+                if fresh:
+                    seen.add(keys[i])
+                texts.append(lines[i] if fresh else None)
             place = pa.array(np.array(row, np.int64)[hit])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([keys[i] for i in hit], pa.binary()), batch.column(0).take(place), batch.column(1).take(place), pa.array(np.array(number, np.int32)[hit])],
-                names=["key", "doc", "text_hash", "line_no"],
+                [pa.array([keys[i] for i in hit], pa.binary()), pa.array(k[hit]), batch.column(0).take(place), batch.column(1).take(place), pa.array(np.array(number, np.int32)[hit]), pa.array(texts, pa.string())],
+                names=["key", "k", "doc", "text_hash", "line_no", "line"],
             )
 
-    return rows.mapInArrow(lean(run), f"key binary, doc {rows.schema['doc'].dataType.simpleString()}, text_hash bigint, line_no int")
+    return rows.mapInArrow(lean(run), f"key binary, k bigint, doc {rows.schema['doc'].dataType.simpleString()}, text_hash bigint, line_no int, line string")
 
 
-def _texts(rows: DataFrame, bits: np.ndarray, candidates: DataFrame) -> DataFrame:
-    """``(key, k, line, cells, fewest)``: each different line of the ``candidates``, which are in the map, once, with its sketch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for batch in by_pieces(batches, 2):
-            out = {}
-            for t in batch.column(2).to_pylist():
-                lines = [line for line in lines_of(t) if line]
-                if lines:
-                    keys, k = _keys(lines)
-                    hit = _marked(bits, k)
-                    out.update((keys[i], lines[i]) for i in np.flatnonzero(hit) if keys[i] not in seen)
-            if len(seen) > REMEMBERED_LINES:
-                seen.clear()
-            seen.update(out)
-            k = np.frombuffer(b"".join(out), np.int64)[::2]
-            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array(k), pa.array(list(out.values()), pa.string())], names=["key", "k", "line"])
+def _texts(occurrences: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``(key, k, line, cells, fewest)``: each different line of the ``candidates`` once, with its sketch."""
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_pieces(batches, 2, PIECE_CHARS):
+        for batch in by_pieces(batches, 2, SKETCH_CHARS):
             if batch.num_rows:
                 cells, fewest = sketches(batch.column(2).to_pylist())
                 columns = [*batch.columns, pa.array([c.tobytes() for c in cells], pa.binary()), pa.array(fewest, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "cells", "fewest"])
 
     # a line is dealt out by the first half of its key once, for the candidates and for its copies
-    found = rows.mapInArrow(lean(run), "key binary, k bigint, line string").repartition("k")
+    found = occurrences.filter("line IS NOT NULL").select("key", "k", "line").repartition("k")
     once = found.join(candidates, "k", "left_semi").groupBy("k", "key").agg(F.first("line").alias("line"))
     return once.select("key", "k", "line").mapInArrow(lean(sketched), "key binary, k bigint, line string, cells binary, fewest bigint")
 
@@ -320,8 +419,9 @@ def _verified(pairs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         exact = Comparison()
-        for batch in batches:
-            rows = zip(*(c.to_pylist() for c in batch.columns))
+        for batch in by_pieces(batches, 1, PIECE_CHARS):
+            rows = [*zip(*(c.to_pylist() for c in batch.columns))]
+            exact.learn({a: line for a, line, _, _ in rows} | {b: line for _, _, b, line in rows})
             good = [exact.similar(a, line_a, b, line_b) for a, line_a, b, line_b in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
@@ -348,6 +448,12 @@ def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield held
 
 
+@functools.cache
+def _few_pairs(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """All ``y > x`` below a small ``n``, made once in a process."""
+    return np.tril_indices(n, -1)
+
+
 def _near_by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], np.ndarray, np.ndarray]]:
     """Each group's rows, and the pairs ``x < y`` of them, by ``y``, in different components whose sketches allow the threshold.
 
@@ -364,7 +470,7 @@ def _near_by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tup
         place = np.cumsum([0, *map(len, groups)])
         parts = []
         for start, group in zip(place.tolist(), groups):
-            y, x = np.tril_indices(len(group), -1)
+            y, x = _few_pairs(len(group)) if len(group) <= FEW else np.tril_indices(len(group), -1)
             x, y = x + start, y + start
             apart = (root[x] != root[y]) & (alone[x] | (block[x] != block[y]))
             parts.append((x[apart], y[apart]))
@@ -423,12 +529,16 @@ def _across(groups: DataFrame) -> DataFrame:
 
     def links(rows: list[tuple], x: np.ndarray, y: np.ndarray, exact: Comparison) -> Iterator[tuple[bytes, bytes]]:
         if len(rows) > FINE_FROM:
-            parts = [sketches([r[6] for r in rows[a:b]], FINE_CELLS) for a, b in chunks([len(r[6]) for r in rows], PIECE_CHARS)]
+            parts = [sketches([r[6] for r in rows[a:b]], FINE_CELLS) for a, b in chunks([len(r[6]) for r in rows], SKETCH_CHARS)]
             fine, different = (np.concatenate(p) for p in zip(*parts))
             steps = range(0, len(x), BLOCK)
             may = [maybe_similar(fine[p], different[p], fine[q], different[q]) for p, q in ((x[a : a + BLOCK], y[a : a + BLOCK]) for a in steps)]
             may = np.concatenate([np.zeros(0, bool), *may])
             x, y = x[may], y[may]
+            # shingles of a larger group are made for pairs that are left, as long as they fit
+            exact, left = Comparison(), {*x.tolist(), *y.tolist()}
+            if sum(len(rows[n][6]) for n in left) <= CHUNK_CHARS:
+                exact.learn({rows[n][5]: rows[n][6] for n in left})
         forest = Forest()
         for p, q in zip(x.tolist(), y.tolist()):
             (root_a, key_a, line_a), (root_b, key_b, line_b) = rows[p][4:7], rows[q][4:7]
@@ -438,16 +548,29 @@ def _across(groups: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: list[tuple[bytes, bytes]] = []
+        held: list[tuple[list[tuple], np.ndarray, np.ndarray]] = []
+        chars = 0
+
+        def found() -> Iterator[tuple[bytes, bytes]]:
+            exact.learn({rows[n][5]: rows[n][6] for rows, x, y in held if len(rows) <= FINE_FROM for n in {*x.tolist(), *y.tolist()}})
+            for group in held:
+                yield from links(*group, exact)
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in made], pa.binary()), pa.array([b for _, b in made], pa.binary())], names=["a", "b"])
 
         exact = Comparison()
         for rows, x, y in _near_by_group(batches):
-            made += links(rows, x, y, exact)
+            if len(x):
+                held.append((rows, x, y))
+                chars += sum(len(r[6]) for r in rows)
+            if chars > PIECE_CHARS:
+                made += found()
+                held, chars = [], 0
             if len(made) > 10_000:
                 yield out()
                 made = []
+        made += found()
         if made:
             yield out()
 
@@ -464,8 +587,8 @@ def _links_of(components: DataFrame) -> DataFrame:
     return components.select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
-def line_components(rows: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """Components of similar lines, and a map of all lines that have a copy or a candidate.
+def line_components(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Components of similar lines, and where all lines occur that have a copy or a candidate.
 
     Every line is first compared with the smallest key of one of its buckets.
     Where that leaves a bucket with several components, their lines are compared
@@ -474,11 +597,12 @@ def line_components(rows: DataFrame) -> tuple[DataFrame, np.ndarray]:
     bound follows on what two lines can share, are joined and compared first;
     the texts only follow for pairs that this leaves.
     """
-    shared = kept(_shared_buckets(_signed_lines(rows.select("text"))), "members")
+    n_parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shared = kept(_shared_buckets(_signed_lines(rows.select("text"), n_parts), n_parts), "members")
     members = shared.filter("least IS NOT NULL")
     candidates = members.select("k").distinct()
-    bits = bit_map(candidates)
-    texts = kept(_texts(rows, bits, candidates), "lines")
+    occurrences = kept(_occurrences(rows, bit_map(candidates), bit_map(shared.filter("least IS NULL").select("k"))), "occurrences")
+    texts = kept(_texts(occurrences, candidates), "lines")
     stars = members.filter("k <> least").select("k", "least").distinct()
     # two lines whose keys only share their first half meet here as well
     twins = texts.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k", F.col("k").alias("least"))
@@ -508,15 +632,14 @@ def line_components(rows: DataFrame) -> tuple[DataFrame, np.ndarray]:
     grouped = spread.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "root", "key", "k")
     partners = kept(_with_partners(grouped.join(texts.select("key", "cells", "fewest"), "key")), "partners")
     more = kept(_across(partners.join(_lines(texts, partners.select("k")), "key")), "edges")
-    return connected_components(_links_of(components).unionByName(more)), bits | bit_map(shared.filter("least IS NULL").select("k"))
+    return connected_components(_links_of(components).unionByName(more)), occurrences.select("key", "doc", "text_hash", "line_no")
 
 
 def dropped_lines(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc, text_hash, line_nos)``: the lines that go, by document."""
     rows = _rows(documents, doc_id, text)
-    components, bits = line_components(rows)
+    components, occurrences = line_components(rows)
     place = F.struct(F.isnull("doc").alias("nameless"), "doc", "text_hash", "line_no")
-    occurrences = kept(_occurrences(rows, bits), "occurrences")
     each = occurrences.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     rooted = kept(_rooted(each, components), "repeated")
     parts = rooted.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("total")).filter("total > 1")
@@ -545,17 +668,15 @@ def deduplicate(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     fields = {f.name: f for f in documents.schema.fields}
     private = [f"_{i}" for i in range(len(names))]
     plain = documents.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(names, private)])
-    packed = _packed(plain, private[at]).withColumn("doc", F.col(private[names.index(doc_id)]))
+    hashed = plain.withColumn("text_hash", F.xxhash64(private[at])).withColumn("doc", F.col(private[names.index(doc_id)]))
     place = gone.select(F.col("doc").alias("gone_doc"), F.col("text_hash").alias("gone_hash"), "line_nos")
-    joined = packed.join(place, F.col("doc").eqNullSafe(F.col("gone_doc")) & (F.col("text_hash") == F.col("gone_hash")), "left")
+    joined = hashed.join(place, F.col("doc").eqNullSafe(F.col("gone_doc")) & (F.col("text_hash") == F.col("gone_hash")), "left")
     source = joined.select(*private, "line_nos")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
         for batch in by_pieces(batches, at):
             texts = []
-            for z, numbers in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()):
-                t = None if z is None else unpack.decompress(z).decode()
+            for t, numbers in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()):
                 if numbers:
                     drop = set(numbers)
                     t = "\n".join(line for n, line in enumerate(t.split("\n")) if n not in drop)
@@ -563,19 +684,3 @@ def deduplicate(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(i) if i != at else pa.array(texts, pa.string()) for i in range(len(names))], names=names)
 
     return source.mapInArrow(lean(run), T.StructType([fields[c] for c in names]))
-
-
-def _packed(documents: DataFrame, text: str) -> DataFrame:
-    """``documents`` with compressed texts, which are what is shuffled, and their hashes."""
-    names = documents.columns
-    at = names.index(text)
-    hashed = documents.withColumn("text_hash", F.xxhash64(F.col(f"`{text}`")))
-    schema = T.StructType([T.StructField(f.name, T.BinaryType() if f.name == text else f.dataType) for f in hashed.schema.fields])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
-        for batch in by_pieces(batches, at):
-            out = [None if t is None else pack.compress(t.encode()) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([c if i != at else pa.array(out, pa.binary()) for i, c in enumerate(batch.columns)], names=batch.schema.names)
-
-    return hashed.mapInArrow(lean(run), schema)

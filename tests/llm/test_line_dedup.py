@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import random
+from collections import defaultdict
+
+import numpy as np
 
 from barloom.llm import line_dedup as L
 from tests.llm.conftest import prose
@@ -139,3 +142,69 @@ def test_lines_that_only_have_exact_copies_are_found_in_one_pass_over_the_texts(
     assert got == brute_force(docs)
     # the two lines that repeat, and no line that occurs once
     assert passes == [32]
+
+
+def plain_shared(rows):
+    """What a window over the plain rows of buckets gives."""
+    members, out = defaultdict(list), set()
+    for bucket, k in rows:
+        members[bucket].append(k)
+    for bucket, ks in members.items():
+        band, different = bucket & L.REPEATED, min(ks) < max(ks)
+        if band == L.REPEATED or different or len(ks) > 1 and band == 0:
+            least = min(ks) if different and band != L.REPEATED else None
+            out |= {(bucket, k, least) for k in ks}
+    return out
+
+
+def test_buckets_of_several_lines_are_found_as_by_a_window():
+    rng = np.random.default_rng(8)
+    for n, values, lines in ((0, 1, 1), (1, 1, 1), (50, 10, 3), (5000, 900, 40), (5000, 2, 5000)):
+        bucket, k = rng.integers(-values, values, n), rng.integers(-lines, lines, n)
+        got = [(b, x, least if different else None) for b, x, least, different in zip(*(c.tolist() for c in L.shared_of(bucket, k)))]
+        assert len(got) == len(set(got)) and set(got) == plain_shared(zip(bucket.tolist(), k.tolist()))
+
+
+def test_buckets_travel_packed_by_partition_and_lose_none(documents):
+    rng = random.Random(9)
+    lines = [prose(rng, 12) for _ in range(150)]
+    docs = [(i, f"{lines[i]}\n{lines[i][:-3]} end\n{lines[i // 2]}") for i in range(150)]
+    texts = documents(docs).select("text").repartition(2)
+    signed = L._signed_lines(texts, 3)
+    rows = signed.collect()
+    # not one row for each of seven buckets a line
+    assert 0 < len(rows) <= 2 * 3 and {r.part for r in rows} <= {0, 1, 2}
+    pairs = []
+    for r in rows:
+        bucket, k = np.frombuffer(r.packed, np.int64).reshape(2, -1).tolist()
+        assert {(b >> 3) % 3 for b in bucket} == {r.part}
+        pairs += zip(bucket, k)
+    different = {line for _, t in docs for line in L.lines_of(t)}
+    assert len({p for p in pairs if p[0] & L.REPEATED != L.REPEATED}) == L.BANDS * len(different)
+    got = [tuple(r) for r in L._shared_buckets(signed, 3).collect()]
+    assert len(got) == len(set(got)) and {(b, k, n) for b, k, n in got if n is not None} == {r for r in plain_shared(pairs) if r[2] is not None}
+
+
+def test_one_pass_gives_places_and_each_candidate_text_once_a_task(documents):
+    docs = [(i, f"line of everybody\nalone {i}") for i in range(6)]
+    k = {line: L._keys([line])[1][0] for line in ("line of everybody", "alone 2")}
+    maps = []
+    for line in k:
+        maps.append(np.zeros(L.MAP_BITS // 64, np.int64))
+        at = int(k[line]) & (L.MAP_BITS - 1)
+        maps[-1][at >> 6] = np.uint64(1 << (at & 63)).astype(np.int64)
+    rows = L._rows(documents(docs).coalesce(1), "doc_id", "text")
+    got = [(r.doc, r.line_no, r.line) for r in L._occurrences(rows, *maps).collect()]
+    assert sorted(got, key=str) == sorted([(0, 0, "line of everybody"), *((i, 0, None) for i in range(1, 6)), (2, 1, None)], key=str)
+
+
+def test_shingles_of_many_lines_at_once_are_those_of_each():
+    rng = random.Random(4)
+    lines = [prose(rng, n) for n in (20, 3, 1, 200)] + ["abc", "abcdefg", "漢字" * 9, "", "x" * 50, "é" * 7]
+    exact = L.Comparison()
+    exact.learn(dict(enumerate(lines)))
+    for i, line in enumerate(lines):
+        alone, many = L.shingle_numbers(line), exact.numbers[i]
+        assert (alone is None) == (many is None)
+        if alone is not None:
+            assert alone.tolist() == many.tolist() and len(alone) == len(L.shingles(line))
