@@ -388,7 +388,8 @@ def _texts(occurrences: DataFrame, candidates: DataFrame) -> DataFrame:
 
     # a line is dealt out by the first half of its key once, for the candidates and for its copies
     found = occurrences.filter("line IS NOT NULL").select("key", "k", "line").repartition("k")
-    once = found.join(candidates, "k", "left_semi").groupBy("k", "key").agg(F.first("line").alias("line"))
+    # the numbers are what is hashed, so texts are sorted once, for their copies
+    once = found.join(candidates.hint("shuffle_hash"), "k", "left_semi").groupBy("k", "key").agg(F.first("line").alias("line"))
     return once.select("key", "k", "line").mapInArrow(lean(sketched), "key binary, k bigint, line string, cells binary, fewest bigint")
 
 
@@ -520,7 +521,7 @@ def _with_partners(groups: DataFrame) -> DataFrame:
 
 
 def _across(groups: DataFrame) -> DataFrame:
-    """Links between lines of different components inside each block of a bucket.
+    """Links ``(a, b)`` between the roots of different components with similar lines inside a block of a bucket.
 
     Rows ``(bucket, i, j, block, root, key, line, cells, fewest)`` stream in group
     order; only lines that are not yet connected are compared, each link connects
@@ -544,7 +545,7 @@ def _across(groups: DataFrame) -> DataFrame:
             (root_a, key_a, line_a), (root_b, key_b, line_b) = rows[p][4:7], rows[q][4:7]
             if forest.find(root_a) != forest.find(root_b) and exact.similar(key_a, line_a, key_b, line_b):
                 forest.union(root_a, root_b)
-                yield key_a, key_b
+                yield root_a, root_b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: list[tuple[bytes, bytes]] = []
@@ -577,18 +578,17 @@ def _across(groups: DataFrame) -> DataFrame:
     return _grouped(groups, "block", "root", "key", "line", "cells", "fewest").mapInArrow(lean(run), "a binary, b binary")
 
 
-def _rooted(keys: DataFrame, components: DataFrame) -> DataFrame:
-    """``keys`` with the root of each key's component, its own where it has no link."""
-    found = components.select(F.col("node").alias("key"), "root")
-    return keys.join(found, "key", "left").withColumn("root", F.coalesce("root", "key"))
+def _rooted(keys: DataFrame, components: DataFrame, node: str = "key") -> DataFrame:
+    """``keys`` with the root of the component of each one's ``node``, which is its own root where it has no link."""
+    found = components.select(F.col("node").alias(node), F.col("root").alias("reached"))
+    return keys.join(found, node, "left").withColumn("root", F.coalesce("reached", node)).drop("reached")
 
 
-def _links_of(components: DataFrame) -> DataFrame:
-    return components.select(F.col("node").alias("a"), F.col("root").alias("b"))
+def line_components(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Components of similar lines, components of their roots, and where all lines occur that have a copy or a candidate.
 
-
-def line_components(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Components of similar lines, and where all lines occur that have a copy or a candidate.
+    A line's component is that of its root in the first table, which the second may
+    join with others; a line or root that a table does not name stands for itself.
 
     Every line is first compared with the smallest key of one of its buckets.
     Where that leaves a bucket with several components, their lines are compared
@@ -600,20 +600,18 @@ def line_components(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     n_parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shared = kept(_shared_buckets(_signed_lines(rows.select("text"), n_parts), n_parts), "members")
     members = shared.filter("least IS NOT NULL")
-    candidates = members.select("k").distinct()
-    occurrences = kept(_occurrences(rows, bit_map(candidates), bit_map(shared.filter("least IS NULL").select("k"))), "occurrences")
-    texts = kept(_texts(occurrences, candidates), "lines")
-    stars = members.filter("k <> least").select("k", "least").distinct()
+    occurrences = kept(_occurrences(rows, bit_map(members.select("k")), bit_map(shared.filter("least IS NULL").select("k"))), "occurrences")
+    texts = kept(_texts(occurrences, members.select("k").distinct()), "lines")
     # two lines whose keys only share their first half meet here as well
     twins = texts.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k", F.col("k").alias("least"))
     left = texts.select("k", F.col("key").alias("a"), F.col("cells").alias("cells_a"), F.col("fewest").alias("fewest_a"))
     right = texts.select(F.col("k").alias("least"), F.col("key").alias("b"), F.col("cells").alias("cells_b"), F.col("fewest").alias("fewest_b"))
     pairs = lambda some: some.join(left, "k").join(right, "least").filter("a <> b")
     # one comparison a line; what it leaves apart is looked at by bucket
-    first = stars.groupBy("k").agg(F.min("least").alias("least"))
+    first = members.filter("k <> least").groupBy("k").agg(F.min("least").alias("least"))
     near = kept(_near(pairs(first.unionByName(twins))), "near")
     lines = _lines(texts, near.select("k").unionByName(near.select(F.col("least").alias("k"))))
-    with_a = near.join(lines.select(F.col("key").alias("a"), F.col("line").alias("line_a")), "a")
+    with_a = near.hint("shuffle_hash").join(lines.select(F.col("key").alias("a"), F.col("line").alias("line_a")), "a")
     edges = kept(_verified(with_a.join(lines.select(F.col("key").alias("b"), F.col("line").alias("line_b")), "b")), "edges")
     components = kept(connected_components(edges), "components")
 
@@ -622,9 +620,12 @@ def line_components(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     open_members = members.join(rooted, "k").select("bucket", "key", "k", "root", F.coalesce(F.col("compared") == F.col("least"), F.lit(False)).alias("compared"))
     open_members = kept(open_members, "members")
     content = [F.bit_xor(F.xxhash64(F.lit(seed), "key")).alias(f"h{seed}") for seed in (0, 1)]
-    each = open_members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.count_if("compared").alias("done"), *content)
+    # roots are told apart by 128 bits, as lines are by their keys; numbers need no sort
+    roots = [pick(F.xxhash64(F.lit(seed), "root")).alias(f"{name}{seed}") for seed in (0, 1) for name, pick in (("least", F.min), ("most", F.max))]
+    each = open_members.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("compared").alias("done"), *roots, *content)
     # buckets of several bands with the same members are looked through once
-    open_buckets = each.filter("r0 <> r1 AND (n > 2 OR done = 0)").groupBy("n", "h0", "h1").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
+    several = each.filter("(least0 <> most0 OR least1 <> most1) AND (n > 2 OR done = 0)")
+    open_buckets = several.groupBy("n", "h0", "h1").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
     order = Window.partitionBy("bucket").orderBy("root", "key")
     blocks = open_members.join(open_buckets, "bucket").withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK))
     last = F.floor((F.col("n") - 1) / BLOCK)
@@ -632,19 +633,20 @@ def line_components(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     grouped = spread.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "root", "key", "k")
     partners = kept(_with_partners(grouped.join(texts.select("key", "cells", "fewest"), "key")), "partners")
     more = kept(_across(partners.join(_lines(texts, partners.select("k")), "key")), "edges")
-    return connected_components(_links_of(components).unionByName(more)), occurrences.select("key", "doc", "text_hash", "line_no")
+    return components, connected_components(more), occurrences.select("key", "doc", "text_hash", "line_no")
 
 
 def dropped_lines(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc, text_hash, line_nos)``: the lines that go, by document."""
     rows = _rows(documents, doc_id, text)
-    components, occurrences = line_components(rows)
+    components, joined, occurrences = line_components(rows)
     place = F.struct(F.isnull("doc").alias("nameless"), "doc", "text_hash", "line_no")
     each = occurrences.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    rooted = kept(_rooted(each, components), "repeated")
+    first_roots = _rooted(each, components).withColumnRenamed("root", "node")
+    rooted = kept(_rooted(first_roots, joined, "node").drop("node"), "repeated")
     parts = rooted.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("total")).filter("total > 1")
     keep = rooted.join(parts, "root").select("key", "keep")
-    gone = occurrences.withColumn("place", place).join(keep, "key").filter("place <> keep")
+    gone = occurrences.join(keep, "key").filter(place != F.col("keep"))
     return gone.groupBy("doc", "text_hash").agg(F.collect_set("line_no").alias("line_nos"))
 
 
@@ -669,7 +671,8 @@ def deduplicate(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     private = [f"_{i}" for i in range(len(names))]
     plain = documents.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(names, private)])
     hashed = plain.withColumn("text_hash", F.xxhash64(private[at])).withColumn("doc", F.col(private[names.index(doc_id)]))
-    place = gone.select(F.col("doc").alias("gone_doc"), F.col("text_hash").alias("gone_hash"), "line_nos")
+    # the line numbers are what is hashed, so no task sorts texts
+    place = gone.select(F.col("doc").alias("gone_doc"), F.col("text_hash").alias("gone_hash"), "line_nos").hint("shuffle_hash")
     joined = hashed.join(place, F.col("doc").eqNullSafe(F.col("gone_doc")) & (F.col("text_hash") == F.col("gone_hash")), "left")
     source = joined.select(*private, "line_nos")
 

@@ -208,3 +208,40 @@ def test_shingles_of_many_lines_at_once_are_those_of_each():
         assert (alone is None) == (many is None)
         if alone is not None:
             assert alone.tolist() == many.tolist() and len(alone) == len(L.shingles(line))
+
+
+def test_second_pass_only_links_roots_of_components(documents, monkeypatch):
+    # a chain of edits whose lines share buckets, so that comparing all of a bucket joins what stars left apart
+    words = prose(random.Random(5), 60).split()
+    docs = []
+    for i in range(40):
+        docs.append((i, " ".join(words)))
+        words[i] = "zebra"
+    passes = []
+    connected = L.connected_components
+
+    def recorded(edges):
+        found = connected(edges)
+        passes.append(([(r.a, r.b) for r in edges.collect()], {r.node: r.root for r in found.collect()}))
+        return found
+
+    monkeypatch.setattr(L, "connected_components", recorded)
+    got = {r.doc_id: r.text for r in L.deduplicate(documents(docs)).collect()}
+    assert got[0] == docs[0][1] and all(got[i] == "" for i in range(1, 40))
+    (_, first), (links, _) = passes
+    assert links and all(first.get(x, x) == x for link in links for x in link)
+
+
+def sorts_texts(df) -> bool:
+    return "SortMergeJoin" in df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_no_task_sorts_whole_texts(spark, documents):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = L.deduplicate(documents([(1, "one line of text"), (2, "one line of text"), (None, "one line of text"), (3, None)]))
+        assert not sorts_texts(out)
+        assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == [(1, "one line of text"), (2, ""), (3, None), (None, "")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
