@@ -120,8 +120,10 @@ def fit(labelled: DataFrame, sample: int = SAMPLE_PER_CLASS, partners: int = PAR
     learner = LogisticRegression(featuresCol="features", labelCol="label", fitIntercept=False, standardization=False, regParam=RIDGE, maxIter=60)
     weights = tuple(float(w) for w in learner.fit(data.select(array_to_vector("difference").alias("features"), "label")).coefficients)
     ranking = Ranking(centre, spread, weights, 0.0)
-    share = n[0] / (n[0] + n[1])
-    cut = rows.agg(F.percentile_approx(ranking.worth(), share, 100_000).alias("cut")).first().cut
+    # between the last score of the share and the next one, as the exact quantile lies
+    total = n[0] + n[1]
+    last, following = rows.agg(F.percentile_approx(ranking.worth(), [(n[0] - 0.5) / total, (n[0] + 0.5) / total], 100_000).alias("cuts")).first().cuts
+    cut = last + (following - last) * n[1] / total
     return Ranking(centre, spread, weights, float(cut))
 
 

@@ -73,6 +73,17 @@ def test_ranking_loss_is_at_its_minimum(spark, monkeypatch):
     assert abs(np.mean(score < ranking.threshold) - np.mean(label == 0)) < 0.02
 
 
+def test_the_threshold_leaves_all_of_the_share_below(spark):
+    # two classes that every weight tells apart, 24 and 96 rows
+    rows = [([float(i >= 24) * 10 + i / 1000] * len(quality.FEATURES), int(i >= 24)) for i in range(120)]
+    frame = spark.createDataFrame(rows, "x array<double>, label int")
+    scored = frame.select("label", quality.fit(frame).score().alias("score")).collect()
+    assert [r.label for r in scored] == [int(r.score >= 0.5) for r in scored]
+    # rows that were not learnt from fall on the side that they are nearer to
+    between = spark.createDataFrame([([x] * len(quality.FEATURES),) for x in (1.0, 9.9)], "x array<double>").select(quality.fit(frame).score().alias("score"))
+    assert [r.score >= 0.5 for r in between.collect()] == [False, True]
+
+
 def test_quality_learns_from_classes_that_are_mostly_copies(spark):
     copies = spark.range(100_000).select(F.array(*[F.lit(0.5 + i) for i in range(len(quality.FEATURES))]).alias("x"), F.lit(0).alias("label"))
     others = spark.range(500).select(F.array(*[F.rand(i) * 3 for i in range(len(quality.FEATURES))]).alias("x"), F.lit(1).alias("label"))
