@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections import defaultdict
 
 import pytest
 import public_tokenizers
@@ -24,7 +25,7 @@ SMALL = "/root/testdata/sf0.001"
 def test_ten_operators_and_the_pipeline_are_registered():
     names = set(entry.queries())
     assert set(QUERIES) | {"pipeline"} <= names
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert [f.__name__ for _, f in corpus_pipeline.STAGES] == ["quality_classifier", "fuzzy_lines", "near_duplicates", "decontamination", "tokens"]
 
 
@@ -37,6 +38,9 @@ COLUMNS = {
     "op8": ["doc_id", "fingerprint", "component_id"],
     "op9": ["doc_id", "held_out", "score", "predicted"],
     "op10": ["doc_id", "held_out", "lang_pred", "score"],
+    "op11": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"],
+    "op12": ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"],
+    "op13": ["item_id", "rank", "doc_id", "score"],
 }
 
 
@@ -48,6 +52,18 @@ def test_queries_return_a_row_for_each_of_their_table(spark, name):
     rows = df.collect()
     if op in ("op5", "op2"):
         assert rows
+    elif op == "op12":
+        # a row for each node; the root holds every conversation
+        root, *others = sorted(rows, key=lambda r: r.depth)
+        assert root.parent_conv_id is None and root.n_convs == spark.read.parquet(f"{SMALL}/conversations.parquet").select("conv_id").distinct().count()
+        assert len({(r.conv_id, r.depth) for r in rows}) == len(rows) and all(r.depth > 0 and r.parent_conv_id is not None for r in others)
+    elif op == "op13":
+        # up to 50 documents for each item
+        ranks = defaultdict(list)
+        for r in rows:
+            ranks[r.item_id].append(r.rank)
+        assert ranks and set(ranks) <= {r.item_id for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").select("item_id").collect()}
+        assert all(sorted(own) == list(range(1, len(own) + 1)) and len(own) <= 50 for own in ranks.values())
     else:
         source = spark.read.parquet(f"{SMALL}/{'pages' if op in ('op3', 'op6') else 'documents'}.parquet")
         assert len(rows) == source.count() and None not in {r[0] for r in rows}
